@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_classifier, quality_rules, warc_fixity
+from . import decontamination, quality_classifier, quality_rules, simhash, token_counts, warc_fixity
 from .common import table
 
 RECORDS_PER_FILE = 256
@@ -26,6 +26,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(docs, forest).select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records, 256 ids a file; the second replica has the damage of a failing disk: a changed byte or a cut tail."""
     record = warc_fixity.warc_record(F.col("url"), F.col("html"))
@@ -43,4 +47,8 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(pairs)
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op6_quality_rules, op7_quality_classifier, op9_warc_fixity)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontamination, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_warc_fixity, op10_simhash)}
