@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_classifier, quality_rules, simhash, token_counts, warc_fixity
+from . import decontamination, html_extraction, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, warc_fixity
 from .common import table
 
 RECORDS_PER_FILE = 256
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.mixed(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -51,4 +69,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_warc_fixity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_warc_fixity, op10_simhash)}
