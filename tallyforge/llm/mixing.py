@@ -60,25 +60,38 @@ def weighted(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame
     )
 
 
+def _share(dimension: str, factors: dict[str, float]) -> Column:
+    pairs = [F.lit(x) for k, v in sorted(factors.items()) for x in (k, float(v))]
+    return F.create_map(*pairs)[F.col(f"g_{dimension}")] if pairs else F.lit(1.0)
+
+
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
     """cells (g_source, g_lang, g_topic, n): adds w, whose marginals are in proportion to the targets.
 
-    Targets of categories without tokens are left out, and the others of that
-    marginal scaled to one. Each sweep is checkpointed: the plan stays short.
+    w is n times one factor a category. Each step reads one marginal, which has a
+    row for each category that the targets name, and scales that dimension's
+    factors. Targets of categories without tokens are left out, and the others
+    of that marginal scaled to one.
     """
-    spark = cells.sparkSession
-    w = cells.withColumn("w", F.col("n").cast("double"))
-    aims = {d: checkpointed(spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"g_{d} string, aim double").join(cells.select(f"g_{d}").distinct(), f"g_{d}", "left_semi")) for d in DIMENSIONS}
-    sums = {d: aims[d].agg(F.sum("aim")).first()[0] or 1.0 for d in DIMENSIONS}
+    factors: dict[str, dict[str, float]] = {d: {} for d in DIMENSIONS}
+    for d in DIMENSIONS:
+        factors[d] = {r[0]: 1.0 for r in cells.groupBy(f"g_{d}").agg(F.count(F.lit(1))).collect()}
+    aims = {}
+    for d in DIMENSIONS:
+        have = {k: float(targets[d].get(k, 0.0)) for k in factors[d]}
+        aims[d] = {k: v / (sum(have.values()) or 1.0) for k, v in have.items()}
+
+    def weight() -> Column:
+        out = F.col("n").cast("double")
+        for d in DIMENSIONS:
+            out = out * _share(d, factors[d])
+        return out
+
     for _ in range(sweeps):
         for d in DIMENSIONS:
-            key = f"g_{d}"
-            have = w.groupBy(key).agg(F.sum("w").alias("have"))
-            # A marginal has one row for each category that the targets name.
-            factor = have.join(aims[d], key).select(key, (F.col("aim") / F.lit(sums[d]) / F.col("have")).alias("factor"))
-            w = w.join(F.broadcast(factor), key).select("g_source", "g_lang", "g_topic", "n", (F.col("w") * F.col("factor")).alias("w"))
-        w = checkpointed(w)
-    return w
+            for k, have in cells.groupBy(f"g_{d}").agg(F.sum(weight())).collect():
+                factors[d][k] *= aims[d][k] / have if have else 0.0
+    return cells.withColumn("w", weight())
 
 
 def probabilities(cells: DataFrame, budget: float = BUDGET, refills: int = REFILLS) -> DataFrame:
@@ -115,7 +128,8 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     targets = TARGETS if targets is None else targets
     own = [c for c in docs.columns if c.lower() not in ("topic", "n_tokens", "probability", "sampled", "g_source", "g_lang", "g_topic", "p", "n", "w")]
     w = weighted(docs.select(*own), targets)
-    cells = checkpointed(w.groupBy("g_source", "g_lang", "g_topic").agg(F.sum("n_tokens").alias("n")).filter("n > 0"))
+    # As many rows as the targets have combinations at most: one partition, so that the marginals need no shuffle.
+    cells = checkpointed(w.groupBy("g_source", "g_lang", "g_topic").agg(F.sum("n_tokens").alias("n")).filter("n > 0").coalesce(1)).coalesce(1)
     chosen = checkpointed(probabilities(raked(cells, targets, sweeps), budget).select("g_source", "g_lang", "g_topic", "p"))
     return (
         w.join(F.broadcast(chosen), ["g_source", "g_lang", "g_topic"], "left")
