@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed_upper
@@ -22,15 +24,13 @@ def bag_matched(auto: DataFrame, main: DataFrame, key: list[str], order: list[st
 
     Counts and row numbers are shuffled by the key, once a side.
     """
-    n_main = main.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    n_auto = auto.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in key]
-    a, m = occurrence(auto, key, order, "_rn"), occurrence(main, key, order, "_rn")
-    marked = a.join(n_main, same(a, n_main), "left").select(*(a[c] for c in auto.columns), (F.coalesce("_n", F.lit(0)) >= F.col("_rn")).alias("_present"))
-    left = m.join(n_auto, same(m, n_auto), "left").withColumn("_a", F.coalesce("_n", F.lit(0)))
-    total = main.groupBy(*key).agg(F.count(F.lit(1)).alias("_c"))
-    left = left.select(*(m[c] for c in main.columns), "_rn", "_a")
-    left = left.join(total, same(left, total)).select(*(left[c] for c in main.columns), (F.col("_rn") <= F.col("_c") - F.least("_c", "_a")).alias("_left"))
+    totals = lambda df, name: df.groupBy(*(F.col(k).alias(f"_k_{k}") for k in key)).agg(F.count(F.lit(1)).alias(name))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    a, m = occurrence(auto, key, order, "_rn"), occurrence(main, key, order, "_rn").withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    marked = a.join(totals(main, "_n"), same, "left").select(*auto.columns, (F.coalesce("_n", F.lit(0)) >= F.col("_rn")).alias("_present"))
+    left = m.join(totals(auto, "_n"), same, "left").select(*main.columns, (F.col("_rn") <= F.col("_c") - F.least(F.col("_c"), F.coalesce("_n", F.lit(0)))).alias("_left"))
     return marked.filter("_present").drop("_present"), marked.filter("not _present").drop("_present"), left.filter("_left").drop("_left")
 
 
@@ -42,31 +42,30 @@ def bag_difference(auto: DataFrame, main: DataFrame, key: list[str]) -> DataFram
 _MATCHED = "account_number string, auto_pos long, main_pos long, status string, reason string"
 
 
-def _claimed(rows: pd.DataFrame) -> pd.DataFrame:
-    """One group of equal (account, debits, credits): each automated row in order claims at most one leftover row of the main ledger."""
-    auto, main = rows[rows["side"] == "auto"].sort_values("row_pos"), rows[rows["side"] == "main"].sort_values("row_pos")
-    by_day: dict[object, list[int]] = {}
-    by_text: dict[str, list[int]] = {}
-    days, out, taken = dict(zip(main["row_pos"], main["txn_date"], strict=True)), [], set()
-    for pos, day, text in zip(main["row_pos"], main["txn_date"], main["description_key"], strict=True):
-        by_day.setdefault(day, []).append(pos)
-        by_text.setdefault(text, []).append(pos)
-    for account, pos, day, text in zip(auto["account_number"], auto["row_pos"], auto["txn_date"], auto["description_key"], strict=True):
-        same_day = next((p for p in by_day.get(day, []) if p not in taken), None)
-        if same_day is not None:
-            taken.add(same_day)
-            out.append((account, pos, same_day, "review", "same date and amount, different description"))
-            continue
-        near = None
-        if day is not None and not pd.isna(day):
-            apart = [(abs((pd.Timestamp(days[p]) - pd.Timestamp(day)).days), i, p) for i, p in enumerate(by_text.get(text, [])) if p not in taken and days[p] is not None and not pd.isna(days[p])]
-            near = min((x for x in apart if x[0] <= NEAR_DAYS), default=None)
-        if near is not None:
-            taken.add(near[2])
-            out.append((account, pos, near[2], "review", "same amount and description, different date"))
-        else:
-            out.append((account, pos, None, "new", None))
-    return pd.DataFrame(out, columns=["account_number", "auto_pos", "main_pos", "status", "reason"]).astype({"main_pos": "Int64"})
+def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (account, debits, credits), the main ledger's before the automated ones: within a group each automated row in order claims at most one leftover row."""
+    group, by_day, by_text, days, taken = None, {}, {}, {}, set()
+    for batch in batches:
+        out = []
+        for side, account, pos, day, debit, credit, text in zip(*(batch[c] for c in ("side", "account_number", "row_pos", "txn_date", "debits", "credits", "description_key")), strict=True):
+            if (account, debit, credit) != group:
+                group, by_day, by_text, days, taken = (account, debit, credit), {}, {}, {}, set()
+            day = None if day is None or pd.isna(day) else pd.Timestamp(day)
+            if side == 0:
+                by_day.setdefault(day, []).append(pos)
+                by_text.setdefault(text, []).append(pos)
+                days[pos] = day
+                continue
+            claim = next((p for p in by_day.get(day, []) if p not in taken), None)
+            reason = "same date and amount, different description"
+            if claim is None and day is not None:
+                apart = [(abs((days[p] - day).days), i, p) for i, p in enumerate(by_text.get(text, [])) if p not in taken and days[p] is not None]
+                claim = min((x for x in apart if x[0] <= NEAR_DAYS), default=(0, 0, None))[2]
+                reason = "same amount and description, different date"
+            if claim is not None:
+                taken.add(claim)
+            out.append((account, pos, claim, "new" if claim is None else "review", None if claim is None else reason))
+        yield pd.DataFrame(out, columns=["account_number", "auto_pos", "main_pos", "status", "reason"]).astype({"main_pos": "Int64"})
 
 
 def three_way(auto: DataFrame, main: DataFrame) -> DataFrame:
@@ -81,9 +80,15 @@ def three_way(auto: DataFrame, main: DataFrame) -> DataFrame:
     both = open_rows.select(*columns, F.lit("auto").alias("side")).unionByName(left.select(*columns, F.lit("main").alias("side")))
     # A group without rows of the main ledger needs no matching and stays in the JVM.
     sides = both.groupBy("account_number", "debits", "credits").agg(F.max(F.col("side") == "main").alias("_m"))
-    on = [both[k].eqNullSafe(sides[k]) for k in ("account_number", "debits", "credits")]
-    tagged = both.join(sides, on).select(*(both[c] for c in both.columns), "_m")
-    matched = tagged.filter("_m").drop("_m").groupBy("account_number", "debits", "credits").applyInPandas(_claimed, _MATCHED)
+    sides = sides.select(*(F.col(k).alias(f"_s_{k}") for k in ("account_number", "debits", "credits")), "_m")
+    on = F.lit(True)
+    for k in ("account_number", "debits", "credits"):
+        on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    tagged = both.join(sides, on).select(*columns, "side", "_m")
+    # A group streams through its task in order; nothing of it is held but what may still be claimed.
+    group = ("account_number", "debits", "credits")
+    sided = tagged.filter("_m").select((F.col("side") == "auto").cast("int").alias("side"), "account_number", "row_pos", "txn_date", *(F.col(c).cast("string").alias(c) for c in ("debits", "credits")), "description_key")
+    matched = sided.repartition(*group).sortWithinPartitions(*group, "side", "row_pos").mapInPandas(_claims, _MATCHED)
     plain = tagged.filter("not _m").select("account_number", F.col("row_pos").alias("auto_pos"), F.lit(None).cast("long").alias("main_pos"), F.lit("new").alias("status"), F.lit(None).cast("string").alias("reason"))
     done = present.select("account_number", F.col("row_pos").alias("auto_pos"), F.lit(None).cast("long").alias("main_pos"), F.lit("present").alias("status"), F.lit(None).cast("string").alias("reason"))
     return done.unionByName(matched).unionByName(plain)
