@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fenced_json, term_text
+from .lookups import bounded
 
 TOP, LEAST_SIMILARITY = 5, 0.15
 VOTE_SIMILARITY, VOTES, HIGH_VOTES = 0.25, 3, 4
@@ -72,7 +73,7 @@ def vote(neighbours: DataFrame, labels: DataFrame, ident: str, least: float = VO
 
 def fields_by_head(rows: DataFrame, table: DataFrame) -> DataFrame:
     """business_unit, type and tcp_head from a small table by head; ? where it has none."""
-    return rows.join(F.broadcast(table), "head", "left").na.fill("?", ["business_unit", "type", "tcp_head"])
+    return rows.join(bounded(table), "head", "left").na.fill("?", ["business_unit", "type", "tcp_head"])
 
 
 ANSWER = "head string, reason string, suggest_master boolean, beneficiary_name string"
