@@ -1,0 +1,157 @@
+"""Secret scans, quality rules, classifier, decontamination and token counts against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tallyforge.llm import decontamination, quality_classifier, quality_rules, secret_scan, token_counts
+from tallyforge.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_secrets(spark, docs, empty):
+    net = secret_scan.trained()
+    got = secret_scan.secrets(docs, net).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        t = r["text"] or ""
+        assert r["base_sha256"] == hashlib.sha256(base_spans(t).encode()).hexdigest()
+        assert set(filter(None, base_spans(t).split(","))) <= set(r["spans"].split(","))
+        if not r["spans"]:
+            assert r["redacted"] == r["text"]
+    key = next(r for r in got if r["text"] and r["text"].startswith("AKIA"))
+    assert key["n_access"] == 1 and key["n_model"] == 1 and "ghp_" not in key["redacted"]
+    assert secret_scan.secrets(empty, net).count() == 0
+
+
+def test_secret_network_holds_its_recall():
+    net = secret_scan.trained()
+    found = secret_scan.synthetic_findings(600, 123)
+    p = net.probability(np.stack([secret_scan.encoded(t, a, b) for t, a, b, _ in found]))
+    y = np.array([f[3] for f in found])
+    assert (p[y == 1] >= net.threshold).mean() >= 0.9 and (p[y == 0] >= net.threshold).mean() <= 0.05
+    assert secret_scan.trained([]).threshold > 1
+
+
+def brute_quality(t):
+    t = t or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {p for v in at.values() if len(v) > 1 for q in v for p in range(q, q + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark, docs, empty):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = quality_rules.quality_rules(docs).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        want = brute_quality(texts[r["doc_id"]])
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_quality_rules_agree_with_labels(spark):
+    got = quality_rules.quality_rules(table(spark, SF, "documents")).join(table(spark, SF, "labels").withColumnRenamed("quality", "label"), "doc_id").filter("not base_failed").collect()
+    assert sum(r["kept"] == (r["label"] == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_classifier_on_the_held_out_fold(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    forest = quality_classifier.trained(docs, labels)
+    got = quality_classifier.quality_scores(docs.select("doc_id", "text"), forest).withColumn("held_out", quality_classifier.held_out()).join(labels, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r["held_out"]]
+    good, bad = [r["score"] for r in held if r["quality"] == 1], [r["score"] for r in held if r["quality"] == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+
+
+def test_classifier_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (7, 0, 0), (None, 1, 0), (9, 5, 0), (12, None, 0), (13, 1, None)], "doc_id long, quality int, toxic int")
+    forest = quality_classifier.trained(docs, labels)
+    assert quality_classifier.quality_scores(docs, forest).count() == docs.count()
+    assert quality_classifier.quality_scores(empty, quality_classifier.trained(empty, labels.limit(0))).count() == 0
+
+
+def test_flat_trees_equal_a_walk():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, len(quality_classifier.FEATURES)))
+    f = quality_classifier.fitted(x, (x[:, 0] + x[:, 3] > 0).astype(float), trees=5)
+
+    def walk(row):
+        total = f.base
+        for feature, threshold, leaf in zip(f.feature, f.threshold, f.leaf, strict=True):
+            i = 0
+            while i < len(feature):
+                i = 2 * i + 1 + int(row[feature[i]] > threshold[i])
+            total += leaf[i - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(f.score(x), [walk(r) for r in x])
+
+
+def brute_hits(text, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words_of = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = words_of(text), set(), set()
+    for item, t in items:
+        v = words_of(t)
+        k = min(10, len(v))
+        for i in range(len(v) - k + 1 if k else 0):
+            for j in range(len(w) - k + 1):
+                if w[j : j + k] == v[i : i + k]:
+                    hit.update(range(j, j + k))
+                    found.add(str(item))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 10])
+def test_decontamination(spark, docs, empty, block_bytes):
+    items = [(1, "a shared passage that stands in more than one document and is longer than fifty bytes"), (2, "quick brown FOX"), (3, "x"), (4, None), (5, "..."), (10, "quick Brown fox"), (6, "é à ü"), (7, "never seen words in this order at all by anyone ever here")]
+    bench = spark.createDataFrame([*items, (None, "text here")], "item_id long, text string")
+    got = decontamination.contamination(docs, bench, block_bytes=block_bytes).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if r["text"] is None or len(r["text"]) < 20_000:
+            assert tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256")) == brute_hits(r["text"], items)
+        assert r["contaminated"] == (r["n_hit"] > 0)
+    assert decontamination.contamination(empty, bench).count() == 0
+    assert not any(r["contaminated"] for r in decontamination.contamination(docs, bench.limit(0)).collect())
+
+
+def test_token_counts(spark, docs, empty):
+    got = token_counts.document_tokens(docs).collect()
+    assert len(got) == docs.count()
+    texts, e = {r["doc_id"]: r["text"] for r in docs.collect()}, token_counts.encoder(token_counts.TOKENIZER)
+    assert all(r["n_tokens"] == len(e.encode_ordinary(texts[r["doc_id"]] or "")) for r in got)
+    assert token_counts.document_tokens(empty).count() == 0
+
+
+def test_separator_scan_across_blocks(spark):
+    rng = np.random.default_rng(1)
+    for size in (1, 3, 7):
+        lengths = rng.integers(0, 12, 40)
+        flat = np.concatenate([np.append(rng.integers(0, 9, n), 99) for n in lengths] + [[5, 5]]).astype("<u2")
+        blocks = [(0, i // size, flat[i : i + size].tobytes()) for i in range(0, len(flat), size)]
+        got = token_counts.token_counts(spark.createDataFrame(blocks, "file int, block long, data binary"), 99).orderBy("ordinal").collect()
+        assert [r["n_tokens"] for r in got] == lengths.tolist() and [r["ordinal"] for r in got] == list(range(40))
