@@ -9,6 +9,7 @@ running sums.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import AMOUNT
 from ..functions.dates import DATE_PATTERNS, date_in
+from ..functions.text import letters_only
+from ..schemas import WORDS
 
 LINE_TOLERANCE, HEADER_GAP, EPSILON, SECTION_GAP = 3.0, 25.0, 2.0, 50.0
 TEXT_FIELDS, AMOUNT_FIELDS = ("txn_date", "value_date", "description", "reference"), ("debits", "credits", "balance")
@@ -44,22 +47,26 @@ class Profile:
         return {k: v for k, v in {**HEADER_TOKENS, **self.tokens}.items() if v not in self.excluded}
 
 
-def _lines(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.astype({"doc_id": object, "text": object}).sort_values(["top", "x0"], kind="stable")
-    anchor, line, numbers, tops = None, -1, [], []
-    for top in page["top"]:
-        if anchor is None or abs(top - anchor) > LINE_TOLERANCE:
-            anchor, line = top, line + 1
-        numbers.append(line)
-        tops.append(anchor)
-    return page.assign(line_no=numbers, line_top=tops)
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words sorted by page, height and left edge; the fold's state is one line, so pages stream through."""
+    page, anchor, line = None, 0.0, 0
+    for batch in batches:
+        numbers, tops = [], []
+        for doc, number, top in zip(batch["doc_id"], batch["page"], batch["top"], strict=True):
+            if (doc, number) != page:
+                page, anchor, line = (doc, number), top, 0
+            elif abs(top - anchor) > LINE_TOLERANCE:
+                anchor, line = top, line + 1
+            numbers.append(line)
+            tops.append(anchor)
+        yield batch.assign(line_no=numbers, line_top=tops)
 
 
 def clustered(words: DataFrame) -> DataFrame:
-    """Adds line_no and line_top: a word joins the line whose first word is within the tolerance. A page is one group."""
-    from ..schemas import WORDS
-
-    return words.groupBy("doc_id", "page").applyInPandas(_lines, f"{WORDS}, line_no int, line_top double")
+    """Adds line_no and line_top: a word joins the line whose first word is within the tolerance."""
+    columns = [c.split()[0] for c in WORDS.split(", ")]
+    ordered = words.select(*columns).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "top", "x0", "word_no")
+    return ordered.mapInPandas(_lines, f"{WORDS}, line_no int, line_top double")
 
 
 def _norm(text: str) -> str:
@@ -106,7 +113,10 @@ def _header(page: pd.DataFrame, profile: Profile) -> pd.DataFrame:
 
 def headers(lines: DataFrame, profile: Profile | None = None) -> DataFrame:
     p = profile or Profile()
-    return lines.groupBy("doc_id", "page").applyInPandas(lambda x: _header(x, p), "doc_id string, page int, field string, anchor double, header_bottom double, header_line int")
+    named = [t for t, f in p.vocabulary().items() if f == "description"]
+    # Only pages that have a description cell are looked at one by one.
+    candidates = lines.filter(letters_only(F.col("text")).isin(named)).select("doc_id", "page").distinct()
+    return lines.join(candidates, ["doc_id", "page"], "left_semi").groupBy("doc_id", "page").applyInPandas(lambda x: _header(x, p), "doc_id string, page int, field string, anchor double, header_bottom double, header_line int")
 
 
 def ranges(anchors: DataFrame) -> DataFrame:
