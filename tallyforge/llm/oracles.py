@@ -38,6 +38,20 @@ SELECT doc_id, source, lang, g_topic AS topic, n_tokens, round(coalesce(p, 0), 6
 FROM d LEFT JOIN p USING (g_source, g_lang, g_topic)"""
 
 
+OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s),
+c AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE m.lo < w.doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS first FROM c),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+p AS (SELECT r.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0))) AS piece FROM r JOIN d USING (doc_id)),
+k AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS kept FROM p GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP5 = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -83,4 +97,4 @@ SELECT n.file, n_records, n_bytes, l2.a AS root_a, l2.b AS root_b, 1 + coalesce(
 FROM n JOIN l2 USING (file) LEFT JOIN bad USING (file) LEFT JOIN c1 USING (file) LEFT JOIN c0 USING (file)
 """
 
-ORACLES = {"op3_mixing": mixing_sql(), "op5_decontamination": OP5, "op9_warc_fixity": OP9}
+ORACLES = {"op3_mixing": mixing_sql(), "op4_suffix_dedup": OP4, "op5_decontamination": OP5, "op9_warc_fixity": OP9}
