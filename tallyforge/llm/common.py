@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,14 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it back.
 
-    The table survives the loss of any executor and is computed once, whatever reads it.
+    The table survives the loss of any executor and is computed once, whatever
+    reads it. Once it is written, the shuffle files that led to it are of no use,
+    and Spark is told to drop them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP_KEY, "false")
+    spark.conf.set(SHUFFLE_CLEANUP_KEY, "true")
+    try:
+        writer = df.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

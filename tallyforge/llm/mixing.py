@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, text_or_empty, written
 
 REST = "_rest"
 DIMENSIONS = ("source", "lang", "topic")
@@ -116,9 +116,10 @@ def probabilities(cells: DataFrame, budget: float = BUDGET, refills: int = REFIL
     return cells.withColumn("p", F.least(F.lit(1.0), F.lit(scale) * F.col("w") / F.col("n")) if total["n"] else F.lit(0.0))
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
-    """All rows of docs with topic, n_tokens, probability and sampled.
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS, columns: list[str] | None = None) -> DataFrame:
+    """All rows of docs (and of its columns those named, or all) with topic, n_tokens, probability and sampled.
 
+    Texts are read once: cells and tokens are written with the columns asked for.
     Columns of docs with these names are replaced. Null sources and languages
     fall under the rest; texts without words weigh nothing, so they take no part
     in raking and have the probability of their cell (0 where the cell has no
@@ -127,12 +128,13 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     """
     targets = TARGETS if targets is None else targets
     own = [c for c in docs.columns if c.lower() not in ("topic", "n_tokens", "probability", "sampled", "g_source", "g_lang", "g_topic", "p", "n", "w")]
-    w = weighted(docs.select(*own), targets)
+    kept = own if columns is None else [c for c in own if c in columns]
+    w = written(weighted(docs.select(*own), targets).select(*dict.fromkeys([*kept, "doc_id"]), "g_source", "g_lang", "g_topic", "n_tokens"), "mixing-documents")
     # As many rows as the targets have combinations at most: one partition, so that the marginals need no shuffle.
     cells = checkpointed(w.groupBy("g_source", "g_lang", "g_topic").agg(F.sum("n_tokens").alias("n")).filter("n > 0").coalesce(1)).coalesce(1)
     chosen = checkpointed(probabilities(raked(cells, targets, sweeps), budget).select("g_source", "g_lang", "g_topic", "p"))
     return (
         w.join(F.broadcast(chosen), ["g_source", "g_lang", "g_topic"], "left")
-        .select(*own, F.col("g_topic").alias("topic"), "n_tokens", F.coalesce("p", F.lit(0.0)).alias("probability"))
-        .withColumn("sampled", draw(F.col("doc_id")) < F.col("probability"))
+        .withColumn("probability", F.coalesce("p", F.lit(0.0)))
+        .select(*kept, F.col("g_topic").alias("topic"), "n_tokens", "probability", (draw(F.col("doc_id")) < F.col("probability")).alias("sampled"))
     )

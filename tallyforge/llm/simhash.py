@@ -31,6 +31,8 @@ FIT_ROWS = 20_000
 LEAF_ROWS = 1_000
 #: Rows at home, and visitors, that one task compares; larger leaves are compared in tiles.
 TILE_ROWS = 16_000
+#: Distances that a task holds at once.
+PAIRS_AT_ONCE = 1 << 18
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -125,7 +127,7 @@ def linked(home: np.ndarray, visitors: np.ndarray, home_node: np.ndarray, visito
     nodes, place = np.unique(np.concatenate([home_node, visitor_node]), return_inverse=True)
     h, q = place[: len(home)], place[len(home) :]
     label = np.arange(len(nodes))
-    step = max(1, (4 << 20) // max(1, len(visitors)))
+    step = max(1, PAIRS_AT_ONCE // max(1, len(visitors)))
     for i in range(0, len(home), step):
         near = np.bitwise_count(home[i : i + step, None] ^ visitors[None, :]) <= RADIUS
         a, b = np.nonzero(near)
@@ -182,7 +184,7 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over the edges (u, v), for every node that has an edge.
+    """(node, component): the smallest node reachable over the edges (u, v), for every node with an edge but the smallest of each component.
 
     Alternates large-star and small-star contraction, which halve paths; each
     round is checkpointed. A star's centre gathers its minimum by partial

@@ -30,7 +30,7 @@ from .induced_sort import suffix_order
 LENGTH = 50
 K = 24
 #: Bytes of text that go to one bucket of names, one part of documents, one shard of suffixes.
-BUCKET_BYTES, PART_BYTES, SHARD_BYTES = 16 << 20, 16 << 20, 2 << 20
+BUCKET_BYTES, PART_BYTES, SHARD_BYTES = 8 << 20, 8 << 20, 2 << 20
 CHUNK_BYTES = 3 << 20
 
 _MUL = 0xD6E8FEB86659FD93
@@ -145,6 +145,18 @@ def _first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _with_documents(s: dict[str, np.ndarray], ids: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> dict[str, np.ndarray]:
+    """Spans with the list of their documents, each of which is named once."""
+    docs, place = np.unique(s.pop("doc"), return_inverse=True)
+    return {**s, "place": place.astype(np.uint16 if len(docs) < 65536 else np.uint32), "of_id": ids[docs], "of_key": keys[docs], "of_part": parts[docs]}
+
+
+def _of_documents(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Spans each with its document's id, key and part."""
+    place = s.pop("place")
+    return {**{c: v for c, v in s.items() if not c.startswith("of_")}, "doc_id": s["of_id"][place], "key": s["of_key"][place], "part": s["of_part"][place]}
+
+
 def _sampled(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, data): packed spans of the documents (doc_id, key, part, text). Within a chunk, spans that an earlier document of the chunk has are settled (done)."""
 
@@ -161,29 +173,28 @@ def _sampled(docs: DataFrame, buckets: int) -> DataFrame:
                 chunk = raw[first:i]
                 ends = np.cumsum([len(b) for b in chunk])
                 s = spans_of(np.frombuffer(b"".join(chunk), np.uint8), (ends - [len(b) for b in chunk]).tolist(), ends.tolist())
-                doc = s.pop("doc")
-                s |= {"doc_id": ids[first:i][doc], "key": keys[first:i][doc], "part": parts[first:i][doc]}
-                order, new = _first_of([s["name"], s["whole"].astype(np.int64), s["doc_id"]])
-                same, whole_new = order, new.copy()
-                nm, wh = s["name"][same], s["whole"][same]
-                whole_new[1:] = (nm[1:] != nm[:-1]) | (wh[1:] != wh[:-1])
-                lead = s["doc_id"][same][np.maximum.accumulate(np.where(whole_new, np.arange(len(same)), 0))] if len(same) else np.zeros(0, np.int64)
-                done = np.zeros(len(same), np.uint8)
-                done[same] = lead < s["doc_id"][same]
+                own, chunk_keys = ids[first:i], keys[first:i]
+                order, _ = _first_of([s["name"], s["whole"].astype(np.int64), own[s["doc"]]])
+                name, whole, of = s["name"][order], s["whole"][order], own[s["doc"]][order]
+                new = np.ones(len(order), bool)
+                new[1:] = (name[1:] != name[:-1]) | (whole[1:] != whole[:-1])
+                done = np.zeros(len(order), np.uint8)
+                done[order] = of[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] < of
                 s["done"] = done
                 # Settled spans need no name; they travel by their document, which spreads them evenly.
-                bucket = np.where(done == 1, (s["key"].view(np.uint64) >> np.uint64(8)), s["name"] >> np.uint64(20)) % np.uint64(buckets)
+                bucket = np.where(done == 1, chunk_keys.view(np.uint64)[s["doc"]] >> np.uint64(8), s["name"] >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 groups = np.split(order, cuts) if len(order) else []
-                yield pd.DataFrame({"bucket": [int(bucket[g[0]]) for g in groups], "data": [packed({c: v[g] for c, v in s.items()}) for g in groups]})
+                rows = [(int(bucket[g[0]]), packed(_with_documents({c: v[g] for c, v in s.items()}, own, chunk_keys, parts[first:i]))) for g in groups]
+                yield pd.DataFrame(rows, columns=["bucket", "data"])
 
     return docs.mapInPandas(sample, "bucket long, data binary")
 
 
 def _settled(x: pd.DataFrame) -> pd.DataFrame:
     """One bucket's spans: those that an earlier document has as a whole are settled; those whose name comes with other surroundings are left open."""
-    s = stacked([unpacked(d) for d in x["data"]])
+    s = stacked([_of_documents(unpacked(d)) for d in x["data"]])
     ready = s["done"] == 1
     passed = {c: v[ready] for c, v in s.items()}
     s = {c: v[~ready] for c, v in s.items()}
@@ -205,7 +216,7 @@ def _settled(x: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(s["part"], kind="stable")
     groups = np.split(order, np.flatnonzero(np.diff(s["part"][order])) + 1) if len(order) else []
     keep = ("doc_id", "key", "lo", "n", "p", "done")
-    return pd.DataFrame({"part": [int(s["part"][g[0]]) for g in groups], "data": [packed({c: s[c][g] for c in keep}) for g in groups]})
+    return pd.DataFrame([(int(s["part"][g[0]]), packed({c: s[c][g] for c in keep})) for g in groups], columns=["part", "data"])
 
 
 def _runs(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +366,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select("doc_id", key.alias("key"), F.pmod(F.xxhash64("doc_id", key), F.lit(parts)).alias("part"), "text")
     known = keyed.filter("doc_id is not null")
-    spans = _sampled(known, buckets).groupBy("bucket").applyInPandas(_settled, "part long, data binary")
+    spans = written(_sampled(known, buckets).groupBy("bucket").applyInPandas(_settled, "part long, data binary"), "suffix-spans")
     first = written(known.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(_applied, _OPEN), "suffix-parts")
     opened = first.filter("text is not null")
     # Open spans hold about LENGTH + 14 bytes each, and 10 packed.
@@ -364,9 +375,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     def sorted_shard(x: pd.DataFrame) -> pd.DataFrame:
         found = recurring(stacked([unpacked(d) for d in x["data"]]))
         order, new = _first_of([found["doc_id"], found["key"]])
-        starts = np.flatnonzero(new)
-        rows = [order[a:b] for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
-        return pd.DataFrame({"doc_id": [int(found["doc_id"][r[0]]) for r in rows], "key": [int(found["key"][r[0]]) for r in rows], "data": [packed({c: found[c][r] for c in ("lo", "n")}) for r in rows]})
+        own = np.split(order, np.flatnonzero(new)[1:]) if len(order) else []
+        rows = [(int(found["doc_id"][r[0]]), int(found["key"][r[0]]), packed({c: found[c][r] for c in ("lo", "n")})) for r in own]
+        return pd.DataFrame(rows, columns=["doc_id", "key", "data"])
 
     induced = _segments(opened, shards).groupBy("shard").applyInPandas(sorted_shard, "doc_id long, key long, data binary")
     induced = induced.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)))
