@@ -23,6 +23,8 @@ import numpy as np
 #: Tuples that a queue keeps in memory before it writes them out, and that one step takes.
 IN_MEMORY = 1 << 16
 STEP = 1 << 18
+#: Characters and the separator; UTF-8 has no bytes above 0xF4, so bytes moved up by one stay below.
+SYMBOLS = 256
 _TUPLE = np.dtype([("at", "<i8"), ("lcp", "<i4")])
 
 
@@ -95,19 +97,50 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nda
     return out
 
 
+def _first_zero(chunk: np.ndarray, width: int) -> np.ndarray:
+    """Where the first zero stands among the leading width bytes of each number; width where there is none."""
+    out = np.full(len(chunk), width, np.int32)
+    filled = chunk | np.uint64((1 << (64 - 8 * width)) - 1)
+    has = np.flatnonzero((filled - np.uint64(0x0101010101010101)) & ~filled & np.uint64(0x8080808080808080))
+    if len(has):
+        out[has] = (chunk[has].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width] == 0).argmax(axis=1)
+    return out
+
+
 def _seeds(text: np.ndarray, star: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """S* suffixes in order of their first depth characters, and the common prefixes with the one before."""
-    padded = np.concatenate([text.astype(np.uint16), np.zeros(depth + 4, np.uint16)]).astype(np.uint64)
-    keys = []
-    for k in range(0, depth, 7):  # 7 characters of 9 bits a number
-        word = np.zeros(len(star), np.uint64)
-        for j in range(7):
-            word = word << np.uint64(9) | padded[np.minimum(star + k + j, len(padded) - 1)]
-        keys.append(word)
-    order = star[np.lexsort(keys[::-1])]
-    lcp = np.zeros(len(order), np.int32)
-    if len(order) > 1:
-        lcp[1:] = common(text, order[:-1], order[1:], depth)
+    """S* suffixes in order of their first depth characters, and the common prefixes with the one before.
+
+    Some characters at a time: each round sorts those that are still equal to a
+    neighbour by (group, next characters), and settles the common prefixes of
+    those that come apart, reach a separator or reach the depth.
+    """
+    padded = np.concatenate([text.astype(np.uint8), np.zeros(depth + 8, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    order, lcp = star.copy(), np.zeros(len(star), np.int32)
+    at, group, done = np.arange(len(star)), np.zeros(len(star), np.uint64), 0
+    while done < depth and len(at):
+        # The group and as many characters as fit beside it in one number.
+        width = min((64 - int(group[-1]).bit_length()) // 8, depth - done, 8)
+        own = order[at]
+        key = words[own + done].astype(np.uint64) >> np.uint64(64 - 8 * width)
+        if width < 8:
+            key |= group << np.uint64(8 * width)
+        by_key = np.argsort(key)
+        key, order[at] = key[by_key], own[by_key]
+        chunk = key << np.uint64(64 - 8 * width)
+        zero = _first_zero(chunk, width)
+        same, apart = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        apart[1:] = ~same[1:] & (group[1:] == group[:-1])
+        differ = chunk[apart] ^ chunk[np.flatnonzero(apart) - 1]
+        equal = sum((differ >> np.uint64(64 - 8 * k) == 0).astype(np.int32) for k in range(1, width + 1))
+        lcp[at[apart]] = done + np.minimum(equal, zero[apart])
+        lcp[at[same]] = done + zero[same]
+        done += width
+        going_on = same.copy()
+        going_on[:-1] |= same[1:]
+        going_on &= zero == width
+        at, group = at[going_on], (np.cumsum(~same[going_on]) - 1).astype(np.uint64)
     return order, lcp
 
 
@@ -151,7 +184,7 @@ class _Induction:
 def suffix_order(text: np.ndarray, depth: int, step: int = STEP, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of (positions, common prefixes with the suffix before), in suffix order.
 
-    text: characters from 1 to 256, and 0 for separators, which sort before them
+    text: characters from 1 to 255, and 0 for separators, which sort before them
     and end every common prefix. The order counts the first depth characters;
     suffixes equal so far come in any order. Common prefixes stop at depth. The
     last character must be a separator.
@@ -161,15 +194,17 @@ def suffix_order(text: np.ndarray, depth: int, step: int = STEP, in_memory: int
         return
     if text[-1] != 0:
         raise ValueError("the text must end with a separator")
-    text = text.astype(np.int32)
+    if text.max() >= SYMBOLS:
+        raise ValueError(f"characters must be below {SYMBOLS}")
+    text = text.astype(np.int16)
     s_type = types(text)
     star = np.flatnonzero(s_type & np.concatenate(([False], ~s_type[:-1])))
     seeds, seed_lcp = _seeds(text, star, depth)
-    first = np.searchsorted(text[seeds], np.arange(258))
+    first = np.searchsorted(text[seeds], np.arange(SYMBOLS + 1))
     with tempfile.TemporaryDirectory(prefix="induced-") as folder:
-        l_queues = [Queue(folder, f"l{c}", in_memory) for c in range(257)]
+        l_queues = [Queue(folder, f"l{c}", in_memory) for c in range(SYMBOLS)]
         induce = _Induction(text, ~s_type, l_queues, depth)
-        for c in range(257):
+        for c in range(SYMBOLS):
             for rows in l_queues[c].steps(step):
                 lcp = rows["lcp"].copy()
                 induce.take(rows["at"], lcp)
@@ -183,10 +218,10 @@ def suffix_order(text: np.ndarray, depth: int, step: int = STEP, in_memory: int
                         lcp[0] = common(text, last, seeds[i : i + 1], depth)[0]
                 induce.take(seeds[i : min(b, i + step)], lcp)
         # From the greatest down: a queue's common prefix is with the tuple before, which is the next larger suffix.
-        s_queues = [Queue(folder, f"s{c}", in_memory) for c in range(257)]
+        s_queues = [Queue(folder, f"s{c}", in_memory) for c in range(SYMBOLS)]
         induce = _Induction(text, s_type, s_queues, depth)
         s_queues[0].push(np.array([n - 1]), np.array([0], np.int32))  # the last separator has no right neighbour to hand it on
-        for c in range(256, -1, -1):
+        for c in range(SYMBOLS - 1, -1, -1):
             for rows in s_queues[c].steps(step):
                 induce.take(rows["at"], rows["lcp"].copy())
             queue = l_queues[c]
@@ -201,7 +236,7 @@ def suffix_order(text: np.ndarray, depth: int, step: int = STEP, in_memory: int
                 after = queue.read(end, 1)["lcp"] if end < queue.n else np.array([joint], np.int32)
                 induce.take(rows["at"], np.concatenate((after, rows["lcp"][:-1])).astype(np.int32))
                 end = start
-        for c in range(257):
+        for c in range(SYMBOLS):
             lead = 0
             for rows in l_queues[c].steps(step):
                 yield rows["at"], rows["lcp"]

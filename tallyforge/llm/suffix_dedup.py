@@ -312,10 +312,10 @@ def recurring(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """
     size = s["n"] - 1 + LENGTH
     starts = np.cumsum(size + 1) - size - 1
-    text = np.zeros(int((size + 1).sum()), np.int32)
+    text = np.zeros(int((size + 1).sum()), np.int16)
     inside = np.ones(len(text), bool)
     inside[starts + size] = False
-    text[inside] = s["bytes"].astype(np.int32) + 1
+    text[inside] = s["bytes"].astype(np.int16) + 1
     owner = np.repeat(np.arange(len(size)), size + 1)
     hit = np.zeros(len(text), bool)
 
