@@ -18,7 +18,6 @@ from .common import checkpointed, text_or_empty, written
 
 # The white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 GOOD_AT_LEAST = 0.97
@@ -41,28 +40,33 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     base = base.select(
         "doc_id", "t",
         F.filter(F.split(t, f"{SPACE}+", -1), lambda w: w != "").alias("words"),
-        F.filter(F.split(t, "\n", -1), lambda x: F.trim(F.translate(x, SPACES[1:], " " * 5)) != "").alias("lines"),
+        F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    n = F.size("words")
-    starts = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))
-    windows = F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     base = base.select(
-        "doc_id", "t", "lines", n.cast("long").alias("n_words"),
-        windows.alias("windows"),
+        "doc_id", "t", "lines",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size(F.array_distinct("lines")).alias("n_lines_distinct"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("windows"),
     )
+    # Each word is hashed once; hashes of 2, 4 and 8 words come from pairs of the shorter ones.
+    kept = [c for c in base.columns if c != "windows"]
+    for width in (1, 2, 4):
+        base = base.select(*kept, F.zip_with("windows", F.slice("windows", F.lit(width + 1), F.size("windows")), lambda a, b: F.xxhash64(a, b)).alias("windows"))
+    whole = F.when(F.col("n_words") >= WINDOW, F.slice("windows", F.lit(1), F.size("windows") - (WINDOW - 1))).otherwise(F.array().cast("array<bigint>"))
+    base = base.select(*kept, whole.alias("windows"))
     # Only texts in which some window recurs go through the sort below.
     recurs = F.size(F.array_distinct("windows")) < F.size("windows")
     return base.select(
         "doc_id",
         "n_words",
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "word_chars",
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.col("n_lines_distinct")).cast("long").alias("n_dup_lines"),
         F.when(recurs, _repeat_words(F.col("windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
-        F.length(F.regexp_replace(t, "[^\\p{L}]+", "")).cast("long").alias("n_letters"),
+        F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        (F.length(t) - F.length(F.regexp_replace(t, "\\p{L}+", ""))).cast("long").alias("n_letters"),
         F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")).cast("long").alias("n_bare"),
         F.regexp_count(t, F.lit(r"[.!?]['\")\]]*(?:[\x20\x09-\x0D]|$)")).cast("long").alias("n_ends"),
     )
