@@ -88,10 +88,10 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.keep_first(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *order), ["l_orderkey", "l_returnflag"], order)
 
 
-@query(f"WITH {TX} SELECT row_pos, account_number, CAST(credits AS DOUBLE) AS credits FROM tx ANTI JOIN (SELECT * FROM tx WHERE row_pos % 3 = 0) e USING (txn_date, credits, debits, reported_balance)")
+@query(f"WITH {TX} SELECT row_pos, account_number, CAST(credits AS DOUBLE) AS credits FROM tx ANTI JOIN (SELECT * FROM tx WHERE description LIKE '%-F') e USING (txn_date, credits, debits, reported_balance)")
 def anti_join_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir)
-    return ingest.not_loaded(t, t.filter("row_pos % 3 = 0")).select("row_pos", "account_number", F.col("credits").cast("double").alias("credits"))
+    return ingest.not_loaded(t, t.filter("description LIKE '%-F'")).select("row_pos", "account_number", F.col("credits").cast("double").alias("credits"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_partkey, CASE WHEN l_linenumber = 7 THEN 'B/F' ELSE l_returnflag END AS d FROM lineitem)
@@ -435,10 +435,10 @@ def totals_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("head")).agg(F.sum(into).cast("double").alias("collected"), F.sum(out).cast("double").alias("cancelled"), (F.sum(into) - F.sum(out)).cast("double").alias("net"))
 
 
-@query("SELECT event_id, coalesce(CAST(ts AS DATE) < (SELECT max(CAST(b.ts AS DATE)) FROM events b WHERE b.user_id = e.user_id AND b.event_id % 4 <> 0), false) AS is_late FROM events e WHERE event_id % 4 = 0")
+@query("SELECT event_id, coalesce(CAST(ts AS DATE) < (SELECT max(CAST(b.ts AS DATE)) FROM events b WHERE b.user_id = e.user_id AND b.event_type <> 'purchase'), false) AS is_late FROM events e WHERE event_type = 'purchase'")
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("date").alias("txn_date"))
-    return balance.late_rows(e.filter("event_id % 4 = 0"), e.filter("event_id % 4 <> 0"), ["user_id"]).select("event_id", "is_late")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("date").alias("txn_date"))
+    return balance.late_rows(e.filter("event_type = 'purchase'"), e.filter("event_type <> 'purchase'"), ["user_id"]).select("event_id", "is_late")
 
 
 # Descriptions of several layouts, made from orders.
@@ -507,7 +507,7 @@ def _ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as the bank has them, and a ledger in which some are missing, some have another text and some another day."""
     a = transactions(spark, sf_dir).withColumn("account_number", (F.col("account_number").cast("long") % 1000).cast("string"))
     k = F.col("row_pos") % 10
-    m = a.filter(k != 9).withColumn("description", F.when(k == 1, F.concat("description", F.lit(" edited"))).otherwise(F.col("description"))).withColumn("txn_date", F.when(k == 2, F.date_add("txn_date", 2)).when(k == 3, F.date_add("txn_date", 9)).otherwise(F.col("txn_date")))
+    m = a.filter("description <> '5-LOW-P'").withColumn("description", F.when(k == 1, F.concat("description", F.lit(" edited"))).otherwise(F.col("description"))).withColumn("txn_date", F.when(k == 2, F.date_add("txn_date", 2)).when(k == 3, F.date_add("txn_date", 9)).otherwise(F.col("txn_date")))
     return a, m
 
 
@@ -519,7 +519,7 @@ def greedy_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chain_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = balance.running_balance(transactions(spark, sf_dir), ["account_number"], ["txn_date", "row_pos"])
-    return reconcile.placed(b.filter("row_pos % 7 = 0"), b.filter("row_pos % 7 <> 0"))
+    return reconcile.placed(b.filter("description LIKE '%-P'"), b.filter("description NOT LIKE '%-P'"))
 
 
 @query()
@@ -528,12 +528,12 @@ def fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return master.merged_names(p)
 
 
-@query(f"""WITH {TX}, l AS (SELECT account_number, max(txn_date) AS last_day FROM tx WHERE row_pos % 7 <> 0 GROUP BY 1), n AS (SELECT *, min(txn_date) OVER (PARTITION BY account_number) AS oldest FROM tx WHERE row_pos % 7 = 0)
+@query(f"""WITH {TX}, l AS (SELECT account_number, max(txn_date) AS last_day FROM tx WHERE description NOT LIKE '%-P' GROUP BY 1), n AS (SELECT *, min(txn_date) OVER (PARTITION BY account_number) AS oldest FROM tx WHERE description LIKE '%-P')
 SELECT row_pos, CASE WHEN CAST(account_number AS BIGINT) % 2 = 0 THEN CASE WHEN last_day IS NULL OR txn_date >= last_day THEN 'append' ELSE 'review' END WHEN last_day IS NULL OR oldest >= last_day THEN 'top' ELSE 'chain' END AS place FROM n LEFT JOIN l USING (account_number)""")
 def placement_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir)
     way = t.select("account_number").distinct().withColumn("is_ascending", F.col("account_number").cast("long") % 2 == 0)
-    return reconcile.placement_plan(t.filter("row_pos % 7 = 0"), t.filter("row_pos % 7 <> 0"), way).select("row_pos", "place")
+    return reconcile.placement_plan(t.filter("description LIKE '%-P'"), t.filter("description NOT LIKE '%-P'"), way).select("row_pos", "place")
 
 
 @query("SELECT file, count(*) AS n_rows, min(row_pos) AS first_pos, max(row_pos) AS last_pos FROM (SELECT o_custkey % 100 AS file, o_orderkey AS row_pos FROM orders) GROUP BY file")

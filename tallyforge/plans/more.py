@@ -63,11 +63,11 @@ def account_by_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT page_id, upper(trim(seg)) AS part, pos FROM (SELECT page_id, unnest(regexp_split_to_array(url, '[-/]')) AS seg, generate_subscripts(regexp_split_to_array(url, '[-/]'), 1) AS pos FROM pages)),
-k AS (SELECT DISTINCT upper(regexp_extract(url, '//([^/]+)', 1)) AS host FROM pages WHERE page_id % 2 = 0)
+k AS (SELECT DISTINCT upper(regexp_extract(url, '//([^/]+)', 1)) AS host FROM pages WHERE url LIKE 'https:%')
 SELECT page_id, first.host FROM pages LEFT JOIN (SELECT page_id, arg_min(host, pos) AS host FROM s JOIN k ON host = part WHERE length(part) >= 3 GROUP BY page_id) first USING (page_id)""")
 def known_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    dim = p.filter("page_id % 2 = 0").select(F.upper(F.regexp_extract("url", "//([^/]+)", 1)).alias("host")).distinct()
+    dim = p.filter("url LIKE 'https:%'").select(F.upper(F.regexp_extract("url", "//([^/]+)", 1)).alias("host")).distinct()
     return lookups.first_known_segment(p, "url", dim.withColumn("name", F.col("host")), "name", ["host"], ["page_id"]).select("page_id", "host")
 
 
@@ -77,10 +77,10 @@ def unclassified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.unclassified(transactions(spark, sf_dir).withColumns({"head": F.lit("x"), "business_unit": F.lit("x"), "type": done, "tcp_head": F.lit("x"), "narration": F.lit("x")})).select("row_pos")
 
 
-@query("SELECT o_orderkey AS row_pos, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS head FROM orders")
+@query("SELECT o_orderkey AS row_pos, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus ELSE o_orderpriority END AS head FROM orders")
 def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_pos"), F.col("o_orderpriority").alias("head"))
-    new = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0 OR o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("row_pos"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise(F.lit("")).alias("head"))
+    new = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("row_pos"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")).otherwise(F.lit("")).alias("head"))
     return tables.merged_update(old, new, ["row_pos"], ["head"])
 
 
