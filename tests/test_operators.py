@@ -87,9 +87,10 @@ def test_stage_rules(spark):
 
 
 def test_master(spark):
-    names = spark.createDataFrame([("ALPHA PRIVATE LIMITED", "V", 3, 0), ("ALPHA PVT LTD", "V", 1, 1), ("ALPHABET SOUP KITCHEN", "C", 1, 2), ("RAMESH KUMAR", "C", 2, 3), ("RAMESH KUMER", "C", 1, 4), ("ABC", "V", 1, 5), ("ABD", "V", 1, 6)], "name string, head string, n int, first_pos int")
+    names = spark.createDataFrame([("ALPHA PRIVATE LIMITED", "V", 3, 0), ("ALPHA PVT LTD", "V", 1, 1), ("ALPHABET SOUP KITCHEN", "C", 1, 2), ("RAMESHWAR KUMAR SINGH", "C", 2, 3), ("RAMESHWAR KUMER SINGH", "C", 1, 4), ("ABC", "V", 1, 5), ("ABD", "V", 1, 6), ("RAMESH KUMAR", "C", 1, 7), ("RAMESH KUMER", "C", 1, 8)], "name string, head string, n int, first_pos int")
     canonical = {r["name"]: r["canonical"] for r in master.merged_names(names, allow_prefix=False).collect()}
-    assert canonical["ALPHA PVT LTD"] == "ALPHA PRIVATE LIMITED" and canonical["RAMESH KUMER"] == canonical["RAMESH KUMAR"]
+    assert canonical["ALPHA PVT LTD"] == "ALPHA PRIVATE LIMITED" and canonical["RAMESHWAR KUMER SINGH"] == canonical["RAMESHWAR KUMAR SINGH"]
+    assert canonical["RAMESH KUMER"] == "RAMESH KUMER" and canonical["RAMESH KUMAR"] == "RAMESH KUMAR"  # a ratio of 0.909
     assert canonical["ABC"] == "ABC" and canonical["ABD"] == "ABD" and canonical["ALPHABET SOUP KITCHEN"] == "ALPHABET SOUP KITCHEN"
     left, right = names.select("name").limit(1), spark.createDataFrame([("ALPHA PVT LTD",), ("ALPHA LTD",)], "name string")
     assert master.fuzzy_one_to_one(left, right).count() == 1
