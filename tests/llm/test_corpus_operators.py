@@ -10,7 +10,7 @@ import xxhash
 
 import corpus_pipeline
 from tallyforge.llm import html_extraction, induced_sort, mixing, oracles, queries, simhash, suffix_dedup, warc_fixity
-from tallyforge.llm.common import table
+from tallyforge.llm.common import checkpointed, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,7 +52,7 @@ def test_copies_of_a_page_are_no_template(spark):
 
 def test_mixing_meets_its_marginals(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    cells = mixing.weighted(docs, mixing.TARGETS).groupBy("g_source", "g_lang", "g_topic").agg(mixing.F.sum("n_tokens").alias("n")).filter("n > 0").coalesce(1)
+    cells = checkpointed(mixing.weighted(docs, mixing.TARGETS).groupBy("g_source", "g_lang", "g_topic").agg(mixing.F.sum("n_tokens").alias("n")).filter("n > 0").coalesce(1))
     w = mixing.raked(cells, mixing.TARGETS, 40).toPandas()
     for d in mixing.DIMENSIONS:
         have = w.groupby(f"g_{d}")["w"].sum()
