@@ -1,10 +1,11 @@
 """Main text of web pages, with site templates removed by counting element subtrees.
 
 Each element's subtree is hashed inside tasks; Spark counts on how many
-distinct pages of a host each hash stands, and the subtrees that recur on a large
-share of a host's pages are its template and are deleted. Elements whose tag,
-role or class says that they are not the article go as well, for hosts with
-too few pages to count.
+distinct pages of a host each hash stands (within the article: in how many distinct
+articles), and the subtrees that recur on a large share of them, or on very many, are
+the host's template and are deleted from the whole tree. In what is left, on every
+host, the article is chosen by its tag, and elements whose tag, role or class
+says that they are no part of it go as well.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import written
 
 #: A subtree is a template where it stands on at least this share of a host's distinct pages, and on at least so many.
 SHARE, LEAST_PAGES = 0.3, 5
+#: A subtree of at least so many words is a template too where it stands on so many distinct pages, whatever their share of a large host.
+MANY_PAGES, LONG_WORDS = 100, 5
 #: Up to so many template hashes go to the tasks as one broadcast; beyond that they are joined to the pages.
 BROADCAST_ROWS = 200_000
 
@@ -45,10 +48,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parts", "hash", "label")
+    __slots__ = ("tag", "noise", "parts", "hash", "label", "words")
 
     def __init__(self, tag: str, label: str, noise: bool):
-        self.tag, self.label, self.noise, self.parts, self.hash = tag, label, noise, [], 0
+        self.tag, self.label, self.noise, self.parts, self.hash, self.words = tag, label, noise, [], 0, 0
 
 
 def _attributes(raw: str) -> tuple[str, bool]:
@@ -115,7 +118,16 @@ def _walk_hash(node: Node) -> None:
         order.append(x)
         todo += [p for p in x.parts if isinstance(p, Node)]
     for x in reversed(order):
-        x.hash = xxhash.xxh64_intdigest("\x1f".join([x.tag + x.label, *(f"{p.hash:x}" if isinstance(p, Node) else " ".join(p.split()) for p in x.parts)]).encode("utf-8", "surrogatepass"))
+        seen = [x.tag + x.label]
+        for p in x.parts:
+            if isinstance(p, Node):
+                seen.append(f"{p.hash:x}")
+                x.words += p.words
+            else:
+                words = p.split()
+                seen.append(" ".join(words))
+                x.words += len(words)
+        x.hash = xxhash.xxh64_intdigest("\x1f".join(seen).encode("utf-8", "surrogatepass"))
 
 
 def _content_root(root: Node) -> Node | None:
@@ -133,30 +145,70 @@ def _content_root(root: Node) -> Node | None:
     return None
 
 
-def _signed(h: int) -> int:
+#: Pseudo-subtrees that stand on every page, and in every article: their counts are those of a host's pages and articles.
+PAGE, ARTICLE = 0, 1
+
+
+def _key(x: Node, inside: bool) -> int | None:
+    """What a subtree is counted under, as a signed number: its hash, with 1 for a place in the article and 2 for LONG_WORDS in the lowest bits.
+
+    Null for what is never template: the page itself, and short phrases and paragraphs of an article.
+    """
+    long = x.words >= LONG_WORDS
+    if x.tag in ("html", "body", "head") or inside and x.tag in FLOW and not long:
+        return None
+    h = x.hash & ~3 | inside | long << 1
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtree_hashes(html: str | None) -> list[int]:
-    """Hashes of the subtrees that can be template: all elements, but within an article only containers, not the text's own paragraphs and phrases."""
+def subtree_hashes(html: str | None) -> tuple[int | None, list[int], list[int]]:
+    """The article's hash (null without one), and the keys of the subtrees outside and inside it that can be template."""
     root = parsed(html or "")
     _walk_hash(root)
-    article, out = _content_root(root), set()
+    article = _content_root(root)
+    out: tuple[set[int], set[int]] = (set(), set())
     todo = [(p, False) for p in root.parts if isinstance(p, Node)]
     while todo:
         x, inside = todo.pop()
+        if x is not article and (key := _key(x, inside)) is not None:
+            out[inside].add(key)
         inside = inside or x is article
-        if not (inside and x.tag in FLOW) and x.tag not in ("html", "body", "head"):
-            out.add(_signed(x.hash))
         todo += [(p, inside) for p in x.parts if isinstance(p, Node)]
-    return sorted(out)
+    return None if article is None else article.hash - (1 << 64) if article.hash >> 63 else article.hash, sorted(out[0]), sorted(out[1])
+
+
+def _pruned(root: Node, template: frozenset[int] | set[int]) -> None:
+    """Empties the subtrees that are template. Elements stay as boundaries of the text beside them."""
+    _walk_hash(root)
+    article = _content_root(root)
+    holds, todo = set(), [(root, ())]
+    if article is not None:
+        # An element that holds the article is no template as a whole.
+        while todo:
+            x, above = todo.pop()
+            if x is article:
+                while above:
+                    holds.add(id(above[0]))
+                    above = above[1]
+                break
+            todo += [(p, (x, above)) for p in x.parts if isinstance(p, Node)]
+    todo = [(root, False)]
+    while todo:
+        x, inside = todo.pop()
+        inside = inside or x is article
+        for p in x.parts:
+            if isinstance(p, Node):
+                if p is not article and id(p) not in holds and _key(p, inside) in template:
+                    p.parts, p.tag = [], "div" if p.tag in BLOCK else "span"
+                else:
+                    todo.append((p, inside))
 
 
 def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the article joined by line ends, each with its white space squeezed and its references decoded."""
     root = parsed(html or "")
     if template:
-        _walk_hash(root)
+        _pruned(root, template)
     article = _content_root(root)
     blocks: list[str] = []
     run: list[str] = []
@@ -167,9 +219,9 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
         if text:
             blocks.append(text)
 
-    todo: list[tuple[Node | str | None, bool]] = [(article or root, article is not None)]
+    todo: list[Node | str | None] = [article or root]
     while todo:
-        x, inside = todo.pop()
+        x = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
@@ -177,16 +229,13 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
         elif x.tag in DROP or x.tag == "title" or x.noise and x is not article:
             if x.tag in BLOCK:
                 flush()
-        elif template and _signed(x.hash) in template and not (inside and x.tag in FLOW) and x.tag not in ("html", "body"):
-            if x.tag in BLOCK:
-                flush()
         elif x.tag == "br":
             run.append(" ")
         else:
             if x.tag in BLOCK:
                 flush()
-                todo.append((None, inside))
-            todo += [(p, inside) for p in reversed(x.parts)]
+                todo.append(None)
+            todo += reversed(x.parts)
     flush()
     return "\n".join(blocks)
 
@@ -196,20 +245,27 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, subtree): the hashes that recur on many distinct pages of a host. Copies of a page count once. Pages without a host have no template."""
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, many: int = MANY_PAGES) -> DataFrame:
+    """(host, subtree): the keys that recur on many distinct pages of a host, or in many distinct articles. Copies count once. Pages without a host have no template."""
 
-    @F.pandas_udf("array<long>")
-    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("article long, outside array<long>, inside array<long>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for htmls in batches:
-            yield htmls.map(lambda h: subtree_hashes(h if isinstance(h, str) else None))
+            rows = [subtree_hashes(h if isinstance(h, str) else None) for h in htmls]
+            yield pd.DataFrame({"article": pd.Series([r[0] for r in rows], dtype="Int64"), "outside": [[PAGE, *r[1]] for r in rows], "inside": [[] if r[0] is None else [ARTICLE, *r[2]] for r in rows]})
 
     page = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").filter("host <> ''")
-    per_host = page.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    stands = page.select("host", "page", F.explode(hashes("html")).alias("subtree")).distinct()
+    found = page.select("host", "page", hashes("html").alias("_h"))
+    on = lambda keys, where: F.transform(keys, lambda k: F.struct(where.alias("at"), k.alias("subtree")))
+    stands = found.select("host", F.explode(F.concat(on(F.col("_h.outside"), F.col("page")), on(F.col("_h.inside"), F.col("_h.article")))).alias("s")).select("host", "s.*").distinct()
     # Counted in two steps: partial counts in each task, then one row a task and key.
     counted = stands.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return counted.join(per_host, "host").filter(F.col("n") >= share * F.col("n_pages")).select("host", "subtree")
+    counted = written(counted, "site-subtrees")
+    totals = counted.filter(F.col("subtree").isin(PAGE, ARTICLE)).select("host", F.col("subtree").alias("kind"), F.col("n").alias("of"))
+    keyed = counted.filter(~F.col("subtree").isin(PAGE, ARTICLE)).withColumn("kind", F.col("subtree").bitwiseAND(F.lit(1)))
+    cut = share * F.col("of")
+    cut = F.when(F.col("subtree").bitwiseAND(F.lit(2)) != 0, F.least(cut, F.lit(float(many)))).otherwise(cut)
+    return keyed.join(totals, ["host", "kind"]).filter(F.col("n") >= cut).select("host", "subtree")
 
 
 def extracted(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

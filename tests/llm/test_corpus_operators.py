@@ -44,6 +44,21 @@ def test_site_templates(spark):
     assert html_extraction.extracted(pages(spark).limit(0)).count() == 0
 
 
+def test_templates_of_large_hosts_and_in_paragraphs(spark):
+    """A menu on a fifth of a host's pages, and a notice as a paragraph of its articles; an article that many pages repeat stays."""
+    menu = "<div><a href=/a>News of the whole region</a></div>"
+    notice = "<p>Write to us if you have seen anything.</p>"
+    rows = [(i, f"http://big.example/{i}", f"<body>{menu if i % 5 == 0 else ''}<div>Story {i} is told here at length.</div></body>") for i in range(600)]
+    rows += [(1000 + i, f"http://par.example/{i}", f"<body><article><p>Story {i} is told here.</p>{notice}<p>Er.</p></article></body>") for i in range(20)]
+    rows += [(2000 + i, f"http://copy.example/{i}", f"<body><article><p>The one story told here again.</p></article><i>{i}</i></body>") for i in range(150)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extracted(frame).collect()}
+    assert got == {r["page_id"]: r["text"] for r in html_extraction.extracted(frame, broadcast_rows=-1).collect()}
+    assert all(got[i] == f"Story {i} is told here at length." for i in range(600))
+    assert all(got[1000 + i] == f"Story {i} is told here.\nEr." for i in range(20))
+    assert all(got[2000 + i] == "The one story told here again." for i in range(150))
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://h.example/", "<body><div>The whole story</div></body>") for i in range(40)]
     got = html_extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
