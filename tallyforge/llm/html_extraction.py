@@ -36,10 +36,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre b i em strong span a code u small sub sup mark q cite br td th tr dd dt figcaption article main body html".split())
 ENDS_P = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "title"}
 DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banners?|sponsor\w*|promo\w*|sidebars?|side|nav\w*|menus?|breadcrumbs?|footers?|headers?|masthead|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|comments?|commentlist|replies|respond|disqus|related|recommend\w*|widgets?|toolbar|pagination|pager|skip\w*|copyright|disclaimer)(?=$|[\s_-])",
-    re.I,
-)
+_WORD = r"(?:ads?|adverts?|advertis\w*|banners?|sponsor\w*|promo\w*|sidebars?|side|nav(?:s|bars?|igation|menu)?|menus?|breadcrumbs?|footers?|headers?|masthead|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|comments?|commentlist|replies|respond|disqus|related|recommend\w*|widgets?|toolbar|pagination|pager|skip\w*|copyright|disclaimer)"
+#: Whole class names (and ids) made of such words only, and the usual names of a reader's comment.
+_NOISE = re.compile(rf"{_WORD}(?:[_-]+{_WORD})*(?:[_-]+\d+)?|(?:div-|li-)?(?:comment|reply)(?:-(?:\d+|body|content|text|list|area|form))?", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
@@ -48,26 +47,28 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parts", "hash", "label", "words")
+    __slots__ = ("tag", "noise", "named", "parts", "hash", "label", "words")
 
-    def __init__(self, tag: str, label: str, noise: bool):
-        self.tag, self.label, self.noise, self.parts, self.hash, self.words = tag, label, noise, [], 0, 0
+    def __init__(self, tag: str, label: str, noise: bool, named: bool = False):
+        # The page's frame and main element are never dropped for a class or id, nor the frame for anything else.
+        self.named = named and tag not in ("html", "body", "main")
+        self.tag, self.label, self.noise, self.parts, self.hash, self.words = tag, label, (noise and tag not in ("html", "body")) or self.named, [], 0, 0
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """What of the attributes belongs to a subtree's hash, and whether they mark it as no part of the article."""
-    label, noise = "", False
+def _attributes(raw: str) -> tuple[str, bool, bool]:
+    """What of the attributes belongs to a subtree's hash, and whether they mark it as no part of the article: by role or as hidden, and by class or id."""
+    label, noise, named = "", False, False
     if raw and ("=" in raw or "hidden" in raw):
         for name, a, b, c in _ATTR.findall(raw):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 label += f" {name}={value}"
-                noise = noise or bool(_NOISE.search(value))
+                named = named or any(_NOISE.fullmatch(v) for v in value.split())
             elif name == "role":
                 noise = noise or value.strip().lower() in DROP_ROLE
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 noise = True
-    return label, noise
+    return label, noise, named
 
 
 def parsed(html: str) -> Node:
@@ -98,8 +99,8 @@ def parsed(html: str) -> Node:
                 del stack[open_p:]
         if tag in ("li", "option", "tr", "td", "th", "dd", "dt") and stack[-1].tag in ({tag, "dd", "dt"} if tag in ("dd", "dt") else {tag}):
             stack.pop()
-        label, noise = _attributes(m[3])
-        node = Node(tag, label, noise)
+        label, noise, named = _attributes(m[3])
+        node = Node(tag, label, noise, named)
         stack[-1].parts.append(node)
         if tag in RAW:
             end = _RAW_END[tag].search(html, at)
@@ -130,18 +131,38 @@ def _walk_hash(node: Node) -> None:
         x.hash = xxhash.xxh64_intdigest("\x1f".join(seen).encode("utf-8", "surrogatepass"))
 
 
+def _visible(start: Node, without: Node | None = None) -> int:
+    """Characters of text, white space aside, that tags, roles and class names leave below start."""
+    n, todo = 0, [start]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            n += sum(map(len, x.split()))
+        elif x is start or not (x is without or x.tag in DROP or x.tag == "title" or x.noise):
+            todo += x.parts
+    return n
+
+
 def _content_root(root: Node) -> Node | None:
-    """The page's only article, or else its only main element; null where there is none or several."""
+    """The page's only article, or else its only main element; null where there is none or several.
+
+    Articles that are noise themselves, such as readers' comments, do not count.
+    A single article within elements that a class word names counts if it has more text
+    than all that is outside such elements: class words drop no element that holds the article.
+    """
     for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.tag == wanted:
-                found.append(x)
-            elif x.tag not in DROP and not x.noise:
-                todo += [p for p in x.parts if isinstance(p, Node)]
-        if len(found) == 1:
-            return found[0]
+        for through in (False, True):
+            found, todo = [], [root]
+            while todo:
+                x = todo.pop()
+                if x.tag == wanted and not x.noise:
+                    found.append(x)
+                elif x.tag not in DROP and (not x.noise or through and x.named and x.tag != wanted):
+                    todo += [p for p in x.parts if isinstance(p, Node)]
+            if len(found) == 1 and (not through or _visible(found[0]) > _visible(root, found[0])):
+                return found[0]
+            if found:
+                break
     return None
 
 

@@ -25,6 +25,18 @@ def test_html_text():
     assert html_extraction.main_text("plain text") == "plain text"
 
 
+def test_class_words_lose_no_article():
+    text = html_extraction.main_text
+    for frame in ('<body class="no-sidebar">{}</body>', '<body class="search">{}</body>', '<html class="nav"><body>{}</body></html>', '<div class="content with-sidebar">{}</div>', '<div class="sticky-header">{}</div>', '<div class="widget">{}</div>', '<main class="related">{}</main>'):
+        for inner in ("<article><p>The story.</p></article>", '<article class="post share-open"><p>The story.</p></article>'):
+            assert text(frame.format(inner) + "<p>x</p>") == "The story.", frame
+    assert text('<body class="no-sidebar"><div class="sticky-header">The story.</div></body>') == "The story."
+    for comment in ('<article class="comment">Mine.</article>', '<article id="div-comment-7" class="comment-body">Mine.</article>'):
+        assert text(f"<div>The story.</div>{comment}") == "The story."
+        assert text(f"<div>By us</div><article>The story.</article><div class=comments>{comment}{comment}</div>") == "The story."
+    assert text("<div>The long story of this page.</div><div class=related><article>Other</article></div>") == "The long story of this page."
+
+
 def pages(spark, n=30):
     notice = "<section><p>We store small files on your device.</p></section>"
     rows = [(i, f"http://Host.example/{i}", f"<html><body>{notice}<article><h1>Story {i}</h1><p>Text of story {i}.</p><p>Er.</p></article><section>Unique {i}</section></body></html>") for i in range(n)]
