@@ -9,6 +9,7 @@ largest that still finds the wanted share of the true ones there.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -28,7 +29,10 @@ KINDS = ("assign", "access", "hex", "model")
 
 #: Candidates for the network: runs of the characters that keys are made of.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+LEAST = 16
 LEFT, BODY, RIGHT = 24, 48, 8
+#: Longer runs are scored in windows of BODY characters, each STEP after the one before, and count with their greatest score.
+STEP = BODY // 2
 WIDTH = LEFT + BODY + RIGHT
 RECALL = 0.95
 
@@ -49,18 +53,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs with a letter and a digit that no base span overlaps."""
+    """Runs with a letter and a digit, or what the base spans leave of them where that has LEAST characters or more."""
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(x < b and a < y for x, y, _ in taken):
-            out.append((a, b))
+        at, end = m.span()
+        pieces = []
+        for x, y, _ in taken:
+            if x < end and at < y:
+                pieces.append((at, x))
+                at = max(at, y)
+        for a, b in (*pieces, (at, end)):
+            s = text[a:b]
+            if b - a >= LEAST and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+                out.append((a, b))
     return out
 
 
+def windows(a: int, b: int) -> list[tuple[int, int]]:
+    """Parts of BODY characters that cover a run, the last one at its end."""
+    return [(x, min(b, x + BODY)) for x in (*range(a, b - BODY, STEP), max(a, b - BODY))]
+
+
 def encoded(text: str, a: int, b: int) -> np.ndarray:
-    """Codes of the characters around and in text[a:b]: LEFT before, the first BODY of it, RIGHT after."""
+    """Codes of the characters around and in text[a:b]: LEFT before, the first BODY of it (windows() has no more), RIGHT after."""
 
     def part(s: str, size: int, at_end: bool) -> np.ndarray:
         raw = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
@@ -157,14 +172,18 @@ def trained(findings: list[tuple[str, int, int, int]] | None = None, recall: flo
     y = np.array([f[3] for f in findings], float)
     if len(y) < 8 or y.min() == y.max():
         return net
-    x = np.stack([encoded(t, a, b) for t, a, b, _ in findings])
+    x = np.stack([encoded(t, *w) for t, a, b, _ in findings for w in windows(a, b)])
+    # A finding's windows stand together; first is where they begin.
+    first = np.cumsum([0, *(len(windows(a, b)) for _, a, b, _ in findings)])
     order = rng.permutation(len(y))
-    held, fit = order[: len(y) // 4], order[len(y) // 4 :]
+    held = order[: len(y) // 4]
+    fit = np.concatenate([np.arange(first[i], first[i + 1]) for i in order[len(y) // 4 :]])
+    labels = np.repeat(y, np.diff(first))
     params = ["embed", "kernel", "bias", "dense", "shift"]
     mean, var = {p: 0.0 for p in params}, {p: 0.0 for p in params}
     for step in range(1, rounds + 1):
         rows = rng.choice(fit, batch)
-        codes, target = x[rows], y[rows]
+        codes, target = x[rows], labels[rows]
         out, e, pooled, at = net._forward(codes)
         d = (1 / (1 + np.exp(-out)) - target) / batch
         grad = {"shift": d.sum(), "dense": pooled.T @ d, "bias": None, "kernel": np.zeros_like(net.kernel), "embed": np.zeros_like(net.embed)}
@@ -180,29 +199,31 @@ def trained(findings: list[tuple[str, int, int, int]] | None = None, recall: flo
             var[p] = 0.99 * var[p] + 0.01 * grad[p] ** 2
             step_size = 0.02 * (mean[p] / (1 - 0.9**step)) / (np.sqrt(var[p] / (1 - 0.99**step)) + 1e-8)
             setattr(net, p, getattr(net, p) - step_size)
-    raw = net.raw(x[held])
+    raw = np.maximum.reduceat(net.raw(x), first[:-1])[held]
     scale, offset = 1.0, 0.0
     for _ in range(200):  # Platt's calibration
         p = 1 / (1 + np.exp(-(scale * raw + offset)))
         scale -= 0.1 * float(((p - y[held]) * raw).mean())
         offset -= 0.1 * float((p - y[held]).mean())
     net.scale, net.offset = scale, offset
-    true = np.sort(net.probability(x[held])[y[held] == 1])
-    # The largest threshold that finds the wanted share, but within the range where the calibration can be trusted.
-    net.threshold = float(np.clip(true[int(np.floor((1 - recall) * len(true)))], 0.5, 0.9)) if len(true) else 2.0
+    true = np.sort(np.maximum.reduceat(net.probability(x), first[:-1])[held][y[held] == 1])
+    # The largest threshold that finds the wanted share, at most 0.9; there is no lower bound, so that the recall holds.
+    net.threshold = float(min(true[int(np.floor((1 - recall) * len(true)))], 0.9)) if len(true) else 2.0
     return net
 
 
 def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]:
     """All spans of each whole text: the base ones and the candidates that the network finds."""
     spans = [base_spans(t) for t in texts]
-    asked = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, spans[i])]
-    for n in range(0, len(asked), 4096):
-        part = asked[n : n + 4096]
-        p = net.probability(np.stack([encoded(texts[i], a, b) for i, a, b in part]))
-        for (i, a, b), q in zip(part, p, strict=True):
-            if q >= net.threshold:
-                spans[i].append((a, b, "model"))
+    runs = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, spans[i])]
+    best = np.zeros(len(runs))
+    asked = ((r, i, x, y) for r, (i, a, b) in enumerate(runs) for x, y in windows(a, b))
+    while part := list(itertools.islice(asked, 4096)):
+        p = net.probability(np.stack([encoded(texts[i], x, y) for _, i, x, y in part]))
+        np.maximum.at(best, [r for r, *_ in part], p)
+    for (i, a, b), q in zip(runs, best, strict=True):
+        if q >= net.threshold:
+            spans[i].append((a, b, "model"))
     return [sorted(s, key=lambda x: (x[0], KINDS.index(x[2]))) for s in spans]
 
 
