@@ -60,15 +60,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number. A null text counts as empty."""
+def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carry, fp): the fingerprint as a signed 64-bit number. A null text counts as empty."""
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp(text).alias("fp"))
+    return docs.select("doc_id", *carry, fp(text).alias("fp"))
 
 
 def _slice(fps: np.ndarray, k: int) -> np.ndarray:
@@ -222,3 +222,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     found = components(links(distinct, distinct.count()))
     classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def groups(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """(doc_id, carry, component) for every row: the smallest fingerprint that is reachable from the row's own, whatever ids stand there, null or repeated."""
+    fps = written(fingerprints(docs, text, carry), "simhash")
+    distinct = checkpointed(fps.select("fp").distinct().select(F.col("fp").alias("node"), "fp"))
+    found = components(links(distinct, distinct.count()))
+    return fps.join(found, fps["fp"] == found["node"], "left").select("doc_id", *carry, F.coalesce("component", "fp").alias("component"))

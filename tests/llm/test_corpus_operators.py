@@ -229,6 +229,22 @@ def test_pipeline_edges(spark, docs, empty):
         assert stage(spark, docs, SF).count() <= docs.count()
 
 
+def test_pipeline_keeps_one_row_a_component(spark, docs):
+    """Repeated rows, an id with two texts, null ids; held against brute-force components of the fingerprints."""
+    a, b, c = (f"{w} is told " * 3 + f"in the words of {w} and of no one else" for w in ("alpha", "bravo", "charlie"))
+    rows = [(1, a), (1, a), (5, c), (5, b), (2, b), (None, a), (None, "only here without an id"), (None, "only here without an id"), (7, "seven words"), (7, "other things altogether here")]
+    more = spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for frame in (more, docs.select(*corpus_pipeline.COLUMNS)):
+        every = [(r["doc_id"], r["text"]) for r in frame.collect()]
+        component = brute_components([(p, p) for p in {brute_print(t) for _, t in every}])
+        kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_stage(spark, frame, SF).collect()]
+        of = lambda t: component[brute_print(t)]  # noqa: E731,B023
+        assert sorted(of(t) for _, t in kept) == sorted({of(t) for _, t in every})
+        for d, t in kept:
+            ids = [x for x, y in every if of(y) == of(t) and x is not None]
+            assert (d, t) in every and d == min(ids, default=None)
+
+
 def test_queries_against_sql(spark):
     import duckdb
 
