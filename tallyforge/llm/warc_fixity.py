@@ -50,13 +50,17 @@ def tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFram
 
 
 def audit(pairs: DataFrame, levels: int = 2, fanout: int = FANOUT) -> DataFrame:
-    """pairs: (file, seq, record_id, record_a, record_b), both replicas of each record. One row a file.
+    """pairs: (file, seq, record_id, record_a, record_b), both replicas of each record. One row a file, of any number of records.
+
+    levels is the least height of the trees; it grows until the largest seq leaves one
+    root a file. Positions are record numbers (seq, from 0), not byte offsets; records that share
+    a position are leaves of their own.
 
     A record that one replica lacks (null) hashes as the empty text. Files whose
     roots agree have no damage; for the others the differing branches are followed
     down to the leaves. Returns file, n_records, n_bytes, root_a, root_b, n_nodes_compared, n_corrupt
     and corrupt_ids (record ids joined by commas in offset order; at most one
-    file's records stand in a row, and a file holds a bounded number).
+    file's records stand in a row).
     """
     hashed = written(
         pairs.select(
@@ -67,6 +71,9 @@ def audit(pairs: DataFrame, levels: int = 2, fanout: int = FANOUT) -> DataFrame:
         ),
         "fixity-leaves",
     )
+    last = hashed.agg(F.max("idx")).first()[0] or 0
+    while fanout**levels <= last:
+        levels += 1
     level = hashed.select("file", "idx", "a", "b", "n_bytes")
     stack = [level]
     for _ in range(levels):
@@ -84,7 +91,7 @@ def audit(pairs: DataFrame, levels: int = 2, fanout: int = FANOUT) -> DataFrame:
         compared = compared.unionByName(kids.groupBy("file").agg(F.count(F.lit(1)).alias("n")))
         differs = kids.filter("a <> b").select("file", "idx")
     bad = (
-        hashed.join(differs, ["file", "idx"], "left_semi")
+        hashed.filter("a <> b").join(differs, ["file", "idx"], "left_semi")
         .groupBy("file")
         .agg(F.count(F.lit(1)).alias("n_corrupt"), F.array_sort(F.collect_list(F.struct("idx", "record_id"))).alias("ids"))
         .select("file", "n_corrupt", F.concat_ws(",", F.transform("ids", lambda x: x["record_id"].cast("string"))).alias("corrupt_ids"))

@@ -153,6 +153,14 @@ def test_fixity(spark):
     assert warc_fixity.audit(spark.createDataFrame(rows, "file long, seq long, record_id long, record_a string, record_b string").limit(0)).count() == 0
 
 
+def test_fixity_of_large_files_and_of_repeated_positions(spark):
+    bad = {3, 700, 4999}
+    rows = [(0, i, i, f"record {i}", "damage" if i in bad else f"record {i}") for i in range(5000)] + [(1, 0, 8, "x", "x"), (1, 0, 9, "x", "y")]
+    got = {r["file"]: r for r in warc_fixity.audit(spark.createDataFrame(rows, "file long, seq long, record_id long, record_a string, record_b string")).collect()}
+    assert len(got) == 2 and got[0]["corrupt_ids"] == "3,700,4999" and got[0]["n_corrupt"] == 3 and got[0]["n_records"] == 5000
+    assert got[1]["corrupt_ids"] == "9" and got[1]["n_corrupt"] == 1
+
+
 def brute_print(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
