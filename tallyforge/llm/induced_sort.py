@@ -181,6 +181,11 @@ class _Induction:
             self.least[c] = np.minimum.reduce(lcp[rows[-1] + 1 :]) if rows[-1] + 1 < len(lcp) else self.depth
 
 
+def scratch_dir() -> str | None:
+    """The scratch folder that Spark gives its Python workers, where its own external sorts spill as well; the system's where there is none (outside of tasks)."""
+    return next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
+
+
 def suffix_order(text: np.ndarray, depth: int, step: int = STEP, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of (positions, common prefixes with the suffix before), in suffix order.
 
@@ -201,7 +206,7 @@ def suffix_order(text: np.ndarray, depth: int, step: int = STEP, in_memory: int
     star = np.flatnonzero(s_type & np.concatenate(([False], ~s_type[:-1])))
     seeds, seed_lcp = _seeds(text, star, depth)
     first = np.searchsorted(text[seeds], np.arange(SYMBOLS + 1))
-    with tempfile.TemporaryDirectory(prefix="induced-") as folder:
+    with tempfile.TemporaryDirectory(prefix="induced-", dir=scratch_dir()) as folder:
         l_queues = [Queue(folder, f"l{c}", in_memory) for c in range(SYMBOLS)]
         induce = _Induction(text, ~s_type, l_queues, depth)
         for c in range(SYMBOLS):

@@ -36,6 +36,38 @@ CHUNK_BYTES = 3 << 20
 _MUL = 0xD6E8FEB86659FD93
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Two further pairs of multiplier and byte table: 64 bits each of a span's whole content.
+_WHOLE = [(m, np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)) for m, seed in ((0xC2B2AE3D27D4EB4F, 31), (0xFF51AFD7ED558CCD, 47))]
+#: Surroundings of one name within a chunk beyond which its spans are left open at once: only one of them travels by the name.
+IN_CHUNK = 8
+#: A key that so many open segments share is hot, and at most so many keys are hot: HOT_KEYS bounds what is broadcast.
+HOT_SEGMENTS, HOT_KEYS, HOT_IN_BATCH = 20_000, 50_000, 16
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_tables(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """m**i and m**-i modulo 2**64 for i up to n; kept for the next chunk."""
+    have = _powers.get(m)
+    if have is None or len(have[0]) <= n:
+        size = max(n + 1, CHUNK_BYTES + (1 << 16))
+        both = []
+        for base in (m, pow(m, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            both.append(np.multiply.accumulate(x))
+        have = _powers[m] = (both[0], both[1])
+    return have
+
+
+def content_hashes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of buffer[a:b] for many a, b: differences of prefix sums, shifted to a common start."""
+    out = []
+    for m, values in _WHOLE:
+        up, down = _power_tables(m, len(buffer))
+        sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum(values[buffer] * up[: len(buffer)], out=sums[1:])
+        out.append(mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+    return out[0], out[1]
 
 
 def rolling(values: np.ndarray, size: int) -> np.ndarray:
@@ -78,12 +110,15 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+_KINDS = {"doc": np.int32, "name": np.uint32, "of_bucket": np.uint32, "whole": np.uint64, "more": np.uint64, "lo": np.int64, "n": np.uint8, "p": np.uint8}
+
+
 def spans_of(buffer: np.ndarray, starts: list[int], ends: list[int], length: int = LENGTH, k: int = K) -> dict[str, np.ndarray]:
-    """Spans of the documents that lie in the buffer: doc (their number), name, whole (hash of all their bytes), lo (first window), n (windows), p (place of the name after lo)."""
-    out: dict[str, list[np.ndarray]] = {c: [] for c in ("doc", "name", "whole", "lo", "n", "p")}
+    """Spans of the pieces of text that lie in the buffer: doc (the piece's number), name and of_bucket (two halves of the name's hash), whole and more (128 bits over all their bytes), lo (first window), n (windows), p (place of the name after lo)."""
+    out: dict[str, list[np.ndarray]] = {c: [] for c in _KINDS}
     if len(buffer) >= length:
-        v = _BYTES[buffer]
-        names, full = mixed(rolling(v, k)), rolling(v, length)
+        names = mixed(rolling(_BYTES[buffer], k))
+        begins, stops = [], []
         for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
             if b - a < length:
                 continue
@@ -91,16 +126,20 @@ def spans_of(buffer: np.ndarray, starts: list[int], ends: list[int], length: int
             lo = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
             n = np.diff(np.append(lo, len(place)))
             p = place[lo]
-            first, last = full[a + lo], full[a + lo + n - 1]
+            name = names[a + p]
+            begins.append(a + lo)
+            stops.append(a + lo + n - 1 + length)
             out["doc"].append(np.full(len(lo), i, np.int32))
-            out["name"].append(names[a + p])
-            # The first and the last window overlap, so they fix all bytes between.
-            out["whole"].append((mixed(first + np.uint64(3) * mixed(last)) + n.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) >> np.uint64(32)).astype(np.uint32))
+            out["name"].append(name.astype(np.uint32))
+            out["of_bucket"].append((name >> np.uint64(32)).astype(np.uint32))
             out["lo"].append(lo.astype(np.int64))
             out["n"].append(n.astype(np.uint8))
             out["p"].append((p - lo).astype(np.uint8))
-    kinds = {"doc": np.int32, "name": np.uint64, "whole": np.uint32, "lo": np.int64, "n": np.uint8, "p": np.uint8}
-    return {c: np.concatenate(x) if x else np.zeros(0, kinds[c]) for c, x in out.items()}
+        if begins:
+            whole, more = content_hashes(buffer, np.concatenate(begins), np.concatenate(stops))
+            out["whole"].append(whole)
+            out["more"].append(more)
+    return {c: np.concatenate(x) if x else np.zeros(0, _KINDS[c]) for c, x in out.items()}
 
 
 def packed(columns: dict[str, np.ndarray]) -> bytes:
@@ -157,61 +196,98 @@ def _of_documents(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {**{c: v for c, v in s.items() if not c.startswith("of_")}, "doc_id": s["of_id"][place], "key": s["of_key"][place], "part": s["of_part"][place]}
 
 
-def _sampled(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, data): packed spans of the documents (doc_id, key, part, text). Within a chunk, spans that an earlier document of the chunk has are settled (done)."""
+#: What becomes of a span: undecided, covered as a whole by an earlier document, left to the suffix order, or only told to its name's bucket.
+UNDECIDED, COVERED, OPEN, TOLD = 0, 1, 2, 3
+
+
+def _pieces(raw: list[bytes], chunk_bytes: int) -> Iterator[tuple[int, int, bytes]]:
+    """(document's number, first window, bytes): long texts in pieces of chunk_bytes windows, which share LENGTH - 1 bytes."""
+    for i, b in enumerate(raw):
+        for at in range(0, max(1, len(b) - LENGTH + 1), chunk_bytes):
+            yield i, at, b[at : at + chunk_bytes + LENGTH - 1]
+
+
+def _judged(s: dict[str, np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (name, whole, document); then along it: where names and wholes begin, the number of the name, and the least document with the same whole."""
+    order, _ = _first_of([s["name"], s["whole"], doc])
+    at = np.arange(len(order))
+    new_name, new_whole = np.ones(len(order), bool), np.ones(len(order), bool)
+    name, whole, more = s["name"][order], s["whole"][order], s["more"][order]
+    new_name[1:] = name[1:] != name[:-1]
+    new_whole[1:] = new_name[1:] | (whole[1:] != whole[:-1]) | (more[1:] != more[:-1])
+    lead = doc[order][np.maximum.accumulate(np.where(new_whole, at, 0))] if len(order) else doc[order]
+    return order, new_name, new_whole, np.cumsum(new_name) - 1, lead
+
+
+def _sampled(docs: DataFrame, buckets: int, chunk_bytes: int, in_chunk: int) -> DataFrame:
+    """(bucket, data): packed spans of the documents (doc_id, key, part, text).
+
+    Within a chunk, spans that an earlier document of the chunk has are settled,
+    and names that come with more than in_chunk surroundings are left open:
+    both travel by their document, which spreads them evenly, so a name's bucket
+    gets at most in_chunk wholes a chunk, however frequent the name is.
+    """
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in x["text"]]
             ids, keys, parts = (x[c].to_numpy(np.int64) for c in ("doc_id", "key", "part"))
-            i = 0
-            while i < len(raw):
-                first, size = i, 0
-                while i < len(raw) and (i == first or size + len(raw[i]) <= CHUNK_BYTES):
-                    size += len(raw[i])
-                    i += 1
-                chunk = raw[first:i]
-                ends = np.cumsum([len(b) for b in chunk])
-                s = spans_of(np.frombuffer(b"".join(chunk), np.uint8), (ends - [len(b) for b in chunk]).tolist(), ends.tolist())
-                own, chunk_keys = ids[first:i], keys[first:i]
-                order, _ = _first_of([s["name"], s["whole"].astype(np.int64), own[s["doc"]]])
-                name, whole, of = s["name"][order], s["whole"][order], own[s["doc"]][order]
-                new = np.ones(len(order), bool)
-                new[1:] = (name[1:] != name[:-1]) | (whole[1:] != whole[:-1])
-                done = np.zeros(len(order), np.uint8)
-                done[order] = of[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] < of
-                s["done"] = done
-                # Settled spans need no name; they travel by their document, which spreads them evenly.
-                bucket = np.where(done == 1, chunk_keys.view(np.uint64)[s["doc"]] >> np.uint64(8), s["name"] >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                groups = np.split(order, cuts) if len(order) else []
-                rows = [(int(bucket[g[0]]), packed(_with_documents({c: v[g] for c, v in s.items()}, own, chunk_keys, parts[first:i]))) for g in groups]
-                yield pd.DataFrame(rows, columns=["bucket", "data"])
+            chunk: list[tuple[int, int, bytes]] = []
+            size = 0
+            for piece in (*_pieces(raw, chunk_bytes), None):
+                if piece is None or chunk and size + len(piece[2]) > chunk_bytes:
+                    rows = _chunk_rows(chunk, ids, keys, parts, buckets, in_chunk)
+                    yield pd.DataFrame(rows, columns=["bucket", "data"])
+                    chunk, size = [], 0
+                if piece is not None:
+                    chunk.append(piece)
+                    size += len(piece[2])
 
     return docs.mapInPandas(sample, "bucket long, data binary")
 
 
+def _chunk_rows(chunk: list[tuple[int, int, bytes]], ids: np.ndarray, keys: np.ndarray, parts: np.ndarray, buckets: int, in_chunk: int) -> list[tuple[int, bytes]]:
+    sizes = np.array([len(b) for _, _, b in chunk], np.int64)
+    ends = np.cumsum(sizes)
+    s = spans_of(np.frombuffer(b"".join(b for _, _, b in chunk), np.uint8), (ends - sizes).tolist(), ends.tolist())
+    s["lo"] = s["lo"] + np.array([at for _, at, _ in chunk], np.int64)[s["doc"]]
+    s["doc"] = np.array([i for i, _, _ in chunk], np.int32)[s["doc"]]
+    own = ids[s["doc"]]
+    order, new_name, new_whole, name, lead = _judged(s, own)
+    state = np.zeros(len(order), np.uint8)
+    covered = lead < own[order]
+    many = (np.bincount(name, new_whole) > in_chunk)[name] if len(order) else covered
+    state[order] = np.where(covered, COVERED, np.where(many, OPEN, UNDECIDED))
+    told = order[new_name & many] if len(order) else order
+    s["done"] = state
+    bucket = np.where(state == UNDECIDED, s["of_bucket"].astype(np.uint64), keys.view(np.uint64)[s["doc"]] >> np.uint64(8)) % np.uint64(buckets)
+    if len(told):
+        bucket = np.concatenate((bucket, s["of_bucket"][told].astype(np.uint64) % np.uint64(buckets)))
+        s = {c: np.concatenate((v, v[told])) for c, v in s.items()}
+        s["done"][len(order) :] = TOLD
+    s.pop("of_bucket")
+    order = np.argsort(bucket, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return [(int(bucket[g[0]]), packed(_with_documents({c: v[g] for c, v in s.items()}, ids, keys, parts))) for g in groups]
+
+
 def _settled(x: pd.DataFrame) -> pd.DataFrame:
     """One bucket's spans: those that an earlier document has as a whole are settled; those whose name comes with other surroundings are left open."""
     s = stacked([_of_documents(unpacked(d)) for d in x["data"]])
-    ready = s["done"] == 1
+    ready = (s["done"] == COVERED) | (s["done"] == OPEN)
     passed = {c: v[ready] for c, v in s.items()}
     s = {c: v[~ready] for c, v in s.items()}
-    order, _ = _first_of([s["name"], s["whole"].astype(np.int64), s["doc_id"]])
+    order, new_name, new_whole, name, lead = _judged(s, s["doc_id"])
     s = {c: v[order] for c, v in s.items()}
-    n, at = len(order), np.arange(len(order))
-    if n:
-        new_name = np.concatenate(([True], s["name"][1:] != s["name"][:-1]))
-        new_whole = new_name | np.concatenate(([True], s["whole"][1:] != s["whole"][:-1]))
-        lead = s["doc_id"][np.maximum.accumulate(np.where(new_whole, at, 0))]
+    if len(order):
         covered = lead < s["doc_id"]
-        name = np.cumsum(new_name) - 1
-        wholes = np.bincount(name, new_whole)
-        low, high = np.minimum.reduceat(s["doc_id"], np.flatnonzero(new_name)), np.maximum.reduceat(s["doc_id"], np.flatnonzero(new_name))
-        left = ~covered & ((wholes > 1) & (low < high))[name]
-        s["done"] = np.where(covered, 1, 0).astype(np.uint8)
-        s = {c: v[covered | left] for c, v in s.items()}
+        starts = np.flatnonzero(new_name)
+        wholes, told = np.bincount(name, new_whole), np.bincount(name, s["done"] == TOLD) > 0
+        low, high = np.minimum.reduceat(s["doc_id"], starts), np.maximum.reduceat(s["doc_id"], starts)
+        left = ~covered & (told | (wholes > 1) & (low < high))[name]
+        mine = s["done"] == UNDECIDED
+        s["done"] = np.where(covered, COVERED, OPEN).astype(np.uint8)
+        s = {c: v[mine & (covered | left)] for c, v in s.items()}
     s = stacked([passed, s])
     order = np.argsort(s["part"], kind="stable")
     groups = np.split(order, np.flatnonzero(np.diff(s["part"][order])) + 1) if len(order) else []
@@ -268,7 +344,7 @@ def _applied(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         if at is None:
             rows.append((doc_id, key, part, *_digest(raw, none, none), None, None, None))
             continue
-        done = s["done"][at] == 1
+        done = s["done"][at] == COVERED
         lo, n, p = s["lo"][at], s["n"][at], s["p"][at]
         if done.all():
             rows.append((doc_id, key, part, *_digest(raw, lo, n), None, None, None))
@@ -279,26 +355,62 @@ def _applied(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _OPEN.split(", ")])
 
 
-def _segments(opened: DataFrame, shards: int) -> DataFrame:
-    """(shard, data): the bytes of open spans, in two segments each by whether the name has half of its surroundings to its right or to its left."""
+def _cuts(raw: bytes, data: bytes) -> Iterator[tuple[int, int, int]]:
+    """(a, b, key) of a document's open spans: windows a .. b-1 all hold the name and half of its surroundings to the right or to the left, which the key hashes."""
     half = (LENGTH - K) // 2
+    s = unpacked(data)
+    for lo, n, p in zip(s["lo"].tolist(), s["n"].tolist(), s["p"].tolist(), strict=True):
+        at, hi = lo + p, lo + n  # of the name; past the last window
+        cut_at = min(max(lo, at - half), hi)  # from here on, windows reach half beyond the name
+        if lo < cut_at:
+            yield lo, cut_at, xxhash.xxh64_intdigest(raw[at - half : at + K], 1)
+        if cut_at < hi:
+            yield cut_at, hi, xxhash.xxh64_intdigest(raw[at : at + K + half], 1)
+
+
+def _hot_keys(opened: DataFrame, segments: float, least: int, in_batch: int) -> np.ndarray:
+    """Keys that very many open segments share, HOT_KEYS at most: as a key needs segments / HOT_KEYS of them, no more can be hot."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            keys = np.array([k for raw, data in zip(x["text"], x["open"], strict=True) for _, _, k in _cuts(raw, data)], np.uint64)
+            k, n = np.unique(keys, return_counts=True)
+            often = n >= in_batch
+            yield pd.DataFrame({"k": k[often].view(np.int64), "n": n[often]})
+
+    counted = opened.select("text", "open").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return np.array([r["k"] for r in counted.filter(F.col("n") >= max(least, segments / HOT_KEYS)).select("k").collect()], np.int64).view(np.uint64)
+
+
+def _segments(opened: DataFrame, shards: int, hot: frozenset[int]) -> DataFrame:
+    """(shard, data): the bytes of open spans, in two segments each by whether the name has half of its surroundings to its right or to its left.
+
+    Segments of hot keys come apart into single windows, dealt out by all their
+    bytes; of a batch's equal windows only those of the least document travel
+    on, the others are hit already.
+    """
+    columns = ("doc_id", "key", "lo", "n", "hit")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
+            rows: dict[int, list[tuple[int, int, int, int, int, bytes]]] = {}
+            single: dict[bytes, list[tuple[int, int, int]]] = {}
             for doc_id, key, raw, data in zip(x["doc_id"], x["key"], x["text"], x["open"], strict=True):
-                s = unpacked(data)
-                for lo, n, p in zip(s["lo"].tolist(), s["n"].tolist(), s["p"].tolist(), strict=True):
-                    at, hi = lo + p, lo + n  # of the name; past the last window
-                    cut_at = min(max(lo, at - half), hi)  # from here on, windows reach half beyond the name
-                    for a, b, beside in ((lo, cut_at, raw[at - half : at + K]), (cut_at, hi, raw[at : at + K + half])):
-                        if a < b:
-                            shard = xxhash.xxh64_intdigest(beside, 1) % shards
-                            rows.setdefault(shard, []).append((doc_id, key, a, b - a, raw[a : b - 1 + LENGTH]))
+                for a, b, k in _cuts(raw, data):
+                    if k in hot:
+                        for w in range(a, b):
+                            single.setdefault(raw[w : w + LENGTH], []).append((doc_id, key, w))
+                    else:
+                        rows.setdefault(k % shards, []).append((doc_id, key, a, b - a, 0, raw[a : b - 1 + LENGTH]))
+            for window, places in single.items():
+                shard, least = xxhash.xxh64_intdigest(window, 2) % shards, min(places)[0]
+                for doc_id, key, w in places:
+                    hit = doc_id > least
+                    rows.setdefault((key >> 8) % shards if hit else shard, []).append((doc_id, key, w, 1, int(hit), b"" if hit else window))
             out = []
             for shard, own in rows.items():
-                columns = {c: np.array([r[j] for r in own], np.int64) for j, c in enumerate(("doc_id", "key", "lo", "n"))}
-                out.append((shard, packed({**columns, "bytes": np.frombuffer(b"".join(r[4] for r in own), np.uint8)})))
+                table = {c: np.array([r[j] for r in own], np.int64) for j, c in enumerate(columns)}
+                out.append((shard, packed({**table, "bytes": np.frombuffer(b"".join(r[5] for r in own), np.uint8)})))
             yield pd.DataFrame(out, columns=["shard", "data"])
 
     return opened.select("doc_id", "key", "text", "open").mapInPandas(cut, "shard long, data binary")
@@ -309,7 +421,10 @@ def recurring(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
     The segments, each closed by a separator, are one text; in its suffix order
     windows with equal bytes stand together, with common prefixes of LENGTH.
+    Segments that are hit already bring no bytes and are passed on.
     """
+    passed = {c: s[c][s["hit"] == 1] for c in ("doc_id", "key", "lo", "n")}
+    s = {c: v if c == "bytes" else v[s["hit"] == 0] for c, v in s.items()}
     size = s["n"] - 1 + LENGTH
     starts = np.cumsum(size + 1) - size - 1
     text = np.zeros(int((size + 1).sum()), np.int16)
@@ -341,24 +456,26 @@ def recurring(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     close(carry_at, carry_lcp)
     found = np.flatnonzero(hit)
     if not len(found):
-        return {c: np.zeros(0, np.int64) for c in ("doc_id", "key", "lo", "n")}
+        return passed
     own, lo = owner[found], found - starts[owner[found]]
     new = np.concatenate(([True], (own[1:] != own[:-1]) | (found[1:] != found[:-1] + 1)))
     begins = np.flatnonzero(new)
-    return {
+    here = {
         "doc_id": s["doc_id"][own[begins]], "key": s["key"][own[begins]],
         "lo": s["lo"][own[begins]] + lo[begins], "n": np.diff(np.append(begins, len(found))).astype(np.int64),
     }
+    return stacked([passed, here])
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, in_chunk: int = IN_CHUNK, hot_segments: int = HOT_SEGMENTS, hot_in_batch: int = HOT_IN_BATCH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row.
 
     A byte goes if a string of LENGTH bytes over it also starts in a document with
     a smaller doc_id. Null and empty texts, and those shorter than LENGTH, lose
     nothing. Rows that repeat an id do not remove each other's bytes, and are
     each judged on their own text; rows with a null id lose nothing and remove
-    nothing. An empty table gives an empty result.
+    nothing. An empty table gives an empty result. The limits decide how rows
+    travel, never what is removed.
     """
     size = F.octet_length(F.coalesce("text", F.lit("")))
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
@@ -366,11 +483,13 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select("doc_id", key.alias("key"), F.pmod(F.xxhash64("doc_id", key), F.lit(parts)).alias("part"), "text")
     known = keyed.filter("doc_id is not null")
-    spans = written(_sampled(known, buckets).groupBy("bucket").applyInPandas(_settled, "part long, data binary"), "suffix-spans")
+    spans = written(_sampled(known, buckets, chunk_bytes, in_chunk).groupBy("bucket").applyInPandas(_settled, "part long, data binary"), "suffix-spans")
     first = written(known.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(_applied, _OPEN), "suffix-parts")
     opened = first.filter("text is not null")
-    # Open spans hold about LENGTH + 14 bytes each, and 10 packed.
-    shards = int(max(16, np.ceil((opened.agg(F.sum(F.octet_length("open").cast("long"))).first()[0] or 0) * 6.5 / SHARD_BYTES)))
+    # Open spans are packed to 10 bytes each, and come to two segments of some 30 to 60 bytes.
+    spans_packed = opened.agg(F.sum(F.octet_length("open").cast("long"))).first()[0] or 0
+    shards = int(max(16, np.ceil(spans_packed * 6.5 / SHARD_BYTES)))
+    hot = frozenset(_hot_keys(opened, spans_packed / 5, hot_segments, hot_in_batch).tolist())
 
     def sorted_shard(x: pd.DataFrame) -> pd.DataFrame:
         found = recurring(stacked([unpacked(d) for d in x["data"]]))
@@ -379,7 +498,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         rows = [(int(found["doc_id"][r[0]]), int(found["key"][r[0]]), packed({c: found[c][r] for c in ("lo", "n")})) for r in own]
         return pd.DataFrame(rows, columns=["doc_id", "key", "data"])
 
-    induced = _segments(opened, shards).groupBy("shard").applyInPandas(sorted_shard, "doc_id long, key long, data binary")
+    induced = _segments(opened, shards, hot).groupBy("shard").applyInPandas(sorted_shard, "doc_id long, key long, data binary")
     induced = induced.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)))
 
     def finished(own: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:

@@ -265,3 +265,39 @@ def test_queries_against_sql(spark):
         assert columns == sorted(want.columns)
         shown = lambda x: sorted(tuple(str(v) for v in r) for r in x[columns].astype(object).where(x[columns].notna(), None).values.tolist())  # noqa: E731,B023
         assert shown(got) == shown(want), name
+
+
+def test_content_hashes_tell_surroundings_apart():
+    """One 24-byte phrase in 500,000 surroundings: no two wholes are equal, and equal bytes hash alike wherever they stand."""
+    rng = np.random.default_rng(9)
+    phrase, n = np.frombuffer(b"a phrase of 24 bytes, so", np.uint8), 500_000
+    rows = rng.integers(97, 123, (n, 70), dtype=np.uint8)
+    rows[:, 23:47] = phrase
+    seen = set()
+    for i in range(0, n, 20_000):
+        part = rows[i : i + 20_000].ravel()
+        a = np.arange(0, len(part), 70)
+        x, y = suffix_dedup.content_hashes(part, a, a + 70)
+        seen |= set(zip(x.tolist(), y.tolist(), strict=True))
+    assert len(seen) == len(np.unique(rows, axis=0))
+    twice = np.frombuffer(b"x" + b"same bytes here" * 2 + b"yz", np.uint8)
+    x, y = suffix_dedup.content_hashes(twice, np.array([1, 16]), np.array([16, 31]))
+    assert x[0] == x[1] and y[0] == y[1]
+
+
+def test_suffix_dedup_of_hot_passages_and_pieces(spark, monkeypatch):
+    """A line in most documents with ever different surroundings, copies, and texts longer than a chunk: hot keys, chunk limits and pieces change no result."""
+    rng = np.random.default_rng(8)
+    noise = lambda k: "".join(rng.choice(list("abcdefghij "), k))
+    line = "This very line of some fifty bytes stands everywhere."
+    texts = [noise(int(rng.integers(30, 90))) + (line if i % 3 else "") + noise(int(rng.integers(0, 90))) for i in range(90)]
+    texts += [texts[5]] * 6 + [line * 9, noise(2000) + line + noise(900) + line]
+    rows = list(enumerate(texts))
+    want = brute_dedup(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = set()
+    found = suffix_dedup._hot_keys
+    monkeypatch.setattr(suffix_dedup, "_hot_keys", lambda *a: (hot.update(found(*a).tolist()), found(*a))[1])
+    for sizes in ({"chunk_bytes": 700, "in_chunk": 2}, {"hot_segments": 20, "hot_in_batch": 2}, {"chunk_bytes": 700, "in_chunk": 1, "hot_segments": 10, "hot_in_batch": 2}):
+        assert sorted((tuple(r) for r in suffix_dedup.suffix_dedup(frame, **sizes).collect()), key=str) == want
+    assert hot
