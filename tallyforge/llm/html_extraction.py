@@ -3,8 +3,10 @@
 Each element's subtree is hashed inside tasks; Spark counts on how many
 distinct pages of a host each hash stands (within the article: in how many distinct
 articles), and the subtrees that recur on a large share of them, or on very many, are
-the host's template and are deleted from the whole tree. In what is left, on every
-host, the article is chosen by its tag, and elements whose tag, role or class
+the host's template and are deleted from the whole tree. Variants that rotate, such as
+notices and menus of sections, recur on a smaller share: they are deleted too, unless
+a page would lose most of its text by it, as copies of an article do. In what is left,
+on every host, the article is chosen by its tag, and elements whose tag, role or class
 says that they are no part of it go as well.
 """
 
@@ -25,6 +27,8 @@ from .common import written
 SHARE, LEAST_PAGES = 0.3, 5
 #: A subtree of at least so many words is a template too where it stands on so many distinct pages, whatever their share of a large host.
 MANY_PAGES, LONG_WORDS = 100, 5
+#: Outside articles, one of at least so many words that stands on this share of the pages (LEAST_PAGES at least) is a rotating variant of the template.
+ROTATING_SHARE = 0.01
 #: Up to so many template hashes go to the tasks as one broadcast; beyond that they are joined to the pages.
 BROADCAST_ROWS = 200_000
 
@@ -39,7 +43,7 @@ DROP_ROLE = frozenset("navigation banner contentinfo complementary search form d
 _WORD = r"(?:ads?|adverts?|advertis\w*|banners?|sponsor\w*|promo\w*|sidebars?|side|nav(?:s|bars?|igation|menu)?|menus?|breadcrumbs?|footers?|headers?|masthead|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|comments?|commentlist|replies|respond|disqus|related|recommend\w*|widgets?|toolbar|pagination|pager|skip\w*|copyright|disclaimer)"
 #: Whole class names (and ids) made of such words only, and the usual names of a reader's comment.
 _NOISE = re.compile(rf"{_WORD}(?:[_-]+{_WORD})*(?:[_-]+\d+)?|(?:div-|li-)?(?:comment|reply)(?:-(?:\d+|body|content|text|list|area|form))?", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:[\"'][^>]*)?)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 # HTML's white space, with the no-break space that a reference may stand for.
@@ -198,8 +202,11 @@ def subtree_hashes(html: str | None) -> tuple[int | None, list[int], list[int]]:
     return None if article is None else article.hash - (1 << 64) if article.hash >> 63 else article.hash, sorted(out[0]), sorted(out[1])
 
 
-def _pruned(root: Node, template: frozenset[int] | set[int]) -> None:
-    """Empties the subtrees that are template. Elements stay as boundaries of the text beside them."""
+def _pruned(root: Node, template: dict[int, bool]) -> int:
+    """Empties the subtrees that are template and returns how many words they had. Elements stay as boundaries of the text beside them.
+
+    template: the keys, and whether each is a rotating variant only. Variants stay where they are most of the page's text.
+    """
     _walk_hash(root)
     article = _content_root(root)
     holds, todo = set(), [(root, ())]
@@ -213,23 +220,63 @@ def _pruned(root: Node, template: frozenset[int] | set[int]) -> None:
                     above = above[1]
                 break
             todo += [(p, (x, above)) for p in x.parts if isinstance(p, Node)]
-    todo = [(root, False)]
-    while todo:
-        x, inside = todo.pop()
+    found: tuple[list[Node], list[Node]] = ([], [])
+    walk: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    while walk:
+        x, inside, within = walk.pop()
         inside = inside or x is article
         for p in x.parts:
             if isinstance(p, Node):
-                if p is not article and id(p) not in holds and _key(p, inside) in template:
-                    p.parts, p.tag = [], "div" if p.tag in BLOCK else "span"
-                else:
-                    todo.append((p, inside))
+                rotating = template.get(_key(p, inside)) if p is not article and id(p) not in holds else None
+                if rotating is False:
+                    found[0].append(p)
+                    continue
+                if rotating and not within:
+                    found[1].append(p)
+                walk.append((p, inside, within or bool(rotating)))
+    gone = found[0]
+    rest = root.words - sum(p.words for p in gone) - sum(c.words for c in _raw(root))
+    if 2 * sum(p.words for p in found[1]) <= rest:
+        gone = gone + found[1]
+    words = sum(p.words for p in gone)
+    for p in gone:
+        p.parts, p.tag = [], "div" if p.tag in BLOCK else "span"
+    return words
+
+
+def _raw(root: Node) -> Iterator[Node]:
+    """The elements whose words are no text of the page."""
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if x.tag in RAW or x.tag == "head":
+            yield x
+        else:
+            todo += [p for p in x.parts if isinstance(p, Node)]
+
+
+def _titled(header: Node) -> bool:
+    """Whether a header has a heading."""
+    todo = [header]
+    while todo:
+        x = todo.pop()
+        if x.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            return True
+        todo += [p for p in x.parts if isinstance(p, Node)]
+    return False
+
+
+def main_text(html: str | None, template: dict[int, bool] | None = None) -> str:
+    return main_text_and_template(html, template)[0]
 
 
-def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article joined by line ends, each with its white space squeezed and its references decoded."""
+def main_text_and_template(html: str | None, template: dict[int, bool] | None = None) -> tuple[str, int]:
+    """Blocks of the article joined by line ends, each with its white space squeezed and its references decoded; and the number of words that went as template.
+
+    Within an article, a header with a heading is the article's own and stays.
+    """
     root = parsed(html or "")
-    if template:
-        _pruned(root, template)
+    words = _pruned(root, template) if template else 0
     article = _content_root(root)
     blocks: list[str] = []
     run: list[str] = []
@@ -247,7 +294,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif x.tag in DROP or x.tag == "title" or x.noise and x is not article:
+        elif (x.tag in DROP and not (x.tag == "header" and article is not None and _titled(x))) or x.tag == "title" or x.noise and x is not article:
             if x.tag in BLOCK:
                 flush()
         elif x.tag == "br":
@@ -258,7 +305,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
                 todo.append(None)
             todo += reversed(x.parts)
     flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks), words
 
 
 def host_of(url: Column) -> Column:
@@ -266,60 +313,74 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, many: int = MANY_PAGES) -> DataFrame:
-    """(host, subtree): the keys that recur on many distinct pages of a host, or in many distinct articles. Copies count once. Pages without a host have no template."""
+def _hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for htmls in batches:
+        rows = [subtree_hashes(h if isinstance(h, str) else None) for h in htmls]
+        yield pd.DataFrame({"article": pd.Series([r[0] for r in rows], dtype="Int64"), "outside": [[PAGE, *r[1]] for r in rows], "inside": [[] if r[0] is None else [ARTICLE, *r[2]] for r in rows]})
 
-    @F.pandas_udf("article long, outside array<long>, inside array<long>")
-    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for htmls in batches:
-            rows = [subtree_hashes(h if isinstance(h, str) else None) for h in htmls]
-            yield pd.DataFrame({"article": pd.Series([r[0] for r in rows], dtype="Int64"), "outside": [[PAGE, *r[1]] for r in rows], "inside": [[] if r[0] is None else [ARTICLE, *r[2]] for r in rows]})
 
+def _stands(pages: DataFrame) -> DataFrame:
+    """(host, page, at, subtree): where each subtree stands; page is the hash of the whole, at that of the page or, inside it, of the article."""
+    hashes = F.pandas_udf(_hashes, "article long, outside array<long>, inside array<long>")
     page = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").filter("host <> ''")
     found = page.select("host", "page", hashes("html").alias("_h"))
     on = lambda keys, where: F.transform(keys, lambda k: F.struct(where.alias("at"), k.alias("subtree")))
-    stands = found.select("host", F.explode(F.concat(on(F.col("_h.outside"), F.col("page")), on(F.col("_h.inside"), F.col("_h.article")))).alias("s")).select("host", "s.*").distinct()
+    return found.select("host", "page", F.explode(F.concat(on(F.col("_h.outside"), F.col("page")), on(F.col("_h.inside"), F.col("_h.article")))).alias("s")).select("host", "page", "s.*")
+
+
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, many: int = MANY_PAGES, rotating: float = ROTATING_SHARE) -> DataFrame:
+    """(host, subtree, rotating): the keys that recur on many distinct pages of a host, or in many distinct articles. Copies count once. Pages without a host have no template."""
+    stands = _stands(pages).select("host", "at", "subtree").distinct()
     # Counted in two steps: partial counts in each task, then one row a task and key.
     counted = stands.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     counted = written(counted, "site-subtrees")
     totals = counted.filter(F.col("subtree").isin(PAGE, ARTICLE)).select("host", F.col("subtree").alias("kind"), F.col("n").alias("of"))
     keyed = counted.filter(~F.col("subtree").isin(PAGE, ARTICLE)).withColumn("kind", F.col("subtree").bitwiseAND(F.lit(1)))
-    cut = share * F.col("of")
-    cut = F.when(F.col("subtree").bitwiseAND(F.lit(2)) != 0, F.least(cut, F.lit(float(many)))).otherwise(cut)
-    return keyed.join(totals, ["host", "kind"]).filter(F.col("n") >= cut).select("host", "subtree")
+    long = F.col("subtree").bitwiseAND(F.lit(2)) != 0
+    sure = F.col("n") >= F.when(long, F.least(share * F.col("of"), F.lit(float(many)))).otherwise(share * F.col("of"))
+    turning = long & (F.col("kind") == PAGE) & (F.col("n") >= rotating * F.col("of"))
+    return keyed.join(totals, ["host", "kind"]).filter(sure | turning).select("host", "subtree", (~sure).alias("rotating"))
+
+
+_EXTRACTED = "text string, n_template_words long"
+
+
+def _texts(htmls: pd.Series, sets: list[dict[int, bool] | None]) -> pd.DataFrame:
+    rows = [main_text_and_template(h if isinstance(h, str) else None, t) for h, t in zip(htmls, sets, strict=True)]
+    return pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "n_template_words": pd.Series([r[1] for r in rows], dtype="int64")})
 
 
-def extracted(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """All columns of pages and text (empty if nothing is left) and n_chars.
+def extracted(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS, rotating: float = ROTATING_SHARE) -> DataFrame:
+    """All columns of pages and text (empty if nothing is left), n_chars and n_template_words, the words that went as template.
 
     Columns of pages with these names are replaced. A null or empty page has the
     empty text; pages with a null url are extracted without a template; repeated
-    rows are kept. An empty table gives an empty result.
+    rows are kept; texts are read whole, however long. An empty table gives an empty result.
     """
     spark = pages.sparkSession
-    found = written(templates(pages, share, least), "site-templates")
-    own = [c for c in pages.columns if c.lower() not in ("text", "n_chars", "_host", "_template", "_page")]
+    found = written(templates(pages, share, least, rotating=rotating), "site-templates")
+    own = [c for c in pages.columns if c.lower() not in ("text", "n_chars", "n_template_words", "_host", "_template", "_page", "_x")]
     if found.count() <= broadcast_rows:
-        by_host: dict[str, set[int]] = {}
+        by_host: dict[str, dict[int, bool]] = {}
         for r in found.collect():
-            by_host.setdefault(r["host"], set()).add(r["subtree"])
+            by_host.setdefault(r["host"], {})[r["subtree"]] = r["rotating"]
         shared = spark.sparkContext.broadcast(by_host)
 
-        @F.pandas_udf("string")
-        def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.pandas_udf(_EXTRACTED)
+        def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             for htmls, hosts in batches:
-                yield pd.Series([main_text(h if isinstance(h, str) else None, shared.value.get(host, frozenset())) for h, host in zip(htmls, hosts, strict=True)], dtype=object)
+                yield _texts(htmls, [shared.value.get(host) for host in hosts])
 
-        out = pages.select(*own, text("html", host_of(F.col("url"))).alias("text"))
+        out = pages.select(*own, text("html", host_of(F.col("url"))).alias("_x"))
     else:
-        # A host's template is one short list; AQE splits the pages of a large host.
-        lists = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("subtree").alias("_template"))
+        # Each page meets those of its own subtrees alone that are template, however long its host's list is.
+        hits = _stands(pages).join(found, ["host", "subtree"]).groupBy(F.col("host").alias("_host"), F.col("page").alias("_page")).agg(F.collect_set(F.struct("subtree", "rotating")).alias("_template"))
 
-        @F.pandas_udf("string")
-        def text_joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.pandas_udf(_EXTRACTED)
+        def text_joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             for htmls, sets in batches:
-                yield pd.Series([main_text(h if isinstance(h, str) else None, frozenset(s.tolist()) if s is not None else frozenset()) for h, s in zip(htmls, sets, strict=True)], dtype=object)
+                yield _texts(htmls, [{r["subtree"]: r["rotating"] for r in s} if s is not None else None for s in sets])
 
-        joined = pages.select(*own).withColumn("_host", host_of(F.col("url"))).join(lists, "_host", "left")
-        out = joined.select(*own, text_joined("html", "_template").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+        joined = pages.select(*own).withColumns({"_host": host_of(F.col("url")), "_page": F.xxhash64("html")}).join(hits, ["_host", "_page"], "left")
+        out = joined.select(*own, text_joined("html", "_template").alias("_x"))
+    return out.select(*own, F.col("_x.text").alias("text"), F.length("_x.text").cast("long").alias("n_chars"), F.col("_x.n_template_words").alias("n_template_words"))

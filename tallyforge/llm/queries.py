@@ -17,7 +17,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extraction.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_extraction.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_template_words")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,59 @@ def test_templates_of_large_hosts_and_in_paragraphs(spark):
     assert all(got[2000 + i] == "The one story told here again." for i in range(150))
 
 
+def test_templates_decide_where_no_tag_or_name_tells(spark):
+    """Pages of plain div elements: menus, rotating notices and a legal line recur, stories do not. Held against subtrees counted by a parser of the standard library."""
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    rng = np.random.default_rng(4)
+    words = lambda k: " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 8)))) for _ in range(k))
+    menu, legal, turning = words(7), words(12), [words(9) for _ in range(12)]
+    rows, stories = [], {}
+    for i in range(240):
+        stories[i] = [words(int(rng.integers(12, 40))) for _ in range(int(rng.integers(1, 4)))]
+        blocks = [menu, turning[int(rng.integers(12))], *stories[i], legal]
+        rows.append((i, "http://plain.example/x", "<html><body>" + "".join(f"<div><span>{b}</span></div>" for b in blocks) + f"<script>n={i}</script></body></html>"))
+    rows += [(1000 + i, f"http://twin.example/{i}", f"<body><div>{menu} {legal}</div><div>{words(3)}</div></body>") for i in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_extraction.extracted(frame).collect()}
+    plain = {r["page_id"]: r["text"] for r in html_extraction.extracted(frame, share=2.0, least=10**6, rotating=2.0).collect()}
+
+    class Blocks(HTMLParser):
+        def __init__(self, html):
+            super().__init__()
+            self.found = []
+            self.feed(html)
+
+        def handle_data(self, data):
+            self.found.append(data)
+
+    counts = Counter(b for i, _, h in rows[:240] for b in set(Blocks(h).found))
+    for i, _, h in rows[:240]:
+        kept = [b for b in Blocks(h).found if counts[b] < 5]
+        assert got[i]["text"] == "\n".join(b for b in kept if not b.startswith("n=")) == "\n".join(stories[i])
+        assert got[i]["n_template_words"] == 7 + 9 + 12 and plain[i] != got[i]["text"]
+    assert all(got[1000 + i]["text"].count(" ") == 2 for i in range(20))
+    again = {r["page_id"]: (r["text"], r["n_template_words"]) for r in html_extraction.extracted(frame, broadcast_rows=-1).collect()}
+    assert again == {i: (r["text"], r["n_template_words"]) for i, r in got.items()}
+
+
+def test_rotating_variants_spare_copies_of_a_story(spark):
+    """A story told on eight pages of a host, none of which is a copy byte by byte, stays whole."""
+    rows = [(i, "http://h.example/", f"<body><div>page number {i} of many</div><div>The one story that eight pages tell in full</div><script>{i}</script></body>") for i in range(8)]
+    rows += [(100 + i, "http://h.example/", f"<body><div>Story {i} is told here and nowhere else at all</div></body>") for i in range(200)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("The one story" in got[i] for i in range(8)) and all(got[100 + i].startswith(f"Story {i} ") for i in range(200))
+
+
+def test_broken_markup_and_article_headers():
+    text = html_extraction.main_text
+    assert text('<p class="x>One</p><p>Two</p>') == "One\nTwo"
+    assert text("<body><header>Site</header><article><header><h1>Title</h1></header><p>Body</p><header>by line</header></article></body>") == "Title\nBody"
+    long = "<div>" + "<p>many words here</p>" * 50_000 + "</div>"
+    assert text(long).count("\n") == 49_999
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://h.example/", "<body><div>The whole story</div></body>") for i in range(40)]
     got = html_extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
