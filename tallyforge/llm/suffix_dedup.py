@@ -42,32 +42,36 @@ _WHOLE = [(m, np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uin
 IN_CHUNK = 8
 #: A key that so many open segments share is hot, and at most so many keys are hot: HOT_KEYS bounds what is broadcast.
 HOT_SEGMENTS, HOT_KEYS, HOT_IN_BATCH = 20_000, 50_000, 16
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """m**i and m**-i modulo 2**64 for i up to n; kept for the next chunk."""
-    have = _powers.get(m)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + (1 << 16))
-        both = []
-        for base in (m, pow(m, -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        have = _powers[m] = (both[0], both[1])
-    return have
-
-
-def content_hashes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of buffer[a:b] for many a, b: differences of prefix sums, shifted to a common start."""
-    out = []
-    for m, values in _WHOLE:
-        up, down = _power_tables(m, len(buffer))
-        sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(values[buffer] * up[: len(buffer)], out=sums[1:])
-        out.append(mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
-    return out[0], out[1]
+#: Positions that whole spans are hashed for at a time, and how far a span reaches beyond its start: 2 * LENGTH - K bytes and no more.
+_BLOCK, _REACH = 1 << 16, 2 * LENGTH
+
+
+def _power_tables(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """m**i and m**-i modulo 2**64 for the positions of a block."""
+    both = []
+    for base in (m, pow(m, -1, 1 << 64)):
+        x = np.full(_BLOCK + _REACH, base, np.uint64)
+        x[0] = 1
+        both.append(np.multiply.accumulate(x))
+    return both[0], both[1]
+
+
+_POWERS = {m: _power_tables(m) for m, _ in _WHOLE}
+
+
+def content_hashes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of buffer[a:b] for many a, b, in order of a: differences of a block's prefix sums, shifted to a common start."""
+    out = [np.empty(len(a), np.uint64) for _ in _WHOLE]
+    sums = np.zeros(_BLOCK + _REACH + 1, np.uint64)
+    for start in range(0, len(buffer), _BLOCK):
+        own = slice(*np.searchsorted(a, (start, start + _BLOCK)).tolist())
+        part = buffer[start : start + _BLOCK + _REACH]
+        x, y = a[own] - start, b[own] - start
+        for of, (m, values) in zip(out, _WHOLE, strict=True):
+            up, down = _POWERS[m]
+            np.cumsum(values[part] * up[: len(part)], out=sums[1 : len(part) + 1])
+            of[own] = mixed((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64))
+    return out
 
 
 def rolling(values: np.ndarray, size: int) -> np.ndarray:
