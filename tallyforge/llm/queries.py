@@ -13,7 +13,7 @@ RECORDS_PER_FILE = 256
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_model")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
