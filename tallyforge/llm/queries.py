@@ -52,17 +52,13 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records, 256 ids a file; the second replica has the damage of a failing disk: a changed byte or a cut tail."""
     record = warc_fixity.warc_record(F.col("url"), F.col("html"))
     draw = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn("record_a", record)
-    pairs = pages.select(
+    damaged = F.when(draw == "0a", F.concat(F.lit("X"), F.substring(record, 2, 2**31 - 1))).when(draw == "0b", F.substring(record, 1, 40)).otherwise(record)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    replica = lambda bytes_of: pages.select(
         F.coalesce(F.floor(F.col("page_id") / RECORDS_PER_FILE), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1_000_003))).alias("file"),
-        F.coalesce(F.pmod("page_id", F.lit(RECORDS_PER_FILE)), F.lit(0)).alias("seq"),
-        F.col("page_id").alias("record_id"),
-        "record_a",
-        F.when(draw == "0a", F.concat(F.lit("X"), F.substring("record_a", 2, 2**31 - 1)))
-        .when(draw == "0b", F.substring("record_a", 1, 40))
-        .otherwise(F.col("record_a")).alias("record_b"),
-    )
-    return warc_fixity.audit(pairs)
+        F.coalesce(F.pmod("page_id", F.lit(RECORDS_PER_FILE)), F.lit(0)).alias("seq"), F.col("page_id").alias("record_id"), bytes_of.alias("record"),
+    )
+    return warc_fixity.audit_replicas(replica(record), replica(damaged), levels=2)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
