@@ -17,9 +17,8 @@ from .common import checkpointed, text_or_empty, written
 
 REST = "_rest"
 DIMENSIONS = ("source", "lang", "topic")
-SWEEPS = 12
-#: Rounds in which what capped cells cannot give is dealt out to the others.
-REFILLS = 6
+#: Sweeps end when no marginal is further than this from its target (in shares of all tokens), or when they no longer come nearer, as with targets that contradict each other.
+TOLERANCE, MOST_SWEEPS = 1e-12, 500
 #: The share of all tokens that the mix keeps.
 BUDGET = 0.5
 
@@ -65,13 +64,15 @@ def _share(dimension: str, factors: dict[str, float]) -> Column:
     return F.create_map(*pairs)[F.col(f"g_{dimension}")] if pairs else F.lit(1.0)
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]], tolerance: float = TOLERANCE, most: int = MOST_SWEEPS) -> DataFrame:
     """cells (g_source, g_lang, g_topic, n): adds w, whose marginals are in proportion to the targets.
 
     w is n times one factor a category. Each step reads one marginal, which has a
     row for each category that the targets name, and scales that dimension's
     factors. Targets of categories without tokens are left out, and the others
-    of that marginal scaled to one.
+    of that marginal scaled to one. Sweeps go on until every marginal is within the
+    tolerance; where the targets cannot all be met, until the error has
+    stopped to fall. Beyond most sweeps it raises an error.
     """
     factors: dict[str, dict[str, float]] = {d: {} for d in DIMENSIONS}
     for d in DIMENSIONS:
@@ -87,36 +88,47 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int =
             out = out * _share(d, factors[d])
         return out
 
-    for _ in range(sweeps):
+    last = [float("inf")] * 3
+    for k in range(most):
+        error = 0.0
         for d in DIMENSIONS:
-            for k, have in cells.groupBy(f"g_{d}").agg(F.sum(weight())).collect():
-                factors[d][k] *= aims[d][k] / have if have else 0.0
+            marginal = cells.groupBy(f"g_{d}").agg(F.sum(weight())).collect()
+            if k:
+                error = max([error, *(abs(have - aims[d][c]) for c, have in marginal)])
+            for c, have in marginal:
+                factors[d][c] *= aims[d][c] / have if have else 0.0
+        if k and (error <= tolerance or error >= 0.999 * max(last) and error <= min(last) * 1.001) or not factors[DIMENSIONS[0]]:
+            break
+        last = [*last[1:], error if k else float("inf")]
+    else:
+        raise RuntimeError(f"marginals are {error} from their targets after {most} sweeps")
     return cells.withColumn("w", weight())
 
 
-def probabilities(cells: DataFrame, budget: float = BUDGET, refills: int = REFILLS) -> DataFrame:
+def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """cells (.., n, w), w summing to 1: adds p, by which a document of the cell is kept so that the cells' kept tokens are as w.
 
     A cell cannot give more than it has: p is 1 there, and what it lacks is dealt
-    out to the other cells in proportion to w, a fixed number of times.
+    out to the other cells in proportion to w. Each round caps one cell more at
+    least or is the last, so they end.
     """
     total = cells.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     aim = budget * float(total["n"] or 0)
-    p: Column = F.lit(0.0)
-    scale = aim / float(total["w"] or 1.0)
-    for _ in range(refills):
+    scale, full = aim / float(total["w"] or 1.0), -1
+    while total["n"]:
         p = F.least(F.lit(1.0), F.lit(scale) * F.col("w") / F.col("n"))
         s = cells.agg(
             F.sum(F.when(p >= 1, F.col("n")).otherwise(F.lit(0))).alias("full"),
             F.sum(F.when(p < 1, F.col("w")).otherwise(F.lit(0.0))).alias("open"),
         ).first()
-        if not s["open"]:
+        if not s["open"] or s["full"] <= full:
             break
-        scale = max(0.0, aim - float(s["full"])) / float(s["open"])
+        full = s["full"]
+        scale = max(0.0, aim - float(full)) / float(s["open"])
     return cells.withColumn("p", F.least(F.lit(1.0), F.lit(scale) * F.col("w") / F.col("n")) if total["n"] else F.lit(0.0))
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS, columns: list[str] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, columns: list[str] | None = None) -> DataFrame:
     """All rows of docs (and of its columns those named, or all) with topic, n_tokens, probability and sampled.
 
     Texts are read once: cells and tokens are written with the columns asked for.
@@ -132,7 +144,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     w = written(weighted(docs.select(*own), targets).select(*dict.fromkeys([*kept, "doc_id"]), "g_source", "g_lang", "g_topic", "n_tokens"), "mixing-documents")
     # As many rows as the targets have combinations at most: one partition, so that the marginals need no shuffle.
     cells = checkpointed(w.groupBy("g_source", "g_lang", "g_topic").agg(F.sum("n_tokens").alias("n")).filter("n > 0").coalesce(1)).coalesce(1)
-    chosen = checkpointed(probabilities(raked(cells, targets, sweeps), budget).select("g_source", "g_lang", "g_topic", "p"))
+    chosen = checkpointed(probabilities(raked(cells, targets), budget).select("g_source", "g_lang", "g_topic", "p"))
     return (
         w.join(F.broadcast(chosen), ["g_source", "g_lang", "g_topic"], "left")
         .withColumn("probability", F.coalesce("p", F.lit(0.0)))

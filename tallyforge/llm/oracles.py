@@ -9,30 +9,28 @@ def _values(d: dict[str, float]) -> str:
     return ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in d.items())
 
 
+#: Steps of the recursive raking, far beyond what the tolerance needs, and rounds of refilling.
+RAKING_STEPS, REFILLS = 480, 24
+
+
 def mixing_sql() -> str:
-    """Raking unrolled: each step is a table of its own."""
+    """Raking and refilling as recursive queries over the table of cells."""
     case = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in mixing.TOPICS.items())
     known = lambda d: "CASE WHEN {0} IN ({1}) THEN {0} ELSE '_rest' END".format(d, ", ".join(f"'{k}'" for k in mixing.TARGETS[d] if k != mixing.REST))
-    out = [
-        f"d AS (SELECT doc_id, source, lang, {known('source')} AS g_source, {known('lang')} AS g_lang, CASE {case} ELSE 'prose' END AS g_topic, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents)",
-        "w0 AS MATERIALIZED (SELECT g_source, g_lang, g_topic, sum(n_tokens)::BIGINT AS n, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
-    ]
-    for x in mixing.DIMENSIONS:
-        out.append(f"a_{x} AS MATERIALIZED (SELECT k, aim / sum(aim) OVER () AS aim FROM (VALUES {_values(mixing.TARGETS[x])}) v(k, aim) WHERE k IN (SELECT g_{x} FROM w0))")
-    i = 0
-    for _ in range(mixing.SWEEPS):
-        for x in mixing.DIMENSIONS:
-            out.append(f"w{i + 1} AS MATERIALIZED (SELECT g_source, g_lang, g_topic, n, w * aim / sum(w) OVER (PARTITION BY g_{x}) AS w FROM w{i} JOIN a_{x} ON k = g_{x})")
-            i += 1
-    out.append(f"t AS MATERIALIZED (SELECT {mixing.BUDGET} * sum(n) AS aim, {mixing.BUDGET} * sum(n) / sum(w) AS s0 FROM w{i})")
-    for r in range(mixing.REFILLS):
-        full = f"least(1.0, s{r} * w / n) >= 1"
-        prior = "t" if r == 0 else f"s{r}t"
-        out.append(
-            f"s{r + 1}t AS MATERIALIZED (SELECT any_value(aim) AS aim, CASE WHEN sum(CASE WHEN {full} THEN 0 ELSE w END) > 0 THEN greatest(0, any_value(aim) - sum(CASE WHEN {full} THEN n ELSE 0 END)) / sum(CASE WHEN {full} THEN 0 ELSE w END) ELSE any_value(s{r}) END AS s{r + 1} FROM w{i}, {prior})"
-        )
-    out.append(f"p AS (SELECT g_source, g_lang, g_topic, least(1.0, s{mixing.REFILLS} * w / n) AS p FROM w{i}, s{mixing.REFILLS}t)")
-    return "WITH " + ",\n".join(out) + """
+    dims = mixing.DIMENSIONS
+    aims = [f"a_{x} AS MATERIALIZED (SELECT k, aim / sum(aim) OVER () AS aim FROM (VALUES {_values(mixing.TARGETS[x])}) v(k, aim) WHERE k IN (SELECT g_{x} FROM w0))" for x in dims]
+    pick = lambda f: "CASE step % 3 " + " ".join(f"WHEN {i} THEN {f(x)}" for i, x in enumerate(dims)) + " END"
+    return f"""WITH RECURSIVE
+d AS (SELECT doc_id, source, lang, {known('source')} AS g_source, {known('lang')} AS g_lang, CASE {case} ELSE 'prose' END AS g_topic, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+w0 AS MATERIALIZED (SELECT g_source, g_lang, g_topic, sum(n_tokens)::BIGINT AS n, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+{", ".join(aims)},
+c AS MATERIALIZED (SELECT w0.*, a_source.aim AS aim_source, a_lang.aim AS aim_lang, a_topic.aim AS aim_topic FROM w0 JOIN a_source ON a_source.k = g_source JOIN a_lang ON a_lang.k = g_lang JOIN a_topic ON a_topic.k = g_topic),
+r AS (SELECT 0 AS step, g_source, g_lang, g_topic, n, w, aim_source, aim_lang, aim_topic FROM c
+  UNION ALL SELECT step + 1, g_source, g_lang, g_topic, n, w * ({pick(lambda x: f'aim_{x}')}) / sum(w) OVER (PARTITION BY {pick(lambda x: f'g_{x}')}), aim_source, aim_lang, aim_topic FROM r WHERE step < {RAKING_STEPS}),
+f AS MATERIALIZED (SELECT g_source, g_lang, g_topic, n, w FROM r WHERE step = {RAKING_STEPS}),
+s AS (SELECT 0 AS round, {mixing.BUDGET} * sum(n) AS aim, {mixing.BUDGET} * sum(n) / sum(w) AS scale FROM f
+  UNION ALL SELECT round + 1, aim, coalesce((SELECT greatest(0, s.aim - coalesce(sum(n) FILTER (s.scale * w / n >= 1), 0)) / nullif(sum(w) FILTER (s.scale * w / n < 1), 0) FROM f), scale) FROM s WHERE round < {REFILLS}),
+p AS (SELECT g_source, g_lang, g_topic, least(1.0, (SELECT scale FROM s WHERE round = {REFILLS}) * w / n) AS p FROM f)
 SELECT doc_id, source, lang, g_topic AS topic, n_tokens, round(coalesce(p, 0), 6) AS probability,
        ('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < coalesce(p, 0) AS sampled
 FROM d LEFT JOIN p USING (g_source, g_lang, g_topic)"""

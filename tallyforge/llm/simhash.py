@@ -26,9 +26,13 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bits of the fingerprint in each slice, and by how many of them a linked pair may differ in its best slice.
 SLICES = ((0, 21), (21, 21), (42, 22))
 SLICE_RADIUS = RADIUS // len(SLICES)
-#: Fingerprints that a tree is fitted on; the tree only decides how rows are dealt out, never which pairs link.
-FIT_ROWS = 20_000
+#: Fingerprints that a tree is fitted on: so many a leaf, FIT_ROWS at least and MOST_FIT_ROWS at most; the tree only decides how rows are dealt out, never which pairs link.
+FIT_ROWS, FIT_A_LEAF, MOST_FIT_ROWS = 20_000, 4, 1 << 22
 LEAF_ROWS = 1_000
+#: Levels at which a leaf is one value of the slice: deeper trees would divide nothing. A fingerprint then visits at most one leaf more than the slice has bits.
+MOST_LEVELS = max(bits for _, bits in SLICES)
+#: Fingerprints that one task deals out to leaves.
+DEALT_ROWS = 20_000
 #: Rows at home, and visitors, that one task compares; larger leaves are compared in tiles.
 TILE_ROWS = 16_000
 #: Distances that a task holds at once.
@@ -150,8 +154,9 @@ def linked(home: np.ndarray, visitors: np.ndarray, home_node: np.ndarray, visito
 def links(distinct: DataFrame, n: int) -> DataFrame:
     """(u, v), v < u: edges whose components are those of all pairs of distinct (node, fp) within RADIUS. n: the number of rows."""
     spark = distinct.sparkSession
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(FIT_ROWS).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    levels = int(np.clip(np.ceil(np.log2(max(1, n / LEAF_ROWS))), 0, 14))
+    levels = int(np.clip(np.ceil(np.log2(max(1, n / LEAF_ROWS))), 0, MOST_LEVELS))
+    most = int(np.clip(FIT_A_LEAF << levels, FIT_ROWS, MOST_FIT_ROWS))
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(most).select("fp").toPandas()["fp"].to_numpy(np.int64)
     trees = spark.sparkContext.broadcast([fit_tree(sample, k, levels) for k in range(len(SLICES))])
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,9 +164,10 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
             fps, node = x["fp"].to_numpy(np.int64), x["node"].to_numpy(np.int64)
             for k, nodes in enumerate(trees.value):
                 for leaf, rows, home in visits(fps, k, nodes):
-                    yield pd.DataFrame({"leaf": np.full(len(rows), k * 100_000 + leaf, np.int32), "home": home, "node": node[rows], "fp": fps[rows]})
+                    yield pd.DataFrame({"leaf": np.full(len(rows), k << (MOST_LEVELS + 2) | leaf, np.int32), "home": home, "node": node[rows], "fp": fps[rows]})
 
-    routed = written(distinct.mapInPandas(dealt, "leaf int, home boolean, node long, fp long"), "simhash-leaves")
+    spread = distinct.repartition(max(spark.sparkContext.defaultParallelism, n // DEALT_ROWS), "fp")
+    routed = written(spread.mapInPandas(dealt, "leaf int, home boolean, node long, fp long"), "simhash-leaves")
     # A leaf is a tree node, so this table is no larger than the trees are.
     sizes = F.broadcast(
         routed.groupBy("leaf").agg(F.sum(F.col("home").cast("long")).alias("at_home"), F.count(F.lit(1)).alias("all"))
@@ -183,12 +189,13 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return tiles.groupBy("leaf", "i", "j").applyInPandas(compared, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (u, v), for every node with an edge but the smallest of each component.
 
-    Alternates large-star and small-star contraction, which halve paths; each
-    round is checkpointed. A star's centre gathers its minimum by partial
-    aggregation.
+    Alternates large-star and small-star contraction, which halve paths, until
+    nothing changes; each round is checkpointed. A star's centre gathers its
+    minimum by partial aggregation. Rather than lose a link, it raises an error
+    if it has not ended after most_rounds, far more than halving can need.
     """
     e = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
@@ -205,6 +212,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components have not settled within {most_rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
