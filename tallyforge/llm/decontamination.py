@@ -10,6 +10,7 @@ text buffer advance together, as numpy arrays.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 10
 #: Patterns at least this long are searched apart from the short ones, which allow small jumps only.
 LONG = 24
 #: Bytes of benchmark text compiled into one searcher; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 4 << 20
 
 _WORD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -32,6 +35,29 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
+def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """Items in blocks of at most block_bytes of words; a longer item comes in several parts, which share window - 1 words, so that no window is lost."""
+    block: list[tuple[str, str]] = []
+    size = 0
+    for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null").toLocalIterator():
+        words = words_of(r["text"])
+        at = 0
+        while at < len(words):
+            end, n = at, 0
+            while end < len(words) and (n < block_bytes - size or end - at < window):
+                n += len(words[end]) + 1
+                end += 1
+            # The last windows of an item stay whole.
+            block.append((r["item"], b" ".join(words[at:end]).decode("utf-8", "surrogatepass")))
+            size += n
+            if size >= block_bytes:
+                yield block
+                block, size = [], 0
+            at = len(words) if end == len(words) else end - window + 1
+    if block:
+        yield block
+
+
 def windows_of(words: list[bytes], size: int = WINDOW) -> set[bytes]:
     """The item's windows as patterns with a space at either end."""
     if not words:
@@ -167,18 +193,8 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def searchers(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Searcher]:
-    """The benchmark is compiled block by block; each block's text is at most block_bytes, or one item."""
-    out, block, size = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
-        n = len((r["text"] or "").encode("utf-8", "surrogatepass"))
-        if block and size + n > block_bytes:
-            out.append(Searcher(block, window))
-            block, size = [], 0
-        if r["item"] is not None:
-            block.append((r["item"], r["text"]))
-            size += n
-    return [*out, Searcher(block, window)]
+def _digest(ranges: list[tuple[int, int]], items: set[str]) -> tuple[int, int, str]:
+    return sum(b - a for a, b in ranges), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -186,25 +202,55 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     Columns of docs with these names are replaced. A null or empty text has no
     words and is clean; items without words match nothing; items with equal
-    windows are all reported; rows with a null item_id are passed over. Each
-    block of the benchmark is one broadcast of bounded size, and tasks hold one
-    at a time.
+    windows are all reported; rows with a null item_id are passed over; an empty table
+    gives an empty result.
+
+    The benchmark passes through the driver one block at a time, and each block is one
+    broadcast of bounded size. A benchmark of one block is searched in one
+    pass; with more, the documents are written once and searched once a block,
+    the block's broadcast is dropped before the next, and what each block found
+    is merged by document: only documents with hits take part in that.
     """
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(s) for s in searchers(benchmark, window, block_bytes)]
-
-    @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string")
-    def searched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows: list[tuple[int, list[tuple[int, int]], set[str]]] = []
-            values = [t if isinstance(t, str) else None for t in texts]
-            for k, one in enumerate(shared):
-                found = list(one.value.search(values))
-                rows = found if k == 0 else [(n, merged(a + b), x | y) for (n, a, x), (_, b, y) in zip(rows, found, strict=True)]
-            yield pd.DataFrame(
-                [(n, sum(b - a for a, b in r), len(x), hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()) for n, r, x in rows],
-                columns=["n_words", "n_hit", "n_items", "items_sha256"],
-            )
-
-    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_found")]
-    return docs.select(*kept, searched("text").alias("_found")).select(*kept, "_found.*", (F.col("_found.n_hit") > 0).alias("contaminated"))
+    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_found", "_row")]
+    blocks = item_blocks(benchmark, window, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        shared = sc.broadcast(Searcher(first, window))
+
+        @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string")
+        def searched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                found = shared.value.search([t if isinstance(t, str) else None for t in texts])
+                yield pd.DataFrame([(n, *_digest(r, x)) for n, r, x in found], columns=["n_words", "n_hit", "n_items", "items_sha256"])
+
+        return docs.select(*kept, searched("text").alias("_found")).select(*kept, "_found.*", (F.col("_found.n_hit") > 0).alias("contaminated"))
+
+    base = written(docs.select(*kept, F.monotonically_increasing_id().alias("_row")), "searched-documents")
+    parts = None
+    for block in itertools.chain([first, second], blocks):
+        shared = sc.broadcast(Searcher(block, window))
+
+        def hits(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                found = shared.value.search([t if isinstance(t, str) else None for t in x["text"]])
+                rows = [(row, [a for a, _ in r], [b for _, b in r], sorted(items)) for row, (_, r, items) in zip(x["_row"], found, strict=True) if r]
+                yield pd.DataFrame(rows, columns=["_row", "a", "b", "items"])
+
+        part = written(base.select("_row", "text").mapInPandas(hits, "_row long, a array<long>, b array<long>, items array<string>"), "searched-block")
+        shared.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+
+    @F.pandas_udf("n_hit long, n_items long, items_sha256 string")
+    def together(a: pd.Series, b: pd.Series, items: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_digest(merged(list(zip(p.tolist(), q.tolist(), strict=True))), set(i)) for p, q, i in zip(a, b, items, strict=True)], columns=["n_hit", "n_items", "items_sha256"])
+
+    @F.pandas_udf("long")
+    def n_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t if isinstance(t, str) else None)) for t in texts], dtype="int64")
+
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = parts.groupBy("_row").agg(flat("a"), flat("b"), flat("items")).select("_row", together("a", "b", "items").alias("_found"))
+    out = base.join(found, "_row", "left").withColumn("n_words", n_words("text"))
+    n = lambda c: F.coalesce(F.col(f"_found.{c}"), F.lit(0)).alias(c)
+    return out.select(*kept, "n_words", n("n_hit"), n("n_items"), F.coalesce("_found.items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"), (n("n_hit") > 0).alias("contaminated"))

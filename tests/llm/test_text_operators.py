@@ -188,11 +188,40 @@ def test_token_counts(spark, docs, empty):
     assert token_counts.document_tokens(empty).count() == 0
 
 
-def test_separator_scan_across_blocks(spark):
+def test_separator_scan_across_blocks(spark, tmp_path):
+    """Blocks in rows and files on disk, of sizes that cut documents anywhere, in groups of blocks that are cut anywhere too."""
     rng = np.random.default_rng(1)
-    for size in (1, 3, 7):
+    for size, group in ((1, 5), (3, 1), (7, 4)):
         lengths = rng.integers(0, 12, 40)
         flat = np.concatenate([np.append(rng.integers(0, 9, n), 99) for n in lengths] + [[5, 5]]).astype("<u2")
         blocks = [(0, i // size, flat[i : i + size].tobytes()) for i in range(0, len(flat), size)]
-        got = token_counts.token_counts(spark.createDataFrame(blocks, "file int, block long, data binary"), 99).orderBy("ordinal").collect()
+        got = token_counts.token_counts(spark.createDataFrame(blocks, "file int, block long, data binary"), 99, group=group).orderBy("ordinal").collect()
         assert [r["n_tokens"] for r in got] == lengths.tolist() and [r["ordinal"] for r in got] == list(range(40))
+        folder = tmp_path / f"flat{size}"
+        folder.mkdir()
+        flat.tofile(folder / "a.bin")
+        flat.astype("<u2")[:0].tofile(folder / "b.bin")
+        flat[::-1].tofile(folder / "c.bin")
+        files = token_counts.files_below(spark, str(folder))
+        again = token_counts.file_token_counts(files, 99, size, group).orderBy("file", "ordinal").collect()
+        assert [r["n_tokens"] for r in again if r["file"] == 1] == lengths.tolist()
+        back = [2, *lengths[:0:-1].tolist()]
+        assert [r["n_tokens"] for r in again if r["file"] == 2] == back and len(again) == 80
+
+
+def test_a_closing_id_of_the_vocabulary_is_refused():
+    with pytest.raises(ValueError, match="vocabulary"):
+        token_counts.checked_end(token_counts.encoder(token_counts.TOKENIZER), 11)
+    token_counts.checked_end(token_counts.encoder(token_counts.TOKENIZER), token_counts.END_OF_DOCUMENT)
+
+
+def test_decontamination_of_a_long_item_in_blocks(spark):
+    """One item longer than a block comes in parts without losing a window; long documents are searched whole."""
+    words = [f"w{i}" for i in range(300)]
+    text = " ".join(f"x{i % 50}" for i in range(3000)) + " " + " ".join(words[140:152]) + " end"
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words[:9])), (3, " ".join(words[291:]) + " z"), (4, " ".join(words))], "doc_id long, text string")
+    items = [(1, " ".join(words)), (2, "x1 x2 x3")]
+    for size in (1 << 20, 600):
+        got = {r["doc_id"]: r for r in decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=size).collect()}
+        for d, t in ((1, text), (2, " ".join(words[:9])), (3, " ".join(words[291:]) + " z"), (4, " ".join(words))):
+            assert tuple(got[d][c] for c in ("n_words", "n_hit", "n_items", "items_sha256")) == brute_hits(t, items), (size, d)
