@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The layouts that statements use; ISO first and exactly, all others with the day first.
-LAYOUTS = ("yyyy-MM-dd", "dd-MMM-yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "d/M/yyyy", "d-M-yyyy", "dd-MMM-yy", "dd MMM yyyy", "dd.MM.yyyy", "dd/MM/yy")
+LAYOUTS = ("yyyy-MM-dd", "dd-MMM-yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "d/M/yyyy", "d-M-yyyy", "dd-MMM-yy", "d-MMM-yyyy", "d-MMM-yy", "dd MMM yyyy", "dd.MM.yyyy", "dd/MM/yy")
 # Dates within a line of text, tried in this order.
 DATE_PATTERNS = (r"\d{1,2}-[A-Za-z]{3}-\d{4}", r"\d{4}-\d{2}-\d{2}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{1,2}-\d{1,2}-\d{4}")
 
@@ -17,6 +17,12 @@ def parsed_date(c: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(t, F.lit(layout)).cast("date") for layout in LAYOUTS))
 
 
+def canonical_date(c: Column) -> Column:
+    """The day as ISO text; text that names none stays as it is, trimmed, so that it equals nothing but itself; null becomes empty."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return F.coalesce(parsed_date(t).cast("string"), t)
+
+
 def date_in(c: Column) -> Column:
     """The first pattern's match within the text, or null."""
     return F.coalesce(*(F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in DATE_PATTERNS))

@@ -12,7 +12,10 @@ from .text import clean, is_digits, is_ifsc, segments
 # What a segment of a description says about the payee's role.
 ROLES = {"vendor": "Vendor", "contractor": "Contractor", "contract": "Contractor", "professional": "Professional", "prof": "Professional", "imprest": "Imprest"}
 ROLE_PREFIXES = {"cancellation": "Cancellation"}
-ROLE_SUFFIX = r"(?i)\s+(IMPREST|VENDOR|CONTRACTOR|CONTRACT|PROFESSIONAL|PROF|SALARY)$"
+ROLE_SUFFIX = r"(?i)\s+(IMPREST|SALARY|CONTRACTOR|PROFESSIONAL|VENDOR|ADVANCE|REFUND)$"
+# Words at the end of a text that tell what was paid for, and parts of texts that name no payee.
+NOTE_WORDS = ("vendor", "contractor", "contract", "professional", "prof", "imprest", "salary", "advance", "refund", "broker", "internal", "commission", "rent")
+NO_PAYEE = "epfo payment|esic payment|tin 2\\.0"
 
 
 def _role(c: Column) -> Column:
@@ -72,8 +75,46 @@ def dashed_payee_name(description: Column) -> Column:
     return F.when(F.size(parts) >= 3, F.coalesce(imps, before))
 
 
+def _is_number(c: Column) -> Column:
+    """An account or transaction number: eight characters or more, mostly digits."""
+    return c.rlike(r"^[A-Za-z]{0,6}[xX*\d]{8,}$")
+
+
 def any_payee_name(description: Column) -> Column:
-    """The batch extractor: the known layouts first, then the longest segment that is letters and spaces."""
-    wordy = F.filter(F.transform(segments(description), lambda s: F.upper(F.trim(s))), lambda s: s.rlike(r"^[A-Z][A-Z .&']{4,}$") & ~s.rlike(r"^(NEFT|RTGS|IMPS|UPI|YIB|TPT|NA|SALARY|VENDOR|IMPREST|CONTRACTOR)$"))
-    longest = F.try_element_at(F.reverse(F.array_sort(F.transform(wordy, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))), F.lit(1))["s"]
-    return F.coalesce(payee_name(description), dashed_payee_name(description), longest)
+    """The batch extractor: one layout after another; null where a text names no payee, such as charges and taxes.
+
+    A layout says how a text begins, how it is separated, and which of its parts is the name.
+    """
+    d = F.trim(F.regexp_replace(F.coalesce(description, F.lit("")), r"\s+", " "))
+    up = F.upper(d)
+    dash, slash, colon = (F.transform(F.split(d, sep, -1), lambda x: F.trim(x)) for sep in ("-", "/", ":"))
+    part = lambda parts, n: F.try_element_at(parts, F.lit(n))
+    joined = lambda parts, a, sep, less: F.array_join(F.slice(parts, F.lit(a), F.greatest(F.size(parts) - (a - 1) - less, F.lit(0))), sep)
+    words = F.split(d, " ", -1)
+    # NEFT <number> <name> <branch>: the branch is letters and four digits or more, and may be missing.
+    branch = F.element_at(words, -1).rlike(r"(?i)^[A-Z]{2,6}\d{4,}$") & (F.size(words) > 3)
+    spaced = joined(words, 3, " ", F.when(branch, 1).otherwise(0))
+    # <number>-<name>[-<account>][-<note>]: account and note go from the end.
+    size, last, second = F.size(dash), F.element_at(dash, -1), F.try_element_at(dash, F.lit(-2))
+    noted = (size > 2) & F.lower(last).isin(*NOTE_WORDS)
+    ends = F.when(_is_number(last), 1).when(noted & _is_number(second), 2).when(noted, 1).otherwise(0)
+    plain = joined(dash, 2, "-", ends)
+    issued = F.regexp_replace(joined(slash, 3, "/", 0), "(?i)/atPar$", "")
+    layouts = [
+        (up.startswith("BY CLG:") & (F.size(colon) > 2), part(colon, 2)),
+        (up.startswith("DD ISSUED/") & (F.size(slash) > 2), F.when(F.length(issued) > 2, issued)),
+        (up.rlike("^(DD CANCLN|DD CANC|BY DD NUM)\\b"), F.lit(None)),
+        (up.rlike("^(NEFT|RTGS) CR-[A-Z0-9]+-") & last.rlike("(?i)^[A-Z0-9]{10,}$") & (size > 3), F.try_element_at(F.filter(F.slice(dash, 3, F.greatest(size - 3, F.lit(0))), lambda x: x != ""), F.lit(1))),
+        (up.rlike("^(NEFT|RTGS) [A-Z0-9]{10,} ."), spaced),
+        (up.startswith("INB/IFT/") & up.endswith("/TPARTY TRANSFER"), F.trim(F.regexp_replace(joined(slash, 3, "/", 1), "(?i)AXIS$", ""))),
+        (up.rlike("^(NEFT|RTGS)/") & (F.size(slash) > 2) & ~_is_number(part(slash, 3)), part(slash, 3)),
+        (up.startswith("IMPS-") & part(dash, 2).rlike("^\\d+$") & (size > 4), part(dash, 3)),
+        (up.startswith("BILLDESK-") & (size > 3), part(dash, 3)),
+        (up.startswith("NEFT-RETURN-") & (size > 4), part(dash, 4)),
+        (up.startswith("INB/") & up.endswith("/NA") & part(slash, 2).rlike("^\\d+$") & ~d.rlike(f"(?i){NO_PAYEE}"), joined(slash, 3, "/", 1)),
+        (part(dash, 1).rlike(r"^[A-Z]{4,5}[A-Z0-9]*\d{6,}$") & (size > 1), F.when((F.length(plain) > 1) & ~_is_number(plain), plain)),
+    ]
+    out = F.lit(None).cast("string")
+    for holds, name in reversed(layouts):
+        out = F.when(holds, name).otherwise(out)
+    return clean(out)

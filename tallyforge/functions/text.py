@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Forms of company names, longest first.
-CORPORATE_SUFFIXES = {r"\bPRIVATE LIMITED\b": "", r"\bPVT\.? LTD\.?": "", r"\bPRIVATE LTD\.?": "", r"\bPVT\.? LIMITED\b": "", r"\bLIMITED\b": "", r"\bLTD\.?": "", r"\bLLP\b": ""}
-# References that banks put before the text that matters.
-BANK_REFERENCE = r"\b(?:[A-Z]{4}[A-Z0-9]?0?|YIB|UTR|RRN)[A-Z0-9]{6,}\b"
+# Each form of company name has a token of its own, longest first.
+CORPORATE_FORMS = {r"\bPRIVATE LIMITED\b": "PVTLTD", r"\bPVT\.?\s*LTD\.?\b": "PVTLTD", r"\bLIMITED\b": "LTD"}
+# Bank codes that begin a reference number in descriptions.
+BANK_CODES = ("YESME", "YESB", "HDFC", "SBIN", "CNRB", "UBIN", "ICIC", "KKBK", "UTIB", "BARB", "PUNB", "IDIB", "FDRL", "IDFC", "MAHB")
+# How a mail names an account, the explicit form first.
+ACCOUNT_MENTIONS = (r"(?i)(?:account\s*(?:no\.?|number)|a/c\s*no\.?)\s*[:-]?\s*[*a-z\d]*(\d{4})\b", r"(?i)(?:a/c|account).{0,15}[*a-z\d]*(\d{4})\b")
 
 
 def clean(c: Column) -> Column:
@@ -34,9 +36,9 @@ def alnum_key(c: Column) -> Column:
 
 
 def company_key(c: Column) -> Column:
-    """alnum_key without the words for the form of a company."""
+    """alnum_key with one token for each form of company, so that PVT LTD and PRIVATE LIMITED are one and LTD is another."""
     c = F.upper(c)
-    for pattern, put in CORPORATE_SUFFIXES.items():
+    for pattern, put in CORPORATE_FORMS.items():
         c = F.regexp_replace(c, pattern, put)
     return alnum_key(c)
 
@@ -79,14 +81,15 @@ def masked_account(c: Column) -> Column:
 
 
 def account_tail(body: Column) -> Column:
-    """The last four digits that a mail names: a masked number, or digits after "ending"."""
-    masked = F.regexp_extract(body, r"(?i)[x*]{2,}\s*(\d{4})\b", 1)
-    ending = F.regexp_extract(body, r"(?i)(?:ending|a/c|account)\D{0,20}?(\d{4})\b", 1)
-    return F.coalesce(F.nullif(masked, F.lit("")), F.nullif(ending, F.lit("")))
+    """The last four digits of the account that a mail names; null if it names none."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in ACCOUNT_MENTIONS))
 
 
-def safe_filename(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(c), r"[\\/]+", "_"), "[^A-Za-z0-9._ -]", "")
+def safe_filename(c: Column, prefix: Column | None = None) -> Column:
+    """The name without folders, other characters than letters, digits and . _ - as underscores, with .pdf at its end; prefix_ before it, such as a time and an id."""
+    name = F.regexp_replace(F.regexp_extract(c, "([^/]*)$", 1), r"[^a-zA-Z0-9._\-]", "_")
+    name = F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+    return name if prefix is None else F.concat(prefix, F.lit("_"), name)
 
 
 def table_id(url: Column) -> Column:
@@ -104,10 +107,12 @@ def fenced_json(c: Column, schema: str) -> Column:
     return F.from_json(bare, schema)
 
 
-def term_text(c: Column) -> Column:
-    """What similarity looks at: upper case without bank references and runs of 4 digits or more, separators as spaces."""
-    c = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), BANK_REFERENCE, " ")
-    c = F.regexp_replace(c, r"\d{4,}", " ")
+def term_text(c: Column, bank_codes: tuple[str, ...] = BANK_CODES) -> Column:
+    """What similarity looks at: upper case without reference numbers that begin with a bank's code and numbers of 4 digits or more, separators as spaces."""
+    c = F.upper(F.coalesce(c, F.lit("")))
+    if bank_codes:
+        c = F.regexp_replace(c, rf"\b(?:{'|'.join(bank_codes)})[A-Z0-9]{{6,}}\b", " ")
+    c = F.regexp_replace(c, r"\b\d{4,}\b", " ")
     return F.trim(F.regexp_replace(F.translate(c, "-/", "  "), r"\s+", " "))
 
 
@@ -116,12 +121,14 @@ def shortened(c: Column, size: int = 80) -> Column:
 
 
 def failure_category(stage: Column, error: Column) -> Column:
+    """What staff are told of a failed run; what no stage explains is the error itself, shortened."""
     e = F.lower(F.coalesce(error, F.lit("")))
+    upload = F.when(e.contains("duplicate"), "Duplicate statement").when(e.contains("not found"), "Account not found").otherwise("Failed to upload to Google Sheets")
     return (
-        F.when((stage == 6) | e.contains("password"), F.lit("Password or unlock"))
-        .when((stage == 7) | e.contains("no transactions"), F.lit("Extraction"))
-        .when(e.contains("financial year"), F.lit("Financial year"))
-        .when(e.contains("quota") | e.contains("429"), F.lit("Rate limit"))
-        .when(stage.isin(8, 9), F.lit("Upload"))
-        .otherwise(F.lit("Other"))
+        F.when(stage == 5, F.lit("Account not found"))
+        .when(stage == 6, F.when(e.contains("password"), "Invalid PDF password").otherwise("Corrupted PDF"))
+        .when(stage == 7, F.when(e.contains("unsupported"), "Unsupported bank format").otherwise("Parsing failed"))
+        .when(stage == 8, F.lit("Financial Year mismatch"))
+        .when(stage == 9, upload)
+        .otherwise(shortened(F.coalesce(F.nullif(error, F.lit("")), F.lit("Processing failed"))))
     )

@@ -29,7 +29,7 @@ HEADER_TOKENS = {
     "reference": "reference", "number": "reference", "cheque": "reference", "withdrawal": "debits", "withdrawals": "debits", "debit": "debits", "debits": "debits",
     "deposit": "credits", "deposits": "credits", "credit": "credits", "credits": "credits", "running": "balance", "balance": "balance", "channel": "channel",
 }
-NOISE = ["opening balance", "closing balance", "total deposits", "total withdrawals", "summary", "page ", "c/f", "toll free", "customer care", "call us"]
+NOISE = ["opening balance", "closing balance", "total deposits", "total withdrawals", "summary", "page", "c/f", "toll free", "customer care", "call us"]
 TERMINATORS = ["closing balance", "customer care", "call us"]
 _DATE = re.compile("|".join(DATE_PATTERNS))
 

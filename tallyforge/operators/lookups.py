@@ -1,12 +1,15 @@
-"""Joins with small dimensions: equal, by suffix, by what a text contains, by unordered pairs and by ranges.
+"""Lookups in small dimensions: equal, by suffix, by what a text contains, by unordered pairs and by ranges.
 
-A dimension joined by a condition that is no equality is broadcast behind a
-check of its size: rules and accounts are lists that people keep. Beyond the
-bound the call fails with the figure rather than fall into a product.
+A dimension that is looked up by a condition other than equality is a list that people
+keep: it becomes one array, ordered once, that every row searches for
+itself. Nothing is shuffled or joined, rows that repeat a key are judged each on its own, and
+null keys are no exception. Beyond MAX_DIMENSION_ROWS the query fails with the figure.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,29 +18,47 @@ from ..functions.text import no_spaces
 MAX_DIMENSION_ROWS = 50_000
 
 
+def as_array(dim: DataFrame, order: list[str], most: int = MAX_DIMENSION_ROWS) -> Column:
+    """The dimension's rows as one ordered array of structs with all their columns: a scalar subquery, read once a query."""
+    rest = [c for c in dim.columns if c not in order]
+    rows = F.array_sort(F.collect_list(F.struct(*order, *rest)))
+    checked = F.when(F.count(F.lit(1)) > most, F.raise_error(F.format_string(f"a dimension searched by a condition may have {most} rows at most, not %d", F.count(F.lit(1)))).cast(f"array<struct<{','.join(f'{c}:{dim.schema[c].dataType.simpleString()}' for c in [*order, *rest])}>>")).otherwise(rows)
+    return dim.agg(checked.alias("rows")).scalar()
+
+
 def bounded(dim: DataFrame, most: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """A broadcast of the dimension, if it has at most so many rows."""
-    n = dim.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"a dimension joined by a condition may have {most} rows at most")
-    return F.broadcast(dim)
+    """A broadcast of a dimension joined by equality, if it has at most so many rows; the check runs with the query."""
+    n = dim.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return F.broadcast(dim.filter(F.when(n > most, F.raise_error(F.lit(f"a broadcast dimension may have {most} rows at most")).cast("boolean")).otherwise(F.lit(True))))
 
 
-def first_match(rows: DataFrame, rules: DataFrame, condition: Column, key: list[str], order: list[str], outputs: list[str]) -> DataFrame:
+def first_match(rows: DataFrame, rules: DataFrame, condition: Callable[[Column, Column], Column], values: dict[str, Column], order: list[str], outputs: dict[str, str] | list[str]) -> DataFrame:
     """rows with the outputs of the first rule in order whose condition holds; null where none does.
 
-    The rules are broadcast; the matches of a row meet in one aggregation by
-    its key, whose partial step runs in the task that found them.
+    condition(x, r) says whether a rule r holds: x has the values, which are worked out once a row, r
+    the rule's columns. outputs: columns of the rule, and what they are called in the result.
     """
-    found = rows.join(bounded(rules), condition).groupBy(*(rows[k] for k in key)).agg(F.min(F.struct(*(rules[c].alias(f"_{c}") for c in [*order, *(o for o in outputs if o not in order)]))).alias("_rule"))
-    out = rows.join(found, key, "left")
-    return out.select(*rows.columns, *(F.col(f"_rule._{c}").alias(c) for c in outputs))
+    names = outputs if isinstance(outputs, dict) else {c: c for c in outputs}
+    found = F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), lambda x: F.try_element_at(F.filter(F.col("_rules"), lambda r: condition(x, r)), F.lit(1)))
+    out = rows.withColumn("_rules", as_array(rules, order)).withColumn("_rule", F.element_at(found, 1))
+    kept = [c for c in rows.columns if c not in names.values()]
+    return out.select(*kept, *(F.col(f"_rule.{c}").alias(n) for c, n in names.items()))
+
+
+def override_rules(rules: DataFrame) -> DataFrame:
+    """Rules with suffix and keyword as they are compared."""
+    return rules.withColumns({"account_suffix": F.coalesce(F.trim("account_suffix"), F.lit("")), "keyword": F.coalesce(F.upper(F.trim("keyword")), F.lit(""))})
+
 
+def first_override(rows: DataFrame, rules: DataFrame, outputs: dict[str, str] | list[str], account: str = "account_number", description: str = "description", order: str = "rule_order") -> DataFrame:
+    """The first rule by account suffix and keyword; a blank one is a wildcard, a rule with both blank never matches."""
 
-def override_condition(rows: DataFrame, rules: DataFrame, account: str, description: str) -> Column:
-    """Account suffix and keyword; a blank one is a wildcard, a rule with both blank never matches."""
-    suffix, keyword = F.coalesce(F.trim(rules["account_suffix"]), F.lit("")), F.coalesce(F.upper(F.trim(rules["keyword"])), F.lit(""))
-    return ((suffix != "") | (keyword != "")) & ((suffix == "") | rows[account].endswith(suffix)) & ((keyword == "") | F.upper(rows[description]).contains(keyword))
+    def holds(x: Column, r: Column) -> Column:
+        suffix, word = r["account_suffix"], r["keyword"]
+        return ((suffix != "") | (word != "")) & ((suffix == "") | x["account"].endswith(suffix)) & ((word == "") | x["text"].contains(word))
+
+    values = {"account": F.coalesce(F.col(account), F.lit("")), "text": F.coalesce(F.upper(F.col(description)), F.lit(""))}
+    return first_match(rows, override_rules(rules), holds, values, [order], outputs)
 
 
 def active_overrides(rules: DataFrame) -> DataFrame:
@@ -48,19 +69,28 @@ def active_overrides(rules: DataFrame) -> DataFrame:
     return rules.filter(ok)
 
 
-def suffix_lookup(rows: DataFrame, column: str, suffixes: DataFrame, suffix: str, order: str, outputs: list[str], key: list[str]) -> DataFrame:
-    return first_match(rows, suffixes, rows[column].endswith(suffixes[suffix]), key, [order], outputs)
+def suffix_lookup(rows: DataFrame, column: str, suffixes: DataFrame, suffix: str, order: str, outputs: list[str]) -> DataFrame:
+    return first_match(rows, suffixes, lambda x, r: x["text"].endswith(r[suffix]), {"text": F.col(column)}, [order], outputs)
+
+
+def contains_lookup(rows: DataFrame, text: Column, dim: DataFrame, word: str, order: str, outputs: list[str]) -> DataFrame:
+    """The first word of the dimension within the text."""
+    return first_match(rows, dim, lambda x, r: x["text"].contains(r[word]), {"text": text}, [order], outputs)
 
 
-def counterparty(rows: DataFrame, accounts: DataFrame, key: list[str]) -> DataFrame:
+def counterparty(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """Another account whose number stands in the description (without spaces; long numbers also without their first 3 digits); the first by account order.
 
-    Adds other_account, other_unit and other_stage.
+    Adds other_account, other_unit and other_stage. Only descriptions with as many digits in a row as the shortest number that counts are searched.
     """
-    other = accounts.select(F.col("account_number").alias("other_account"), F.col("business_unit").alias("other_unit"), F.col("account_stage").alias("other_stage"), F.col("account_order").alias("other_order"))
-    text, number = no_spaces(rows["description"]), other["other_account"]
-    tail = (F.length(number) > 12) & text.contains(F.substr(number, F.lit(4)))
-    return first_match(rows, other, (rows["account_number"] != number) & (text.contains(number) | tail), key, ["other_order"], ["other_account", "other_unit", "other_stage"])
+    other = accounts.select("account_order", F.col("account_number").alias("number"), F.when(F.length("account_number") > 12, F.substr("account_number", F.lit(4))).otherwise(F.col("account_number")).alias("least"), "business_unit", "account_stage")
+
+    def holds(x: Column, r: Column) -> Column:
+        # Whoever has the whole number has its end too.
+        return (x["own"] != r["number"]) & x["text"].contains(r["least"])
+
+    values = {"own": F.coalesce(F.col("account_number"), F.lit("")), "text": F.coalesce(no_spaces(F.col("description")), F.lit(""))}
+    return first_match(rows, other, holds, values, ["account_order"], {"number": "other_account", "business_unit": "other_unit", "account_stage": "other_stage"})
 
 
 def pair_key(a: Column, b: Column) -> Column:
@@ -79,10 +109,10 @@ def pair_label(a: Column, b: Column, pairs: dict[str, str] | None = None) -> Col
     return out
 
 
-def account_by_tail(tails: DataFrame, accounts: DataFrame, key: list[str]) -> DataFrame:
-    """The first account that ends in the four digits; is_ambiguous where several companies have one."""
-    hits = tails.join(bounded(accounts), accounts["account_number"].endswith(tails["tail"])).groupBy(*(tails[k] for k in key)).agg(F.min(F.struct("account_order", accounts["account_number"].alias("a"), accounts["company"].alias("c"))).alias("_f"), F.count_distinct(accounts["company"]).alias("_n"))
-    return tails.join(hits, key, "left").select(*tails.columns, F.col("_f.a").alias("account_number"), F.col("_f.c").alias("company"), F.coalesce(F.col("_n") > 1, F.lit(False)).alias("is_ambiguous"))
+def account_by_tail(tails: DataFrame, accounts: DataFrame, digits: int = 4) -> DataFrame:
+    """The first account that ends in the row's tail of so many digits; is_ambiguous where several companies have one. An equality join with one row a tail."""
+    by_tail = accounts.groupBy(F.right("account_number", F.lit(digits)).alias("tail")).agg(F.min(F.struct("account_order", F.col("account_number").alias("a"), F.col("company").alias("c"))).alias("_f"), F.count_distinct("company").alias("_n"))
+    return tails.join(by_tail, "tail", "left").select(*tails.columns, F.col("_f.a").alias("account_number"), F.col("_f.c").alias("company"), F.coalesce(F.col("_n") > 1, F.lit(False)).alias("is_ambiguous"))
 
 
 def routed(rows: DataFrame, exact: DataFrame, active: DataFrame, exact_key: list[str], active_key: list[str], value: str, default: str | None) -> DataFrame:
@@ -106,10 +136,10 @@ def first_known_segment(rows: DataFrame, column: str, dim: DataFrame, name: str,
     return rows.join(found, key, "left").select(*rows.columns, *(F.col(f"_f._{o}").alias(o) for o in outputs))
 
 
-def range_bucket(rows: DataFrame, value: str, ranges: DataFrame, label: str, order: str, key: list[str]) -> DataFrame:
-    """start <= value < end, the first range wins; open ends are null."""
-    inside = (ranges["start"].isNull() | (ranges["start"] <= rows[value])) & (ranges["end"].isNull() | (rows[value] < ranges["end"]))
-    return first_match(rows, ranges, inside, key, [order], [label])
+def range_bucket(rows: DataFrame, value: str, ranges: DataFrame, label: str, order: str) -> DataFrame:
+    """start <= value < end, the first range wins; open ends are null, and a null value lies in no range."""
+    inside = lambda x, r: (r["start"].isNull() | (r["start"] <= x["v"])) & (r["end"].isNull() | (x["v"] < r["end"]))
+    return first_match(rows, ranges, inside, {"v": F.col(value)}, [order], [label])
 
 
 def occurrence(df: DataFrame, key: list, order: list, name: str = "rn") -> DataFrame:

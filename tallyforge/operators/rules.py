@@ -74,7 +74,7 @@ class Business:
     """What one business tells the rules about itself."""
 
     own_names: list[str] = field(default_factory=list)
-    bank_ifsc: str = "MAHB0[A-Z0-9]{6}"
+    bank_ifsc: str = ""  # a pattern of the IFSC codes of the bank that holds the own accounts
     bank_names: list[str] = field(default_factory=list)
     always_collection: list[str] = field(default_factory=list)  # account suffixes
     site_accounts: list[str] = field(default_factory=list)  # suffixes whose salaries are of the site
@@ -92,7 +92,7 @@ def ends_any(c: Column, suffixes: list[str]) -> Column:
     return hit
 
 
-def _fields(head, unit, kind, tcp, confidence: str, by: str) -> Column:
+def _fields(head, unit, kind, tcp, confidence, by: str) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
     return F.struct(*(as_column(v).alias(f) for f, v in zip(FIELDS, (head, unit, kind, tcp, confidence, by), strict=True)))
 
@@ -114,20 +114,27 @@ def default_fields(head: Column, unit: Column, stage: Column, kind: Column, tcp:
     return tuple(F.when(office, F.lit(o)).otherwise(c) for o, c in zip(OFFICE, (unit, kind, tcp), strict=True))
 
 
-def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees: DataFrame, business: Business | None = None, key: tuple[str, ...] = ("account_number", "row_pos")) -> DataFrame:
+def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees: DataFrame, business: Business | None = None, engine: str | None = None, internal_heads: list[str] | None = None, stage_table: DataFrame | None = None) -> DataFrame:
     """Adds head, business_unit, type, tcp_head, confidence, classified_by, dual_head, manual_override and payee to ledger rows.
 
-    rows: account_number, row_pos, description, credits, debits. Heads that no
-    rule decides are null; the other fields are then "?".
+    rows: account_number, row_pos, description, credits, debits. engine: the column of
+    rows with the head engine's answer, which decides where it is one of internal_heads and no other rule
+    does. stage_table: a company's own block of rules by account stage, tried after the overrides.
+    Heads that no rule decides are null; the other fields are then "?". Rows that repeat a key, or have none, are judged each on its own.
     """
     b = business or Business()
     own = accounts.select("account_number", F.col("business_unit").alias("own_unit"), F.col("account_stage").alias("own_stage"))
-    rules = lookups.active_overrides(overrides).select("rule_order", "account_suffix", "keyword", F.col("head").alias("o_head"), F.col("business_unit").alias("o_unit"), F.col("type").alias("o_type"), F.col("tcp_head").alias("o_tcp"))
+    outputs = {"head": "o_head", "business_unit": "o_unit", "type": "o_type", "tcp_head": "o_tcp"}
     base = rows.drop("head", "business_unit", "type", "tcp_head", "confidence", "classified_by", "dual_head", "manual_override", "payee")
     x = base.join(own, "account_number", "left").withColumn("description", F.coalesce("description", F.lit("")))
-    x = lookups.first_match(x, rules, lookups.override_condition(x, rules, "account_number", "description"), list(key), ["rule_order"], ["o_head", "o_unit", "o_type", "o_tcp"])
-    x = lookups.counterparty(x, accounts, list(key))
+    x = lookups.first_override(x, lookups.active_overrides(overrides), outputs)
+    x = lookups.counterparty(x, accounts)
     x = with_payees(x, payees)
+    if stage_table is None:
+        x = x.withColumns({c: F.lit(None).cast("string") for c in ("s_head", "s_unit", "s_type", "s_tcp", "s_confidence", "s_rule")})
+    else:
+        flags = {"account_stage": F.col("own_stage"), "own_company": names_own_company(F.col("description"), b.own_names), "salary": mentions_segment(F.col("description"), "salary"), "imprest": mentions_segment(F.col("description"), "imprest")}
+        x = stage_rules(x.withColumns(flags), stage_table).drop(*flags)
 
     d, bare = F.col("description"), no_spaces(F.upper(F.col("description")))
     credit = F.col("credits") > 0
@@ -138,7 +145,7 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
         "_tcp": F.coalesce(*(F.when(F.col("own_stage") == s, F.lit(v[1])) for s, v in STAGE_DEFAULTS.items()), F.lit(UNKNOWN)),
         "_credit": credit,
         "_own": names_own_company(d, b.own_names),
-        "_bank": bare.rlike(b.bank_ifsc) | names_own_company(d, b.bank_names),
+        "_bank": (bare.rlike(b.bank_ifsc) if b.bank_ifsc else F.lit(False)) | names_own_company(d, b.bank_names),
         "_cheque": contains_any(bare, CHEQUES, 99),
         "_incoming": starts_any(d, INCOMING),
         "_imprest": mentions_segment(d, "imprest"),
@@ -177,6 +184,7 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
 
     ladder = [
         (F.col("o_head").isNotNull(), _fields(F.col("o_head"), F.col("o_unit"), F.col("o_type"), F.col("o_tcp"), "High", "R0")),
+        (F.col("s_rule").isNotNull(), _fields(F.col("s_head"), F.coalesce("s_unit", F.lit(UNKNOWN)), F.coalesce("s_type", F.lit(UNKNOWN)), F.coalesce("s_tcp", F.lit("")), F.coalesce("s_confidence", F.lit("Low")), "RA")),
         (F.col("_always") & credit, collection("R0b")),
         (F.col("other_account").isNotNull(), _fields("Internal", other_unit, label, "Internal transfer", "High", "R1")),
         (F.col("_bank") & F.col("_own"), _fields("Internal", unit, F.when(F.col("_to_free"), F.lit("Master to Free")).otherwise(F.lit("Internal")), "Internal transfer", "High", "R2")),
@@ -194,6 +202,7 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
         (F.col("_tax"), _fields("Tax", unit, "HO - Admin", "Other- Admin. Exp.", "Low", "R10b")),
         (F.col("_power"), _fields("Electricity", unit, "Dev- Apt", "IDW Civil Works", "Low", "R10c")),
         (role.isNotNull(), by_role),
+        (F.col(engine).isin(internal_heads or []) if engine else F.lit(False), _fields(F.col(engine) if engine else None, unit, "Internal", "Internal transfer", "Low", "R12")),
     ]
     decided = _fields(None, UNKNOWN, UNKNOWN, UNKNOWN, "Low", "R13")
     for condition, value in reversed(ladder):
@@ -206,7 +215,7 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
 # -- the head engine --------------------------------------------------------------------------------------------
 
 
-def party_heads(rows: DataFrame, party: str, parties: DataFrame, head_rules: DataFrame, key: list[str]) -> DataFrame:
+def party_heads(rows: DataFrame, party: str, parties: DataFrame, head_rules: DataFrame) -> DataFrame:
     """Adds party_heads: heads that carry the type of the row's party, by name or alias; only parties of high confidence and a known type count."""
     names = parties.filter((F.col("confidence") == "high") & (F.col("type") != "Unknown")).select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_n"), "type")
     heads = head_rules.filter(~F.coalesce("fallback", F.lit(False))).select(F.explode("party_types").alias("type"), "head", "priority")
@@ -214,60 +223,80 @@ def party_heads(rows: DataFrame, party: str, parties: DataFrame, head_rules: Dat
     return rows.join(by_name, F.upper(F.trim(rows[party])) == by_name["_n"], "left").drop("_n")
 
 
-def head_by_words(rows: DataFrame, head_rules: DataFrame, key: list[str], regular: bool) -> DataFrame:
+def head_by_words(rows: DataFrame, head_rules: DataFrame, regular: bool) -> DataFrame:
     """Adds word_head or pattern_head: the first head by priority, then by the word's place, whose word or pattern is in the text and whose direction fits."""
     column, name = ("patterns", "pattern_head") if regular else ("keywords", "word_head")
     words = head_rules.filter(~F.coalesce("fallback", F.lit(False))).select("head", F.coalesce("priority", F.lit(999)).alias("priority"), "direction", F.posexplode(column).alias("place", "word"))
-    up = F.upper(rows["description"])
-    if regular:
-        hit = F.regexp_like(rows["description"], words["word"])
-    else:
-        w = F.upper(words["word"])
-        hit = up.contains(w) | ((F.length(no_spaces(w)) >= MIN_STRIPPED) & no_spaces(up).contains(no_spaces(w)))
-    fits = direction_allows(words["direction"], direction(rows["credits"], rows["debits"]))
-    return lookups.first_match(rows, words.withColumnRenamed("head", name), hit & fits, key, ["priority", "place"], [name])
+    if not regular:
+        bare = no_spaces(F.upper("word"))
+        words = words.withColumns({"word": F.upper("word"), "bare": F.when(F.length(bare) >= MIN_STRIPPED, bare)})
+
+    def holds(x: Column, r: Column) -> Column:
+        hit = F.regexp_like(x["text"], r["word"]) if regular else x["up"].contains(r["word"]) | F.coalesce(x["bare"].contains(r["bare"]), F.lit(False))
+        return hit & direction_allows(r["direction"], x["way"])
+
+    text, up = F.coalesce("description", F.lit("")), F.upper(F.coalesce("description", F.lit("")))
+    values = {"text": text, "way": direction(F.col("credits"), F.col("debits"))} if regular else {"up": up, "bare": no_spaces(up), "way": direction(F.col("credits"), F.col("debits"))}
+    return lookups.first_match(rows, words, holds, values, ["priority", "place", "head"], {"head": name})
 
 
-def engine_head(rows: DataFrame, parties: DataFrame, head_rules: DataFrame, key: list[str], party: str = "parsed_party", pool: int = 2) -> DataFrame:
+def internal_heads(head_rules: DataFrame, types: tuple[str, ...]) -> list[str]:
+    """Heads that carry one of the types of the own companies: a list that people keep, so it may come to the driver."""
+    return sorted(r["head"] for r in head_rules.filter(F.arrays_overlap("party_types", F.array(*(F.lit(t) for t in types)))).select("head").distinct().limit(lookups.MAX_DIMENSION_ROWS).collect())
+
+
+def engine_head(rows: DataFrame, parties: DataFrame, head_rules: DataFrame, party: str = "parsed_party", pool: int = 2) -> DataFrame:
     """Adds engine_head: the party's only head (whatever the direction); else words; else patterns; else, of a pool of at most two, the first that fits the direction; else the fallback."""
-    fallback = head_rules.filter("fallback").agg(F.min("head").alias("_fallback")).withColumn("_k", F.lit(1))
-    x = party_heads(rows, party, parties, head_rules, key)
-    x = head_by_words(head_by_words(x, head_rules, key, False), head_rules, key, True)
-    way = head_rules.filter(F.col("direction").isNotNull() & (F.col("direction") != "both")).agg(F.map_from_entries(F.collect_list(F.struct("head", "direction"))).alias("_way")).withColumn("_k", F.lit(1))
-    # One row each.
-    x = x.withColumn("_k", F.lit(1)).join(F.broadcast(fallback), "_k", "left").join(F.broadcast(way), "_k", "left")
+    x = party_heads(rows, party, parties, head_rules)
+    x = head_by_words(head_by_words(x, head_rules, False), head_rules, True)
+    way = head_rules.filter(F.col("direction").isNotNull() & (F.col("direction") != "both")).agg(F.map_from_entries(F.collect_list(F.struct("head", "direction"))))
+    x = x.withColumns({"_fallback": head_rules.filter("fallback").agg(F.min("head")).scalar(), "_way": way.scalar()})
     found = direction(F.col("credits"), F.col("debits"))
     fit = F.filter("party_heads", lambda h: direction_allows(F.try_element_at("_way", h), found))
     pooled = F.when(F.size("party_heads") <= pool, F.coalesce(F.try_element_at(fit, F.lit(1)), F.try_element_at("party_heads", F.lit(1))))
     head = F.when(F.coalesce(F.trim("description"), F.lit("")) == "", F.col("_fallback")).otherwise(
         F.coalesce(F.when(F.size("party_heads") == 1, F.element_at("party_heads", 1)), F.col("word_head"), F.col("pattern_head"), pooled, F.col("_fallback"))
     )
-    return x.withColumn("engine_head", head).drop("_k", "_fallback", "_way")
+    return x.withColumn("engine_head", head).drop("_fallback", "_way")
 
 
 # -- rules by stage, as a table -----------------------------------------------------------------------------------
 
 STAGE_RULES = "rule_order int, account_stage string, direction string, needs string, keywords array<string>, head string, business_unit string, type string, tcp_head string, confidence string"
+#: Further conditions that a table may have; those it lacks are null, that is, ask for nothing.
+STAGE_CONDITIONS = {"all_words": "array<string>", "bare_words": "array<string>", "other_stages": "array<string>", "payee_heads": "array<string>", "parties": "array<string>", "last_segment": "string"}
 
 
-def stage_rules(rows: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
-    """A company's own block of rules by account stage: adds s_head, s_unit, s_type, s_tcp, s_confidence and s_rule; all null where the block lets a row fall through.
+def stage_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """A company's own block of rules by account stage: adds s_head, s_unit, s_type, s_tcp, s_confidence and s_rule; all null where the block lets a row fall through, s_rule alone where it decides the fields but not the head.
 
-    rows bring account_stage, other_stage, payee_head and the flags own_company, salary, imprest.
-    A rule needs its stage, its direction (null: either), any of its keywords (null: none) and what
-    needs names: own, counterparty, payee, salary, imprest or nothing. {payee}, {pair} and {unit} in its outputs
+    rows bring account_stage, other_stage, payee_head and the flags own_company, salary, imprest, and payee where a rule names parties.
+    A rule needs its stage, its direction (null: either), any of its keywords (null: none), all of all_words, any of
+    bare_words with dots and spaces taken out of the text, the counterparty's stage or the payee's head or name among those it lists, the text's last segment, and what
+    needs names: own, counterparty, payee, salary, imprest or nothing. The first rule in order decides. {payee}, {pair} and {unit} in its outputs
     stand for the payee's head, the pair's label and the account's unit.
     """
-    up = F.upper(rows["description"])
-    words = rules["keywords"].isNull() | F.exists(rules["keywords"], lambda w: up.contains(F.upper(w)))
-    needs = rules["needs"]
-    needed = (
-        needs.isNull() | ((needs == "own") & rows["own_company"]) | ((needs == "counterparty") & rows["other_stage"].isNotNull())
-        | ((needs == "payee") & rows["payee_head"].isNotNull()) | ((needs == "salary") & rows["salary"]) | ((needs == "imprest") & rows["imprest"])
-    )
-    fits = (rules["account_stage"] == rows["account_stage"]) & direction_allows(rules["direction"], direction(rows["credits"], rows["debits"])) & words & needed
-    named = rules.select("*", *(F.col(c).alias(a) for c, a in (("head", "s_head"), ("business_unit", "s_unit"), ("type", "s_type"), ("tcp_head", "s_tcp"), ("confidence", "s_confidence"), ("rule_order", "s_rule"))))
-    x = lookups.first_match(rows, named, fits, key, ["rule_order"], ["s_head", "s_unit", "s_type", "s_tcp", "s_confidence", "s_rule"])
+    table = rules.select("*", *(F.lit(None).cast(t).alias(c) for c, t in STAGE_CONDITIONS.items() if c not in rules.columns))
+    table = table.withColumns({c: F.transform(c, lambda w: F.upper(w)) for c in ("keywords", "all_words", "bare_words", "parties")})
+    up = F.upper(F.coalesce("description", F.lit("")))
+    payee = F.upper("payee") if "payee" in rows.columns else F.lit(None).cast("string")
+    values = {
+        "stage": F.col("account_stage"), "other": F.col("other_stage"), "payee_head": F.col("payee_head"), "payee": payee, "way": direction(F.col("credits"), F.col("debits")), "up": up,
+        "bare": F.translate(up, ". ", ""), "last": F.trim(F.element_at(F.split(F.trim(up), "-", -1), -1)), **{c: F.coalesce(F.col(c), F.lit(False)) for c in ("own_company", "salary", "imprest")},
+    }
+
+    def holds(x: Column, r: Column) -> Column:
+        needs = r["needs"]
+        needed = (
+            needs.isNull() | ((needs == "own") & x["own_company"]) | ((needs == "counterparty") & x["other"].isNotNull())
+            | ((needs == "payee") & x["payee_head"].isNotNull()) | ((needs == "salary") & x["salary"]) | ((needs == "imprest") & x["imprest"])
+        )
+        listed = lambda c, v: r[c].isNull() | F.coalesce(F.array_contains(r[c], v), F.lit(False))
+        words = (r["keywords"].isNull() | F.exists(r["keywords"], lambda w: x["up"].contains(w))) & (r["all_words"].isNull() | F.forall(r["all_words"], lambda w: x["up"].contains(w))) & (r["bare_words"].isNull() | F.exists(r["bare_words"], lambda w: x["bare"].contains(w)))
+        return (r["account_stage"] == x["stage"]) & direction_allows(r["direction"], x["way"]) & words & needed & listed("other_stages", x["other"]) & listed("payee_heads", x["payee_head"]) & listed("parties", x["payee"]) & (r["last_segment"].isNull() | (r["last_segment"] == x["last"]))
+
+    outputs = {"head": "s_head", "business_unit": "s_unit", "type": "s_type", "tcp_head": "s_tcp", "confidence": "s_confidence", "rule_order": "s_rule"}
+    x = lookups.first_match(rows, table, holds, values, ["rule_order"], outputs)
     pair = lookups.pair_label(F.col("account_stage"), F.col("other_stage"))
     put = lambda c: F.when(F.col(c) == "{payee}", F.col("payee_head")).when(F.col(c) == "{pair}", F.coalesce(pair, F.lit("Internal"))).when(F.col(c) == "{unit}", F.col("own_unit")).otherwise(F.col(c))
     return x.withColumns({c: put(c) for c in ("s_head", "s_unit", "s_type", "s_tcp")})
@@ -294,12 +323,33 @@ def unclassified(rows: DataFrame) -> DataFrame:
     return rows.filter((F.coalesce(F.trim("description"), F.lit("")) != "") & blank)
 
 
-def apply_overrides(rows: DataFrame, overrides: DataFrame, key: list[str]) -> DataFrame:
+def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Retroactive rules: every matching row, classified or not, with its values before and after; is_changed tells them apart."""
-    rules = lookups.active_overrides(overrides).select("rule_order", "account_suffix", "keyword", *(F.col(c).alias(f"new_{c}") for c in ("head", "business_unit", "type", "tcp_head")))
-    new = [f"new_{c}" for c in ("head", "business_unit", "type", "tcp_head")]
-    x = lookups.first_match(rows, rules, lookups.override_condition(rows, rules, "account_number", "description"), key, ["rule_order"], new).filter("new_head is not null")
+    new = {c: f"new_{c}" for c in ("head", "business_unit", "type", "tcp_head")}
+    x = lookups.first_override(rows, lookups.active_overrides(overrides), new).filter("new_head is not null")
     same = F.lit(True)
-    for n in new:
-        same = same & F.col(n).eqNullSafe(F.col(n[4:]))
+    for c, n in new.items():
+        same = same & F.col(n).eqNullSafe(F.col(c))
     return x.withColumn("is_changed", ~same)
+
+
+def unresolved(rows: DataFrame, accounts: DataFrame, again: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that want another pass: a description, and any field still "?", a head of those asked for again, or a unit that is neither "?", nor the office's, nor the account's own."""
+    own = accounts.select("account_number", F.col("business_unit").alias("_own_unit"))
+    x = rows.join(own, "account_number", "left")
+    wrong = F.col("_own_unit").isNotNull() & ~F.coalesce(F.col("business_unit").isin(UNKNOWN, OFFICE[0]) | (F.col("business_unit") == F.col("_own_unit")), F.lit(False))
+    open_ = F.lit(False)
+    for c in ("head", "business_unit", "type", "tcp_head"):
+        open_ = open_ | F.coalesce(F.col(c) == UNKNOWN, F.lit(False))
+    return x.filter((F.coalesce(F.trim("description"), F.lit("")) != "") & (open_ | F.col("head").isin(list(again)) | wrong)).drop("_own_unit")
+
+
+def resolved_again(rows: DataFrame, accounts: DataFrame, classified: DataFrame, key: list[str], again: tuple[str, ...] = ()) -> DataFrame:
+    """Unresolved rows whose fields the rules now see otherwise: their new values beside the old ones (old_<field>). classified: the rows' key and the four fields as the rules give them today."""
+    fields = ("head", "business_unit", "type", "tcp_head")
+    old = unresolved(rows, accounts, again).select(*key, "description", *(F.col(c).alias(f"old_{c}") for c in fields))
+    x = old.join(classified.select(*key, *fields), key)
+    changed = F.lit(False)
+    for c in fields:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    return x.filter(changed)

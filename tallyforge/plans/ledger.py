@@ -199,7 +199,7 @@ def keyword_rule_first(spark: SparkSession, sf_dir: str) -> DataFrame:
         heads.setdefault(h, (p, []))[1].append(w)
     r = small(spark, [(h, p, None, [], ws, [], False) for h, (p, ws) in heads.items()], "head string, priority int, direction string, party_types array<string>, keywords array<string>, patterns array<string>, fallback boolean")
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"), F.lit(0).alias("credits"), F.lit(0).alias("debits"))
-    return rules.head_by_words(d, r, ["doc_id"], False).select("doc_id", "word_head")
+    return rules.head_by_words(d, r, False).select("doc_id", "word_head")
 
 
 OVERRIDES = [(1, "7", "URGENT", "Collection", "HO", "A", "T", "Active"), (2, "", "LOW", "Vendor", "HO", "A", "T", "Active"), (3, "3", "", "Bank", "HO", "A", "T", "Active"), (4, "", "", "Never", "HO", "A", "T", "Active"), (5, "", "MEDIUM", "Off", "HO", "A", "T", "Disabled"), (6, "", "HIGH", "", "HO", "A", "T", "Active")]
@@ -209,13 +209,13 @@ OVERRIDES = [(1, "7", "URGENT", "Collection", "HO", "A", "T", "Active"), (2, "",
 def override_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lookups.active_overrides(small(spark, OVERRIDES, "rule_order int, account_suffix string, keyword string, head string, business_unit string, type string, tcp_head string, status string"))
     t = transactions(spark, sf_dir).select("row_pos", "account_number", "description")
-    return lookups.first_match(t, r, lookups.override_condition(t, r, "account_number", "description"), ["row_pos"], ["rule_order"], ["head"]).select("row_pos", "head")
+    return lookups.first_override(t, r, ["head"]).select("row_pos", "head")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_name LIKE '%01' THEN 'North' WHEN s_name LIKE '%1' THEN 'South' WHEN s_name LIKE '%7' THEN 'East' END AS unit FROM supplier")
 def suffix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = small(spark, [("01", "North", 1), ("1", "South", 2), ("7", "East", 3)], "suffix string, unit string, ord int")
-    return lookups.suffix_lookup(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", dim, "suffix", "ord", ["unit"], ["s_suppkey"]).select("s_suppkey", "unit")
+    return lookups.suffix_lookup(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", dim, "suffix", "ord", ["unit"]).select("s_suppkey", "unit")
 
 
 COLOURS = ["red", "green", "blue", "black", "white", "ivory", "rose", "plum", "steel", "lace"]
@@ -225,7 +225,7 @@ COLOURS = ["red", "green", "blue", "black", "white", "ivory", "rose", "plum", "s
 def contains_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = small(spark, [(c, i) for i, c in enumerate(COLOURS)], "colour string, ord int")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return lookups.first_match(p, dim, F.lower(p["p_name"]).contains(dim["colour"]), ["p_partkey"], ["ord"], ["colour"]).select("p_partkey", "colour")
+    return lookups.contains_lookup(p, F.lower("p_name"), dim, "colour", "ord", ["colour"]).select("p_partkey", "colour")
 
 
 @query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE least(a.n_regionkey, b.n_regionkey) || '+' || greatest(a.n_regionkey, b.n_regionkey) WHEN '0+1' THEN 'Atlantic' WHEN '1+2' THEN 'Pacific' WHEN '2+3' THEN 'Silk' END AS label
@@ -406,7 +406,7 @@ def nearest_neighbor_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, CASE WHEN p_retailprice < 1000 THEN 'low' WHEN p_retailprice < 1500 THEN 'middle' ELSE 'high' END AS band FROM part")
 def range_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = small(spark, [("low", None, 1000.0, 1), ("middle", 1000.0, 1500.0, 2), ("high", 1500.0, None, 3)], "band string, start double, end double, ord int")
-    return lookups.range_bucket(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", r, "band", "ord", ["p_partkey"]).select("p_partkey", "band")
+    return lookups.range_bucket(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", r, "band", "ord").select("p_partkey", "band")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")

@@ -21,7 +21,7 @@ SELECT row_pos, new_head, coalesce(new_head <> CASE WHEN row_pos % 2 = 0 THEN 'V
 def retroactive_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.col("row_pos") % 2 == 0
     t = transactions(spark, sf_dir).select("row_pos", "account_number", "description", F.when(done, "Vendor").otherwise("").alias("head"), F.when(done, "HO").otherwise("").alias("business_unit"), F.when(done, "A").otherwise("").alias("type"), F.when(done, "T").otherwise("").alias("tcp_head"))
-    return rules.apply_overrides(t, small(spark, OVERRIDES, OVERRIDE_SCHEMA), ["row_pos"]).select("row_pos", "new_head", "is_changed")
+    return rules.apply_overrides(t, small(spark, OVERRIDES, OVERRIDE_SCHEMA)).select("row_pos", "new_head", "is_changed")
 
 
 STAGE_RULES = [
@@ -39,7 +39,7 @@ def stage_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_pos", "description", "credits", "debits", F.element_at(F.array(*(F.lit(s) for s in ("Master", "RERA", "IDW", "Free"))), (k % 4 + 1).cast("int")).alias("account_stage"),
         F.when(k % 3 == 0, "Free").alias("other_stage"), F.lit("U").alias("own_unit"), F.when(k % 5 == 0, "Vendor").alias("payee_head"), F.lit(False).alias("own_company"), F.lit(False).alias("salary"), F.lit(False).alias("imprest"),
     )
-    return rules.stage_rules(t, small(spark, STAGE_RULES, rules.STAGE_RULES), ["row_pos"]).select("row_pos", F.col("s_head").alias("head"), F.col("s_type").alias("type"))
+    return rules.stage_rules(t, small(spark, STAGE_RULES, rules.STAGE_RULES)).select("row_pos", F.col("s_head").alias("head"), F.col("s_type").alias("type"))
 
 
 HEADS = [("Internal", 1, "both", ["Own"], ["SELF"], [], False), ("Vendor", 2, "debit", ["Shop"], ["LOW", "MEDIUM"], [], False), ("Refund", 3, "credit", ["Shop"], ["URGENT"], ["^2-H.*F$"], False), ("Others", 99, None, [], [], [], True)]
@@ -52,14 +52,14 @@ def head_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = small(spark, [("Own Firm", "Own", ["OWN"], "high"), ("Shop A", "Shop", [], "high")], "canonical string, type string, aliases array<string>, confidence string")
     k = F.col("account_number").cast("long") % 7
     t = transactions(spark, sf_dir).withColumn("parsed_party", F.when(k == 0, "own").when(k == 1, "Shop A"))
-    return rules.engine_head(t, p, h, ["row_pos"]).select("row_pos", "engine_head")
+    return rules.engine_head(t, p, h).select("row_pos", "engine_head")
 
 
 @query("""SELECT tail, account_number, company, is_ambiguous FROM (SELECT s_suppkey, right(s_name, 1) AS tail FROM supplier) JOIN (SELECT right(CAST(c_custkey AS VARCHAR), 1) AS t, arg_min(CAST(c_custkey AS VARCHAR), c_custkey) AS account_number, arg_min(c_mktsegment, c_custkey) AS company, count(DISTINCT c_mktsegment) > 1 AS is_ambiguous FROM customer GROUP BY 1) ON t = tail""")
 def account_by_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("account_number"), F.col("c_mktsegment").alias("company"), F.col("c_custkey").cast("int").alias("account_order"))
     t = table(spark, sf_dir, "supplier").select("s_suppkey", F.right("s_name", F.lit(1)).alias("tail"))
-    return lookups.account_by_tail(t, a, ["s_suppkey"]).select("tail", "account_number", "company", "is_ambiguous")
+    return lookups.account_by_tail(t, a, 1).select("tail", "account_number", "company", "is_ambiguous")
 
 
 @query(r"""WITH s AS (SELECT page_id, upper(trim(seg)) AS part, pos FROM (SELECT page_id, unnest(regexp_split_to_array(url, '[-/]')) AS seg, generate_subscripts(regexp_split_to_array(url, '[-/]'), 1) AS pos FROM pages)),

@@ -74,7 +74,57 @@ def test_words(spark):
     assert one(spark, "a EPF b", lambda c: rules.bounded_any(c, ["PF"])) is False
     assert one(spark, "a-PF-b", lambda c: rules.bounded_any(c, ["PF"])) is True
     assert one(spark, "BANK CHA RGE", lambda c: rules.contains_any(c, rules.BANK_CHARGES)) is True
-    assert one(spark, "Alpha Pvt Ltd", text.company_key) == "ALPHA"
+    assert one(spark, "Alpha Pvt Ltd", text.company_key) == one(spark, "Alpha Private Limited", text.company_key) == "ALPHAPVTLTD"
+    assert one(spark, "Alpha Limited", text.company_key) == one(spark, "alpha ltd", text.company_key) == "ALPHALTD" and one(spark, "Alpha LLP", text.company_key) == "ALPHALLP"
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        ("Account No: 12345678", "5678"), ("a/c no. XXXX1234 credited", "1234"), ("Account Number - X9876", "9876"), ("your account ending 4321.", "4321"), ("A/C XX55", None), ("no digits", None), (None, None),
+    ],
+)
+def test_account_tail(spark, given, wanted):
+    assert one(spark, given, text.account_tail) == wanted
+
+
+@pytest.mark.parametrize(("given", "wanted"), [("a b/c d.PDF", "c_d.PDF"), ("x y.txt", "x_y.txt.pdf"), ("../../etc/pass wd", "pass_wd.pdf"), ("", ".pdf")])
+def test_safe_filename(spark, given, wanted):
+    assert one(spark, given, text.safe_filename) == wanted
+
+
+def test_term_text(spark):
+    assert one(spark, "PAY ELECTRICITY BILL CONTRACTOR MAINTENANCE ALPHA", text.term_text) == "PAY ELECTRICITY BILL CONTRACTOR MAINTENANCE ALPHA"
+    assert one(spark, "neft-HDFC0AB1234567/Party 12345 x99999", text.term_text) == "NEFT PARTY X99999"
+
+
+@pytest.mark.parametrize(
+    ("stage", "error", "wanted"),
+    [
+        (5, None, "Account not found"), (6, "Wrong PASSWORD", "Invalid PDF password"), (6, "x", "Corrupted PDF"), (7, "Unsupported layout", "Unsupported bank format"), (7, "", "Parsing failed"), (8, "x", "Financial Year mismatch"),
+        (9, "Duplicate file", "Duplicate statement"), (9, "tab not found", "Account not found"), (9, "429", "Failed to upload to Google Sheets"), (None, None, "Processing failed"), (3, "e" * 90, "e" * 77 + "..."),
+    ],
+)
+def test_failure_category(spark, stage, error, wanted):
+    assert spark.createDataFrame([(stage, error)], "s int, e string").select(text.failure_category(F.col("s"), F.col("e")).alias("r")).first()["r"] == wanted
+
+
+@pytest.mark.parametrize(("given", "wanted"), [("6-Jul-26", "2026-07-06"), (" 06-Jul-2026 ", "2026-07-06"), ("XXXX", "XXXX"), (None, ""), ("  ", "")])
+def test_canonical_date(spark, given, wanted):
+    assert one(spark, given, dates.canonical_date) == wanted
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        ("BY CLG:Lambda Person:Some Bank - 01", "Lambda Person"), ("DD ISSUED/QQ/Mu House/atPar", "Mu House"), ("DD Cancln 123", None), ("NEFT CR-WXYZ0000001-Nu Stores-Own Firm-WXYZN123456789", "Nu Stores"),
+        ("NEFT WXYZN1234567890 Xi Works Pr WXYZ0004114", "Xi Works Pr"), ("RTGS WXYZN1234567890 Omicron", "Omicron"), ("INB/IFT/PI PERSONAXIS/TPARTY TRANSFER", "PI PERSON"), ("NEFT/K77/Rho House/Bank/NA", "Rho House"),
+        ("RTGS/K77/Sigma/Bank/x", "Sigma"), ("IMPS-123-Tau Person-WXYZ-xx12-rent", "Tau Person"), ("BILLDESK-B7-Upsilon Gas-x-9", "Upsilon Gas"), ("NEFT-RETURN-K5-Phi-WRONG", "Phi"), ("INB/55/Chi House/NA", "Chi House"),
+        ("INB/55/EPFO PAYMENT/NA", None), ("WXYZH00123456789-Psi-Co Works-123456789012-vendor", "Psi-Co Works"), ("WXYZH00123456789-Omega-123456789012", "Omega"), ("WXYZH00123456789-Omega-salary", "Omega"), ("SMS CHARGES", None), ("", None), (None, None),
+    ],
+)
+def test_any_payee_name(spark, given, wanted):
+    assert one(spark, given, names.any_payee_name) == wanted
 
 
 def test_reason_skips_unresolved(spark):

@@ -56,8 +56,20 @@ def test_overrides_first_match_and_wildcards(spark):
     rows = spark.createDataFrame([("9007", 1, "pay alpha"), ("9008", 2, "pay alpha"), ("9008", 3, "other")], "account_number string, row_pos long, description string")
     r = spark.createDataFrame([(1, "7", "ALPHA", "A", "u", "t", "c", "Active"), (2, "", "alpha", "B", "u", "t", "c", "Active"), (3, "", "", "C", "u", "t", "c", "Active"), (4, "8", "", "D", "u", "t", "c", "Disabled")], schemas.OVERRIDE_RULES)
     active = lookups.active_overrides(r)
-    got = lookups.first_match(rows, active, lookups.override_condition(rows, active, "account_number", "description"), ["row_pos"], ["rule_order"], ["head"])
+    got = lookups.first_override(rows, active, ["head"])
     assert {x["row_pos"]: x["head"] for x in got.collect()} == {1: "A", 2: "B", 3: None}
+    assert "Join" not in got._jdf.queryExecution().toString() and "Exchange hashpartitioning" not in got._jdf.queryExecution().toString()
+
+
+def test_first_match_judges_each_row(spark):
+    """Repeated and null keys, null values, an empty table of rules, and one that is too large."""
+    rows = spark.createDataFrame([(1, "a1"), (1, "b2"), (None, "b3"), (2, None)], "k int, t string")
+    r = spark.createDataFrame([("b", "TWO", 2), ("a", "ONE", 1)], "w string, out string, ord int")
+    got = lookups.contains_lookup(rows, rows["t"], r, "w", "ord", ["out"]).collect()
+    assert sorted((str(x["t"]), x["out"]) for x in got) == [("None", None), ("a1", "ONE"), ("b2", "TWO"), ("b3", "TWO")]
+    assert [x["out"] for x in lookups.contains_lookup(rows, rows["t"], r.limit(0), "w", "ord", ["out"]).collect()] == [None] * 4
+    with pytest.raises(Exception, match="1 rows at most"):
+        rows.select(lookups.as_array(r, ["ord"], 1).alias("x")).collect()
 
 
 def test_classify(spark):
@@ -75,14 +87,14 @@ def test_engine_head(spark):
     heads = spark.createDataFrame([("Internal", 1, "both", ["Own"], ["SELF"], [], False), ("Vendor", 2, "debit", ["Shop"], ["STORE"], ["(?i)inv[0-9]+"], False), ("Refund", 3, "credit", ["Shop"], ["STORE"], [], False), ("Others", 99, None, [], [], [], True)], schemas.HEAD_RULES)
     parties = spark.createDataFrame([("Own Firm", "Own", ["OWN"], "high"), ("Shop A", "Shop", [], "high"), ("Low", "Own", [], "low")], schemas.PARTIES)
     rows = spark.createDataFrame([(1, "x", "own", 1.0, 0.0), (2, "a store", None, 5.0, 0.0), (3, "a store", None, 0.0, 5.0), (4, "INV12", None, 0.0, 1.0), (5, "q", "Shop A", 5.0, 0.0), (6, "q", "low", 0.0, 1.0), (7, "", None, 0.0, 1.0)], "row_pos long, description string, parsed_party string, credits double, debits double")
-    got = {r["row_pos"]: r["engine_head"] for r in rules.engine_head(rows, parties, heads, ["row_pos"]).collect()}
+    got = {r["row_pos"]: r["engine_head"] for r in rules.engine_head(rows, parties, heads).collect()}
     assert got == {1: "Internal", 2: "Refund", 3: "Vendor", 4: "Vendor", 5: "Refund", 6: "Others", 7: "Others"}
 
 
 def test_stage_rules(spark):
     r = spark.createDataFrame([(1, "Master", None, None, ["CHARGE"], "Bank Charges", "SW", "HO - Admin", "", "High"), (2, "Master", "credit", None, None, "Collection", "SW", "Customer Collection", "Credit- no effect", "High"), (3, "Master", "debit", "counterparty", None, "Internal", "{unit}", "{pair}", "Internal transfer", "High"), (4, "IDW", "debit", "payee", None, "{payee}", "SW", "x", "y", "High")], rules.STAGE_RULES)
     rows = spark.createDataFrame([(1, "bank charge", "Master", None, "U", None, False, False, False, 0.0, 1.0), (2, "z", "Master", None, "U", None, False, False, False, 1.0, 0.0), (3, "z", "Master", "Free", "U", None, False, False, False, 0.0, 1.0), (4, "z", "IDW", None, "U", "Vendor", False, False, False, 0.0, 1.0), (5, "z", "IDW", None, "U", None, False, False, False, 0.0, 1.0)], "row_pos long, description string, account_stage string, other_stage string, own_unit string, payee_head string, own_company boolean, salary boolean, imprest boolean, credits double, debits double")
-    got = {x["row_pos"]: (x["s_head"], x["s_unit"], x["s_type"]) for x in rules.stage_rules(rows, r, ["row_pos"]).collect()}
+    got = {x["row_pos"]: (x["s_head"], x["s_unit"], x["s_type"]) for x in rules.stage_rules(rows, r).collect()}
     assert got == {1: ("Bank Charges", "SW", "HO - Admin"), 2: ("Collection", "SW", "Customer Collection"), 3: ("Internal", "U", "Master to Free"), 4: ("Vendor", "SW", "x"), 5: (None, None, None)}
 
 
