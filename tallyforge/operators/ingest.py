@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import MONEY, parsed_amount
@@ -32,6 +32,25 @@ def validated(rows: DataFrame) -> DataFrame:
     return rows.filter((F.trim("txn_date") != "") & (F.trim("description") != ""))
 
 
+def without_empty_rows(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows in which any of the columns (all, if none are named) has something in it."""
+    filled = F.lit(False)
+    for c in columns or rows.columns:
+        filled = filled | (F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "")
+    return rows.filter(filled)
+
+
+def whole_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text that is a number as that number is shown, whole values without decimals; other text stays."""
+
+    def shown(c: str) -> Column:
+        n = F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("decimal(30,6)")
+        text = F.regexp_replace(F.regexp_replace(n.cast("string"), r"0+$", ""), r"\.$", "")
+        return F.when(n.isNotNull(), text).otherwise(F.col(c))
+
+    return df.withColumns({c: shown(c) for c in columns})
+
+
 def without_brought_forward(rows: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(F.upper(F.trim("description")), F.lit("")) != BROUGHT_FORWARD)
 

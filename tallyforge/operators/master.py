@@ -5,13 +5,14 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_key, company_key
+from ..sources.tables import settled
 from .rules import SKIP_HEADS
 
-RATIO, MIN_LENGTH, BLOCK = 0.92, 5, 3
+RATIO, MIN_LENGTH = 0.92, 5
 
 
 def discoveries(rows: DataFrame) -> DataFrame:
@@ -63,49 +64,92 @@ def similar_keys(a: str, b: str, allow_prefix: bool, ratio: float = RATIO, least
     return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio
 
 
+def _edits(least: Column, ratio: float) -> Column:
+    """The most letters that may be inserted or deleted between a name of so many letters and a longer one, if their ratio is to be reached.
+
+    With M letters matched the ratio is 2 M / (m + n), where M is m at most: so n is at most m * (2 - ratio) / ratio,
+    and (1 - ratio) * (m + n) letters stay unmatched at most.
+    """
+    longest = F.floor(least * (ratio / (2 - ratio)) ** -1 + 1e-9)
+    return F.floor((1 - ratio) * (least + longest) + 1e-9).cast("int")
+
+
+def _pieces(k: Column, ratio: float) -> Column:
+    """A name cut into one piece more than it may have edits: one of them at least stands unchanged in every name alike that is as long or longer."""
+    m = F.length(k)
+    d = _edits(m, ratio)
+    cut = lambda i: F.floor(i * m / (d + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), d), lambda i: F.struct(m.alias("m"), i.alias("i"), F.substr(k, cut(i) + 1, cut(i + 1) - cut(i)).alias("s")))
+
+
+def _windows(k: Column, ratio: float) -> Column:
+    """Where the pieces of names as long or shorter may stand in this one: for each length and piece the windows within reach of the edits."""
+    n = F.length(k)
+    shortest = F.ceil(n * (ratio / (2 - ratio)) - 1e-9).cast("int")
+
+    def of_length(m: Column) -> Column:
+        d = _edits(m, ratio)
+        cut = lambda i: F.floor(i * m / (d + 1)).cast("int")
+        more, less = F.floor((d + n - m) / 2).cast("int"), F.floor((d - n + m) / 2).cast("int")
+
+        def of_piece(i: Column) -> Column:
+            a, size = cut(i), cut(i + 1) - cut(i)
+            first, last = F.greatest(a - less, F.lit(0)), F.least(a + more, n - size)
+            at = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda p: F.struct(m.alias("m"), i.alias("i"), F.substr(k, p + 1, size).alias("s")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), of_piece))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(shortest, F.lit(1)), n), of_length)))
+
+
 def similar_pairs(names: DataFrame, allow_prefix: bool = True, ratio: float = RATIO) -> DataFrame:
-    """(a, b), a < b: names that are equal, one a prefix of the other, or alike by the sequence ratio, as such or without the form of company.
+    """(a, b), a < b: names that are equal, one a prefix of the other, or alike by the sequence ratio, as such or with one token for the form of company.
 
-    Candidates share a block: the first BLOCK characters or the last ones of
-    their keys, so one differing letter leaves a block in common; lengths differ
-    by what the ratio allows unless one is a prefix. The ratio runs on candidate
-    pairs only, in Arrow batches.
+    No pair is lost: equal keys and prefixes meet by equality; two names alike
+    have few enough edits that one of the pieces of the shorter one stands in the
+    longer one near its place, so pieces and windows meet by equality too. The ratio
+    runs on those candidates only, in Arrow batches.
     """
     keyed = names.select(F.col("name"), alnum_key(F.col("name")).alias("k1"), company_key(F.col("name")).alias("k2")).filter("k1 <> ''").distinct()
-    blocks = F.array_distinct(F.array(*(f(F.col(k), F.lit(BLOCK)) for k in ("k1", "k2") for f in (lambda c, n: F.concat(F.lit("<"), F.left(c, n)), lambda c, n: F.concat(F.lit(">"), F.right(c, n))))))
-    x = keyed.withColumn("block", F.explode(blocks))
-    a, b = x.alias("a"), x.alias("b")
-    # A ratio r allows lengths m <= n with 2m / (m + n) >= r.
-    close = lambda k: F.least(F.length(f"a.{k}"), F.length(f"b.{k}")) * 2.0 >= ratio * (F.length(f"a.{k}") + F.length(f"b.{k}"))
-    prefix = F.col("a.k1").startswith(F.col("b.k1")) | F.col("b.k1").startswith(F.col("a.k1")) | F.col("a.k2").startswith(F.col("b.k2")) | F.col("b.k2").startswith(F.col("a.k2"))
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.name") < F.col("b.name")) & (close("k1") | close("k2") | (prefix if allow_prefix else F.lit(False))))
-    pairs = pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.col("a.k1").alias("a1"), F.col("b.k1").alias("b1"), F.col("a.k2").alias("a2"), F.col("b.k2").alias("b2")).distinct()
+    both = keyed.select("name", F.explode(F.array_distinct(F.array("k1", "k2"))).alias("k"))
+    own = both.select(F.col("name").alias("a"), F.col("k").alias("ka"))
+    other = both.select(F.col("name").alias("b"), F.col("k").alias("kb"))
+    equal = own.join(other, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b"))).select("a", "b")
+    sure = equal
+    if allow_prefix:
+        starts = F.when(F.length("kb") > MIN_LENGTH, F.sequence(F.lit(MIN_LENGTH), F.length("kb") - 1)).otherwise(F.array().cast("array<int>"))
+        begins = other.select("b", F.explode(F.transform(starts, lambda n: F.left(F.col("kb"), n))).alias("ka"))
+        sure = sure.unionByName(own.join(begins, "ka").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    long = F.length("k") >= MIN_LENGTH
+    shorter = both.filter(long).select(F.col("name").alias("a"), F.col("k").alias("ka"), F.explode(_pieces(F.col("k"), ratio)).alias("block"))
+    longer = both.filter(long).select(F.col("name").alias("b"), F.col("k").alias("kb"), F.explode(_windows(F.col("k"), ratio)).alias("block"))
+    near = shorter.join(longer, "block").filter("a <> b and ka <> kb").select("a", "ka", "b", "kb").distinct()
 
     @F.pandas_udf("boolean")
-    def alike(a1: pd.Series, b1: pd.Series, a2: pd.Series, b2: pd.Series) -> pd.Series:
-        return pd.Series([similar_keys(p, q, allow_prefix, ratio) or similar_keys(r, s, allow_prefix, ratio) for p, q, r, s in zip(a1, b1, a2, b2, strict=True)], dtype=bool)
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar_keys(min(p, q), max(p, q), False, ratio) for p, q in zip(a, b, strict=True)], dtype=bool)
 
-    return pairs.filter(alike("a1", "b1", "a2", "b2")).select("a", "b")
+    close = near.filter(alike("ka", "kb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return sure.unionByName(close).distinct()
 
 
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(name, root): the least name reachable. Labels spread over edges and jump over labels until none changes."""
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def components(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(name, root): the least name reachable. Labels spread over edges and jump over labels until none changes; each round is settled, and it raises an error rather than stop before."""
+    edges = settled(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = edges.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("root")).select(F.col("a").alias("name"), "root")
-    edges = edges.persist()
+    held = None
     for _ in range(rounds):
         spread = edges.join(labels, edges["b"] == labels["name"]).groupBy("a").agg(F.min("root").alias("r"))
         nxt = labels.join(spread, labels["name"] == spread["a"], "left").select("name", "root", F.least("root", F.coalesce("r", "root")).alias("r"))
         jump = nxt.select(F.col("name").alias("_j"), F.col("r").alias("_jr"))
-        nxt = nxt.join(jump, nxt["r"] == jump["_j"], "left").select("name", "root", F.least("r", F.coalesce("_jr", "r")).alias("r"))
-        if nxt.sparkSession.sparkContext.getCheckpointDir():
-            nxt = nxt.checkpoint()
-        else:
-            nxt = nxt.persist()
+        nxt = settled(nxt.join(jump, nxt["r"] == jump["_j"], "left").select("name", "root", F.least("r", F.coalesce("_jr", "r")).alias("r")))
         if not nxt.filter("r < root").limit(1).count():
-            break
-        labels = nxt.select("name", F.col("r").alias("root"))
-    return labels
+            return nxt.select("name", F.col("r").alias("root"))
+        if held is not None and held.is_cached:
+            held.unpersist()
+        held, labels = nxt, nxt.select("name", F.col("r").alias("root"))
+    raise RuntimeError(f"names have not settled within {rounds} rounds")
 
 
 def merged_names(pairs: DataFrame, allow_prefix: bool = True) -> DataFrame:

@@ -1,9 +1,11 @@
 """Similarity retrieval by TF-IDF and what is decided from it.
 
 Terms are words and pairs of words; weights are (1 + ln tf) * (ln((1 + n) /
-(1 + df)) + 1), scaled to length one. Queries meet the corpus by an equality
-join on terms. A term so frequent that it would join everything to everything
-still counts towards lengths; it is joined in salted parts, not dropped.
+(1 + df)) + 1), scaled to length one. The weights are worked out once. A query's most
+frequent terms, as long as together they cannot reach the least similarity, find no
+candidates: those come from the rarer ones, by an equality join, and the frequent terms
+are then added to the candidates that can still reach it. Terms that many rows have are
+joined in as many parts as their rows ask for.
 """
 
 from __future__ import annotations
@@ -14,9 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fenced_json, term_text
+from ..functions.names import payee_name
+from ..sources.tables import settled
 from .lookups import bounded
+from .rules import UNKNOWN
 
 TOP, LEAST_SIMILARITY = 5, 0.15
+#: Rows of one term that one part of the join takes.
+TERM_ROWS = 50_000
 VOTE_SIMILARITY, VOTES, HIGH_VOTES = 0.25, 3, 4
 EXCLUDED_HEADS = ["Internal", "Collection", "?", ""]
 # The heads that a language model may answer with.
@@ -39,26 +46,34 @@ def counts(docs: DataFrame, ident: str, text: str, prepared: bool = False) -> Da
     return docs.select(F.col(ident).alias("doc"), F.explode(terms(F.col(text), prepared)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fitted(tf: DataFrame, n: DataFrame) -> DataFrame:
-    """(term, idf); n has one row, the number of documents."""
+def fitted(tf: DataFrame, n: Column) -> DataFrame:
+    """(term, idf, df); n is the number of documents."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(n), F.lit(True)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    return df.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"), "df")
 
 
 def weights(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    raw = tf.join(idf, "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    length = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, "doc").select("doc", "term", (F.col("w") / F.col("len")).alias("w"))
+    """(doc, term, w, df), each document's vector scaled to length one."""
+    raw = tf.join(idf, "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"), "df")
+    return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc"))))
 
 
-def top_similar(corpus: DataFrame, queries: DataFrame, ident: str, text: str, k: int = TOP, least: float = LEAST_SIMILARITY, prepared: bool = False, salts: int = 8) -> DataFrame:
+def top_similar(corpus: DataFrame, queries: DataFrame, ident: str, text: str, k: int = TOP, least: float = LEAST_SIMILARITY, prepared: bool = False, term_rows: int = TERM_ROWS) -> DataFrame:
     """(query, doc, similarity, rank) of the k most similar corpus rows, at least so similar; ties go to the smaller id."""
-    n = corpus.agg(F.count(F.lit(1)).alias("n"))
-    tf = counts(corpus, ident, text, prepared)
-    idf = fitted(tf, n)
-    w = weights(tf, idf).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)))
-    q = weights(counts(queries, ident, text, prepared), idf).select(F.col("doc").alias("query"), "term", F.col("w").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    sims = q.join(w, ["term", "salt"]).groupBy("query", "doc").agg(F.sum(F.col("q") * F.col("w")).alias("similarity")).filter(F.col("similarity") >= least)
+    tf = settled(counts(corpus, ident, text, prepared))
+    idf = settled(fitted(tf, corpus.agg(F.count(F.lit(1))).scalar()))
+    w = settled(weights(tf, idf))
+    q = weights(counts(queries, ident, text, prepared), idf).select(F.col("doc").alias("query"), "term", F.col("w").alias("q"), "df")
+    # From the most frequent term on: while the length of all taken so far stays below the least similarity, they find nothing.
+    frequent = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query").orderBy(F.desc("df"), "term")))
+    q = settled(q.withColumn("passed", frequent < least).withColumn("rest", F.sqrt(F.coalesce(F.sum(F.when(F.col("passed"), F.col("q") * F.col("q"))).over(Window.partitionBy("query")), F.lit(0.0)))))
+    parts = F.ceil(F.col("df") / term_rows).cast("long")
+    asking = q.filter("not passed").select("query", "term", "q", "rest", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    having = w.select("doc", "term", "w", F.pmod(F.xxhash64("doc"), parts).alias("part"))
+    found = asking.join(having, ["term", "part"]).groupBy("query", "doc").agg(F.sum(F.col("q") * F.col("w")).alias("s"), F.max("rest").alias("rest"))
+    found = found.filter(F.col("s") + F.col("rest") >= least - 1e-9)
+    more = found.filter("rest > 0").join(q.filter("passed").select("query", "term", "q"), "query").join(w.select("doc", "term", "w"), ["doc", "term"]).groupBy("query", "doc").agg(F.sum(F.col("q") * F.col("w")).alias("m"))
+    sims = found.join(more, ["query", "doc"], "left").select("query", "doc", (F.col("s") + F.coalesce("m", F.lit(0.0))).alias("similarity")).filter(F.col("similarity") >= least)
     order = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "doc")
     return sims.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -76,6 +91,38 @@ def fields_by_head(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(bounded(table), "head", "left").na.fill("?", ["business_unit", "type", "tcp_head"])
 
 
+# Heads that words of a description decide, which a second look may correct.
+KEYWORD_HEADS = ["Vendor", "Contractor", "Professional"]
+
+
+def second_look(rows: DataFrame, payees: DataFrame) -> DataFrame:
+    """Rows for a model: unknown heads, and heads decided by a word where the text names a payee that the payee table does not have. Adds payee and is_unknown; rows without a description are passed over."""
+    known = payees.select(F.upper(F.trim("name")).alias("payee")).distinct()
+    x = rows.drop("payee", "is_unknown").withColumn("payee", F.upper(payee_name(F.col("description")))).withColumn("is_unknown", F.col("head") == UNKNOWN)
+    x = x.filter(F.coalesce(F.trim("description"), F.lit("")) != "")
+    named = x.filter(~F.col("is_unknown") & F.col("head").isin(KEYWORD_HEADS) & F.col("payee").isNotNull()).join(known, "payee", "left_anti")
+    return x.filter("is_unknown").unionByName(named.select(*x.columns))
+
+
+def prompts(rows: DataFrame, neighbours: DataFrame, labels: DataFrame, ident: str) -> DataFrame:
+    """Adds prompt: the transaction and the most similar rows with their heads, best first (at most as many as were retrieved)."""
+    near = neighbours.join(labels.select(F.col(ident).alias("doc"), F.col("head").alias("_head"), F.col("text").alias("_text")), "doc")
+    line = F.concat(F.lit("- ["), F.col("_head"), F.lit("] "), F.format_number("similarity", 2), F.lit(" "), F.col("_text"))
+    told = near.groupBy(F.col("query").alias(ident)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda s: s["t"]), "\n").alias("_told"))
+    way = F.when(F.col("credits") > 0, "Credit (incoming)").otherwise("Debit (outgoing)")
+    amount = F.when(F.col("credits") > 0, F.col("credits")).otherwise(F.col("debits")).cast("string")
+    return rows.join(told, ident, "left").withColumn("prompt", F.concat_ws("\n", F.concat(F.lit("Transaction: "), F.coalesce("description", F.lit(""))), F.concat(F.lit("Direction: "), way), F.concat(F.lit("Amount: "), amount), F.concat(F.lit("Similar:\n"), F.col("_told")))).drop("_told")
+
+
+def corrected(rows: DataFrame) -> DataFrame:
+    """Rows with a model's answer that is a valid head and differs from the head they have: the new head, Low confidence, and why. Others are left out, as they stay as they are."""
+    new = F.col("answer.head")
+    told = F.coalesce("answer.reason", F.lit("classified by AI"))
+    reason = F.when(F.col("is_unknown"), F.concat(F.lit("AI: "), told)).otherwise(F.concat(F.lit("AI override from "), F.col("head"), F.lit(": "), told))
+    changed = rows.filter(new.isNotNull() & (new != UNKNOWN) & (new != F.col("head")))
+    return changed.withColumns({"reason": reason, "confidence": F.lit("Low"), "old_head": F.col("head")}).withColumn("head", new)
+
+
 ANSWER = "head string, reason string, suggest_master boolean, beneficiary_name string"
 
 

@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table worked out once: a reliable checkpoint in the folder that the session names, else kept on the executors (tests, single machines)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None:
+            return df.persist()
+        sc.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def as_strings(df: DataFrame) -> DataFrame:
     """A full scan with every column as text, missing cells empty."""
     return df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns))
@@ -100,6 +111,7 @@ def duplicates_on_file(rows: DataFrame, key: tuple[str, ...] = DEDUP_KEY) -> Dat
 
 
 def capped_log(log: DataFrame, order: list, keep: int = 500) -> DataFrame:
+    """The newest entries: a top-k, which tasks cut before they send."""
     return log.orderBy(*order).limit(keep)
 
 
@@ -122,3 +134,33 @@ def with_retry(call: Callable, is_transient: Callable[[Exception], bool], attemp
 def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A store's table; filters and columns reach the database."""
     return spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options).load()
+
+
+def dropped(df: DataFrame, column: str) -> DataFrame:
+    """Without a column, if the table has it."""
+    return df.drop(column)
+
+
+def with_links(accounts: DataFrame, links: DataFrame, tabs: DataFrame, key: str = "account_number") -> DataFrame:
+    """Accounts with their link and the name of their tab: null where there is none; of several links the one added last."""
+    last = links.groupBy(key).agg(F.max_by("link", "added").alias("link"))
+    named = tabs.groupBy(key).agg(F.min("tab").alias("tab"))
+    return accounts.join(last, key, "left").join(named, key, "left")
+
+
+def edited(df: DataFrame, edits: DataFrame, key: str = "row_no") -> DataFrame:
+    """A table after edits (action, key, and its other columns): update replaces the row, delete takes it out, append adds one behind the last. Of several edits of a row the last by edit_no holds; row numbers are then counted anew."""
+    rest = [c for c in df.columns if c != key]
+    last = edits.filter("action <> 'append'").groupBy(key).agg(F.max_by(F.struct("action", *rest), "edit_no").alias("_e"))
+    kept = df.join(last, key, "left").filter(~F.coalesce(F.col("_e.action") == "delete", F.lit(False)))
+    changed = kept.select(F.lit(0).alias("_t"), F.col(key).cast("long").alias("_o"), *(F.when(F.col("_e.action") == "update", F.col(f"_e.{c}")).otherwise(F.col(c)).alias(c) for c in rest))
+    added = edits.filter("action = 'append'").select(F.lit(1).alias("_t"), F.col("edit_no").cast("long").alias("_o"), *rest)
+    # Tables of payees are lists that people keep: one partition numbers their rows.
+    return changed.unionByName(added).withColumn(key, F.row_number().over(Window.orderBy("_t", "_o"))).select(*df.columns)
+
+
+def log_state(log: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """What a store that is only appended to says now: the newest value that is not null of each column (upsert, update-latest), and no rows whose last entry is a delete."""
+    rest = [c for c in log.columns if c not in (key, order, "op")]
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest]
+    return log.groupBy(key).agg(F.max_by("op", order).alias("_op"), *newest).filter("_op <> 'delete'").drop("_op")

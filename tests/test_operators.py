@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -108,6 +109,61 @@ def test_master(spark):
     assert master.fuzzy_one_to_one(left, right).count() == 1
 
 
+def test_similar_names_against_all_pairs(spark):
+    """Random names with a few letters changed anywhere, at both ends too: every pair alike is found, with and without prefixes."""
+    import random
+
+    from tallyforge.functions.text import CORPORATE_FORMS
+
+    r = random.Random(5)
+    base = ["".join(r.choice("ABCDEFGHIJ") for _ in range(r.randint(4, 34))) for _ in range(25)]
+
+    def changed(s):
+        for _ in range(r.randint(0, 3)):
+            i = r.choice([0, len(s) - 1, r.randrange(len(s))])
+            s = s[:i] + r.choice(["", r.choice("ABCXYZ"), s[i] + "Q"]) + s[i + 1 :] or "A"
+        return s + r.choice(["", "", " PVT LTD", " PRIVATE LIMITED", " LTD"])
+
+    names = sorted({changed(s) for s in base for _ in range(5)} | {"XACMEINFRASTRUCTUREBUILDERSINDIAA", "YACMEINFRASTRUCTUREBUILDERSINDIAB"})
+
+    def keys(s):
+        t = s.upper()
+        for p, put in CORPORATE_FORMS.items():
+            t = re.sub(p, put, t)
+        return re.sub("[^A-Z0-9]", "", s.upper()), re.sub("[^A-Z0-9]", "", t)
+
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    for prefix in (False, True):
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if any(master.similar_keys(min(p, q), max(p, q), prefix) for p in set(keys(a)) for q in set(keys(b)))}
+        got = {(x["a"], x["b"]) for x in master.similar_pairs(frame, prefix).collect()}
+        assert got == want and len(want) > 40
+    with pytest.raises(RuntimeError, match="settled"):
+        master.components(spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(50)], "a string, b string"), 2)
+
+
+def test_similarity_against_all_pairs(spark):
+    """A word that every text has finds nothing by itself, and counts where others find: as brute force has it."""
+    import collections
+    import math
+
+    words = ["every", *"alpha beta gamma delta omega sigma kappa zeta".split()]
+    texts = {i: "every " + " ".join(words[1 + (i * k) % 8] for k in range(1, 2 + i % 4)) for i in range(60)}
+    terms = lambda t: t.split() + [" ".join(p) for p in zip(t.split(), t.split()[1:], strict=False)]
+    df = collections.Counter(x for t in texts.values() for x in set(terms(t)))
+
+    def vector(t):
+        w = {x: (1 + math.log(n)) * (math.log(61 / (1 + df[x])) + 1) for x, n in collections.Counter(terms(t)).items()}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / size for x, v in w.items()}
+
+    v = {i: vector(t) for i, t in texts.items()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = similar.top_similar(frame, frame.filter("doc_id < 10"), "doc_id", "text", 7, 0.3, term_rows=7).collect()
+    for q in range(10):
+        sims = sorted(((-round(sum(v[q][x] * v[d].get(x, 0) for x in v[q]), 9), d) for d in texts))
+        assert [r["doc"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [d for s, d in sims if -s >= 0.3][:7]
+
+
 def test_conflicts(spark):
     old = spark.createDataFrame([("c", "A", "Vendor", None, None, "Confirmed")], schemas.PAYEES)
     new = spark.createDataFrame([("A", "Vendor"), ("A", "Salary HO"), ("B", "X"), ("B", "Y")], "name string, head string")
