@@ -19,14 +19,23 @@ def _running(amount: Column, seed: Column, w: WindowSpec) -> Column:
     return F.first(seed).over(frame) + F.sum(amount).over(frame)
 
 
-def running_balance(df: DataFrame, key: list[str], order: list, name: str = "balance") -> DataFrame:
+def running_balance(df: DataFrame, key: list[str], order: list[str], name: str = "balance", block: Column | None = None) -> DataFrame:
     """The first row in the order seeds the chain with its reported balance; each later one adds credits and takes debits.
 
-    One account's rows are one window: an account's ledger is bounded by what one bank account does.
+    block: what cuts an account's rows into runs that follow each other in the order, such as months. With it, sums
+    of blocks are scanned and then the rows of each block, so that no account goes through one task as a whole.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
     change = F.coalesce("credits", F.lit(0)) - F.coalesce("debits", F.lit(0))
-    return df.withColumn(name, _running(change, F.col("reported_balance") - change, w))
+    if block is None:
+        return df.withColumn(name, _running(change, F.col("reported_balance") - change, Window.partitionBy(*key).orderBy(*order)))
+    x = df.withColumn("_block", block)
+    first = F.min_by(F.col("reported_balance") - change, F.struct(*order)).alias("_first")
+    sums = x.groupBy(*key, "_block").agg(F.sum(change).alias("_sum"), first, F.min(F.struct(*order)).alias("_at"))
+    before, whole = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sums.select(*key, "_block", (F.first("_first").over(whole) + F.coalesce(F.sum("_sum").over(before), F.lit(0))).alias("_start"))
+    on = [x[k].eqNullSafe(starts[k]) for k in (*key, "_block")]
+    within = Window.partitionBy(*(x[k] for k in (*key, "_block"))).orderBy(*(x[o] for o in order)).rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(starts, on).withColumn(name, F.col("_start") + F.sum(change).over(within)).select(*(x[c] for c in df.columns), name)
 
 
 def balance_check(df: DataFrame, balance: str = "balance") -> DataFrame:

@@ -145,7 +145,7 @@ _BALANCE = f"""{TX}, b AS (SELECT *, first_value(reported_balance - credits + de
 
 @query(f"WITH {_BALANCE} SELECT account_number, row_pos, CAST(balance AS DOUBLE) AS balance FROM b")
 def running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = balance.running_balance(transactions(spark, sf_dir), ["account_number"], ["txn_date", "row_pos"])
+    b = balance.running_balance(transactions(spark, sf_dir), ["account_number"], ["txn_date", "row_pos"], block=F.year("txn_date"))
     return b.select("account_number", "row_pos", F.col("balance").cast("double").alias("balance"))
 
 
