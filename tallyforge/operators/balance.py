@@ -32,10 +32,10 @@ def running_balance(df: DataFrame, key: list[str], order: list[str], name: str =
     first = F.min_by(F.col("reported_balance") - change, F.struct(*order)).alias("_first")
     sums = x.groupBy(*key, "_block").agg(F.sum(change).alias("_sum"), first, F.min(F.struct(*order)).alias("_at"))
     before, whole = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    starts = sums.select(*key, "_block", (F.first("_first").over(whole) + F.coalesce(F.sum("_sum").over(before), F.lit(0))).alias("_start"))
-    on = [x[k].eqNullSafe(starts[k]) for k in (*key, "_block")]
-    within = Window.partitionBy(*(x[k] for k in (*key, "_block"))).orderBy(*(x[o] for o in order)).rowsBetween(Window.unboundedPreceding, 0)
-    return x.join(starts, on).withColumn(name, F.col("_start") + F.sum(change).over(within)).select(*(x[c] for c in df.columns), name)
+    starts = sums.select(*(F.col(k).alias(f"_k_{k}") for k in (*key, "_block")), (F.first("_first").over(whole) + F.coalesce(F.sum("_sum").over(before), F.lit(0))).alias("_start"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*key, "_block")]
+    within = Window.partitionBy(*key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(starts, on).withColumn(name, F.col("_start") + F.sum(change).over(within)).select(*df.columns, name)
 
 
 def balance_check(df: DataFrame, balance: str = "balance") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,25 +44,38 @@ _MATCHED = "account_number string, auto_pos long, main_pos long, status string,
 
 
 def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (account, debits, credits), the main ledger's before the automated ones: within a group each automated row in order claims at most one leftover row."""
-    group, by_day, by_text, days, taken = None, {}, {}, {}, set()
+    """Rows sorted by (account, debits, credits), the main ledger's before the automated ones: within a group each automated row in order claims at most one leftover row.
+
+    Leftover rows wait in queues by day and by (text, day), in their order; claimed ones leave a queue when they come to its
+    front, so a fee that recurs thousands of times costs each row a few looks.
+    """
+    group = None
+    by_day: dict[object, deque[int]] = {}
+    by_text: dict[tuple[str, object], deque[int]] = {}
+    taken: set[int] = set()
+
+    def front(queue: deque[int] | None) -> int | None:
+        while queue and queue[0] in taken:
+            queue.popleft()
+        return queue[0] if queue else None
+
     for batch in batches:
         out = []
         for side, account, pos, day, debit, credit, text in zip(*(batch[c] for c in ("side", "account_number", "row_pos", "txn_date", "debits", "credits", "description_key")), strict=True):
             if (account, debit, credit) != group:
-                group, by_day, by_text, days, taken = (account, debit, credit), {}, {}, {}, set()
-            day = None if day is None or pd.isna(day) else pd.Timestamp(day)
+                group, by_day, by_text, taken = (account, debit, credit), {}, {}, set()
+            number = None if day is None or pd.isna(day) else pd.Timestamp(day).toordinal()
             if side == 0:
-                by_day.setdefault(day, []).append(pos)
-                by_text.setdefault(text, []).append(pos)
-                days[pos] = day
+                by_day.setdefault(number, deque()).append(pos)
+                by_text.setdefault((text, number), deque()).append(pos)
                 continue
-            claim = next((p for p in by_day.get(day, []) if p not in taken), None)
-            reason = "same date and amount, different description"
-            if claim is None and day is not None:
-                apart = [(abs((days[p] - day).days), i, p) for i, p in enumerate(by_text.get(text, [])) if p not in taken and days[p] is not None]
-                claim = min((x for x in apart if x[0] <= NEAR_DAYS), default=(0, 0, None))[2]
+            claim, reason = front(by_day.get(number)), "same date and amount, different description"
+            if claim is None and number is not None:
                 reason = "same amount and description, different date"
+                for apart in range(NEAR_DAYS + 1):
+                    claim = min((p for d in {number - apart, number + apart} if (p := front(by_text.get((text, d)))) is not None), default=None)
+                    if claim is not None:
+                        break
             if claim is not None:
                 taken.add(claim)
             out.append((account, pos, claim, "new" if claim is None else "review", None if claim is None else reason))

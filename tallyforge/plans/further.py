@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names
-from ..operators import lookups, rules
+from ..functions import amounts, names
+from ..operators import geometry, ingest, lookups, rules
 from ..operators import parse as parsing
-from .ledger import query, small, transactions
+from .ledger import TX, query, small, transactions
 from .more import OVERRIDE_SCHEMA
 
 INTO = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
@@ -205,3 +205,37 @@ def company_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = ", ".join(f"{c} {'array<string>' if c in ('keywords', 'all_words', 'bare_words', 'other_stages', 'payee_heads') else 'string'}" for c in _BLOCK_COLUMNS)
     block = small(spark, [(i, *r) for i, r in enumerate(BLOCK_RULES, 1)], f"rule_order int, {schema}")
     return rules.stage_rules(x.withColumns(flags), block).select("row_pos", F.col("s_rule").cast("long").alias("rule"), F.col("s_head").alias("head"), F.col("s_unit").alias("unit"), F.col("s_type").alias("type"), F.col("s_confidence").alias("confidence"))
+
+
+# -- statements ------------------------------------------------------------------------------------------------------
+
+
+def crowded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders laid out as crowded pages: headers of one line or two, row numbers before dates, descriptions that wrap above and below, words without digits among references,
+    texts among amounts, opening balances, contact lines, and what stands after a closing balance or far below it."""
+    w = Window.partitionBy("account_number").orderBy("txn_date", "row_pos")
+    t = transactions(spark, sf_dir).withColumn("n", F.row_number().over(w) - 1).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("account_number")))
+    t = t.withColumn("page", (F.col("n") / 8).cast("int")).withColumn("y", 130.0 + (F.col("n") % 8) * 45.0)
+    cell = lambda s, x0, x1, y: F.struct(s.cast("string").alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), y.cast("double").alias("top"))
+    y, k = F.col("y"), F.col("row_pos")
+    last = (F.col("n") % 8 == 7) | (F.col("n") == F.col("of") - 1)
+    body = F.array(
+        cell(F.concat(F.lit("UP"), k), 120.0, 180.0, y - 9), cell(F.col("n") + 1, 2.0, 8.0, y), cell(F.date_format("txn_date", "dd-MM-yyyy"), 10.0, 50.0, y), cell(F.concat(F.lit("PAY"), k), 120.0, 180.0, y + 1), cell(F.concat(F.lit("REF"), k), 260.0, 300.0, y),
+        cell(F.when(k % 2 == 0, "XY"), 302.0, 310.0, y), cell(F.when(F.col("debits") > 0, amounts.formatted(F.col("debits"))), 350.0, 400.0, y), cell(F.when(F.col("credits") > 0, amounts.formatted(F.col("credits"))), 430.0, 480.0, y),
+        cell(F.lit("Cr"), 482.0, 490.0, y), cell(amounts.formatted(F.col("reported_balance")), 510.0, 560.0, y), cell(F.col("description"), 120.0, 190.0, y + 10), cell(F.when(F.col("n") % 3 == 0, "Opening Balance 5.00"), 120.0, 190.0, y + 17), cell(F.when(F.col("n") % 3 == 1, "tel: 1 | mail: 2"), 120.0, 190.0, y + 20),
+        cell(F.when(last & (k % 2 == 0), "Closing Balance 7.00"), 120.0, 190.0, y + 30), cell(F.when(last & (k % 2 == 0), "left over"), 120.0, 190.0, y + 40), cell(F.when(last & (k % 2 == 1), "far below"), 120.0, 190.0, y + 95),
+    )
+    head = [("Transaction", 10.0, 60.0), ("Date", 62.0, 80.0), ("Description", 120.0, 180.0), ("Reference", 260.0, 300.0), ("Withdrawals", 350.0, 400.0), ("Deposits", 430.0, 480.0), ("Balance", 510.0, 560.0)]
+    split = F.col("account_number").cast("long") % 2 == 0
+    titles = F.array(*(cell(F.lit(s), a, b, F.when(split & F.lit(s in ("Transaction", "Withdrawals", "Deposits")), 68.0).otherwise(78.0)) for s, a, b in head))
+    cells = F.when(F.col("n") == 0, F.concat(titles, body)).otherwise(body)
+    out = t.select(F.col("account_number").alias("doc_id"), "page", "n", F.posexplode(cells).alias("word_no", "c")).filter("c.text is not null")
+    return out.select("doc_id", "page", (F.col("n") * 40 + F.col("word_no")).cast("int").alias("word_no"), "c.text", F.col("c.x0").alias("x0"), F.col("c.x1").alias("x1"), F.col("c.top").alias("top"), (F.col("c.top") + 8.0).alias("bottom"))
+
+
+@query(f"""WITH {TX} SELECT account_number AS source, row_number() OVER (PARTITION BY account_number ORDER BY txn_date, row_pos) - 1 AS row_pos, CAST(txn_date AS VARCHAR) AS txn_date, 'UP' || row_pos || ' PAY' || row_pos || CASE WHEN row_pos % 2 = 0 THEN ' XY' ELSE ' ' END || description AS description, 'REF' || row_pos AS reference,
+  CAST(credits AS DOUBLE) AS credits, CAST(debits AS DOUBLE) AS debits, CAST(reported_balance AS DOUBLE) AS balance FROM tx""")
+def crowded_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back from crowded pages to the orders that they were laid out from."""
+    n = ingest.normalized(geometry.statement_rows(crowded_words(spark, sf_dir)))
+    return n.select("source", "row_pos", F.col("txn_date").cast("string").alias("txn_date"), "description", "reference", F.col("credits").cast("double").alias("credits"), F.col("debits").cast("double").alias("debits"), F.col("reported_balance").cast("double").alias("balance"))

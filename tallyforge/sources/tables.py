@@ -65,8 +65,9 @@ def config_map(c: Column) -> Column:
     return F.map_filter(F.from_json(c, "map<string,string>"), lambda k, _: ~k.startswith("_"))
 
 
-def json_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def json_config(spark: SparkSession, path: str, schema: str, one_a_file: bool = True) -> DataFrame:
+    """Configurations as JSON: one a file, over as many lines as it likes, or one a line. A folder that does not exist is an error, not an empty configuration."""
+    return spark.read.schema(schema).option("multiLine", one_a_file).json(path)
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:

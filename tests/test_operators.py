@@ -45,6 +45,77 @@ def test_three_way(spark):
     assert got == {0: ("present", None), 1: ("new", None), 2: ("review", 1), 3: ("review", 2), 4: ("new", None), 5: ("new", None)}
 
 
+def test_three_way_against_a_plain_walk(spark):
+    """Random ledgers with recurring fees: bags by count, then each open row looks through all that is left, in order."""
+    import random
+
+    r = random.Random(3)
+    day = lambda: r.choice([f"2026-04-{r.randint(1, 9):02d}"] * 9 + [None])
+    some = lambda n: [(day(), r.choice(["5.00", "5.00", "7.00"]), r.choice(["fee", "fee", "rent", "x y"])) for _ in range(n)]
+    auto, main = some(140), some(120)
+    a, m = ledger(spark, auto), ledger(spark, main)
+    squeezed = lambda t: t.upper().replace(" ", "")
+    bag = {}
+    for d, amount, t in main:
+        bag[d, amount, squeezed(t)] = bag.get((d, amount, squeezed(t)), 0) + 1
+    own = {}
+    for d, amount, t in auto:
+        own[d, amount, squeezed(t)] = own.get((d, amount, squeezed(t)), 0) + 1
+    want, seen, left, kept = {}, {}, [], {}
+    for i, (d, amount, t) in enumerate(main):
+        key = d, amount, squeezed(t)
+        kept[key] = kept.get(key, 0) + 1
+        if kept[key] <= bag[key] - min(bag[key], own.get(key, 0)):
+            left.append((i, d, amount, squeezed(t)))
+    taken = set()
+    for i, (d, amount, t) in enumerate(auto):
+        key = d, amount, squeezed(t)
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] <= bag.get(key, 0):
+            want[i] = ("present", None)
+            continue
+        same = [j for j, e, x, _ in left if j not in taken and (e, x) == (d, amount)]
+        number = lambda e: dt.date.fromisoformat(e).toordinal()
+        near = [] if d is None else sorted((abs(number(e) - number(d)), j) for j, e, x, u in left if j not in taken and e and x == amount and u == squeezed(t) and abs(number(e) - number(d)) <= 3)
+        claim = same[0] if same else near[0][1] if near else None
+        taken.add(claim)
+        want[i] = ("new" if claim is None else "review", claim)
+    assert {x["auto_pos"]: (x["status"], x["main_pos"]) for x in reconcile.three_way(a, m).collect()} == want and len(taken) > 10
+
+
+def test_chain_placement_against_a_plain_walk(spark):
+    """Random chains with rows taken out: each new row lies between the rows that its balances name, found by looking at all of them."""
+    import random
+
+    r = random.Random(6)
+    balance, rows = 1000.0, []
+    for _ in range(120):
+        credit, debit = (float(r.randint(20, 400)), 0.0) if r.random() < 0.5 else (0.0, float(r.randint(20, 300)))
+        balance += credit - debit
+        rows.append((balance, credit, debit))
+    rows.reverse()  # newest first
+    new = {i for i in range(len(rows)) if r.random() < 0.3}
+    frame = lambda keep: spark.createDataFrame([("1", 1000 * (i in new) + i, *x) for i, x in enumerate(rows) if (i in new) == keep], "account_number string, row_pos long, balance double, credits double, debits double")
+    got = {x["row_pos"]: x for x in reconcile.placed(frame(True), frame(False)).collect()}
+    pool = [(i, *x) for i, x in enumerate(rows) if i not in new] + [(1000 + i, *x) for i, x in enumerate(rows) if i in new]
+    older = lambda p, b, c, d: next((q for q, e, _, _ in pool if q != p and abs(e - (b - c + d)) <= reconcile.BALANCE_TOLERANCE), None)
+    by_pos = {x[0]: x for x in pool}
+    points = {p: older(*by_pos[p]) for p in by_pos if p >= 1000}
+    heads = [p for p in points if p not in {q for q in points.values() if q is not None and q >= 1000}]
+    seen = set()
+    for block, head in enumerate(heads):
+        run, p = [], head
+        while p is not None and p >= 1000 and p not in seen:
+            seen.add(p)
+            run.append(p)
+            p = points[p]
+        upper = next((q for q, e, c, d in pool if q < 1000 and abs(e - c + d - by_pos[head][1]) <= reconcile.BALANCE_TOLERANCE), None)
+        lower = p if p is not None and p < 1000 else None
+        for k, q in enumerate(run):
+            assert (got[q]["block"], got[q]["seq"], got[q]["upper_row"], got[q]["lower_row"]) == (block, k, upper, lower)
+    assert len(got) == len(new) and len(seen) > 20
+
+
 def test_chain_placement(spark):
     # Newest first: 130 <- 120 <- [110] <- 100
     old = spark.createDataFrame([("1", 0, 130.0, 10.0, 0.0), ("1", 1, 100.0, 10.0, 0.0)], "account_number string, row_pos long, balance double, credits double, debits double")
