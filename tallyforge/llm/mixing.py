@@ -19,6 +19,8 @@ REST = "_rest"
 DIMENSIONS = ("source", "lang", "topic")
 #: Sweeps end when no marginal is further than this from its target (in shares of all tokens), or when they no longer come nearer, as with targets that contradict each other.
 TOLERANCE, MOST_SWEEPS = 1e-12, 500
+#: Sweeps over which the error must fall by a millionth of itself.
+STALL = 10
 #: The share of all tokens that the mix keeps.
 BUDGET = 0.5
 
@@ -88,7 +90,7 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]], tolerance: flo
             out = out * _share(d, factors[d])
         return out
 
-    last = [float("inf")] * 3
+    errors: list[float] = []
     for k in range(most):
         error = 0.0
         for d in DIMENSIONS:
@@ -97,9 +99,10 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]], tolerance: flo
                 error = max([error, *(abs(have - aims[d][c]) for c, have in marginal)])
             for c, have in marginal:
                 factors[d][c] *= aims[d][c] / have if have else 0.0
-        if k and (error <= tolerance or error >= 0.999 * max(last) and error <= min(last) * 1.001) or not factors[DIMENSIONS[0]]:
+        errors += [error] if k else []
+        stalled = len(errors) > STALL and errors[-STALL - 1] - error <= 1e-6 * error
+        if k and (error <= tolerance or stalled) or not factors[DIMENSIONS[0]]:
             break
-        last = [*last[1:], error if k else float("inf")]
     else:
         raise RuntimeError(f"marginals are {error} from their targets after {most} sweeps")
     return cells.withColumn("w", weight())

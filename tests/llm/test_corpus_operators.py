@@ -350,6 +350,91 @@ def test_pipeline(spark):
     assert not any(re.search(r"token = \"[0-9a-f]{32}", r["text"]) for r in run)
 
 
+def test_pipeline_against_a_plain_version(spark):
+    """Every stage of a run over the smallest documents, each held against plain Python on what the stage before it kept."""
+    import zlib
+
+    from test_text_operators import base_spans, brute_hits
+
+    from tallyforge.llm import quality_classifier, secret_scan
+
+    docs, labels = table(spark, SF, "documents").select(*corpus_pipeline.COLUMNS), table(spark, SF, "labels")
+    rows = lambda df: sorted((tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in df.collect()), key=str)
+    at, kept = docs, rows(docs)
+    # Quality: fitted on the labelled ones outside the held-out fold, in the order of their ids; scored one by one.
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    fit = sorted((d, t) for d, t, *_ in kept if d in quality and zlib.crc32(str(d).encode()) % 5)
+    forest = quality_classifier.fitted(np.array([quality_classifier.statistics(t) for _, t in fit]), np.array([float(quality[d]) for d, _ in fit]))
+    want = [r for r in kept if forest.score(np.array([quality_classifier.statistics(r[1])]))[0] >= 0.3]
+    at = corpus_pipeline.quality_stage(spark, at, SF).cache()
+    assert rows(at) == want and len(want) < len(kept)
+    # Near duplicates: the smallest id of each component of all pairs.
+    component = brute_components([(d, brute_print(t)) for d, t, *_ in want])
+    want = [r for r in want if component[r[0]] == r[0]]
+    at = corpus_pipeline.dedup_stage(spark, at, SF).cache()
+    assert rows(at) == want
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    want = [r for r in want if not brute_hits(r[1], items)[1]]
+    at = corpus_pipeline.decontamination_stage(spark, at, SF).cache()
+    assert rows(at) == want
+    # Secrets: what the base patterns find is gone; texts without any finding stay as they are.
+    net = secret_scan.trained(secret_scan.labelled_findings(at))
+    plain = []
+    for d, t, lang, source, n in want:
+        spans = secret_scan.scan([t], net)[0]
+        assert set(filter(None, base_spans(t).split(","))) <= {f"{k}:{a}:{b}" for a, b, k, _ in spans}
+        out, end = "", 0
+        for a, b, *_ in spans:
+            out, end = (out + t[end:a] + "[SECRET]" if a >= end else out), max(end, b)
+        out += t[end:]
+        plain.append((d, out, lang, source, len(out) if spans else n))
+    at = corpus_pipeline.secrets_stage(spark, at, SF).cache()
+    assert rows(at) == sorted(plain, key=str)
+    # Mixing: proportional fitting over a dictionary of cells.
+    cell = {}
+    for d, t, lang, source, _ in plain:
+        topic = next((n for n, p in mixing.TOPICS.items() if re.search(p, t)), "prose")
+        known = lambda v, dim: v if v in mixing.TARGETS[dim] and v != mixing.REST else mixing.REST
+        cell[d] = (known(source, "source"), known(lang, "lang"), topic), len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    n = {}
+    for c, k in cell.values():
+        n[c] = n.get(c, 0) + k
+    n = {c: k for c, k in n.items() if k}
+    w = {c: float(k) for c, k in n.items()}
+    for _ in range(400):
+        for i, dim in enumerate(mixing.DIMENSIONS):
+            have, aim = {}, {c[i]: mixing.TARGETS[dim][c[i]] for c in w}
+            for c, v in w.items():
+                have[c[i]] = have.get(c[i], 0.0) + v
+            w = {c: v * aim[c[i]] / sum(aim.values()) / have[c[i]] for c, v in w.items()}
+    total, scale = mixing.BUDGET * sum(n.values()), None
+    full = set()
+    while True:
+        scale = (total - sum(n[c] for c in full)) / (sum(v for c, v in w.items() if c not in full) or 1.0)
+        more = {c for c in w if scale * w[c] / n[c] >= 1}
+        if more == full or len(more) == len(w):
+            break
+        full = more
+    p = {c: min(1.0, scale * w[c] / n[c]) for c in w}
+    draw = lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:13], 16) / (1 << 52)
+    # Targets of so few documents contradict each other, where two ways of stopping differ a little.
+    last = {r["doc_id"]: r["probability"] for r in corpus_pipeline.mixing_stage(spark, at, SF).collect()}
+    assert all(abs(q - p[cell[d][0]]) < 0.01 for d, q in last.items())
+    assert all((d in last) == (draw(d) < p.get(c, 0.0)) for d, (c, _) in cell.items() if abs(draw(d) - p.get(c, 0.0)) > 0.01)
+
+
+def test_clashing_columns(spark, docs):
+    """Columns that the results would be called are replaced; a repeated seq and null files in an audit have a defined result."""
+    clash = docs.selectExpr("*", "1 AS topic", "2 AS n_tokens", "3 AS probability", "4 AS sampled", "5 AS p", "6 AS g_lang")
+    got = mixing.mixed(clash)
+    assert got.columns.count("topic") == 1 and dict(got.dtypes)["topic"] == "string" and got.count() == docs.count()
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs.selectExpr("*", "1 AS spans", "2 AS redacted", "3 AS _key", "4 AS fp", "5 AS component"), SF)
+        assert out.columns[:5] == list(corpus_pipeline.COLUMNS) and out.count() <= docs.count(), name
+    few = docs.select(*corpus_pipeline.COLUMNS).filter("doc_id is null or text is null or doc_id < 6")
+    assert corpus_pipeline.quality_stage(spark, few, SF).count() <= few.count()
+
+
 def test_pipeline_edges(spark, docs, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty.select(*corpus_pipeline.COLUMNS), SF).count() == 0
