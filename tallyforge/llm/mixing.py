@@ -10,17 +10,18 @@ by a hash of its id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_or_empty, written
 
 REST = "_rest"
 DIMENSIONS = ("source", "lang", "topic")
-#: Sweeps end when no marginal is further than this from its target (in shares of all tokens), or when they no longer come nearer, as with targets that contradict each other.
-TOLERANCE, MOST_SWEEPS = 1e-12, 500
-#: Sweeps over which the error must fall by a millionth of itself.
-STALL = 10
+#: Sweeps end when no marginal is further than this from its target (in shares of all tokens), when a block of sweeps no longer takes STALL of the error away,
+#: as with targets that contradict each other, or after MOST_SWEEPS, where cells that the targets leave nothing still shrink.
+TOLERANCE, STALL, MOST_SWEEPS = 1e-12, 1e-3, 160
+#: Sweeps that one job does before the error is looked at.
+BLOCK_SWEEPS = 8
 #: The share of all tokens that the mix keeps.
 BUDGET = 0.5
 
@@ -61,51 +62,38 @@ def weighted(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame
     )
 
 
-def _share(dimension: str, factors: dict[str, float]) -> Column:
-    pairs = [F.lit(x) for k, v in sorted(factors.items()) for x in (k, float(v))]
-    return F.create_map(*pairs)[F.col(f"g_{dimension}")] if pairs else F.lit(1.0)
+def _aim(dimension: str, aims: dict[str, float]) -> Column:
+    pairs = [F.lit(x) for k, v in sorted(aims.items()) for x in (k, float(v))]
+    return F.create_map(*pairs)[F.col(f"g_{dimension}")]
 
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]], tolerance: float = TOLERANCE, most: int = MOST_SWEEPS) -> DataFrame:
-    """cells (g_source, g_lang, g_topic, n): adds w, whose marginals are in proportion to the targets.
-
-    w is n times one factor a category. Each step reads one marginal, which has a
-    row for each category that the targets name, and scales that dimension's
-    factors. Targets of categories without tokens are left out, and the others
-    of that marginal scaled to one. Sweeps go on until every marginal is within the
-    tolerance; where the targets cannot all be met, until the error has
-    stopped to fall. Beyond most sweeps it raises an error.
+    """cells (g_source, g_lang, g_topic, n) in one partition: adds w, whose marginals are in proportion to the targets.
+
+    Each step scales the weights to one marginal, a window sum over its categories. Targets of categories without
+    tokens are left out, and the others of that marginal scaled to one. Sweeps go on in blocks until every marginal is
+    within the tolerance; where the targets cannot all be met, until a block no longer lowers the error, or most
+    sweeps are done.
     """
-    factors: dict[str, dict[str, float]] = {d: {} for d in DIMENSIONS}
-    for d in DIMENSIONS:
-        factors[d] = {r[0]: 1.0 for r in cells.groupBy(f"g_{d}").agg(F.count(F.lit(1))).collect()}
+    found = cells.agg(*(F.collect_set(f"g_{d}").alias(d) for d in DIMENSIONS)).first()
+    x = cells.withColumn("w", F.col("n").cast("double"))
+    if not found[DIMENSIONS[0]]:
+        return x
+    total = lambda d: F.sum("w").over(Window.partitionBy(f"g_{d}"))
     aims = {}
     for d in DIMENSIONS:
-        have = {k: float(targets[d].get(k, 0.0)) for k in factors[d]}
-        aims[d] = {k: v / (sum(have.values()) or 1.0) for k, v in have.items()}
-
-    def weight() -> Column:
-        out = F.col("n").cast("double")
-        for d in DIMENSIONS:
-            out = out * _share(d, factors[d])
-        return out
-
+        have = {k: float(targets[d].get(k, 0.0)) for k in found[d]}
+        aims[d] = _aim(d, {k: v / (sum(have.values()) or 1.0) for k, v in have.items()})
     errors: list[float] = []
-    for k in range(most):
-        error = 0.0
-        for d in DIMENSIONS:
-            marginal = cells.groupBy(f"g_{d}").agg(F.sum(weight())).collect()
-            if k:
-                error = max([error, *(abs(have - aims[d][c]) for c, have in marginal)])
-            for c, have in marginal:
-                factors[d][c] *= aims[d][c] / have if have else 0.0
-        errors += [error] if k else []
-        stalled = len(errors) > STALL and errors[-STALL - 1] - error <= 1e-6 * error
-        if k and (error <= tolerance or stalled) or not factors[DIMENSIONS[0]]:
+    for _ in range(0, most, BLOCK_SWEEPS):
+        for _ in range(BLOCK_SWEEPS):
+            for d in DIMENSIONS:
+                x = x.withColumn("w", F.when(total(d) > 0, F.col("w") * aims[d] / total(d)).otherwise(F.lit(0.0)))
+        x = checkpointed(x.coalesce(1)).coalesce(1)
+        errors.append(x.select(F.greatest(*(F.abs(total(d) - aims[d]) for d in DIMENSIONS)).alias("e")).agg(F.max("e")).first()[0])
+        if errors[-1] <= tolerance or len(errors) > 1 and errors[-2] - errors[-1] <= STALL * errors[-1]:
             break
-    else:
-        raise RuntimeError(f"marginals are {error} from their targets after {most} sweeps")
-    return cells.withColumn("w", weight())
+    return x
 
 
 def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
