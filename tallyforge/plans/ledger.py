@@ -241,7 +241,7 @@ def pair_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def party_type_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = small(spark, [("Steel", 1, None, ["metal"], [], [], False), ("Works", 2, None, ["metal", "site"], [], [], False)], "head string, priority int, direction string, party_types array<string>, keywords array<string>, patterns array<string>, fallback boolean")
     parties = small(spark, [("Brand#11", "metal", ["Brand#33"], "high"), ("Brand#22", "site", [], "high"), ("Brand#44", "metal", [], "low"), ("Brand#55", "Unknown", [], "high")], "canonical string, type string, aliases array<string>, confidence string")
-    x = rules.party_heads(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", parties, r, ["p_partkey"])
+    x = rules.party_heads(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", parties, r)
     return x.select("p_partkey", F.when(F.col("party_heads").isNotNull(), F.array_join(F.array_sort("party_heads"), ",")).alias("heads"))
 
 
