@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed_upper
-
+from ..sources.tables import settled
 from .lookups import occurrence
 
 NEAR_DAYS, BALANCE_TOLERANCE = 3, 5.0
@@ -119,71 +120,136 @@ def nearest_by_date(left: DataFrame, right: DataFrame, key: list[str], day: str,
     return a.join(b, on).groupBy(*(a[k] for k in key), a[ident], a[day]).agg(F.min(F.struct(F.abs(F.datediff(day, "_r_day")).alias("days"), F.col("_r_id").alias("id"))).alias("_n")).select(*key, ident, day, F.col("_n.id").alias("near_id"), F.col("_n.days").alias("near_days"))
 
 
-_PLACED = "account_number string, block int, seq int, row_pos long, upper_row long, lower_row long"
-
-
-def _chains(rows: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of one account's new rows: each row points to its older neighbour by the balance before it; chains are walked from rows that no new row points to."""
-    rows = rows.sort_values(["is_new", "row_pos"])
-    balance = rows["balance"].astype(float).to_numpy()
-    target = balance - rows["credits"].astype(float).to_numpy() + rows["debits"].astype(float).to_numpy()
-    pos, new = rows["row_pos"].to_numpy(), rows["is_new"].to_numpy(bool)
-    n = len(rows)
-    # Candidates come from buckets of the tolerance, in pool order.
-    buckets: dict[int, list[int]] = {}
-    for i, v in enumerate(balance):
-        if v == v:
-            buckets.setdefault(int(v // BALANCE_TOLERANCE), []).append(i)
-
-    def at(value: float, skip: int, only_old: bool = False) -> int | None:
-        if value != value:
-            return None
-        k = int(value // BALANCE_TOLERANCE)
-        near = [j for b in (k - 1, k, k + 1) for j in buckets.get(b, []) if j != skip and abs(balance[j] - value) <= BALANCE_TOLERANCE and not (only_old and new[j])]
-        return min(near, default=None)
-
-    older = {i: at(target[i], i) for i in range(n) if new[i]}
-    pointed = {j for i, j in older.items() if j is not None and new[j]}
-    targets: dict[int, list[int]] = {}
-    for i in range(n):
-        if not new[i] and target[i] == target[i]:
-            targets.setdefault(int(target[i] // BALANCE_TOLERANCE), []).append(i)
-    placed: set[int] = set()
-    out, block = [], 0
-    account = rows["account_number"].iloc[0]
-
-    def walk(head: int, anchored: bool) -> None:
-        nonlocal block
-        run, lower, i = [], None, head
-        while i is not None and new[i] and i not in placed:
-            placed.add(i)
-            run.append(i)
-            i = older[i] if anchored else None
-        if i is not None and not new[i]:
-            lower = pos[i]
-        upper = None
-        first = balance[run[0]]
-        if anchored and first == first:
-            k = int(first // BALANCE_TOLERANCE)
-            near = [j for b in (k - 1, k, k + 1) for j in targets.get(b, []) if abs(target[j] - first) <= BALANCE_TOLERANCE]
-            upper = pos[min(near)] if near else None
-        out.extend((account, block, s, pos[i], upper, lower) for s, i in enumerate(run))
-        block += 1
-
-    for i in (i for i in older if i not in pointed):
-        if i not in placed:
-            walk(i, True)
-    for i in older:
-        if i not in placed:
-            walk(i, False)
-    return pd.DataFrame(out, columns=["account_number", "block", "seq", "row_pos", "upper_row", "lower_row"]).astype({"upper_row": "Int64", "lower_row": "Int64"})
+_NEAREST = "account_number string, value long, first_new boolean, first_pos long, second_new boolean, second_pos long"
+#: Balances are dealt out in cells of so many cents; candidates within the tolerance of a cell's edge go to both of its sides.
+CELL_CENTS = 100_000
+RANK_ROWS = 1 << 16
+
+
+def _cents(c: str) -> Column:
+    return F.round(F.col(c).try_cast("decimal(20,2)") * 100).cast("long")
+
+
+def _nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates and asked values of a cell in the order of their values: for each asked one the first two candidates, in pool order, within the tolerance.
+
+    A heap in pool order holds the candidates that a later value may still reach: two a cent at most.
+    """
+    reach = round(200 * BALANCE_TOLERANCE)
+    group, heap, most = None, [], 4096
+    for batch in batches:
+        out = []
+        for account, cell, at, asked, new, pos in zip(*(batch[c] for c in ("account_number", "cell", "at", "asked", "is_new", "row_pos")), strict=True):
+            if (account, cell) != group:
+                group, heap, most = (account, cell), [], 4096
+            if not asked:
+                heapq.heappush(heap, (bool(new), int(pos), at))
+                if len(heap) > most:
+                    heap = [x for x in heap if x[2] >= at - reach]
+                    heapq.heapify(heap)
+                    most = max(4096, 2 * len(heap))
+                continue
+            found = []
+            while heap and len(found) < 2:
+                x = heapq.heappop(heap)
+                if x[2] >= at - reach:
+                    found.append(x)
+            for x in found:
+                heapq.heappush(heap, x)
+            (a, b, _), (c, d, _) = (found + [(None, None, None)] * 2)[:2]
+            out.append((account, at - reach // 2, a, b, c, d))
+        found = pd.DataFrame(out, columns=["account_number", "value", "first_new", "first_pos", "second_new", "second_pos"])
+        yield found.astype({"first_new": "boolean", "first_pos": "Int64", "second_new": "boolean", "second_pos": "Int64"})
+
+
+def nearest_values(pool: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked (account_number, value) the first two rows of the pool (account_number, value, is_new, row_pos), older ones before new ones, whose value is within the tolerance.
+
+    Two rows of each value can be among them at most, so no more go on, and a value is asked once, however many rows
+    ask for it: work and memory of a task follow the distinct cents of a cell, not the rows of an account.
+    """
+    far = round(100 * BALANCE_TOLERANCE)
+    w = Window.partitionBy("account_number", "value").orderBy("is_new", "row_pos")
+    few = pool.filter("value is not null").withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
+    cell = lambda v: F.floor(v / CELL_CENTS)
+    both = F.array_distinct(F.array(cell(F.col("value") - far), cell(F.col("value") + far)))
+    here = few.select("account_number", F.explode(both).alias("cell"), F.col("value").alias("at"), F.lit(False).alias("asked"), "is_new", "row_pos")
+    there = asked.filter("value is not null").distinct().select("account_number", cell(F.col("value")).alias("cell"), (F.col("value") + far).alias("at"), F.lit(True).alias("asked"), F.lit(None).cast("boolean").alias("is_new"), F.lit(None).cast("long").alias("row_pos"))
+    dealt = here.unionByName(there).repartition("account_number", "cell").sortWithinPartitions("account_number", "cell", "at", "asked")
+    return dealt.mapInPandas(_nearest, _NEAREST)
+
+
+def _beside(left: DataFrame, right: DataFrame, on: dict[str, str], how: str = "left") -> DataFrame:
+    """left and what right has for it, by columns of left and their names in right; null accounts are one account."""
+    r = right.select(*(F.col(c).alias(f"_on_{c}" if c in on.values() else c) for c in right.columns))
+    same = F.lit(True)
+    for a, b in on.items():
+        same = same & (F.col(a).eqNullSafe(F.col(f"_on_{b}")) if a == "account_number" else F.col(a) == F.col(f"_on_{b}"))
+    return left.join(r, same, how).drop(*(f"_on_{b}" for b in on.values()))
+
+
+def _reached(links: DataFrame) -> DataFrame:
+    """links (account_number, row_pos, next) with head and seq: the first row, of those that no other points to, from which a row is reached, and how far from it it lies.
+
+    Pointers double, so a chain of n rows takes log2(n) rounds, each of them settled. Rows that only a ring reaches have no head.
+    """
+    pointed = links.filter("next is not null").select("account_number", F.col("next").alias("row_pos"), F.lit(True).alias("_pointed")).distinct()
+    start = _beside(links, pointed, {"account_number": "account_number", "row_pos": "row_pos"})
+    best = F.when(F.col("_pointed").isNull(), F.struct(F.col("row_pos").alias("head"), F.lit(0).cast("long").alias("seq")))
+    x = settled(start.select("account_number", "row_pos", best.alias("best"), F.col("next").alias("jump")))
+    most = x.groupBy("account_number").count().agg(F.max("count")).first()[0] or 0
+    step = 1
+    # Whoever still has a pointer after as many steps as there are rows goes round in a ring, and all that reach it have told it so.
+    while step <= most and x.filter("jump is not null").limit(1).count():
+        told = x.filter("jump is not null and best is not null").groupBy("account_number", F.col("jump").alias("row_pos")).agg(F.min(F.struct("best.head", (F.col("best.seq") + step).alias("seq"))).alias("_told"))
+        beyond = x.filter("jump is not null").select("account_number", "row_pos", F.col("jump").alias("_jump"))
+        y = _beside(x, told, {"account_number": "account_number", "row_pos": "row_pos"})
+        y = _beside(y, beyond, {"account_number": "account_number", "jump": "row_pos"})
+        nxt = settled(y.select("account_number", "row_pos", F.least("best", "_told").alias("best"), F.col("_jump").alias("jump")))
+        if x.is_cached:
+            x.unpersist()
+        x, step = nxt, 2 * step
+    return x.select("account_number", "row_pos", "best.head", "best.seq")
+
+
+def _numbered(heads: DataFrame) -> DataFrame:
+    """heads with block: their rank within the account by (ring, row_pos), from 0; ranks within runs of positions are added to those of the runs before."""
+    x = heads.withColumn("_run", F.floor(F.col("row_pos") / RANK_ROWS))
+    runs = x.groupBy("account_number", "ring", "_run").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("account_number").orderBy("ring", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(F.col("account_number").alias("_a"), F.col("ring").alias("_g"), F.col("_run").alias("_r"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("account_number", "ring", "_run").orderBy("row_pos")
+    y = x.join(starts, F.col("account_number").eqNullSafe(F.col("_a")) & (F.col("ring") == F.col("_g")) & (F.col("_run") == F.col("_r")))
+    return y.withColumn("block", (F.col("_start") + F.row_number().over(within) - 1).cast("int")).select(*heads.columns, "block")
 
 
 def placed(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Where new rows belong between existing ones (newest first): blocks with the rows above and below. One account is one group: its ledger is bounded by one bank account."""
-    columns = ["account_number", "row_pos", "balance", "credits", "debits"]
-    rows = existing.select(*columns, F.lit(False).alias("is_new")).unionByName(new.select(*columns, F.lit(True).alias("is_new")))
-    return rows.groupBy("account_number").applyInPandas(_chains, _PLACED)
+    """Where new rows belong between existing ones (newest first): account_number, block, seq, row_pos, upper_row, lower_row.
+
+    A new row points to the first other row, existing ones first, whose balance is the one before it; chains are walked from rows
+    that no new row points to, each row once, and end at an existing row (lower_row). upper_row is the first existing row
+    before which the chain's first balance stood. Rows of a ring that no chain enters stand alone, without rows above and below.
+
+    row_pos tells the rows of one side of an account apart. Amounts count in cents; rows with a null amount point nowhere, and
+    nothing points to a null balance. Null accounts are one account, and an empty side is no exception.
+    No account goes through one task: see nearest_values and _reached.
+    """
+    amounts = lambda df, is_new: df.select(F.col("account_number").cast("string").alias("account_number"), F.col("row_pos").cast("long").alias("row_pos"), F.lit(is_new).alias("is_new"), _cents("balance").alias("balance"), (_cents("balance") - _cents("credits") + _cents("debits")).alias("target"))
+    rows = settled(amounts(existing, False).unionByName(amounts(new, True)))
+    fresh = rows.filter("is_new")
+    near = nearest_values(rows.withColumnRenamed("balance", "value"), fresh.select("account_number", F.col("target").alias("value")))
+    found = _beside(fresh, near, {"account_number": "account_number", "target": "value"})
+    itself = F.coalesce(F.col("first_new") & (F.col("first_pos") == F.col("row_pos")), F.lit(False))
+    at, is_new = F.when(itself, F.col("second_pos")).otherwise(F.col("first_pos")), F.when(itself, F.col("second_new")).otherwise(F.col("first_new"))
+    links = settled(found.select("account_number", "row_pos", "balance", F.when(is_new, at).alias("next"), F.when(~is_new, at).alias("lower")))
+
+    chains = settled(_beside(links, _reached(links.select("account_number", "row_pos", "next")), {"account_number": "account_number", "row_pos": "row_pos"}))
+    chains = chains.withColumns({"ring": F.col("head").isNull(), "head": F.coalesce("head", "row_pos"), "seq": F.coalesce("seq", F.lit(0))})
+    heads = chains.groupBy("account_number", "ring", F.col("head").alias("row_pos")).agg(F.max(F.when(~F.col("ring"), F.col("lower"))).alias("lower_row"), F.max(F.when((F.col("seq") == 0) & ~F.col("ring"), F.col("balance"))).alias("_first"))
+    above = nearest_values(rows.filter("not is_new").select("account_number", F.col("target").alias("value"), "is_new", "row_pos"), heads.select("account_number", F.col("_first").alias("value")))
+    blocks = _numbered(_beside(heads, above.select("account_number", "value", F.col("first_pos").alias("upper_row")), {"account_number": "account_number", "_first": "value"}))
+    told = _beside(chains.select("account_number", "head", F.col("seq").cast("int").alias("seq"), "row_pos"), blocks.select("account_number", F.col("row_pos").alias("head"), "block", "upper_row", "lower_row"), {"account_number": "account_number", "head": "head"})
+    return told.select("account_number", "block", "seq", "row_pos", "upper_row", "lower_row")
 
 
 def placement_plan(new: DataFrame, ledger: DataFrame, ascending: DataFrame) -> DataFrame:

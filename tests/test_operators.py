@@ -116,6 +116,49 @@ def test_chain_placement_against_a_plain_walk(spark):
     assert len(got) == len(new) and len(seen) > 20
 
 
+def test_chains_with_ties_rings_and_nulls(spark, monkeypatch):
+    """Accounts whose balances repeat, with rings, null amounts, a null account and an empty side, in narrow cells: every row as a plain walk has it."""
+    import random
+
+    r = random.Random(9)
+    monkeypatch.setattr(reconcile, "CELL_CENTS", 1500)
+    monkeypatch.setattr(reconcile, "RANK_ROWS", 4)
+    schema = "account_number string, row_pos long, balance double, credits double, debits double"
+    old, new = [], []
+    for account, n_old, n_new, far in (("1", 30, 60, 60), ("2", 0, 40, 400), ("3", 200, 80, 3000), (None, 10, 20, 50), ("5", 15, 0, 50)):
+        for side, n in ((old, n_old), (new, n_new)):
+            for i in range(n):
+                amount = r.choice([0, 3, r.randint(0, far)]) if r.random() > 0.05 else None
+                side.append((account, i, r.randint(-far, far) + r.choice([0.0, 0.01, 0.5]) if r.random() > 0.05 else None, *((amount, 0.0) if r.random() < 0.5 else (0.0, amount))))
+    old, new = ([tuple(float(v) if k > 1 and v is not None else v for k, v in enumerate(x)) for x in side] for side in (old, new))
+    # A ring of three rows that nothing else points to: each balance less its credit is the next one's.
+    new += [("6", 1, 1000.0, 100.0, 0.0), ("6", 2, 900.0, 100.0, 0.0), ("6", 3, 800.0, 0.0, 200.0)]
+    cents = lambda v: None if v is None else round(v * 100)
+    want = set()
+    for account in {x[0] for x in new}:
+        pool = [(side is new, x[1], cents(x[2]), None if None in x[2:] else cents(x[2]) - cents(x[3]) + cents(x[4])) for side in (old, new) for x in side if x[0] == account]
+        first = lambda v, skip, k, only_old=False: next((j for j, y in enumerate(pool) if v is not None and j != skip and y[k] is not None and abs(y[k] - v) <= 500 and not (only_old and y[0])), None)  # noqa: E731, B023
+        points = {i: first(x[3], i, 2) for i, x in enumerate(pool) if x[0]}
+        heads = [i for i in points if i not in set(points.values())]
+        seen, block = set(), 0
+        for i in heads + list(points):
+            if i in seen:
+                continue
+            run, j = [], i
+            while j is not None and pool[j][0] and j not in seen:
+                seen.add(j)
+                run.append(j)
+                j = points[j] if i in heads else None
+            upper = first(pool[i][2], None, 3, True) if i in heads else None
+            lower = pool[j][1] if j is not None and not pool[j][0] else None
+            want |= {(account, block, k, pool[q][1], None if upper is None else pool[upper][1], lower) for k, q in enumerate(run)}
+            block += 1
+    got = reconcile.placed(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()
+    assert len(got) == len(new) and {tuple(x) for x in got} == want
+    assert max(x[2] for x in want) >= 3 and {x[2:] for x in want if x[0] == "6"} == {(0, p, None, None) for p in (1, 2, 3)}
+    assert reconcile.placed(spark.createDataFrame([], schema), spark.createDataFrame(old, schema)).count() == 0
+
+
 def test_chain_placement(spark):
     # Newest first: 130 <- 120 <- [110] <- 100
     old = spark.createDataFrame([("1", 0, 130.0, 10.0, 0.0), ("1", 1, 100.0, 10.0, 0.0)], "account_number string, row_pos long, balance double, credits double, debits double")
