@@ -95,4 +95,63 @@ SELECT n.file, n_records, n_bytes, l2.a AS root_a, l2.b AS root_b, 1 + coalesce(
 FROM n JOIN l2 USING (file) LEFT JOIN bad USING (file) LEFT JOIN c1 USING (file) LEFT JOIN c0 USING (file)
 """
 
-ORACLES = {"op3_mixing": mixing_sql(), "op4_suffix_dedup": OP4, "op5_decontamination": OP5, "op9_warc_fixity": OP9}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, over the table `crc` of (t): the 256 remainders as a list."""
+    bytes_of = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_of}), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295::BIGINT)"
+
+
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) AS t)"
+
+OP11 = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+s AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s, w, count(*) AS n FROM r GROUP BY ALL),
+h AS MATERIALIZED (SELECT w, n, {_crc32('s')} AS h FROM s, crc),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+c AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS MATERIALIZED (
+  SELECT a.word AS a, b.word AS b FROM c a JOIN c b ON a.cut = b.cut AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT c.word, v.word FROM c JOIN v ON c.cut = v.word
+  UNION SELECT v.word, c.word FROM c JOIN v ON c.cut = v.word),
+b AS (SELECT a, count(*) AS n_near, first(b ORDER BY v.n DESC, b) AS best, max(v.n) AS best_n FROM p JOIN v ON v.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM v LEFT JOIN b ON a = word),
+w AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT w.word, f.form, k + 1 FROM w JOIN f ON f.word = w.here WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(here, k) AS root FROM w GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""
+
+OP12 = """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE * 1024) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+v AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda c: floor(c)) AS e FROM x WHERE len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP13 = f"""
+WITH {CRC_TABLE},
+t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS idx FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+u AS (
+  SELECT c.conv_id, 0 AS own, idx, role, text FROM c JOIN t ON t.conv_id = c.base WHERE idx <= h
+  UNION ALL SELECT c.conv_id, 1, idx, role, text FROM c JOIN t USING (conv_id) WHERE idx > h),
+n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, idx) AS depth, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) AS k, octet_length(encode(text)) AS size FROM u),
+g AS MATERIALIZED (SELECT conv_id, depth, size, list(k) OVER (PARTITION BY conv_id ORDER BY depth) AS path, count(*) OVER (PARTITION BY conv_id) AS len FROM n),
+m AS MATERIALIZED (SELECT conv_id, depth, size, array_to_string(path, ',') AS path, array_to_string(path[:-2], ',') AS above, len FROM g UNION ALL SELECT conv_id, 0, 0, '', NULL, coalesce(x.len, 0) FROM c LEFT JOIN (SELECT conv_id, max(len) AS len FROM g GROUP BY conv_id) x USING (conv_id)),
+o AS MATERIALIZED (
+  SELECT depth, path, min(conv_id) AS conv_id, any_value(above) AS above, any_value(size) AS size, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len = depth), '') AS ends
+  FROM m GROUP BY depth, path),
+k AS (SELECT depth - 1 AS depth, above AS path, count(*) AS n_children FROM o WHERE depth > 0 GROUP BY ALL),
+z AS (SELECT o.*, coalesce(n_children, 0) AS n_children FROM o LEFT JOIN k USING (depth, path)),
+y AS (
+  SELECT a.depth, a.path, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.size) AS saved
+  FROM z a JOIN z b ON a.depth = 0 OR (b.depth >= a.depth AND substr(b.path, 1, 65 * a.depth - 1) = a.path) GROUP BY ALL)
+SELECT z.conv_id, CAST(z.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, z.n_convs, z.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(z.ends) AS ends_sha256
+FROM z JOIN y USING (depth, path) LEFT JOIN o p ON p.depth = z.depth - 1 AND p.path = z.above
+"""
+
+ORACLES = {"op3_mixing": mixing_sql(), "op4_suffix_dedup": OP4, "op5_decontamination": OP5, "op9_warc_fixity": OP9, "op11_spelling": OP11, "op12_topk": OP12, "op13_prefix_trie": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_counts, warc_fixity
+from . import decontamination, html_extraction, mixing, pivot_index, prefix_trie, quality_classifier, quality_rules, secret_scan, simhash, spelling, suffix_dedup, token_counts, warc_fixity
 from .common import table
 
 RECORDS_PER_FILE = 256
@@ -65,4 +65,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_warc_fixity, op10_simhash)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_mixing, op4_suffix_dedup, op5_decontamination, op6_quality_rules, op7_quality_classifier, op8_token_counts, op9_warc_fixity, op10_simhash, op11_spelling, op12_topk, op13_prefix_trie)}
