@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 CORPORATE_FORMS = {r"\bPRIVATE LIMITED\b": "PVTLTD", r"\bPVT\.?\s*LTD\.?\b": "PVTLTD", r"\bLIMITED\b": "LTD"}
 # Bank codes that begin a reference number in descriptions.
 BANK_CODES = ("YESME", "YESB", "HDFC", "SBIN", "CNRB", "UBIN", "ICIC", "KKBK", "UTIB", "BARB", "PUNB", "IDIB", "FDRL", "IDFC", "MAHB")
-# How a mail names an account, the explicit form first.
-ACCOUNT_MENTIONS = (r"(?i)(?:account\s*(?:no\.?|number)|a/c\s*no\.?)\s*[:-]?\s*[*a-z\d]*(\d{4})\b", r"(?i)(?:a/c|account).{0,15}[*a-z\d]*(\d{4})\b")
+#: How far behind its mention an account's number may begin.
+NEAR_MENTION = 15
 
 
 def clean(c: Column) -> Column:
@@ -81,8 +81,32 @@ def masked_account(c: Column) -> Column:
 
 
 def account_tail(body: Column) -> Column:
-    """The last four digits of the account that a mail names; null if it names none."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in ACCOUNT_MENTIONS))
+    """The last four digits of the account that a mail names; null if it names none.
+
+    A mention is the word account, or a/c. Where "no" or "number" follows one, the run of letters, digits and asterisks
+    next to it is the account's number, if its last four characters are digits. Where no mention
+    has a number so named, the last run that begins near the first mention that has such runs is taken.
+    """
+    parts = F.split(F.replace(F.lower(body), F.lit("a/c"), F.lit("account")), "account", -1)
+    behind = F.slice(parts, F.lit(2), F.size(parts))
+    run = "[a-z0-9*]*"
+
+    def named(x: Column) -> Column:
+        x = F.ltrim(x)
+        after = F.when(x.startswith("number"), F.substr(x, F.lit(7))).when(x.startswith("no."), F.substr(x, F.lit(4))).when(x.startswith("no"), F.substr(x, F.lit(3)))
+        return F.regexp_extract(after, rf"^\s*[:-]?\s*({run})", 1)
+
+    def near(x: Column) -> Column:
+        # As far as a number may begin, and on to the end of the run that goes on there.
+        window = F.concat(F.left(x, F.lit(NEAR_MENTION)), F.regexp_extract(F.substr(x, F.lit(NEAR_MENTION + 1)), f"^{run}", 0))
+        return F.element_at(F.concat(F.array(F.lit("")), F.filter(F.split(window, "[^a-z0-9*]+", -1), _ends_in_digits)), -1)
+
+    first = lambda how: F.try_element_at(F.filter(F.transform(behind, how), lambda t: F.coalesce(_ends_in_digits(t), F.lit(False))), F.lit(1))
+    return F.right(F.coalesce(first(named), first(near)), F.lit(4))
+
+
+def _ends_in_digits(t: Column) -> Column:
+    return t.rlike("[0-9]{4}$")
 
 
 def safe_filename(c: Column, prefix: Column | None = None) -> Column:

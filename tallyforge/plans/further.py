@@ -56,32 +56,33 @@ LAYOUT_TEXTS = [
     "INB/NEFT/K{k}/Party {c}/Bank//", "INB/{k}/TAX PAYMENT/NA", "BY CLG:Party {c}:Some Bank", "DD ISSUED/{k}/{c}/Party {c}/note", "BILLDESK-B{k}-Party {c}-power-9{c}", "K{k}-Party {c}-WILLOW HOMES-REF{k}", "UTRA0000000{k}-Party {c}-12345{c}-vendor",
     "unknown {k}", "NEFT CR-qrst-Party-x-y", "UPI-x{k}-Party-QRST-q-rent", "INB/{k}/TAX PAYMENT", "IMPS-{k}-Party {c}", "",
 ]
-#: For each layout a pattern and the groups of party, mode (a text or a group), reference, account and note.
+#: How the SQL tells layouts apart: by a text's parts between dashes (a), slashes (b) and colons (c), what some of them say and how many there are; then party, mode, reference, account and note.
 _LAYOUT_SQL = [
-    (r"^(NEFT|RTGS)\s+CR-[A-Z0-9]+-([^-]+)-[^-]+-([A-Z0-9]+)$", 2, 1, 3, 0, 0), (r"^NEFT-RETURN-([A-Z0-9]+)-([^-]+)-(.+)$", 2, "NEFT", 1, 0, 3), (r"^IMPS-(\d+)-([^-]+)-[A-Z]+-([xX0-9]+)-(.+)$", 2, "IMPS", 1, 3, 4),
-    (r"^IMPS/([^/]+)/\s*XXX\s*([\d\s]+)/RR\s*N\s*:\s*(\d+)/(.*)$", 1, "IMPS", 3, 2, 4), (r"^UPI/(\d+)/FROM:([^/@]+)@[^/]+/TO:[^/@]+@[^/]+/(.+)$", 2, "UPI", 1, 0, 3), (r"^UPI-(\d+)-([^-]+)-[A-Z]+-([xX0-9@.a-zA-Z]+)-(.+)$", 2, "UPI", 1, 3, 4),
-    (r"^YIB-NEFT-([A-Z0-9]+)-([^-]+)-[A-Z0-9]+-[^-]+-(.+)$", 2, "NEFT", 1, 0, 3), (r"^[A-Z]+-TPT-([^-]+)-TFR\s+(.+)$", 1, "TPT", 2, 0, 0), (r"^NET-TPT-([^-]+)-(.+)$", 1, "TPT", 2, 0, 0), (r"^NEFT/([A-Z0-9]+)/([^/]+)/[^/]+/NA/NA([^/]*)/NANA/NA$", 2, "NEFT", 1, 0, 3),
-    (r"^INB/NEFT/([A-Z0-9]+)/([^/]+)/[^/]+/+$", 2, "NEFT", 1, 0, 0), (r"^INB/(\d+)/(.+)/NA$", 0, "INB", 1, 0, 2), (r"^BY CLG:([^:]+):(.+)$", 1, "CLG", 0, 0, 2), (r"^DD ISSUED/([^/]+/[^/]+)/([^/]+)/(.+)$", 2, "DD", 1, 0, 3),
-    (r"^BILLDESK-([A-Z0-9]+)-([^-]+)-([^-]+)-(\d.*)$", 2, "BILLDESK", 1, 4, 3), (r"^[A-Z0-9]+-([^-]+)-WILLOW[^-]*-([A-Za-z0-9]+)$", 1, None, 2, 0, 0), (r"^([A-Z0-9]{10,})-([^-]+)-(\d{6,})-(.+)$", 2, None, 1, 3, 4),
-]
+    ("len(a) = 5 AND a[1] IN ('NEFT CR', 'RTGS CR') AND a[2] = upper(a[2])", "a[3]", "split_part(a[1], ' ', 1)", "a[5]", "NULL", "NULL"),
+    ("a[1] = 'NEFT' AND a[2] = 'RETURN'", "a[4]", "'NEFT'", "a[3]", "NULL", "a[5]"),
+    ("a[1] = 'IMPS' AND len(a) = 6", "a[3]", "'IMPS'", "a[2]", "a[5]", "a[6]"),
+    ("b[1] = 'IMPS' AND len(b) = 5", "b[2]", "'IMPS'", "split_part(b[4], ':', 2)", "replace(replace(b[3], 'XXX', ''), ' ', '')", "b[5]"),
+    ("b[1] = 'UPI' AND len(b) = 5", "replace(replace(split_part(b[3], '@', 1), 'FROM:', ''), ' ', '')", "'UPI'", "b[2]", "NULL", "b[5]"),
+    ("a[1] = 'UPI' AND len(a) = 6 AND TRY_CAST(a[2] AS BIGINT) IS NOT NULL", "a[3]", "'UPI'", "a[2]", "a[5]", "a[6]"),
+    ("a[1] = 'YIB' AND len(a) = 7", "a[4]", "'NEFT'", "a[3]", "NULL", "a[7]"),
+    ("a[2] = 'TPT' AND starts_with(a[4], 'TFR ')", "a[3]", "'TPT'", "a[4][5:]", "NULL", "NULL"),
+    ("a[2] = 'TPT' AND a[1] = 'NET'", "a[3]", "'TPT'", "a[4]", "NULL", "NULL"),
+    ("b[1] = 'NEFT' AND len(b) = 8", "b[3]", "'NEFT'", "b[2]", "NULL", "b[6][3:]"),
+    ("b[1] = 'INB' AND b[2] = 'NEFT'", "b[4]", "'NEFT'", "b[3]", "NULL", "NULL"),
+    ("b[1] = 'INB' AND b[-1] = 'NA'", "NULL", "'INB'", "b[2]", "NULL", "b[3]"),
+    ("c[1] = 'BY CLG'", "c[2]", "'CLG'", "NULL", "NULL", "c[3]"),
+    ("b[1] = 'DD ISSUED'", "b[4]", "'DD'", "b[2] || '/' || b[3]", "NULL", "b[5]"),
+    ("a[1] = 'BILLDESK'", "a[3]", "'BILLDESK'", "a[2]", "a[5]", "a[4]"),
+    ("len(a) = 4 AND starts_with(a[3], 'WILLOW')", "a[2]", "NULL", "a[4]", "NULL", "NULL"),
+    ("len(a) = 4 AND length(a[1]) >= 10 AND TRY_CAST(a[3] AS BIGINT) > 99999", "a[2]", "NULL", "a[1]", "a[3]", "a[4]"),
+]
 
 
 def _layout_column(j: int) -> str:
-    def value(layout) -> str:
-        place = layout[j]
-        if place is None or place == 0:
-            return "NULL"
-        if isinstance(place, str):
-            return f"'{place}'"
-        got = f"regexp_extract(d, '{layout[0]}', {place})"
-        if layout[0].startswith("^UPI/") and j == 1 or layout[0].startswith("^IMPS/") and j == 4:
-            got = f"regexp_replace({got}, '\\s', '', 'g')"
-        return f"nullif(trim({got}), '')"
-
-    return "CASE " + " ".join(f"WHEN regexp_matches(d, '{x[0]}') THEN {value(x)}" for x in _LAYOUT_SQL) + " END"
+    return "CASE " + " ".join(f"WHEN {x[0]} THEN nullif(trim({x[j]}), '')" for x in _LAYOUT_SQL) + " END"
 
 
-@query(f"WITH {texts_sql(LAYOUT_TEXTS)} SELECT row_pos, {', '.join(f'{_layout_column(j)} AS parsed_{n}' for j, n in enumerate(('party', 'payment_mode', 'reference', 'account_number', 'note'), 1))} FROM x")
+@query(f"WITH {texts_sql(LAYOUT_TEXTS)} SELECT row_pos, {', '.join(f'{_layout_column(j)} AS parsed_{n}' for j, n in enumerate(('party', 'payment_mode', 'reference', 'account_number', 'note'), 1))} FROM (SELECT row_pos, string_split(d, '-') AS a, string_split(d, '/') AS b, string_split(d, ':') AS c FROM x)")
 def description_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every layout, and texts that only look like one."""
     return parsing.with_parsed(texts(spark, sf_dir, LAYOUT_TEXTS), own_names=("WILLOW",)).select("row_pos", *(f"parsed_{f}" for f in parsing.FIELDS))
@@ -154,57 +155,70 @@ def resolved_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- a company's own block ------------------------------------------------------------------------------------------
 
 BLOCK_TEXTS = [
-    "SMS CHARGE {k}", "plain {k}", "to 90001111000 x", "to 90001111002 x", "MAH REF {k}", "a-WILLOW HOMES-internal", "a-WILLOW HOMES-for pf", "K{k}-LAND CO-770077123-x", "S.K. LAND CO {k}", "SECURITY REFUND to PINE PERSON", "hoarding {k}", "K{k}-FLEX WORKS-770077123-Hoarding",
-    "CARD {k}", "x-imprest-{k}", "broker incentive {k}", "incentive {k}", "pay-salary-{k}", "VENDOR {k}", "K{k}-LOAN LADY-770077123-x", "K{k}-CLERK-770077123-x",
+    "PIER TOLL {k}", "berth fee {k}", "renewal of ANCHOR {k}", "anchor only {k}", "NORTH.Q U.AY {k}", "from 90001111000 {k}", "into 90001111002 {k}", "K{k}-ROPE MAKERS-770077123-coil", "K{k}-TUG CREW-770077123-shift",
+    "note-WILLOW HOMES-ledger", "WILLOW HOMES {k}", "x-salary-{k}", "x-imprest-{k}", "buoys {k}",
 ]
-_S, _DEV, _ADMIN, _MOVE = "SW", ("Dev- Infra", "IDW Civil Works"), ("HO - Admin", "Other- Administrative Expenses"), "Internal transfer"
-_BLOCK_COLUMNS = ("account_stage", "direction", "needs", "keywords", "all_words", "bare_words", "other_stages", "payee_heads", "last_segment", "head", "business_unit", "type", "tcp_head", "confidence")
+_BLOCK_COLUMNS = ("account_stage", "direction", "needs", "keywords", "all_words", "bare_words", "other_stages", "payee_heads", "parties", "last_segment", "head", "business_unit", "type", "tcp_head", "confidence")
 
 
-def _rule(stage: str, head: str | None, unit: str, kind: str, tcp: str, direction: str | None = None, confidence: str = "High", **conditions) -> tuple:
-    given = {"account_stage": stage, "direction": direction, "head": head, "business_unit": unit, "type": kind, "tcp_head": tcp, "confidence": confidence, **conditions}
+def _rule(stage: str, head: str | None, kind: str, unit: str = "{unit}", confidence: str = "High", **conditions) -> tuple:
+    given = {"account_stage": stage, "head": head, "business_unit": unit, "type": kind, "tcp_head": f"tcp of {kind}", "confidence": confidence, **conditions}
     return tuple(given.get(c) for c in _BLOCK_COLUMNS)
 
 
+#: A harbour company's rules, invented so that each condition and each filled-in output decides some rows.
 BLOCK_RULES = [
-    _rule("Master", "Bank Charges", _S, "HO - Admin", "", keywords=["sms charge"]), _rule("Master", "Collection", _S, "Customer Collection", "Credit- no effect", "credit"), _rule("Master", "Internal", _S, "{pair}", _MOVE, "debit"),
-    _rule("RERA", "Internal", _S, "Master 2 RERA", _MOVE, "credit"), _rule("RERA", "Internal", _S, "RERA 2 IDW", _MOVE, "debit"),
-    _rule("IDW", "Internal", _S, "RERA 2 IDW", _MOVE, "credit", keywords=["MAH"]), _rule("IDW", "Internal", _S, "{pair}", _MOVE, "debit", needs="counterparty"), _rule("IDW", "Internal", _S, "Internal", _MOVE, "debit", needs="own"), _rule("IDW", "Card", _S, *_DEV, "debit", keywords=["CARD"]),
-    _rule("IDW", "Salary-Site", _S, *_DEV, "debit", payee_heads=["Salary-HO"]), _rule("IDW", "{payee}", _S, "Land Payment", "Other- Land Cost", "debit", payee_heads=["Land"]), _rule("IDW", "{payee}", _S, *_DEV, "debit", needs="payee"), _rule("IDW", "Salary-Site", _S, *_DEV, "debit", needs="salary"),
-    _rule("IDW", "Imprest", _S, *_DEV, "debit", needs="imprest"), _rule("IDW", "Vendor -Site", _S, *_DEV, "debit", keywords=["VENDOR"]), _rule("IDW", None, _S, *_DEV, "debit", "Low"),
-    _rule("Free", "Land", _S, "Promoter Contribution", "Credit- no effect", bare_words=["SKLANDCO"]), _rule("Free", "Refundable Security", _S, "Security Refundable", "?", all_words=["SECURITY REFUND", "PINE PERSON"]), _rule("Free", "Internal", _S, "{pair}", _MOVE, other_stages=["Master", "IDW"]),
-    _rule("Free", "Internal", _S, "Internal", _MOVE, needs="own", last_segment="INTERNAL"), _rule("Free", "Internal", "HO", "Internal", _MOVE, needs="own"), _rule("Free", "{payee}", _S, "HO - Admin", "Other- Selling Expenses", keywords=["HOARDING"], needs="payee"), _rule("Free", "MKT/ADVER", _S, "HO - Advert/ Mkt", "Other- Selling Expenses", keywords=["HOARDING"]),
-    _rule("Free", "Card", "HO", *_ADMIN, keywords=["CARD"]), _rule("Free", "Imprest", "HO", *_ADMIN, needs="imprest"), _rule("Free", "Commission", _S, *_ADMIN, keywords=["BROKER"]), _rule("Free", "Commission", "HO", *_ADMIN, keywords=["COMMISSION", "INCENTIVE"]),
-    _rule("Free", "{payee}", "HO", "Promoter Contribution", "Credit- no effect", "credit", payee_heads=["Loan"]), _rule("Free", "{payee}", "HO", "? (Loan Repayment )", "Other- Administrative Expenses", "debit", payee_heads=["Loan"]), _rule("Free", "{payee}", "HO", *_ADMIN, needs="payee"),
-    _rule("Free", "Salary-HO", "HO", *_ADMIN, needs="salary"), _rule("Free", "Vendor - Ho", "HO", *_ADMIN, keywords=["VENDOR", "RENT"]), _rule("Free", None, "HO", *_ADMIN, None, "Low"),
-]
-_BLOCK_PAYEES = {"LAND CO": "Land", "FLEX WORKS": "Contractor", "LOAN LADY": "Loan", "CLERK": "Salary-HO"}
-
-
-@query(f"""WITH {texts_sql(BLOCK_TEXTS)},
-f AS (SELECT *, custkey % 4 AS s, upper(d) AS u, CASE WHEN d LIKE '%90001111000%' AND custkey % 4 <> 0 THEN 'Master' WHEN d LIKE '%90001111002%' AND custkey % 4 <> 2 THEN 'IDW' END AS other, d LIKE '%WILLOW HOMES%' AS own,
-  CASE upper(CASE WHEN regexp_matches(split_part(d, '-', 3), '^\\d{{9,}}$') THEN split_part(d, '-', 2) END) WHEN 'LAND CO' THEN 'Land' WHEN 'FLEX WORKS' THEN 'Contractor' WHEN 'LOAN LADY' THEN 'Loan' WHEN 'CLERK' THEN 'Salary-HO' END AS ph,
-  regexp_matches(d, '(^|[-/])salary([-/]|$)') AS sal, regexp_matches(d, '(^|[-/])imprest([-/]|$)') AS imp FROM x),
-n AS (SELECT *, CASE
-  WHEN s = 0 THEN CASE WHEN u LIKE '%SMS CHARGE%' THEN 1 WHEN cr THEN 2 ELSE 3 END WHEN s = 3 THEN CASE WHEN cr THEN 4 ELSE 5 END
-  WHEN s = 2 THEN CASE WHEN cr THEN CASE WHEN u LIKE '%MAH%' THEN 6 END WHEN other IS NOT NULL THEN 7 WHEN own THEN 8 WHEN u LIKE '%CARD%' THEN 9 WHEN ph = 'Salary-HO' THEN 10 WHEN ph = 'Land' THEN 11 WHEN ph IS NOT NULL THEN 12 WHEN sal THEN 13 WHEN imp THEN 14 WHEN u LIKE '%VENDOR%' THEN 15 ELSE 16 END
-  ELSE CASE WHEN replace(replace(u, '.', ''), ' ', '') LIKE '%SKLANDCO%' THEN 17 WHEN u LIKE '%SECURITY REFUND%' AND u LIKE '%PINE PERSON%' THEN 18 WHEN other IN ('Master', 'IDW') THEN 19 WHEN own THEN CASE WHEN trim(split_part(u, '-', -1)) = 'INTERNAL' THEN 20 ELSE 21 END WHEN u LIKE '%HOARDING%' THEN CASE WHEN ph IS NOT NULL THEN 22 ELSE 23 END
-    WHEN u LIKE '%CARD%' THEN 24 WHEN imp THEN 25 WHEN u LIKE '%BROKER%' THEN 26 WHEN u LIKE '%COMMISSION%' OR u LIKE '%INCENTIVE%' THEN 27 WHEN ph = 'Loan' THEN CASE WHEN cr THEN 28 ELSE 29 END WHEN ph IS NOT NULL THEN 30 WHEN sal THEN 31 WHEN u LIKE '%VENDOR%' OR u LIKE '%RENT%' THEN 32 ELSE 33 END END AS n FROM f)
-SELECT row_pos, n AS rule, CASE WHEN n IN (11, 12, 22, 28, 29, 30) THEN ph WHEN n = 1 THEN 'Bank Charges' WHEN n = 2 THEN 'Collection' WHEN n IN (3, 4, 5, 6, 7, 8, 19, 20, 21) THEN 'Internal' WHEN n IN (9, 24) THEN 'Card' WHEN n IN (10, 13) THEN 'Salary-Site' WHEN n IN (14, 25) THEN 'Imprest' WHEN n = 15 THEN 'Vendor -Site' WHEN n = 17 THEN 'Land' WHEN n = 18 THEN 'Refundable Security' WHEN n = 23 THEN 'MKT/ADVER' WHEN n IN (26, 27) THEN 'Commission' WHEN n = 31 THEN 'Salary-HO' WHEN n = 32 THEN 'Vendor - Ho' END AS head,
-  CASE WHEN n IS NULL THEN NULL WHEN n IN (21, 24, 25) OR n >= 27 THEN 'HO' ELSE 'SW' END AS unit,
-  CASE WHEN n IN (3, 7, 19) THEN CASE WHEN other = 'Master' AND s = 1 THEN 'Master to Free' WHEN other = 'IDW' AND s = 1 THEN 'Free & IDW Loan' ELSE 'Internal' END WHEN n IN (1, 22, 24, 25, 26, 27) OR n >= 30 THEN 'HO - Admin' WHEN n = 2 THEN 'Customer Collection' WHEN n = 4 THEN 'Master 2 RERA' WHEN n IN (5, 6) THEN 'RERA 2 IDW' WHEN n IN (8, 20, 21) THEN 'Internal' WHEN n = 11 THEN 'Land Payment' WHEN n BETWEEN 9 AND 16 THEN 'Dev- Infra' WHEN n IN (17, 28) THEN 'Promoter Contribution' WHEN n = 18 THEN 'Security Refundable' WHEN n = 23 THEN 'HO - Advert/ Mkt' WHEN n = 29 THEN '? (Loan Repayment )' END AS type,
-  CASE WHEN n IN (16, 33) THEN 'Low' WHEN n IS NOT NULL THEN 'High' END AS confidence FROM n""")
-def company_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A company's rules by account stage, all names invented; null where the block lets a row fall through."""
+    _rule("Free", "Anchors", "Moorings", all_words=["ANCHOR", "RENEWAL"]),
+    _rule("Free", "Internal", "{pair}", needs="counterparty"),
+    _rule("Free", "Crew", "Staff", parties=["TUG CREW"]),
+    _rule("Free", "{payee}", "Stores", needs="payee"),
+    _rule("Free", "Petty", "Petty cash", "Quay office", "Medium", needs="imprest"),
+    _rule("Master", "Tolls", "Dues", keywords=["PIER TOLL", "BERTH FEE"]),
+    _rule("Master", "Wages", "Staff", direction="debit", needs="salary"),
+    _rule("IDW", "Quay", "Works", bare_words=["NORTHQUAY"]),
+    _rule("IDW", "Internal", "{pair}", other_stages=["Master"]),
+    _rule("IDW", "{payee}", "Ropes", direction="credit", payee_heads=["Cordage"]),
+    _rule("IDW", None, "Dredging", confidence="Low", direction="debit"),
+    _rule("RERA", "Book entry", "Ledger", needs="own", last_segment="LEDGER"),
+    _rule("RERA", "Internal", "Homes", needs="own"),
+    _rule("RERA", "Receipts", "Dues", direction="credit"),
+]
+_BLOCK_PAYEES = {"ROPE MAKERS": "Cordage", "TUG CREW": "Crew"}
+BLOCK_SQL = f"""b AS (
+  SELECT *, ['Master', 'Free', 'IDW', 'RERA'][CAST(custkey % 4 AS INT) + 1] AS stage, upper(d) AS u, CASE WHEN d LIKE '% 90001111000 %' THEN 'Master' WHEN d LIKE '% 90001111002 %' THEN 'IDW' END AS named, split_part(d, '-', 2) AS who FROM x),
+p AS (SELECT *, CASE WHEN named <> stage THEN named END AS other, CASE who WHEN 'ROPE MAKERS' THEN 'Cordage' WHEN 'TUG CREW' THEN 'Crew' END AS ph FROM b),
+g AS (SELECT *, CASE stage
+  WHEN 'Free' THEN CASE WHEN starts_with(d, 'renewal') THEN 1 WHEN other IS NOT NULL THEN 2 WHEN who = 'TUG CREW' THEN 3 WHEN ph IS NOT NULL THEN 4 WHEN who = 'imprest' THEN 5 END
+  WHEN 'Master' THEN CASE WHEN starts_with(u, 'PIER TOLL') OR starts_with(u, 'BERTH FEE') THEN 6 WHEN who = 'salary' AND NOT cr THEN 7 END
+  WHEN 'IDW' THEN CASE WHEN starts_with(d, 'NORTH.Q') THEN 8 WHEN other = 'Master' THEN 9 WHEN ph = 'Cordage' AND cr THEN 10 WHEN NOT cr THEN 11 END
+  ELSE CASE WHEN d LIKE '%WILLOW HOMES%' THEN CASE WHEN starts_with(d, 'note-') THEN 12 ELSE 13 END WHEN cr THEN 14 END END AS n FROM p),
+v AS (SELECT row_pos, n AS rule, CASE n WHEN 1 THEN 'Anchors' WHEN 2 THEN 'Internal' WHEN 3 THEN 'Crew' WHEN 4 THEN ph WHEN 5 THEN 'Petty' WHEN 6 THEN 'Tolls' WHEN 7 THEN 'Wages' WHEN 8 THEN 'Quay' WHEN 9 THEN 'Internal' WHEN 10 THEN ph WHEN 12 THEN 'Book entry' WHEN 13 THEN 'Internal' WHEN 14 THEN 'Receipts' END AS head,
+  CASE WHEN n = 5 THEN 'Quay office' WHEN n IS NOT NULL THEN 'SW' END AS unit,
+  CASE n WHEN 1 THEN 'Moorings' WHEN 2 THEN CASE other WHEN 'Master' THEN 'Master to Free' ELSE 'Free & IDW Loan' END WHEN 3 THEN 'Staff' WHEN 4 THEN 'Stores' WHEN 5 THEN 'Petty cash' WHEN 6 THEN 'Dues' WHEN 7 THEN 'Staff' WHEN 8 THEN 'Works' WHEN 9 THEN 'Internal' WHEN 10 THEN 'Ropes' WHEN 11 THEN 'Dredging' WHEN 12 THEN 'Ledger' WHEN 13 THEN 'Homes' WHEN 14 THEN 'Dues' END AS type,
+  CASE n WHEN 5 THEN 'Medium' WHEN 11 THEN 'Low' ELSE CASE WHEN n IS NOT NULL THEN 'High' END END AS confidence FROM g)"""
+
+
+def _block_rows(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows with the stage of their account, its counterparty, the payee's head and the flags that the block asks for."""
     stage = F.element_at(F.array(*(F.lit(s) for _, _, s, _ in _LADDER_ACCOUNTS)), (F.col("account_number").cast("long") % 4 + 1).cast("int"))
-    rows = texts(spark, sf_dir, BLOCK_TEXTS).withColumn("account_stage", stage).withColumn("account_number", F.concat(F.lit("9000111100"), (F.col("account_number").cast("long") % 4).cast("string")))
+    rows = rows.withColumn("account_stage", stage).withColumn("account_number", F.concat(F.lit("9000111100"), (F.col("account_number").cast("long") % 4).cast("string")))
     accounts = small(spark, _LADDER_ACCOUNTS, "account_number string, business_unit string, account_stage string, account_order int")
     payees = small(spark, list(_BLOCK_PAYEES.items()), "payee string, payee_head string")
     x = lookups.counterparty(rows.withColumn("payee", names.dashed_payee_name(F.col("description"))), accounts).join(payees, "payee", "left")
     flags = {"own_company": rules.names_own_company(F.col("description"), ["Willow Homes"]), "salary": names.mentions_segment(F.col("description"), "salary"), "imprest": names.mentions_segment(F.col("description"), "imprest"), "own_unit": F.lit("SW")}
-    schema = ", ".join(f"{c} {'array<string>' if c in ('keywords', 'all_words', 'bare_words', 'other_stages', 'payee_heads') else 'string'}" for c in _BLOCK_COLUMNS)
-    block = small(spark, [(i, *r) for i, r in enumerate(BLOCK_RULES, 1)], f"rule_order int, {schema}")
-    return rules.stage_rules(x.withColumns(flags), block).select("row_pos", F.col("s_rule").cast("long").alias("rule"), F.col("s_head").alias("head"), F.col("s_unit").alias("unit"), F.col("s_type").alias("type"), F.col("s_confidence").alias("confidence"))
+    return x.withColumns(flags)
+
+
+def _block(spark: SparkSession) -> DataFrame:
+    schema = ", ".join(f"{c} {'array<string>' if c in ('keywords', 'all_words', 'bare_words', 'other_stages', 'payee_heads', 'parties') else 'string'}" for c in _BLOCK_COLUMNS)
+    return small(spark, [(i, *r) for i, r in enumerate(BLOCK_RULES, 1)], f"rule_order int, {schema}")
+
+
+@query(f"WITH {texts_sql(BLOCK_TEXTS)}, {BLOCK_SQL} SELECT * FROM v")
+def company_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company's rules by account stage, all names invented; null where the block lets a row fall through."""
+    x = rules.stage_rules(_block_rows(spark, texts(spark, sf_dir, BLOCK_TEXTS)), _block(spark))
+    return x.select("row_pos", F.col("s_rule").cast("long").alias("rule"), F.col("s_head").alias("head"), F.col("s_unit").alias("unit"), F.col("s_type").alias("type"), F.col("s_confidence").alias("confidence"))
 
 
 # -- statements ------------------------------------------------------------------------------------------------------

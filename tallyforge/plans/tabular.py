@@ -49,7 +49,10 @@ def company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAILS = ["Account No: {k}1234 was credited", "Your A/c no. XXXX{c}", "a/c XX99{k} debited", "Account Number - {k}", "account of Mr X ending {k}.", "no account 12", "nothing"]
 
 
-@query(rf"WITH {made_sql(MAILS)} SELECT row_pos, coalesce(nullif(regexp_extract(t, '(?i)(account\s*(no\.?|number)|a/c\s*no\.?)\s*[:-]?\s*[*a-z\d]*(\d{{4}})\b', 3), ''), nullif(regexp_extract(t, '(?i)(a/c|account).{{0,15}}[*a-z\d]*(\d{{4}})\b', 2), '')) AS tail FROM x")
+@query(f"""WITH {made_sql(MAILS)}, m AS (SELECT row_pos, string_split(replace(lower(t), 'a/c', 'account'), 'account')[2] AS b FROM x),
+w AS (SELECT row_pos, list_filter(string_split(translate(b, ':-.', '   '), ' '), lambda p: p <> '') AS w, b FROM m)
+SELECT row_pos, CASE WHEN w[1] IN ('no', 'number') THEN CASE WHEN TRY_CAST(right(w[2], 4) AS INT) IS NOT NULL AND length(w[2]) >= 4 THEN right(w[2], 4) END
+  ELSE right(list_filter(w, lambda p: TRY_CAST(right(p, 4) AS INT) IS NOT NULL AND length(p) >= 4 AND strpos(b, p) <= 16)[-1], 4) END AS tail FROM w""")
 def account_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(spark, sf_dir, MAILS).select("row_pos", text.account_tail(F.col("t")).alias("tail"))
 
@@ -75,7 +78,7 @@ def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOTES = ["neft-HDFC0AB{k}/Party {c}", "PAY ELECTRICITY BILL CONTRACTOR {k}", "imps/SBIN{k}x/9{c}9-rent", "x{k} YESMEABCDEF12-q", "a--b//c"]
 
 
-@query(rf"WITH {made_sql(NOTES)} SELECT row_pos, trim(regexp_replace(translate(regexp_replace(regexp_replace(upper(t), '\b(YESME|YESB|HDFC|SBIN|CNRB|UBIN|ICIC|KKBK|UTIB|BARB|PUNB|IDIB|FDRL|IDFC|MAHB)[A-Z0-9]{{6,}}\b', ' ', 'g'), '\b\d{{4,}}\b', ' ', 'g'), '-/', '  '), '\s+', ' ', 'g')) AS terms FROM x")
+@query(rf"WITH {made_sql(NOTES)} SELECT row_pos, trim(regexp_replace(translate(regexp_replace(regexp_replace(upper(t), '\b({'|'.join(text.BANK_CODES)})[A-Z0-9]{{6,}}\b', ' ', 'g'), '\b\d{{4,}}\b', ' ', 'g'), '-/', '  '), '\s+', ' ', 'g')) AS terms FROM x")
 def term_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(spark, sf_dir, NOTES).select("row_pos", text.term_text(F.col("t")).alias("terms"))
 
