@@ -13,6 +13,10 @@ from ..sources.tables import settled
 from .rules import SKIP_HEADS
 
 RATIO, MIN_LENGTH = 0.92, 5
+#: Below this ratio grams no longer find all names alike.
+LEAST_RATIO = 0.8
+#: From this length on, grams of four letters find all keys alike.
+LONG_KEY = 16
 
 
 def discoveries(rows: DataFrame) -> DataFrame:
@@ -64,52 +68,70 @@ def similar_keys(a: str, b: str, allow_prefix: bool, ratio: float = RATIO, least
     return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio
 
 
-def _edits(least: Column, ratio: float) -> Column:
-    """The most letters that may be inserted or deleted between a name of so many letters and a longer one, if their ratio is to be reached.
+def _grams(ratio: float) -> list[tuple[int, int, int]]:
+    """(letters of a gram, least and greatest length of the shorter key): short enough that keys alike share some, and as rare as they can be."""
+    if ratio < LEAST_RATIO:
+        raise ValueError(f"names alike by less than {LEAST_RATIO} may share no grams")
+    return [(3, MIN_LENGTH, LONG_KEY - 1), (4, LONG_KEY, 1 << 30)] if ratio >= 0.88 else [(2, MIN_LENGTH, 1 << 30)]
 
-    With M letters matched the ratio is 2 M / (m + n), where M is m at most: so n is at most m * (2 - ratio) / ratio,
-    and (1 - ratio) * (m + n) letters stay unmatched at most.
-    """
-    longest = F.floor(least * (ratio / (2 - ratio)) ** -1 + 1e-9)
-    return F.floor((1 - ratio) * (least + longest) + 1e-9).cast("int")
-
-
-def _pieces(k: Column, ratio: float) -> Column:
-    """A name cut into one piece more than it may have edits: one of them at least stands unchanged in every name alike that is as long or longer."""
-    m = F.length(k)
-    d = _edits(m, ratio)
-    cut = lambda i: F.floor(i * m / (d + 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), d), lambda i: F.struct(m.alias("m"), i.alias("i"), F.substr(k, cut(i) + 1, cut(i + 1) - cut(i)).alias("s")))
 
+def _broken(q: int, own: Column, least: Column, most: Column, ratio: float) -> Column:
+    """The most grams that a key of so many letters may lose beside one alike that has between least and most letters."""
 
-def _windows(k: Column, ratio: float) -> Column:
-    """Where the pieces of names as long or shorter may stand in this one: for each length and piece the windows within reach of the edits."""
-    n = F.length(k)
-    shortest = F.ceil(n * (ratio / (2 - ratio)) - 1e-9).cast("int")
+    def beside(n: Column) -> Column:
+        # Letters lost and gained: together (1 - ratio) of all, apart by the difference of the lengths.
+        lost = F.floor(((1 - ratio) * (own + n) + 1e-9 - (n - own)) / 2)
+        return q * lost + (q - 1) * (lost + n - own)
 
-    def of_length(m: Column) -> Column:
-        d = _edits(m, ratio)
-        cut = lambda i: F.floor(i * m / (d + 1)).cast("int")
-        more, less = F.floor((d + n - m) / 2).cast("int"), F.floor((d - n + m) / 2).cast("int")
+    return F.array_max(F.transform(F.sequence(least, F.greatest(least, most)), beside))
 
-        def of_piece(i: Column) -> Column:
-            a, size = cut(i), cut(i + 1) - cut(i)
-            first, last = F.greatest(a - less, F.lit(0)), F.least(a + more, n - size)
-            at = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
-            return F.transform(at, lambda p: F.struct(m.alias("m"), i.alias("i"), F.substr(k, p + 1, size).alias("s")))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), d), of_piece))
+def signatures(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(k, as_shorter, as_longer) for distinct keys k: their rarest grams, so many that two keys alike have one in common.
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(shortest, F.lit(1)), n), of_length)))
+    With M letters matched the ratio is 2 M / (m + n), so two keys alike differ by (1 - ratio) * (m + n) letters at most. A lost letter breaks
+    q of a key's grams at most, a gained one q - 1. All others are common, so the rarest common gram is
+    among a key's rarest ones, one more than may be broken. A gram that a key has twice counts
+    as two. Frequencies are those of all keys, so what many names begin or end with is in no signature unless nothing rarer is.
+    Long keys have grams of their own; a key that may stand beside shorter ones of both kinds has a row for each.
+    """
+    reach = (2 - ratio) / ratio
+    n = F.length("k")
+    least, most = F.ceil(n / reach - 1e-9).cast("int"), F.floor(n * reach + 1e-9).cast("int")
+    out = None
+    for q, shortest, longest in _grams(ratio):
+        own = keys.filter((n >= shortest) & (least <= longest))
+        each = own.select("k", F.posexplode(F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substr(F.col("k"), i, F.lit(q)))).alias("pos", "g"))
+        numbered = each.withColumn("g", F.concat("g", F.row_number().over(Window.partitionBy("k", "g").orderBy("pos")).cast("string")))
+        often = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+        ranked = numbered.join(often, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
+        take = lambda most: F.transform(F.slice("s", F.lit(1), F.greatest(most, F.lit(0)).cast("int") + 1), lambda x: x["g"])
+        shorter = F.when(n <= longest, take(_broken(q, n, n, most, ratio))).otherwise(F.array().cast("array<string>"))
+        named = ranked.select("k", shorter.alias("as_shorter"), take(_broken(q, n, F.greatest(least, F.lit(shortest)), n, ratio)).alias("as_longer"))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+def near_keys(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(ka, kb): keys that may be alike, ka the shorter one (or the smaller, of one length), each pair once; none that are alike is missing.
+
+    A pair meets at the rarest gram that both signatures have, there alone; the distance by letters then bounds the ratio from above.
+    """
+    named = settled(signatures(keys, ratio))
+    a = named.select(F.col("k").alias("ka"), F.col("as_shorter").alias("sa"), F.explode("as_shorter").alias("g"))
+    b = named.select(F.col("k").alias("kb"), F.col("as_longer").alias("sb"), F.explode("as_longer").alias("g"))
+    m, n = F.length("ka"), F.length("kb")
+    edits = (1 - ratio) * (m + n) + 1e-9
+    ordered = (m < n) | ((m == n) & (F.col("ka") < F.col("kb")))
+    met = a.join(b, "g").filter(ordered & (n - m <= edits) & (F.element_at(F.array_intersect("sa", "sb"), 1) == F.col("g")) & (F.levenshtein("ka", "kb") <= edits))
+    return met.select("ka", "kb")
 
 
 def similar_pairs(names: DataFrame, allow_prefix: bool = True, ratio: float = RATIO) -> DataFrame:
     """(a, b), a < b: names that are equal, one a prefix of the other, or alike by the sequence ratio, as such or with one token for the form of company.
 
-    No pair is lost: equal keys and prefixes meet by equality; two names alike
-    have few enough edits that one of the pieces of the shorter one stands in the
-    longer one near its place, so pieces and windows meet by equality too. The ratio
-    runs on those candidates only, in Arrow batches.
+    No pair is lost: equal keys and prefixes meet by equality; keys alike share one of
+    their rarest grams. The ratio runs on those candidates only, in Arrow batches.
     """
     keyed = names.select(F.col("name"), alnum_key(F.col("name")).alias("k1"), company_key(F.col("name")).alias("k2")).filter("k1 <> ''").distinct()
     both = keyed.select("name", F.explode(F.array_distinct(F.array("k1", "k2"))).alias("k"))
@@ -121,16 +143,13 @@ def similar_pairs(names: DataFrame, allow_prefix: bool = True, ratio: float = RA
         starts = F.when(F.length("kb") > MIN_LENGTH, F.sequence(F.lit(MIN_LENGTH), F.length("kb") - 1)).otherwise(F.array().cast("array<int>"))
         begins = other.select("b", F.explode(F.transform(starts, lambda n: F.left(F.col("kb"), n))).alias("ka"))
         sure = sure.unionByName(own.join(begins, "ka").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    long = F.length("k") >= MIN_LENGTH
-    shorter = both.filter(long).select(F.col("name").alias("a"), F.col("k").alias("ka"), F.explode(_pieces(F.col("k"), ratio)).alias("block"))
-    longer = both.filter(long).select(F.col("name").alias("b"), F.col("k").alias("kb"), F.explode(_windows(F.col("k"), ratio)).alias("block"))
-    near = shorter.join(longer, "block").filter("a <> b and ka <> kb").select("a", "ka", "b", "kb").distinct()
+    near = near_keys(both.select("k").distinct(), ratio)
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar_keys(min(p, q), max(p, q), False, ratio) for p, q in zip(a, b, strict=True)], dtype=bool)
 
-    close = near.filter(alike("ka", "kb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = near.filter(alike("ka", "kb")).join(own, "ka").join(other, "kb").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return sure.unionByName(close).distinct()
 
 
@@ -164,29 +183,41 @@ def merged_counts(pairs: DataFrame, canonical: DataFrame) -> DataFrame:
     return pairs.join(canonical, "name").groupBy(F.col("canonical").alias("name"), "head").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
 
 
+def greedy_pairs(edges: DataFrame) -> DataFrame:
+    """(l, r) of edges (l, r, s): the best edge of all is taken, its ends leave, and so on; better is a larger s, then a smaller l, then a smaller r.
+
+    In each round every edge that is the best at both of its ends is taken: no other that is left could be taken before
+    it, so the result is that of one walk over all edges in order. The ends that were taken leave with their
+    edges, until there are none. The best edge left is always taken, so it ends; a chain of edges, each better than the next, takes a round for each
+    second one. Null ends have no edges; of repeated edges the best counts.
+    """
+    left = settled(edges.filter("l is not null and r is not null and s is not null").groupBy("l", "r").agg(F.max("s").alias("s")))
+    taken: DataFrame | None = None
+    while left.limit(1).count():
+        best = lambda end: left.groupBy(end).agg(F.min(F.struct((-F.col("s")).alias("less"), "l", "r")).alias("b")).select("b.l", "b.r")
+        now = settled(best("l").intersect(best("r")))
+        taken = now if taken is None else taken.unionByName(now)
+        rest = settled(left.join(now.select("l"), "l", "left_anti").join(now.select("r"), "r", "left_anti"))
+        if left.is_cached:
+            left.unpersist()
+        left = rest
+    return left.select("l", "r") if taken is None else taken
+
+
 def fuzzy_one_to_one(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(l, r): each name of right goes to at most one of left and the reverse; equal keys first, then the more similar, then by name.
+    """(l, r): each name of right goes to at most one of left and the reverse; equal names first, then the more similar, then by name.
 
-    The claims of one component of similar names are settled in one group.
+    Names that repeat on a side count once. Names without a letter or digit, and null ones, are matched with none.
     """
-    a = left.select(F.concat(F.lit("l:"), "name").alias("side"), "name")
-    b = right.select(F.concat(F.lit("r:"), "name").alias("side"), "name")
-    names = a.unionByName(b).select("name").distinct()
+    l, r = left.select(F.col("name").alias("l")).distinct(), right.select(F.col("name").alias("r")).distinct()
+    names = l.select(F.col("l").alias("name")).unionByName(r.select(F.col("r").alias("name"))).distinct()
     pairs = similar_pairs(names, False, ratio)
-    same = left.select(F.col("name").alias("l")).join(right.select(F.col("name").alias("r")), F.col("l") == F.col("r"))
+    same = l.join(r, F.col("l") == F.col("r")).filter(alnum_key(F.col("l")) != "")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("l"), F.col("b").alias("r"))
-    cross = both.join(left.select(F.col("name").alias("l")), "l", "left_semi").join(right.select(F.col("name").alias("r")), "r", "left_semi").unionByName(same).distinct()
-    roots = components(cross.select(F.concat(F.lit("l:"), "l").alias("a"), F.concat(F.lit("r:"), "r").alias("b")))
-    grouped = cross.join(roots, F.concat(F.lit("l:"), cross["l"]) == roots["name"]).select("root", "l", "r")
-
-    def claim(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.assign(s=[1.0 if p == q else SequenceMatcher(None, p, q).ratio() for p, q in zip(x["l"], x["r"], strict=True)]).sort_values(["s", "l", "r"], ascending=[False, True, True])
-        used: set[str] = set()
-        out = []
-        for p, q in zip(x["l"], x["r"], strict=True):
-            if f"l:{p}" not in used and f"r:{q}" not in used:
-                used |= {f"l:{p}", f"r:{q}"}
-                out.append((p, q))
-        return pd.DataFrame(out, columns=["l", "r"])
-
-    return grouped.groupBy("root").applyInPandas(claim, "l string, r string")
+    cross = both.join(l, "l", "left_semi").join(r, "r", "left_semi").unionByName(same)
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if p == q else SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)], dtype=float)
+
+    return greedy_pairs(cross.select("l", "r", likeness("l", "r").alias("s")))

@@ -528,6 +528,18 @@ def fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return master.merged_names(p)
 
 
+@query()
+def one_to_one_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names written out against a list of the same made by hand: letters doubled or left out, numbers cut, some names missing."""
+    c = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 3 < 2)
+    word = lambda k: F.element_at(F.array(*(F.lit(w) for w in ("RIVER", "COPPER", "MEADOW", "HARBOUR"))), (k % 4 + 1).cast("int"))
+    k = F.col("c_custkey")
+    name = F.concat(word(k), F.lit(" "), F.upper(F.substr(F.md5(k.cast("string").cast("binary")), F.lit(1), F.lit(14))), F.lit(" "), word((k / 4).cast("long")), F.lit(" TRADING"))
+    at = F.col("c_custkey") % 20 + 3
+    by_hand = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.substr(name, F.lit(1), at.cast("int")), F.substr(name, (at + 2).cast("int")))).otherwise(F.concat(F.substr(name, F.lit(1), at.cast("int")), F.substr(name, at.cast("int"))))
+    return master.fuzzy_one_to_one(c.select(name.alias("name")), c.filter(F.col("c_custkey") % 7 > 0).select(by_hand.alias("name")))
+
+
 @query(f"""WITH {TX}, l AS (SELECT account_number, max(txn_date) AS last_day FROM tx WHERE description NOT LIKE '%-P' GROUP BY 1), n AS (SELECT *, min(txn_date) OVER (PARTITION BY account_number) AS oldest FROM tx WHERE description LIKE '%-P')
 SELECT row_pos, CASE WHEN CAST(account_number AS BIGINT) % 2 = 0 THEN CASE WHEN last_day IS NULL OR txn_date >= last_day THEN 'append' ELSE 'review' END WHEN last_day IS NULL OR oldest >= last_day THEN 'top' ELSE 'chain' END AS place FROM n LEFT JOIN l USING (account_number)""")
 def placement_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
