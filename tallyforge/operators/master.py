@@ -75,56 +75,49 @@ def _grams(ratio: float) -> list[tuple[int, int, int]]:
     return [(3, MIN_LENGTH, LONG_KEY - 1), (4, LONG_KEY, 1 << 30)] if ratio >= 0.88 else [(2, MIN_LENGTH, 1 << 30)]
 
 
-def _broken(q: int, own: Column, least: Column, most: Column, ratio: float) -> Column:
-    """The most grams that a key of so many letters may lose beside one alike that has between least and most letters."""
-
-    def beside(n: Column) -> Column:
-        # Letters lost and gained: together (1 - ratio) of all, apart by the difference of the lengths.
-        lost = F.floor(((1 - ratio) * (own + n) + 1e-9 - (n - own)) / 2)
-        return q * lost + (q - 1) * (lost + n - own)
-
-    return F.array_max(F.transform(F.sequence(least, F.greatest(least, most)), beside))
+def ranked_grams(keys: DataFrame, q: int) -> DataFrame:
+    """(k, s): each key's grams of q letters, the rarest of all keys' first; a gram that a key has twice counts as two."""
+    n = F.length("k")
+    each = keys.filter(n >= q).select("k", F.posexplode(F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substr(F.col("k"), i, F.lit(q)))).alias("pos", "g"))
+    numbered = each.withColumn("g", F.concat("g", F.row_number().over(Window.partitionBy("k", "g").orderBy("pos")).cast("string")))
+    often = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    return numbered.join(often, "g").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"]).alias("s"))
 
 
-def signatures(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(k, as_shorter, as_longer) for distinct keys k: their rarest grams, so many that two keys alike have one in common.
+def met_keys(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(ka, kb) of distinct keys k: those that share one of their rarest grams; ka is the shorter one, or the smaller of one length. Each pair stands once, and none that is alike is missing.
 
-    With M letters matched the ratio is 2 M / (m + n), so two keys alike differ by (1 - ratio) * (m + n) letters at most. A lost letter breaks
-    q of a key's grams at most, a gained one q - 1. All others are common, so the rarest common gram is
-    among a key's rarest ones, one more than may be broken. A gram that a key has twice counts
-    as two. Frequencies are those of all keys, so what many names begin or end with is in no signature unless nothing rarer is.
-    Long keys have grams of their own; a key that may stand beside shorter ones of both kinds has a row for each.
+    With M letters matched the ratio is 2 M / (m + n), so the shorter of two keys alike loses x letters and gains y = x + n - m,
+    (1 - ratio) * (m + n) together at most. A lost letter breaks q of its grams at most, a gained one q - 1; all others are common, so
+    the rarest common gram is among its rarest ones, one more than may be broken; likewise the longer one's.
+    So keys meet by (gram, both lengths), and only at the first gram that both have there. What many names
+    begin or end with is met at only where nothing rarer is left.
     """
     reach = (2 - ratio) / ratio
-    n = F.length("k")
-    least, most = F.ceil(n / reach - 1e-9).cast("int"), F.floor(n * reach + 1e-9).cast("int")
+    lost = lambda m, n: F.floor(((1 - ratio) * (m + n) + 1e-9 - (n - m)) / 2).cast("int")
     out = None
     for q, shortest, longest in _grams(ratio):
-        own = keys.filter((n >= shortest) & (least <= longest))
-        each = own.select("k", F.posexplode(F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substr(F.col("k"), i, F.lit(q)))).alias("pos", "g"))
-        numbered = each.withColumn("g", F.concat("g", F.row_number().over(Window.partitionBy("k", "g").orderBy("pos")).cast("string")))
-        often = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-        ranked = numbered.join(often, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
-        take = lambda most: F.transform(F.slice("s", F.lit(1), F.greatest(most, F.lit(0)).cast("int") + 1), lambda x: x["g"])
-        shorter = F.when(n <= longest, take(_broken(q, n, n, most, ratio))).otherwise(F.array().cast("array<string>"))
-        named = ranked.select("k", shorter.alias("as_shorter"), take(_broken(q, n, F.greatest(least, F.lit(shortest)), n, ratio)).alias("as_longer"))
-        out = named if out is None else out.unionByName(named)
+        size = F.length("k")
+        own = keys.filter((size >= shortest) & (F.ceil(size / reach - 1e-9) <= longest))
+        s = settled(ranked_grams(own, q).withColumn("size", F.length("k")))
+        m, n = F.col("m"), F.col("n")
+        shorter = s.filter(F.col("size") <= longest).select(F.col("k").alias("ka"), "s", F.col("size").alias("m"), F.explode(F.sequence("size", F.floor(F.col("size") * reach + 1e-9).cast("int"))).alias("n"))
+        longer = s.select(F.col("k").alias("kb"), "s", F.col("size").alias("n"), F.explode(F.sequence(F.greatest(F.ceil(F.col("size") / reach - 1e-9).cast("int"), F.lit(shortest)), "size")).alias("m"))
+        x = lost(m, n)
+        y = x + n - m
+        taken = lambda broken: F.slice("s", F.lit(1), broken + 1)
+        a = shorter.filter(x >= 0).select("ka", "m", "n", taken(q * x + (q - 1) * y).alias("sa")).select("*", F.explode("sa").alias("g"))
+        b = longer.filter((x >= 0) & (m <= longest)).select("kb", "m", "n", taken(q * y + (q - 1) * x).alias("sb")).select("*", F.explode("sb").alias("g"))
+        ordered = (m < n) | (F.col("ka") < F.col("kb"))
+        met = a.join(b, ["g", "m", "n"]).filter(ordered & (F.element_at(F.array_intersect("sa", "sb"), 1) == F.col("g"))).select("ka", "kb")
+        out = met if out is None else out.unionByName(met)
     return out
 
 
 def near_keys(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(ka, kb): keys that may be alike, ka the shorter one (or the smaller, of one length), each pair once; none that are alike is missing.
-
-    A pair meets at the rarest gram that both signatures have, there alone; the distance by letters then bounds the ratio from above.
-    """
-    named = settled(signatures(keys, ratio))
-    a = named.select(F.col("k").alias("ka"), F.col("as_shorter").alias("sa"), F.explode("as_shorter").alias("g"))
-    b = named.select(F.col("k").alias("kb"), F.col("as_longer").alias("sb"), F.explode("as_longer").alias("g"))
-    m, n = F.length("ka"), F.length("kb")
-    edits = (1 - ratio) * (m + n) + 1e-9
-    ordered = (m < n) | ((m == n) & (F.col("ka") < F.col("kb")))
-    met = a.join(b, "g").filter(ordered & (n - m <= edits) & (F.element_at(F.array_intersect("sa", "sb"), 1) == F.col("g")) & (F.levenshtein("ka", "kb") <= edits))
-    return met.select("ka", "kb")
+    """met_keys whose distance by letters does not exclude the ratio."""
+    edits = (1 - ratio) * (F.length("ka") + F.length("kb")) + 1e-9
+    return met_keys(keys, ratio).filter(F.levenshtein("ka", "kb") <= edits)
 
 
 def similar_pairs(names: DataFrame, allow_prefix: bool = True, ratio: float = RATIO) -> DataFrame:
