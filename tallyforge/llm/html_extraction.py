@@ -2,10 +2,11 @@
 
 Each element's subtree is hashed inside tasks; Spark counts on how many
 distinct pages of a host each hash stands (within the article: in how many distinct
-articles), and the subtrees that recur on a large share of them, or on very many, are
-the host's template and are deleted from the whole tree. Variants that rotate, such as
-notices and menus of sections, recur on a smaller share: they are deleted too, unless
-a page would lose most of its text by it, as copies of an article do. In what is left,
+articles), and the subtrees that recur on a large share of them are
+the host's template and are deleted from the whole tree. On pages without an article, variants that rotate recur on
+a smaller share. Recurring alone tells nothing of running text, so they must
+be links alone, as menus of sections are, or stand next to sure template in a place that recurring subtrees
+hold on nearly all of its pages, as notices do. They stay where a page would lose most of its text by it. In what is left,
 on every host, the article is chosen by its tag, and elements whose tag, role or class
 says that they are no part of it go as well.
 """
@@ -25,10 +26,10 @@ from .common import written
 
 #: A subtree is a template where it stands on at least this share of a host's distinct pages, and on at least so many.
 SHARE, LEAST_PAGES = 0.3, 5
-#: A subtree of at least so many words is a template too where it stands on so many distinct pages, whatever their share of a large host.
-MANY_PAGES, LONG_WORDS = 100, 5
-#: Outside articles, one of at least so many words that stands on this share of the pages (LEAST_PAGES at least) is a rotating variant of the template.
-ROTATING_SHARE = 0.01
+#: Fewer words make no rotating variant, nor a paragraph of an article that can be template.
+LONG_WORDS = 5
+#: On pages without an article, a subtree that stands on this share of the pages (LEAST_PAGES at least) recurs; a place next to sure template whose pages hold recurring subtrees to this share rotates.
+ROTATING_SHARE, PLACE_SHARE = 0.01, 0.8
 #: Up to so many template hashes go to the tasks as one broadcast; beyond that they are joined to the pages.
 BROADCAST_ROWS = 200_000
 
@@ -51,12 +52,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "named", "parts", "hash", "label", "words")
+    __slots__ = ("tag", "noise", "named", "parts", "hash", "label", "words", "links")
 
     def __init__(self, tag: str, label: str, noise: bool, named: bool = False):
         # The page's frame and main element are never dropped for a class or id, nor the frame for anything else.
         self.named = named and tag not in ("html", "body", "main")
         self.tag, self.label, self.noise, self.parts, self.hash, self.words = tag, label, (noise and tag not in ("html", "body")) or self.named, [], 0, 0
+        self.links = 0
 
 
 def _attributes(raw: str) -> tuple[str, bool, bool]:
@@ -128,10 +130,13 @@ def _walk_hash(node: Node) -> None:
             if isinstance(p, Node):
                 seen.append(f"{p.hash:x}")
                 x.words += p.words
+                x.links += p.links
             else:
                 words = p.split()
                 seen.append(" ".join(words))
                 x.words += len(words)
+        if x.tag == "a":
+            x.links = x.words
         x.hash = xxhash.xxh64_intdigest("\x1f".join(seen).encode("utf-8", "surrogatepass"))
 
 
@@ -175,31 +180,42 @@ PAGE, ARTICLE = 0, 1
 
 
 def _key(x: Node, inside: bool) -> int | None:
-    """What a subtree is counted under, as a signed number: its hash, with 1 for a place in the article and 2 for LONG_WORDS in the lowest bits.
+    """What a subtree is counted under, as a signed number: its hash, with 1 for a place in the article, 2 for LONG_WORDS and 4 for links alone in the lowest bits.
 
     Null for what is never template: the page itself, and short phrases and paragraphs of an article.
     """
     long = x.words >= LONG_WORDS
     if x.tag in ("html", "body", "head") or inside and x.tag in FLOW and not long:
         return None
-    h = x.hash & ~3 | inside | long << 1
+    h = x.hash & ~7 | inside | long << 1 | (x.words > 0 and x.links == x.words) << 2
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtree_hashes(html: str | None) -> tuple[int | None, list[int], list[int]]:
-    """The article's hash (null without one), and the keys of the subtrees outside and inside it that can be template."""
+def subtree_hashes(html: str | None) -> tuple[int | None, list[tuple[int, int]], list[int]]:
+    """The article's hash (null without one), and the keys of the subtrees outside and inside it that can be template; outside with the key of the element before them that has words, 0 where there is none or the page has an article."""
     root = parsed(html or "")
     _walk_hash(root)
     article = _content_root(root)
-    out: tuple[set[int], set[int]] = (set(), set())
-    todo = [(p, False) for p in root.parts if isinstance(p, Node)]
+    outside: set[tuple[int, int]] = set()
+    within: set[int] = set()
+    todo = [(root, False)]
     while todo:
         x, inside = todo.pop()
-        if x is not article and (key := _key(x, inside)) is not None:
-            out[inside].add(key)
         inside = inside or x is article
-        todo += [(p, inside) for p in x.parts if isinstance(p, Node)]
-    return None if article is None else article.hash - (1 << 64) if article.hash >> 63 else article.hash, sorted(out[0]), sorted(out[1])
+        before = 0
+        for p in x.parts:
+            if not isinstance(p, Node):
+                continue
+            key = _key(p, inside) if p is not article else None
+            if key is not None:
+                if inside:
+                    within.add(key)
+                else:
+                    outside.add((key, before if article is None else 0))
+            if p.words:
+                before = key or 0
+            todo.append((p, inside))
+    return None if article is None else article.hash - (1 << 64) if article.hash >> 63 else article.hash, sorted(outside), sorted(within)
 
 
 def _pruned(root: Node, template: dict[int, bool]) -> int:
@@ -316,30 +332,41 @@ def host_of(url: Column) -> Column:
 def _hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for htmls in batches:
         rows = [subtree_hashes(h if isinstance(h, str) else None) for h in htmls]
-        yield pd.DataFrame({"article": pd.Series([r[0] for r in rows], dtype="Int64"), "outside": [[PAGE, *r[1]] for r in rows], "inside": [[] if r[0] is None else [ARTICLE, *r[2]] for r in rows]})
+        outside = [[(PAGE, 0), *r[1]] for r in rows]
+        yield pd.DataFrame({"article": pd.Series([r[0] for r in rows], dtype="Int64"), "outside": [[k for k, _ in r] for r in outside], "before": [[b for _, b in r] for r in outside], "inside": [[] if r[0] is None else [ARTICLE, *r[2]] for r in rows]})
 
 
 def _stands(pages: DataFrame) -> DataFrame:
-    """(host, page, at, subtree): where each subtree stands; page is the hash of the whole, at that of the page or, inside it, of the article."""
-    hashes = F.pandas_udf(_hashes, "article long, outside array<long>, inside array<long>")
+    """(host, page, at, subtree, before): where each subtree stands; page is the hash of the whole, at that of the page or, inside it, of the article, before what stands in front of it."""
+    hashes = F.pandas_udf(_hashes, "article long, outside array<long>, before array<long>, inside array<long>")
     page = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").filter("host <> ''")
     found = page.select("host", "page", hashes("html").alias("_h"))
-    on = lambda keys, where: F.transform(keys, lambda k: F.struct(where.alias("at"), k.alias("subtree")))
-    return found.select("host", "page", F.explode(F.concat(on(F.col("_h.outside"), F.col("page")), on(F.col("_h.inside"), F.col("_h.article")))).alias("s")).select("host", "page", "s.*")
+    on = lambda where, k, b: F.struct(where.alias("at"), k.alias("subtree"), b.alias("before"))
+    outside = F.zip_with("_h.outside", "_h.before", lambda k, b: on(F.col("page"), k, b))
+    inside = F.transform("_h.inside", lambda k: on(F.col("_h.article"), k, F.lit(0).cast("long")))
+    return found.select("host", "page", F.explode(F.concat(outside, inside)).alias("s")).select("host", "page", "s.*")
+
 
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, rotating: float = ROTATING_SHARE, place: float = PLACE_SHARE) -> DataFrame:
+    """(host, subtree, rotating): the keys that recur on a share of a host's distinct pages, or of its distinct articles, and the rotating ones on pages without an article. Copies count once. Pages without a host have no template.
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, many: int = MANY_PAGES, rotating: float = ROTATING_SHARE) -> DataFrame:
-    """(host, subtree, rotating): the keys that recur on many distinct pages of a host, or in many distinct articles. Copies count once. Pages without a host have no template."""
-    stands = _stands(pages).select("host", "at", "subtree").distinct()
+    Shares alone decide, whatever the number of pages: running text that recurs on fewer stays.
+    """
+    stands = written(_stands(pages).select("host", "at", "subtree", "before").distinct(), "site-places")
     # Counted in two steps: partial counts in each task, then one row a task and key.
-    counted = stands.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    counted = stands.select("host", "at", "subtree").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     counted = written(counted, "site-subtrees")
     totals = counted.filter(F.col("subtree").isin(PAGE, ARTICLE)).select("host", F.col("subtree").alias("kind"), F.col("n").alias("of"))
-    keyed = counted.filter(~F.col("subtree").isin(PAGE, ARTICLE)).withColumn("kind", F.col("subtree").bitwiseAND(F.lit(1)))
-    long = F.col("subtree").bitwiseAND(F.lit(2)) != 0
-    sure = F.col("n") >= F.when(long, F.least(share * F.col("of"), F.lit(float(many)))).otherwise(share * F.col("of"))
-    turning = long & (F.col("kind") == PAGE) & (F.col("n") >= rotating * F.col("of"))
-    return keyed.join(totals, ["host", "kind"]).filter(sure | turning).select("host", "subtree", (~sure).alias("rotating"))
+    keyed = counted.filter(~F.col("subtree").isin(PAGE, ARTICLE)).withColumn("kind", F.col("subtree").bitwiseAND(F.lit(1))).join(totals, ["host", "kind"])
+    has = lambda bit: F.col("subtree").bitwiseAND(F.lit(bit)) != 0
+    sure = keyed.filter(F.col("n") >= share * F.col("of"))
+    recurring = keyed.filter((F.col("n") < share * F.col("of")) & has(2) & (F.col("kind") == PAGE) & (F.col("n") >= rotating * F.col("of"))).select("host", "subtree")
+    # Of each place next to sure template: on how many pages a recurring subtree stands there.
+    beside = stands.filter("before <> 0").join(recurring, ["host", "subtree"]).join(sure.select("host", F.col("subtree").alias("before"), F.col("n").alias("of")), ["host", "before"])
+    beside = written(beside.select("host", "at", "subtree", "before", "of"), "site-beside")
+    turning = beside.select("host", "at", "before", "of").distinct().groupBy("host", "before", "of").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= place * F.col("of")).select("host", "before")
+    variants = beside.join(turning, ["host", "before"], "left_semi").select("host", "subtree").unionByName(recurring.filter(has(4))).distinct()
+    return sure.select("host", "subtree", F.lit(False).alias("rotating")).unionByName(variants.select("host", "subtree", F.lit(True).alias("rotating")))
 
 
 _EXTRACTED = "text string, n_template_words long"
@@ -356,6 +383,8 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES,
     Columns of pages with these names are replaced. A null or empty page has the
     empty text; pages with a null url are extracted without a template; repeated
     rows are kept; texts are read whole, however long. An empty table gives an empty result.
+    A paragraph of an article goes only where it stands in the share of the host's distinct articles that makes
+    template, however many they are.
     """
     spark = pages.sparkSession
     found = written(templates(pages, share, least, rotating=rotating), "site-templates")
@@ -374,7 +403,7 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES,
         out = pages.select(*own, text("html", host_of(F.col("url"))).alias("_x"))
     else:
         # Each page meets those of its own subtrees alone that are template, however long its host's list is.
-        hits = _stands(pages).join(found, ["host", "subtree"]).groupBy(F.col("host").alias("_host"), F.col("page").alias("_page")).agg(F.collect_set(F.struct("subtree", "rotating")).alias("_template"))
+        hits = _stands(pages).select("host", "page", "subtree").distinct().join(found, ["host", "subtree"]).groupBy(F.col("host").alias("_host"), F.col("page").alias("_page")).agg(F.collect_set(F.struct("subtree", "rotating")).alias("_template"))
 
         @F.pandas_udf(_EXTRACTED)
         def text_joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
