@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # The base patterns, and the least lengths of what they match.
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -58,10 +60,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def bodies(text: str) -> list[tuple[int, int]]:
-    """Where the keys of the base findings stand, in the order of base_spans: of an assignment only what is assigned."""
-    assigned = {m.start(): m.span(2) for m in ASSIGN.finditer(text)}
-    return [assigned[a] if kind == "assign" else (a, b) for a, b, kind in base_spans(text)]
+def bodies(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Where the keys of the base findings stand: of an assignment only what is assigned."""
+    return [ASSIGN.match(text, a).span(2) if kind == "assign" else (a, b) for a, b, kind in base]
 
 
 def shape(s: str) -> str:
@@ -161,20 +162,37 @@ class Network:
         return out
 
 
-def synthetic_findings(n: int = 3000, seed: int = 7, contexts: list[tuple[str, str]] | None = None) -> list[Finding]:
+#: Ordinary words of names and titles, for harmless runs.
+ORDINARY = "report version release value element name window button update config data file list index table page user account order total annual quarter standard certified model series test build main major minor patch number label image video final draft copy north south water power energy city school".split()
+
+
+def synthetic_findings(n: int = 4000, seed: int = 7, contexts: list[tuple[str, str]] | None = None) -> list[Finding]:
     """Labelled findings (text, start, end, label) drawn from the shapes of keys and of harmless runs; all invented. contexts: texts before and after, taken from documents, into which half of them are planted."""
     r = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     word = lambda: pick(low, r.randint(2, 9))
     secrets = [
-        lambda: (r.choice(["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "sk-", "pk_live_", "AIza", "ya29.", "npm_"]) + pick(low + up + dig, r.randint(20, 40))),
+        lambda: (r.choice(["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "sk-", "pk_live_", "AIza", "ya29.", "npm_"]) + pick(r.choice([low + up + dig, "abcdefABCDEF" + dig]), r.randint(20, 40))),
         lambda: pick(low + up + dig + "+/", r.randint(38, 44)) + r.choice(["", "=", "=="]),
         lambda: "eyJ" + pick(low + up + dig + "_-", r.randint(20, 40)) + ".eyJ" + pick(low + up + dig + "_-", r.randint(20, 40)) + "." + pick(low + up + dig + "_-", r.randint(20, 43)),
         lambda: pick(up + dig, r.randint(20, 36)),
         lambda: pick(low + up + dig, r.randint(24, 40)),
         lambda: r.choice(["v1/", "keys/", "id=", word() + "/"]) + pick(low + up + dig, r.randint(24, 36)),
+        lambda: r.choice(["xoxb-", "xoxp-", "xapp-"]) + pick(dig, r.randint(10, 13)) + "-" + pick(dig, r.randint(10, 13)) + "-" + pick(low + up + dig, 24),
     ]
+    # What names, titles, versions and model numbers are made of: words in one case, numbers, and one separator throughout.
+    case = lambda: r.choice([str.lower, str.upper, str.capitalize])
+    said = lambda c: c(r.choice(ORDINARY) if r.random() < 0.7 else word())
+    number = lambda: pick(dig, r.randint(1, 4))
+
+    def listed() -> str:
+        c, sep = case(), r.choice("-_-_./")
+        return sep.join(number() if r.random() < 0.25 else r.choice([said(c), said(c), c(pick(low, r.randint(1, 3))) + number()]) for _ in range(r.randint(3, 6)))
+
+    def camel() -> str:
+        return r.choice(["get", "set", "is", "on", "HTML", "XML", "HTTP", ""]) + "".join(said(str.capitalize) for _ in range(r.randint(3, 5))) + r.choice(["", "", pick(dig, 1), pick(up, 2) + pick(dig, 1)])
+
     harmless = [
         lambda: word() + "." + pick(dig, 2) + "@" + word() + pick(dig, 1) + ".example.com",
         lambda: "-".join([pick("abcdef" + dig, 8), *(pick("abcdef" + dig, 4) for _ in range(3)), pick("abcdef" + dig, 12)]),
@@ -186,6 +204,9 @@ def synthetic_findings(n: int = 3000, seed: int = 7, contexts: list[tuple[str, s
         lambda: word().capitalize() + word() + word() + pick(dig, 2) + word(),
         lambda: pick(dig, 16) + "." + word(),
         lambda: r.choice(["", "", "HTML", "XML", "get", "is"]) + "".join(word().capitalize() for _ in range(r.randint(3, 5))),
+        listed, listed, listed, camel, camel,
+        lambda: pick(r.choice(["ACGT", "ACGU", "acgt", "01", "xX0"]), r.randint(16, 48)) + r.choice(["", "1", "-2"]),
+        lambda: "-".join(pick(up, r.randint(1, 3)) + pick(dig, r.randint(1, 4)) + pick(up, r.randint(0, 2)) for _ in range(r.randint(3, 5))),
     ]
     lead = ["key: ", "Authorization: Bearer ", "export KEY=", "credential = '", "auth=", "AccessKey=\"", "private_key: "]
     out = []
@@ -219,16 +240,17 @@ def document_findings(docs: DataFrame, documents: int = FIT_DOCUMENTS, most: int
             for t in x["text"]:
                 if not isinstance(t, str) or not t:
                     continue
-                base = bodies(t)
+                base = base_spans(t)
                 gap = t.find(" ", len(t) // 2) + 1
-                own = [(a, b, "base") for a, b in base] + [(a, b, "run") for a, b in candidates(t, base_spans(t))] + ([(gap, gap, "plain")] if gap else [])
+                own = [(a, b, "base") for a, b in bodies(t, base)] + [(a, b, "run") for a, b in candidates(t, base)] + ([(gap, gap, "plain")] if gap else [])
                 for a, b, kind in own:
                     start, b = max(0, a - LEFT), min(b, a + 4 * BODY)
                     rows.append((t[start : b + RIGHT], a - start, b - start, kind))
             yield pd.DataFrame(rows, columns=["context", "a", "b", "kind"])
 
     chosen = docs.select("text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    spans = chosen.mapInPandas(found, "context string, a int, b int, kind string").distinct()
+    # Written once, as three lists are taken from it.
+    spans = written(chosen.mapInPandas(found, "context string, a int, b int, kind string").distinct(), "secret-findings")
     # One bounded list a kind: top-N, which tasks cut before they send.
     out = []
     for kind in ("base", "run", "plain"):
@@ -249,7 +271,7 @@ def labelled_findings(docs: DataFrame) -> list[Finding]:
     return known + [(*r, 0) for r, q in zip(runs, p, strict=True) if q < 0.5]
 
 
-def trained(findings: list[Finding] | None = None, recall: float = RECALL, rounds: int = 400, seed: int = 11) -> Network:
+def trained(findings: list[Finding] | None = None, recall: float = RECALL, rounds: int = 600, seed: int = 11) -> Network:
     """A network fitted on three quarters of the findings; the rest calibrate it and set its thresholds, one a shape that has enough true findings.
 
     Without findings of both kinds the threshold is above 1: nothing is added.
@@ -319,7 +341,7 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, str, float
     """All spans of each whole text with their scores: the base ones, whatever their scores, and the candidates that reach their shape's threshold."""
     base = [base_spans(t) for t in texts]
     runs = [(i, a, b, None) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
-    runs += [(i, a, b, k) for i, t in enumerate(texts) if base[i] for k, (a, b) in enumerate(bodies(t))]
+    runs += [(i, a, b, k) for i, t in enumerate(texts) if base[i] for k, (a, b) in enumerate(bodies(t, base[i]))]
     scores = net.best([(texts[i], a, b) for i, a, b, _ in runs])
     spans: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     for (i, a, b, k), q in zip(runs, scores.tolist(), strict=True):
