@@ -286,6 +286,33 @@ def test_fixity_of_warc_files(spark, tmp_path):
     assert got == {0: "", 1: "http://h.example/1/33", 2: ""}
 
 
+def test_a_lost_record_is_one_lost_record(spark, tmp_path):
+    """Replicas in two folders, 300 records in two files: one left out, one put in, one changed, one repeated; and a file that one lacks."""
+    rows = [(f, i, f"http://h.example/{f}/{i}", f"body {f} {i} " * (1 + i % 5)) for f in range(2) for i in range(300)]
+    made = lambda rows: spark.createDataFrame(rows, "file long, seq long, url string, html string").select("file", "seq", warc_fixity.warc_record(mixing.F.col("url"), mixing.F.col("html")).alias("record"))
+
+    def audited(name, second):
+        for side, x in (("a", rows), ("b", second)):
+            for f in {r[0] for r in x}:
+                folder = tmp_path / name / side / f"file={f}"
+                folder.mkdir(parents=True)
+                (folder / "part.warc").write_bytes("".join(r["record"] for r in made([r for r in x if r[0] == f]).orderBy("seq").collect()).encode())
+            (tmp_path / name / side / "file=9").mkdir()
+            (tmp_path / name / side / "file=9" / "empty.warc").touch()
+        a, b = (warc_fixity.read_warc(spark, str(tmp_path / name / side), 5000) for side in "ab")
+        return {r["file"][5]: r for r in warc_fixity.audit_files(a, b).collect()}
+
+    for lost in (0, 150, 299):
+        got = audited(f"lost{lost}", [r for r in rows if r[:2] != (0, lost)])
+        assert {f: (r["n_corrupt"], r["corrupt_ids"]) for f, r in got.items()} == {"0": (1, f"http://h.example/0/{lost}"), "1": (0, "")}
+        assert got["0"]["n_records"] == 300 and got["1"]["n_nodes_compared"] == 1 and got["0"]["n_nodes_compared"] < 150
+    more = sorted([r if r[:2] != (1, 40) else (*r[:3], "changed") for r in rows] + [(0, 7, "http://h.example/new", "x"), rows[90]])
+    got = audited("more", more)
+    assert {f: (r["n_corrupt"], r["corrupt_ids"]) for f, r in got.items()} == {"0": (2, "http://h.example/new,http://h.example/0/90"), "1": (1, "http://h.example/1/40")}
+    got = audited("less", [r for r in rows if r[0] == 0])
+    assert got["1"]["n_corrupt"] == 300 and got["1"]["root_b"] is None and got["0"]["n_corrupt"] == 0
+
+
 def brute_print(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
