@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, names, text
 from ..operators import balance, ingest, master, narrate, rules, similar
 from ..sources import tables
+from ..sources.stored import numbered
 from ..sources.tables import table
 from .further import templated, templated_sql
 from .ledger import TX, query, small, transactions
@@ -302,7 +303,7 @@ def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of heads after names that mean the same have become one, by count and name."""
     p = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).cast("string").alias("name"), F.col("l_returnflag").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first_pos"))
     canonical = p.select("name").distinct().withColumn("canonical", F.when(F.col("name").cast("int") < 3, "0").otherwise(F.col("name")))
-    return master.merged_counts(p, canonical).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name", "head")).cast("long"))
+    return numbered(master.merged_counts(p, canonical), [F.desc("n"), F.col("name"), F.col("head")], "place")
 
 
 LOOK_TEXTS = ["YIB-NEFT-Y{k}-Party {c}-WXYZ0123456-x", "YIB-NEFT-Y{k}-Known Person-WXYZ0123456-x", "plain {k}", ""]

@@ -156,8 +156,9 @@ def edited(df: DataFrame, edits: DataFrame, key: str = "row_no") -> DataFrame:
     kept = df.join(last, key, "left").filter(~F.coalesce(F.col("_e.action") == "delete", F.lit(False)))
     changed = kept.select(F.lit(0).alias("_t"), F.col(key).cast("long").alias("_o"), *(F.when(F.col("_e.action") == "update", F.col(f"_e.{c}")).otherwise(F.col(c)).alias(c) for c in rest))
     added = edits.filter("action = 'append'").select(F.lit(1).alias("_t"), F.col("edit_no").cast("long").alias("_o"), *rest)
-    # Tables of payees are lists that people keep: one partition numbers their rows.
-    return changed.unionByName(added).withColumn(key, F.row_number().over(Window.orderBy("_t", "_o"))).select(*df.columns)
+    from .stored import numbered
+
+    return numbered(changed.unionByName(added), [F.col("_t"), F.col("_o")], key).select(*df.columns)
 
 
 def log_state(log: DataFrame, key: str, order: str = "seq") -> DataFrame:
