@@ -45,7 +45,7 @@ _MATCHED = "account_number string, auto_pos long, main_pos long, status string,
 
 
 def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (account, debits, credits), the main ledger's before the automated ones: within a group each automated row in order claims at most one leftover row.
+    """Rows sorted by (account, debits, credits, days), the main ledger's before the automated ones: within a group each automated row in order claims at most one leftover row.
 
     Leftover rows wait in queues by day and by (text, day), in their order; claimed ones leave a queue when they come to its
     front, so a fee that recurs thousands of times costs each row a few looks.
@@ -62,9 +62,9 @@ def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         out = []
-        for side, account, pos, day, debit, credit, text in zip(*(batch[c] for c in ("side", "account_number", "row_pos", "txn_date", "debits", "credits", "description_key")), strict=True):
-            if (account, debit, credit) != group:
-                group, by_day, by_text, taken = (account, debit, credit), {}, {}, set()
+        for side, account, pos, day, debit, credit, days, text in zip(*(batch[c] for c in ("side", "account_number", "row_pos", "txn_date", "debits", "credits", "days", "description_key")), strict=True):
+            if (account, debit, credit, days) != group:
+                group, by_day, by_text, taken = (account, debit, credit, days), {}, {}, set()
             number = None if day is None or pd.isna(day) else pd.Timestamp(day).toordinal()
             if side == 0:
                 by_day.setdefault(number, deque()).append(pos)
@@ -83,9 +83,26 @@ def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["account_number", "auto_pos", "main_pos", "status", "reason"]).astype({"main_pos": "Int64"})
 
 
+def day_ranges(rows: DataFrame, key: list[str], day: str = "txn_date", apart: int = NEAR_DAYS) -> DataFrame:
+    """rows with days, the number of the range of days that they lie in: ranges of a key are further apart than a claim reaches, so each can be settled by itself.
+
+    What is scanned is the distinct days of a key, not its rows. Rows without a date are a range of their own, -1. Keys may be null.
+    """
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    x = rows.withColumn("_d", number)
+    w = Window.partitionBy(*key).orderBy("_d")
+    distinct = x.filter("_d is not null").select(*key, "_d").distinct().withColumn("_gap", F.coalesce((F.col("_d") - F.lag("_d").over(w) > apart).cast("int"), F.lit(0)))
+    known = distinct.select(*(F.col(k).alias(f"_d_{k}") for k in key), F.col("_d").alias("_at"), F.sum("_gap").over(w).cast("long").alias("days"))
+    on = F.col("_d") == F.col("_at")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_d_{k}"))
+    return x.join(known, on, "left").select(*rows.columns, F.coalesce("days", F.lit(-1).cast("long")).alias("days"))
+
+
 def three_way(auto: DataFrame, main: DataFrame) -> DataFrame:
-    """present, review or new for each automated row: bags first, then claims within (account, debits, credits), outside which no claim can reach.
+    """present, review or new for each automated row: bags first, then claims within (account, debits, credits) and a range of days, outside which no claim can reach.
 
+    A fee that recurs for years is cut where no row lies within the reach of a claim, so its ranges go to many tasks.
     Both sides: account_number, row_pos, txn_date, debits, credits, description.
     """
     key = ["account_number", "txn_date", "debits", "credits", "description_key"]
@@ -93,18 +110,19 @@ def three_way(auto: DataFrame, main: DataFrame) -> DataFrame:
     present, open_rows, left = bag_matched(a, m, key, ["row_pos"])
     columns = ["account_number", "row_pos", "txn_date", "debits", "credits", "description_key"]
     both = open_rows.select(*columns, F.lit("auto").alias("side")).unionByName(left.select(*columns, F.lit("main").alias("side")))
-    # A group without rows of the main ledger needs no matching and stays in the JVM.
-    sides = both.groupBy("account_number", "debits", "credits").agg(F.max(F.col("side") == "main").alias("_m"))
-    sides = sides.select(*(F.col(k).alias(f"_s_{k}") for k in ("account_number", "debits", "credits")), "_m")
+    both = settled(day_ranges(both, ["account_number", "debits", "credits"]))
+    # A range without rows of the main ledger needs no matching and stays in the JVM.
+    group = ("account_number", "debits", "credits", "days")
+    sides = both.groupBy(*group).agg(F.max(F.col("side") == "main").alias("_m"))
+    sides = sides.select(*(F.col(k).alias(f"_s_{k}") for k in group), "_m")
     on = F.lit(True)
-    for k in ("account_number", "debits", "credits"):
+    for k in group:
         on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    tagged = both.join(sides, on).select(*columns, "side", "_m")
-    # A group streams through its task in order; nothing of it is held but what may still be claimed.
-    group = ("account_number", "debits", "credits")
-    sided = tagged.filter("_m").select((F.col("side") == "auto").cast("int").alias("side"), "account_number", "row_pos", "txn_date", *(F.col(c).cast("string").alias(c) for c in ("debits", "credits")), "description_key")
+    tagged = both.join(sides, on).select(*columns, "days", "side", "_m")
+    # A range streams through its task in order; nothing of it is held but what may still be claimed.
+    sided = tagged.filter("_m").select((F.col("side") == "auto").cast("int").alias("side"), "account_number", "row_pos", "txn_date", *(F.col(c).cast("string").alias(c) for c in ("debits", "credits")), "days", "description_key")
     matched = sided.repartition(*group).sortWithinPartitions(*group, "side", "row_pos").mapInPandas(_claims, _MATCHED)
-    plain = tagged.filter("not _m").select("account_number", F.col("row_pos").alias("auto_pos"), F.lit(None).cast("long").alias("main_pos"), F.lit("new").alias("status"), F.lit(None).cast("string").alias("reason"))
+    plain = tagged.filter("not _m").filter("side = 'auto'").select("account_number", F.col("row_pos").alias("auto_pos"), F.lit(None).cast("long").alias("main_pos"), F.lit("new").alias("status"), F.lit(None).cast("string").alias("reason"))
     done = present.select("account_number", F.col("row_pos").alias("auto_pos"), F.lit(None).cast("long").alias("main_pos"), F.lit("present").alias("status"), F.lit(None).cast("string").alias("reason"))
     return done.unionByName(matched).unionByName(plain)
 

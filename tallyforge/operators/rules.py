@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import direction, direction_allows
-from ..functions.names import mentions_segment, payee_name, role_in
+from ..functions.names import dashed_payee_name, mentions_segment, payee_name, role_in
 from ..functions.text import no_spaces
 from . import lookups
 
@@ -133,8 +133,11 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
     if stage_table is None:
         x = x.withColumns({c: F.lit(None).cast("string") for c in ("s_head", "s_unit", "s_type", "s_tcp", "s_confidence", "s_rule")})
     else:
+        # The block reads payees from texts of its own layout, and knows those on file by the same table.
+        on_file = payees.filter("status = 'Confirmed'").groupBy(F.upper(F.trim("name")).alias("_block_payee")).agg(F.min("head1").alias("_block_head"))
         flags = {"account_stage": F.col("own_stage"), "own_company": names_own_company(F.col("description"), b.own_names), "salary": mentions_segment(F.col("description"), "salary"), "imprest": mentions_segment(F.col("description"), "imprest")}
-        x = stage_rules(x.withColumns(flags), stage_table).drop(*flags)
+        x = x.withColumnsRenamed({"payee": "_payee", "payee_head": "_payee_head"}).withColumn("_block_payee", dashed_payee_name(F.col("description"))).join(on_file, "_block_payee", "left")
+        x = stage_rules(x.withColumnsRenamed({"_block_payee": "payee", "_block_head": "payee_head"}).withColumns(flags), stage_table).drop(*flags, "payee", "payee_head").withColumnsRenamed({"_payee": "payee", "_payee_head": "payee_head"})
 
     d, bare = F.col("description"), no_spaces(F.upper(F.col("description")))
     credit = F.col("credits") > 0

@@ -342,3 +342,49 @@ def test_landing(spark, tmp_path):
     assert run() == (2, 0)
     spark.createDataFrame([*rows, ("1", 3, dt.date(2026, 3, 1), 9.0), ("1", 4, dt.date(2026, 4, 3), 3.0)], schema).write.mode("append").parquet(into)
     assert run() == (3, 1)
+
+
+def test_claims_of_a_fee_that_recurs_for_years(spark):
+    """One key with a row every few days for decades, some edited, some moved by days, some missing, some without a date: cut into ranges, the claims are those of one walk over the key."""
+    import random
+
+    r = random.Random(8)
+    day = lambda n: dt.date(1990, 1, 1) + dt.timedelta(days=n)
+    auto, main, at = [], [], 0
+    for i in range(3000):
+        at += r.choice([0, 1, 2, 5, 9])
+        text = r.choice(["fee", "fee", "other"])
+        auto.append(("A", i, None if i % 97 == 0 else day(at), Decimal("18.00"), Decimal("0.00"), text))
+        if r.random() < 0.8:
+            main.append(("A", i, None if i % 89 == 0 else day(at + r.choice([0, 0, 1, 3, 4])), Decimal("18.00"), Decimal("0.00"), r.choice([text, text, text + "!"])))
+    shape = "account_number string, row_pos long, txn_date date, debits decimal(18,2), credits decimal(18,2), description string"
+    a, m = spark.createDataFrame(auto, shape), spark.createDataFrame(main, shape)
+    ranged = reconcile.day_ranges(a.unionByName(m), ["account_number", "debits", "credits"])
+    assert ranged.select("days").distinct().count() > 300 and ranged.count() == len(auto) + len(main)
+    key = lambda x: (x[2], reconcile_key(x[5]))
+    reconcile_key = lambda t: t.upper().replace(" ", "")
+    # Bags by day and text: the first rows of each side are used up.
+    from collections import Counter
+
+    have, seen = Counter(key(x) for x in main), Counter()
+    got_auto = Counter(key(x) for x in auto)
+    want, open_rows = {}, []
+    for x in auto:
+        seen[key(x)] += 1
+        if seen[key(x)] <= have[key(x)]:
+            want[x[1]] = ("present", None)
+        else:
+            open_rows.append(x)
+    left, n = [], Counter()
+    for x in main:
+        n[key(x)] += 1
+        if n[key(x)] <= have[key(x)] - min(have[key(x)], got_auto[key(x)]):
+            left.append(x)
+    taken = set()
+    for x in open_rows:
+        same = [y for y in left if y[1] not in taken and y[2] == x[2]]
+        near = [y for y in left if y[1] not in taken and x[2] and y[2] and abs((y[2] - x[2]).days) <= 3 and reconcile_key(y[5]) == reconcile_key(x[5])]
+        pick = min(same, key=lambda y: y[1], default=None) or min(near, key=lambda y: (abs((y[2] - x[2]).days), y[1]), default=None)
+        want[x[1]] = ("review", pick[1]) if pick else ("new", None)
+        taken |= {pick[1]} if pick else set()
+    assert {x["auto_pos"]: (x["status"], x["main_pos"]) for x in reconcile.three_way(a, m).collect()} == want and len(taken) > 100
