@@ -74,8 +74,10 @@ def suffix_lookup(rows: DataFrame, column: str, suffixes: DataFrame, suffix: str
 
 
 def contains_lookup(rows: DataFrame, text: Column, dim: DataFrame, word: str, order: str, outputs: list[str]) -> DataFrame:
-    """The first word of the dimension within the text."""
-    return first_match(rows, dim, lambda x, r: x["text"].contains(r[word]), {"text": text}, [order], outputs)
+    """The first word of the dimension within the text, of any number of words."""
+    from .words import first_word
+
+    return first_word(rows, text, dim, word, [order], outputs)
 
 
 def counterparty(rows: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions.amounts import direction, direction_allows
 from ..functions.names import dashed_payee_name, mentions_segment, payee_name, role_in
 from ..functions.text import no_spaces
 from . import lookups
+from .words import first_word
 
 UNKNOWN = "?"
 FIELDS = ("head", "business_unit", "type", "tcp_head", "confidence", "classified_by")
@@ -230,17 +231,17 @@ def head_by_words(rows: DataFrame, head_rules: DataFrame, regular: bool) -> Data
     """Adds word_head or pattern_head: the first head by priority, then by the word's place, whose word or pattern is in the text and whose direction fits."""
     column, name = ("patterns", "pattern_head") if regular else ("keywords", "word_head")
     words = head_rules.filter(~F.coalesce("fallback", F.lit(False))).select("head", F.coalesce("priority", F.lit(999)).alias("priority"), "direction", F.posexplode(column).alias("place", "word"))
+    text = F.coalesce("description", F.lit(""))
+    way = direction(F.col("credits"), F.col("debits"))
     if not regular:
-        bare = no_spaces(F.upper("word"))
-        words = words.withColumns({"word": F.upper("word"), "bare": F.when(F.length(bare) >= MIN_STRIPPED, bare)})
+        shown = words.withColumns({"word": F.upper("word"), "way": F.nullif("direction", F.lit("both"))})
+        bare = no_spaces(F.col("word"))
+        return first_word(rows, F.upper(text), shown, "word", ["priority", "place", "head"], {"head": name}, bare=F.when(F.length(bare) >= MIN_STRIPPED, bare), way=F.nullif(way, F.lit("unknown")), ways="way")
 
     def holds(x: Column, r: Column) -> Column:
-        hit = F.regexp_like(x["text"], r["word"]) if regular else x["up"].contains(r["word"]) | F.coalesce(x["bare"].contains(r["bare"]), F.lit(False))
-        return hit & direction_allows(r["direction"], x["way"])
+        return F.regexp_like(x["text"], r["word"]) & direction_allows(r["direction"], x["way"])
 
-    text, up = F.coalesce("description", F.lit("")), F.upper(F.coalesce("description", F.lit("")))
-    values = {"text": text, "way": direction(F.col("credits"), F.col("debits"))} if regular else {"up": up, "bare": no_spaces(up), "way": direction(F.col("credits"), F.col("debits"))}
-    return lookups.first_match(rows, words, holds, values, ["priority", "place", "head"], {"head": name})
+    return lookups.first_match(rows, words, holds, {"text": text, "way": way}, ["priority", "place", "head"], {"head": name})
 
 
 def internal_heads(head_rules: DataFrame, types: tuple[str, ...]) -> list[str]:
