@@ -18,6 +18,7 @@ from ..functions.amounts import direction, direction_allows
 from ..functions.names import dashed_payee_name, mentions_segment, payee_name, role_in
 from ..functions.text import no_spaces
 from . import lookups
+from .narrate import explained, narration, reason
 from .words import first_word
 
 UNKNOWN = "?"
@@ -357,3 +358,17 @@ def resolved_again(rows: DataFrame, accounts: DataFrame, classified: DataFrame,
     for c in fields:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
     return x.filter(changed)
+
+
+def resolved_in_full(rows: DataFrame, accounts: DataFrame, classified: DataFrame, key: list[str], again: tuple[str, ...] = ()) -> DataFrame:
+    """resolved_again with what a person reads of the rows made anew: narration, reason and confidence.
+
+    classified also brings credits, confidence, classified_by, account_number, and party, reference and own_transfer (whether the text names an own company) where they are known.
+    """
+    changed = resolved_again(rows, accounts, classified, key, again)
+    known = lambda c, kind: F.col(c) if c in classified.columns else F.lit(None).cast(kind)
+    more = classified.select(*key, "credits", "confidence", "classified_by", "account_number", known("party", "string").alias("_party"), known("reference", "string").alias("_ref"), F.coalesce(known("own_transfer", "boolean"), F.lit(False)).alias("_own"))
+    x = changed.join(more, key)
+    told = narration(F.col("description"), F.col("credits"), F.col("head"), F.col("type"), F.col("business_unit"), F.col("account_number"), F.col("_party"), F.col("_ref"), F.col("_own"))
+    why = reason(*(explained(name, F.col(c), F.col("classified_by")) for name, c in (("Head", "head"), ("BU", "business_unit"), ("Type", "type"), ("TCP", "tcp_head"))))
+    return x.withColumns({"narration": told, "reason": why}).drop("_party", "_ref", "_own", "credits", "account_number")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import amounts
 from ..operators import placing, rules
 from ..sources import stored
-from ..sources.tables import table
+from ..sources.tables import settled, table
 from . import further
-from .further import BLOCK_SQL, BLOCK_TEXTS, texts, texts_sql
+from .further import BLOCK_SQL, BLOCK_TEXTS, LADDER_SQL, LADDER_TEXTS, texts, texts_sql
 from .ledger import TX, query, small, transactions
 from .more import OVERRIDE_SCHEMA
 from .tabular import scratch
@@ -81,3 +81,25 @@ def ladder_with_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = small(spark, [(1, "", "", "x", "x", "x", "x", "Disabled")], OVERRIDE_SCHEMA)
     x = rules.classify(rows, accounts, none, payees, rules.Business(own_names=["Willow Homes"]), stage_table=further._block(spark))
     return x.select("row_pos", "classified_by", "head")
+
+
+def _explained_sql(name: str, column: str) -> str:
+    return f"CASE WHEN {column} NOT IN ('?', '') THEN '{name}: ' || {column} || ' (' || classified_by || ')' END"
+
+
+@query(f"""WITH now AS (SELECT * FROM ({LADDER_SQL})), t AS (SELECT row_pos, d, cr, own FROM (WITH {texts_sql(LADDER_TEXTS)} SELECT row_pos, d, cr, CASE WHEN custkey % 4 < 2 THEN 'SW' ELSE 'AR' END AS own FROM x)),
+o AS (SELECT *, CASE row_pos % 3 WHEN 0 THEN '?' WHEN 1 THEN head ELSE 'DPL' END AS old_head, CASE WHEN row_pos % 5 = 0 THEN 'Elsewhere' ELSE business_unit END AS old_unit FROM now JOIN t USING (row_pos))
+SELECT row_pos, old_head, head, business_unit, confidence, concat_ws(' | ', {_explained_sql('Head', 'head')}, {_explained_sql('BU', 'business_unit')}, {_explained_sql('Type', 'type')}, {_explained_sql('TCP', 'tcp_head')}) AS reason,
+  CASE WHEN head = 'Internal' THEN 'Internal Transfer | Ref: N/A | Type: ' || type || ' | BU: ' || business_unit || ' | Head: Internal' WHEN cr AND type = 'Customer Collection' THEN 'Receipt Credit (Collection) | Ref: N/A | From: Party | BU: ' || business_unit
+    WHEN cr THEN 'Receipt Credit from x' || right(trim(d), 4) || ' (Purpose: ' || business_unit || ') | Ref: N/A | BU: ' || business_unit || ' | Head: ' || head
+    ELSE 'Payment Disbursement (Purpose: ' || CASE WHEN lower(head) LIKE '%salary%' THEN 'Salary' ELSE business_unit END || ') | To: Party | Ref: N/A | BU: ' || business_unit || ' | Head: ' || head END AS narration
+FROM o WHERE d <> '' AND (old_head IN ('?', 'DPL') OR old_unit = '?' OR type = '?' OR tcp_head = '?' OR old_unit NOT IN ('?', 'HO', own)) AND (old_head <> head OR old_unit <> business_unit)""")
+def resolved_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the rules see otherwise today, with their narration, reason and confidence made anew."""
+    x = further._ladder(spark, sf_dir)
+    now = x.select("row_pos", "account_number", "description", "credits", rules.final_head(F.col("head"), F.col("engine_head")).alias("head"), "business_unit", "type", "tcp_head", "confidence", "classified_by")
+    now = settled(now)  # read three times
+    third = F.col("row_pos") % 3
+    old = now.withColumns({"head": F.when(third == 0, "?").when(third == 1, F.col("head")).otherwise("DPL"), "business_unit": F.when(F.col("row_pos") % 5 == 0, "Elsewhere").otherwise(F.col("business_unit"))})
+    accounts = small(spark, further._LADDER_ACCOUNTS, "account_number string, business_unit string, account_stage string, account_order int").select("account_number", "business_unit")
+    return rules.resolved_in_full(old, accounts, now, ["row_pos"], ("DPL",)).select("row_pos", "old_head", "head", "business_unit", "confidence", "reason", "narration")
