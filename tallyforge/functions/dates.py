@@ -50,8 +50,10 @@ def fiscal_range(label: Column, first_month: int = 4) -> Column:
     return F.when(F.pmod(y + 1, F.lit(100)) == z, F.struct(first.alias("first"), F.date_sub(F.add_months(first, 12), 1).alias("last")))
 
 
-def fiscal_year_options(first_year: int, count: int) -> Column:
-    years = F.sequence(F.lit(first_year), F.lit(first_year + count - 1))
+def fiscal_year_options(first_year: int | Column, count: int | Column) -> Column:
+    """The labels of so many fiscal years from the first one on."""
+    first, n = (F.lit(x) if isinstance(x, int) else x for x in (first_year, count))
+    years = F.sequence(first, first + n - 1)
     return F.transform(years, lambda y: F.concat(y.cast("string"), F.lit("-"), F.lpad(F.pmod(y + 1, F.lit(100)).cast("string"), 2, "0")))
 
 

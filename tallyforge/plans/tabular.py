@@ -137,9 +137,13 @@ def dates_and_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT unnest(['2020-21', '2021-22', '2022-23', '2023-24']) AS year")
+@query("""WITH y AS (SELECT min(year(o_orderdate - INTERVAL 3 MONTH)) AS a, max(year(o_orderdate - INTERVAL 3 MONTH)) AS b FROM orders WHERE o_orderdate IS NOT NULL)
+SELECT CAST(k AS VARCHAR) || '-' || lpad(CAST((k + 1) % 100 AS VARCHAR), 2, '0') AS year FROM (SELECT unnest(range(a, b + 1)) AS k FROM y)""")
 def fiscal_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.explode(dates.fiscal_year_options(2020, 4)).alias("year"))
+    """The fiscal years, which begin in April, from a ledger's first date to its last."""
+    began = F.year(F.add_months(F.col("o_orderdate").cast("date"), -3))
+    ends = table(spark, sf_dir, "orders").agg(F.min(began).alias("a"), F.max(began).alias("b")).filter("a is not null")
+    return ends.select(F.explode(dates.fiscal_year_options(F.col("a"), F.col("b") - F.col("a") + 1)).alias("year"))
 
 
 @query("""WITH x AS (SELECT o_orderkey AS row_pos, o_orderpriority IN ('1-URGENT', '2-HIGH') AS cr, 'to ACCT' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS d, o_orderkey % 3 = 0 AS own FROM orders)
