@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.balance import late_rows
 from ..operators.ingest import keep_first, not_loaded
+from ..sources.sketch import SketchedLedger
+from ..sources.tables import settled
 
 MAX_FAILURES = 2
 
@@ -56,3 +58,30 @@ def run_landing(stream: DataFrame, ledger_path: str, review_path: str, checkpoin
         stream.writeStream.foreachBatch(lambda batch, _: load_batch(batch, ledger_path, review_path, key, order))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def load_part(batch: DataFrame, part: str, ledger: SketchedLedger, review: SketchedLedger, order: list[str]) -> tuple[int, int]:
+    """As load_batch, but a batch is a part of the ledger and one of the review table, and is compared with the parts alone that may hold its keys.
+
+    A batch that is run anew replaces its own two parts, at whatever point the first run
+    was lost. Gives how many parts of the ledger and of the review table were read.
+    """
+    rows = settled(ledger.typed(batch))
+    held, seen = ledger.may_hold(rows, but=part), review.may_hold(rows, but=part)
+    fresh = keep_first(not_loaded(not_loaded(rows, ledger.read(held), ledger.key), review.read(seen), ledger.key), ledger.key, order)
+    marked = settled(late_rows(fresh, ledger.last_days(but=part), ledger.account, ledger.day))
+    review.put(marked.filter("is_late"), part)
+    ledger.put(marked.filter("not is_late"), part)
+    return len(held), len(seen)
+
+
+def run_parts(stream: DataFrame, ledger: SketchedLedger, review: SketchedLedger, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Everything that has landed, then an end. Parts are named after the checkpoint's own id and the batch, so a new checkpoint does not write over parts of an old one."""
+
+    def load(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("the stream has no id to name its parts by")
+        load_part(batch, f"{query}-{number:09d}", ledger, review, order)
+
+    return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
