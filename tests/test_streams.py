@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import shutil
+from email.message import EmailMessage
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ingest import keep_first, not_loaded
 from tallyforge.sources.sketch import SketchedLedger
-from tallyforge.streaming import guarding, landing
+from tallyforge.streaming import guarding, landing, mailbox
 
 ATTEMPTS = "file string, status string, at timestamp"
 
@@ -114,3 +117,66 @@ def test_landing_in_parts_equals_landing_whole(spark, tmp_path):
 
 
 LEDGER_COLUMNS = [c.split()[0] for c in LEDGER.split(", ")]
+
+
+def _mail(folder, name: str, body: str, files: dict[str, bytes], html: bool = False) -> None:
+    m = EmailMessage()
+    m["To"], m["From"], m["Subject"] = "books@example.org", "bank@example.org", f"Statement {name}"
+    m.set_content("<p>" + body + "</p>", subtype="html") if html else m.set_content(body)
+    for f, content in files.items():
+        m.add_attachment(content, maintype="application", subtype="octet-stream", filename=f)
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_bytes(m.as_bytes())
+
+
+def _run(spark, box, tmp_path, load, **options):
+    mailbox.run_mailbox(mailbox.mailbox(spark, str(box), str(tmp_path / "state"), **options), load, str(tmp_path / "checkpoint"), str(tmp_path / "state"))
+
+
+def test_a_failed_batch_loses_and_doubles_no_mail(spark, tmp_path):
+    box, out = tmp_path / "box", str(tmp_path / "out")
+    _mail(box, "m2.eml", "account no. XX1234", {"a.PDF": b"1", "note.txt": b"x", "b.pdf": b"\x00\xff"})
+    _mail(box, "m3.eml", "none here", {}, html=True)
+
+    def load(rows, batch):
+        rows.withColumn("batch_no", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    def lost(rows, batch):
+        load(rows, batch)
+        raise RuntimeError("lost after it was written")
+
+    with pytest.raises(Exception, match="lost after"):
+        _run(spark, box, tmp_path, lost)
+    assert mailbox.acknowledged(spark, str(tmp_path / "state")).count() == 0
+    _mail(box, "m1.eml", "late, with an older name", {"c.pdf": b"3"})
+    _mail(box, "m4.eml", "more", {"d.pdf": b"4"})
+    _run(spark, box, tmp_path, load, maxMessages="1")
+    _mail(box, "m0.eml", "last", {"e.pdf": b"5"})
+    _run(spark, box, tmp_path, load)
+    _run(spark, box, tmp_path, load)  # nothing new
+    got = sorted((r.name, r.filename, None if r.content is None else bytes(r.content)) for r in spark.read.parquet(out).collect())
+    assert got == [("m0.eml", "e.pdf", b"5"), ("m1.eml", "c.pdf", b"3"), ("m2.eml", "a.PDF", b"1"), ("m2.eml", "b.pdf", b"\x00\xff"), ("m3.eml", None, None), ("m4.eml", "d.pdf", b"4")]
+    assert {r.name for r in mailbox.acknowledged(spark, str(tmp_path / "state")).collect()} == {f"m{i}.eml" for i in range(5)}
+
+
+def test_mail_of_every_shape():
+    inner = EmailMessage()
+    inner["Subject"] = "inner"
+    inner.set_content("forwarded")
+    inner.add_attachment(b"deep", maintype="application", subtype="pdf", filename="deep.pdf")
+    outer = EmailMessage()
+    outer.set_content("plain text")
+    outer.add_alternative("<b>html</b>", subtype="html")
+    outer.add_attachment(inner)
+    rows = mailbox.message_rows(outer.as_bytes(), "x", ".pdf")
+    assert [(r[4], r[5], r[6], r[7], r[8]) for r in rows] == [("plain text", 1, "deep.pdf", b"deep", None)]
+    assert mailbox.message_rows(b"", "empty", ".pdf") == [("empty", None, None, None, "", None, None, None, None)]
+    assert len(mailbox.message_rows(b"\xff\xfe not mail \x00" * 100, "odd", ".pdf")) == 1
+    broken = b"Content-Type: application/pdf; name=a.pdf\nContent-Disposition: attachment; filename=a.pdf\nContent-Transfer-Encoding: base64\n\nnot base64 at all!"
+    assert [r[6] for r in mailbox.message_rows(broken, "b", ".pdf")] == ["a.pdf"]
+
+
+def test_outcomes_of_messages(spark):
+    rows = [("a", 1, "success", None), ("a", 2, "failed", None), ("b", 1, "failed", None), ("b", 1, "success", None), ("c", 1, "failed", None), ("c", 1, "failed", None), ("c", 1, "failed", None), ("d", None, None, None), ("e", 1, None, None)]
+    got = {r.name: (r.n_parts, r.n_failed, r.is_read) for r in mailbox.message_outcomes(spark.createDataFrame(rows, "name string, part int, status string, at timestamp")).collect()}
+    assert got == {"a": (2, 1, False), "b": (1, 1, True), "c": (1, 3, True), "d": (0, 0, False), "e": (1, 0, False)}
