@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.balance import late_rows
 from ..operators.ingest import keep_first, not_loaded
@@ -14,7 +15,7 @@ from ..sources.tables import settled
 MAX_FAILURES = 2
 
 
-def landed(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:
+def landed(spark: SparkSession, path: str, schema: str | StructType, max_files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
