@@ -66,7 +66,7 @@ _MAIL_SQL = "s AS (SELECT s_suppkey AS k, s_name FROM supplier)"
 
 @query(f"""WITH {_MAIL_SQL}, n AS (SELECT k, s_name, unnest(range(1, CAST(k % 3 AS BIGINT) + 1)) AS part FROM s)
 SELECT 'Statement ' || k AS subject, lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS tail, CAST(part AS INTEGER) AS part, 'statement-' || k || '-' || part || CASE WHEN part = 1 THEN '.pdf' ELSE '.PDF' END AS filename, s_name || ' ' || part AS content FROM n
-UNION ALL SELECT 'Statement ' || k, lpad(CAST(k % 10000 AS VARCHAR), 4, '0'), NULL, NULL, NULL FROM s WHERE k % 3 = 0""")
+UNION ALL SELECT 'Statement ' || k, lpad(CAST(k % 10000 AS VARCHAR), 4, '0'), 0, NULL, NULL FROM s WHERE k % 3 = 0""")
 def mailed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' mails, landed as files of raw mail and read by the mailbox in batches: the account that the text names, and the attachments that are statements (others, such as a note, are not)."""
     k = F.col("s_suppkey")
@@ -89,7 +89,7 @@ def mailed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     mailbox.run_mailbox(mails, load, scratch(spark, "mailbox-checkpoint"), state)
-    return spark.read.schema(mailbox.MESSAGE).parquet(out).select("subject", account_tail(F.col("body")).alias("tail"), "part", "filename", F.col("content").cast("string").alias("content"))
+    return spark.read.schema(mailbox.MESSAGE).parquet(out).select("subject", account_tail(F.col("body")).alias("tail"), F.coalesce("part", F.lit(0)).alias("part"), "filename", F.col("content").cast("string").alias("content"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
