@@ -388,3 +388,13 @@ def test_claims_of_a_fee_that_recurs_for_years(spark):
         want[x[1]] = ("review", pick[1]) if pick else ("new", None)
         taken |= {pick[1]} if pick else set()
     assert {x["auto_pos"]: (x["status"], x["main_pos"]) for x in reconcile.three_way(a, m).collect()} == want and len(taken) > 100
+
+
+def test_copies_of_a_text_meet_as_one_class(spark):
+    """Ids are those of all pairs, ties by id over classes too, and no text is weighed once a copy."""
+    texts = {i: ("steel rods order", "steel rods paid", "Steel rods order", "salary april", None)[i % 5] for i in range(400)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert similar.classes(frame, "doc_id", "text").count() == 4
+    got = {(r["query"], r["rank"]): (r["doc"], round(r["similarity"], 6)) for r in similar.top_similar(frame, frame.filter("doc_id in (10, 12, 13, 14)"), "doc_id", "text", 5, prepared=True).collect()}
+    assert [got[10, k] for k in range(1, 6)] == [got[12, k] for k in range(1, 6)] == [(d, 1.0) for d in (0, 2, 5, 7, 10)]
+    assert [got[13, k][0] for k in range(1, 6)] == [3, 8, 13, 18, 23] and len(got) == 15
