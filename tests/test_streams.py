@@ -62,6 +62,16 @@ def test_latest_status_in_a_stream(spark, tmp_path):
     assert (plain.status_json, plain.updated_at) == got["x"]
 
 
+def test_states_of_many_keys_need_no_python(spark, tmp_path):
+    """State that nothing ends is added up in the JVM: no call a key."""
+    stream = spark.readStream.format("rate").load().select(F.col("value").cast("string").alias("file"), F.lit("failed").alias("status"), F.col("timestamp").alias("at"))
+    plan = lambda x: x._jdf.queryExecution().logical().toString()
+    assert "InPySpark" not in plan(guarding.guarded(stream)) and "InPandas" not in plan(guarding.guarded(stream))
+    statuses = stream.select(F.col("file").alias("key"), F.col("status").alias("status_json"), F.col("at").alias("updated_at"))
+    assert "InPySpark" not in plan(guarding.latest_statuses(statuses)) and "InPandas" not in plan(guarding.latest_statuses(statuses))
+    assert "TransformWithState" in plan(guarding.guarded(stream.withWatermark("at", "1 minute"), keep_ms=1000))
+
+
 LEDGER = "account_number string, txn_date date, debits double, text string, row_pos long"
 KEY = ["account_number", "txn_date", "debits", "text"]
 
