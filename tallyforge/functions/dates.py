@@ -14,7 +14,15 @@ DATE_PATTERNS = (r"\d{1,2}-[A-Za-z]{3}-\d{4}", r"\d{4}-\d{2}-\d{2}", r"\d{1,2}/\
 def parsed_date(c: Column) -> Column:
     """The day that the text names; null for bad text."""
     t = F.trim(c)
-    return F.coalesce(*(F.try_to_timestamp(t, F.lit(layout)).cast("date") for layout in LAYOUTS))
+    lettered = t.rlike("[A-Za-z]")
+
+    def tried(layout: str) -> Column:
+        # A layout that fails costs an exception, so those whose separator or month the text does not have are passed over.
+        separator = layout.strip("dMy")[0]
+        fits = t.contains(F.lit(separator)) & (lettered if "MMM" in layout else ~lettered)
+        return F.when(fits, F.try_to_timestamp(t, F.lit(layout)).cast("date"))
+
+    return F.coalesce(*map(tried, LAYOUTS))
 
 
 def canonical_date(c: Column) -> Column:

@@ -73,31 +73,31 @@ def _norm(text: str) -> str:
     return re.sub("[^a-z]", "", str(text).lower())
 
 
-def _header(page: pd.DataFrame, profile: Profile) -> pd.DataFrame:
-    """The anchors of the page's header: the first line with a description cell that, with its neighbours, names a date and an amount column."""
-    vocabulary = profile.vocabulary()
-    lines = [(n, g.sort_values("x0")) for n, g in page.groupby("line_no")]
-    columns = ["doc_id", "page", "field", "anchor", "header_bottom", "header_line"]
-    for i, (_, line) in enumerate(lines):
-        cells = [_norm(t) for t in line["text"]]
-        if not any(vocabulary.get(c) == "description" for c in cells):
+def _header(words: list[dict], profile: Profile, vocabulary: dict[str, str]) -> list[tuple[str, float, float, int]]:
+    """The anchors of a page's header: the first line with a description cell that, with its neighbours, names a date and an amount column."""
+    by_line: dict[int, list[dict]] = {}
+    for w in words:
+        by_line.setdefault(w["line_no"], []).append(w)
+    lines = [sorted(by_line[n], key=lambda w: (w["x0"], w["word_no"])) for n in sorted(by_line)]
+    dated = lambda x: any(_DATE.search(str(w["text"])) for w in x)
+    for i, line in enumerate(lines):
+        cells = [vocabulary.get(_norm(w["text"])) for w in line]
+        if "description" not in cells:
             continue
-        block, top, last = [line], line["line_top"].iloc[0], i
-        dated = lambda x: any(_DATE.search(str(t)) for t in x["text"])
-        if i and any(vocabulary.get(c) in AMOUNT_FIELDS for c in cells) and top - lines[i - 1][1]["line_top"].iloc[0] <= HEADER_GAP and not dated(lines[i - 1][1]):
-            block.insert(0, lines[i - 1][1])
-        if i + 1 < len(lines) and lines[i + 1][1]["line_top"].iloc[0] - top <= HEADER_GAP and not dated(lines[i + 1][1]):
-            block.append(lines[i + 1][1])
+        block, top, last = [line], line[0]["line_top"], i
+        if i and any(c in AMOUNT_FIELDS for c in cells) and top - lines[i - 1][0]["line_top"] <= HEADER_GAP and not dated(lines[i - 1]):
+            block.insert(0, lines[i - 1])
+        if i + 1 < len(lines) and lines[i + 1][0]["line_top"] - top <= HEADER_GAP and not dated(lines[i + 1]):
+            block.append(lines[i + 1])
             last = i + 1
-        words = pd.concat(block)
         places: dict[str, list[tuple[float, float]]] = {}
         bare = []
-        for t, x0, x1 in zip(words["text"], words["x0"], words["x1"], strict=True):
-            name = vocabulary.get(_norm(t))
-            if name:
-                places.setdefault(name, []).append((x0, x1))
-            elif _norm(t) == "date" and "txn_date" not in profile.excluded:
-                bare.append((x0, x1))
+        for w in (w for x in block for w in x):
+            word = _norm(w["text"])
+            if vocabulary.get(word):
+                places.setdefault(vocabulary[word], []).append((w["x0"], w["x1"]))
+            elif word == "date" and "txn_date" not in profile.excluded:
+                bare.append((w["x0"], w["x1"]))
         for x0, x1 in bare:
             near = [f for f in ("txn_date", "value_date") if f in places]
             target = min(near, key=lambda f: abs(places[f][0][0] - x0), default="txn_date")
@@ -106,17 +106,33 @@ def _header(page: pd.DataFrame, profile: Profile) -> pd.DataFrame:
             continue
         anchors = {f: max(b for _, b in p) if f in AMOUNT_FIELDS else min(a for a, _ in p) for f, p in places.items()}
         anchors.update({f: v for f, v in profile.anchors.items() if f in anchors})
-        doc, number, bottom = page["doc_id"].iloc[0], int(page["page"].iloc[0]), float(words["bottom"].max())
-        return pd.DataFrame([(doc, number, f, a, bottom, int(lines[last][0])) for f, a in anchors.items()], columns=columns)
-    return pd.DataFrame([], columns=columns)
+        bottom = float(max(w["bottom"] for x in block for w in x))
+        return [(f, float(a), bottom, int(lines[last][0]["line_no"])) for f, a in anchors.items()]
+    return []
 
 
-def headers(lines: DataFrame, profile: Profile | None = None) -> DataFrame:
+def page_words(lines: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """(doc_id, page, words): one row a page; words are those of pages that have a description cell, null for others."""
     p = profile or Profile()
     named = [t for t, f in p.vocabulary().items() if f == "description"]
-    # Only pages that have a description cell are looked at one by one.
-    candidates = lines.filter(letters_only(F.col("text")).isin(named)).select("doc_id", "page").distinct()
-    return lines.join(candidates, ["doc_id", "page"], "left_semi").groupBy("doc_id", "page").applyInPandas(lambda x: _header(x, p), "doc_id string, page int, field string, anchor double, header_bottom double, header_line int")
+    word = F.struct("line_no", "line_top", "word_no", "text", "x0", "x1", "bottom")
+    # By its length first, so that few words are stripped to their letters.
+    cell = (F.length("text") >= min(map(len, named), default=0)) & letters_only(F.col("text")).isin(named)
+    x = lines.groupBy("doc_id", "page").agg(F.max(F.coalesce(cell, F.lit(False))).alias("_named"), F.collect_list(word).alias("words"))
+    return x.select("doc_id", "page", F.when(F.col("_named"), F.col("words")).alias("words"))
+
+
+def headers(pages: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """(doc_id, page, field, anchor, header_bottom, header_line) of page_words: only pages that have a description cell are looked at one by one, many in a batch."""
+    p = profile or Profile()
+    vocabulary = p.vocabulary()
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(doc, page, *h) for doc, page, words in zip(batch["doc_id"], batch["page"], batch["words"], strict=True) for h in _header(list(words), p, vocabulary)]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "field", "anchor", "header_bottom", "header_line"])
+
+    return pages.filter("words is not null").mapInPandas(found, "doc_id string, page int, field string, anchor double, header_bottom double, header_line int")
 
 
 def ranges(anchors: DataFrame) -> DataFrame:
@@ -127,28 +143,29 @@ def ranges(anchors: DataFrame) -> DataFrame:
 
 
 def carried(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Ranges for every page: its own, else those of the last page before that has a header."""
-    own = found.groupBy("doc_id", "page").agg(F.collect_list(F.struct("field", "start", "end", "range_no", "header_line")).alias("r"))
+    """(doc_id, page, ranges, header_line) for every page: its own ranges in order, else those of the last page before that has a header; header_line is -1 where they are not its own."""
+    own = found.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("range_no", "field", "start", "end"))).alias("ranges"), F.max("header_line").alias("header_line"))
     w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    x = pages.join(own, ["doc_id", "page"], "left").withColumn("has", F.col("r").isNotNull()).withColumn("r", F.last("r", ignorenulls=True).over(w))
-    return x.select("doc_id", "page", "has", F.inline("r")).withColumn("header_line", F.when(F.col("has"), F.col("header_line")).otherwise(-1)).drop("has")
+    x = pages.select("doc_id", "page").join(own, ["doc_id", "page"], "left")
+    return x.select("doc_id", "page", F.last("ranges", ignorenulls=True).over(w).alias("ranges"), F.coalesce("header_line", F.lit(-1)).alias("header_line")).filter("ranges is not null")
 
 
 def bucketed(lines: DataFrame, column_ranges: DataFrame) -> DataFrame:
     """One row a line below the header, a column a field: text words by their left edge, amounts by their right one; the first range wins.
 
     Text in an amount column is dropped, and text without a digit in the reference
-    column goes to the description (is_rescued).
+    column goes to the description (is_rescued). A page's ranges are one array, which each of its words searches for itself.
     """
-    r = column_ranges.select("doc_id", "page", F.col("field").alias("f"), "start", "end", "range_no", "header_line")
-    edge = F.when(F.col("f").isin(*AMOUNT_FIELDS), F.col("x1")).otherwise(F.col("x0"))
-    placed = lines.join(r, ["doc_id", "page"]).filter((F.col("line_no") > F.col("header_line")) & (F.col("start").isNull() | (F.col("start") <= edge)) & (F.col("end").isNull() | (edge < F.col("end"))))
-    first = placed.groupBy("doc_id", "page", "line_no", "line_top", "word_no", "text", "x0").agg(F.min(F.struct("range_no", "f")).alias("m")).withColumn("f", F.col("m.f"))
+    edge = lambda r: F.when(r["field"].isin(*AMOUNT_FIELDS), F.col("x1")).otherwise(F.col("x0"))
+    inside = lambda r: (r["start"].isNull() | (r["start"] <= edge(r))) & (r["end"].isNull() | (edge(r) < r["end"]))
+    placed = lines.join(column_ranges, ["doc_id", "page"]).filter(F.col("line_no") > F.col("header_line"))
+    first = placed.withColumn("f", F.try_element_at(F.filter("ranges", inside), F.lit(1))["field"]).filter("f is not null")
     first = first.filter(~(F.col("f").isin(*AMOUNT_FIELDS) & ~F.col("text").rlike(AMOUNT)))
     rescued = (F.col("f") == "reference") & ~F.col("text").rlike(r"\d")
     first = first.withColumn("rescued", rescued).withColumn("f", F.when(rescued, F.lit("description")).otherwise(F.col("f")))
-    words = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == name, F.struct("x0", "word_no", "text")))), lambda s: s["text"])
-    return first.groupBy("doc_id", "page", "line_no", "line_top").agg(*(F.array_join(words(c), "" if c == "reference" else " ").alias(c) for c in (*TEXT_FIELDS, *AMOUNT_FIELDS)), F.max("rescued").alias("is_rescued"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_no", "text"))), lambda s: s["text"])).alias("line_text"))
+    of_line = first.groupBy("doc_id", "page", "line_no", "line_top").agg(F.array_sort(F.collect_list(F.struct("x0", "word_no", "text", "f"))).alias("w"), F.max("rescued").alias("is_rescued"))
+    words = lambda name: F.transform(F.filter("w", lambda s: s["f"] == name), lambda s: s["text"])
+    return of_line.select("doc_id", "page", "line_no", "line_top", *(F.array_join(words(c), "" if c == "reference" else " ").alias(c) for c in (*TEXT_FIELDS, *AMOUNT_FIELDS)), "is_rescued", F.concat_ws(" ", F.transform("w", lambda s: s["text"])).alias("line_text"))
 
 
 def _has_any(c, words) -> object:
@@ -185,6 +202,5 @@ def records(rows: DataFrame, profile: Profile | None = None) -> DataFrame:
 def statement_rows(words: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Words to raw statement rows."""
     lines = clustered(words)
-    found = ranges(headers(lines, profile))
-    pages = lines.select("doc_id", "page").distinct()
-    return records(bucketed(lines, carried(pages, found)), profile)
+    found = ranges(headers(page_words(lines, profile), profile))
+    return records(bucketed(lines, carried(words.select("doc_id", "page").distinct(), found)), profile)
