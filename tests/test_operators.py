@@ -5,6 +5,7 @@ import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.operators import balance, geometry, ingest, lookups, master, reconcile, rules, similar
@@ -398,3 +399,30 @@ def test_copies_of_a_text_meet_as_one_class(spark):
     got = {(r["query"], r["rank"]): (r["doc"], round(r["similarity"], 6)) for r in similar.top_similar(frame, frame.filter("doc_id in (10, 12, 13, 14)"), "doc_id", "text", 5, prepared=True).collect()}
     assert [got[10, k] for k in range(1, 6)] == [got[12, k] for k in range(1, 6)] == [(d, 1.0) for d in (0, 2, 5, 7, 10)]
     assert [got[13, k][0] for k in range(1, 6)] == [3, 8, 13, 18, 23] and len(got) == 15
+
+
+def test_headers_of_many_pages_in_one_batch(spark):
+    """Anchors come page by page, without a group a page in Python; a page without a description cell has none."""
+    cells = [("Date", 10.0, 40.0), ("Description", 50.0, 90.0), ("Debit", 100.0, 130.0)]
+    rows = [(f"d{d}", 0, i, t, a, b, 10.0, 18.0) for d in range(30) for i, (t, a, b) in enumerate(cells) if d % 3 or t != "Description"]
+    pages = geometry.page_words(geometry.clustered(spark.createDataFrame(rows, schemas.WORDS)))
+    found = geometry.headers(pages)
+    assert "InPandas" in found._jdf.queryExecution().toString() and "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = {(r["doc_id"], r["field"]): r["anchor"] for r in found.collect()}
+    assert len({d for d, _ in got}) == 20 and (got["d1", "txn_date"], got["d1", "description"], got["d1", "debits"]) == (10.0, 50.0, 130.0)
+
+
+def test_counterparty_among_many_accounts(spark, monkeypatch):
+    """Many accounts find what a search of them all finds, a row's own number and ties of order included; beyond 50,000 too."""
+    numbers = ["", "7", "123", *(f"{i:09d}" for i in range(100, 180)), *(f"99{i % 3}4000000{i:05d}" for i in range(60)), "000000150"]
+    accounts = spark.createDataFrame([(n, "U", f"S{i}", i % 40) for i, n in enumerate(numbers)], "account_number string, business_unit string, account_stage string, account_order int")
+    texts = ["to 000 000 105", "x000000150y000000102", "9914000000 00004", "7", None, "", "none", "40000000004100", "a123b7"]
+    rows = spark.createDataFrame([(o, t) for t in texts for o in (None, "", "7", "000000150", "000000105", "99140000000004")], "account_number string, description string")
+    shown = lambda x: sorted(map(str, x.select("account_number", "description", "other_account", "other_unit", "other_stage").collect()))
+    many = shown(lookups.counterparty(rows, accounts))
+    monkeypatch.setattr(lookups, "FEW_ACCOUNTS", 1000)
+    assert many == shown(lookups.counterparty(rows, accounts))
+    monkeypatch.undo()
+    large = accounts.unionByName(spark.range(60_000).select(F.concat(F.lit("ACC-"), "id").alias("account_number"), F.lit("U").alias("business_unit"), F.lit("S").alias("account_stage"), F.lit(99).alias("account_order")))
+    got = lookups.counterparty(spark.createDataFrame([("x", "paid ACC-59999 today")], "account_number string, description string"), large.filter("account_number like 'ACC-5____'")).first()
+    assert got["other_account"] == "ACC-59999"
