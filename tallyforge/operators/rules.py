@@ -107,7 +107,7 @@ def with_payees(rows: DataFrame, payees: DataFrame) -> DataFrame:
         F.min(F.when(F.col("status") == "Conflict", F.col("head1"))).alias("conflict_head1"),
         F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_set(F.when(F.col("status") == "Conflict", F.array("head1", "head2", "head3"))))))).alias("conflict_heads"),
     )
-    return rows.withColumn("payee", payee_name(F.col("description"))).join(one, "payee", "left")
+    return rows.withColumn("payee", payee_name(F.col("description"))).join(lookups.beside(one), "payee", "left")
 
 
 def default_fields(head: Column, unit: Column, stage: Column, kind: Column, tcp: Column) -> tuple[Column, Column, Column]:
@@ -128,7 +128,8 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
     own = accounts.select("account_number", F.col("business_unit").alias("own_unit"), F.col("account_stage").alias("own_stage"))
     outputs = {"head": "o_head", "business_unit": "o_unit", "type": "o_type", "tcp_head": "o_tcp"}
     base = rows.drop("head", "business_unit", "type", "tcp_head", "confidence", "classified_by", "dual_head", "manual_override", "payee")
-    x = base.join(own, "account_number", "left").withColumn("description", F.coalesce("description", F.lit("")))
+    base = base if engine else lookups.spread(base)
+    x = base.join(lookups.beside(own), "account_number", "left").withColumn("description", F.coalesce("description", F.lit("")))
     x = lookups.first_override(x, lookups.active_overrides(overrides), outputs)
     x = lookups.counterparty(x, accounts)
     x = with_payees(x, payees)
@@ -138,7 +139,7 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
         # The block reads payees from texts of its own layout, and knows those on file by the same table.
         on_file = payees.filter("status = 'Confirmed'").groupBy(F.upper(F.trim("name")).alias("_block_payee")).agg(F.min("head1").alias("_block_head"))
         flags = {"account_stage": F.col("own_stage"), "own_company": names_own_company(F.col("description"), b.own_names), "salary": mentions_segment(F.col("description"), "salary"), "imprest": mentions_segment(F.col("description"), "imprest")}
-        x = x.withColumnsRenamed({"payee": "_payee", "payee_head": "_payee_head"}).withColumn("_block_payee", dashed_payee_name(F.col("description"))).join(on_file, "_block_payee", "left")
+        x = x.withColumnsRenamed({"payee": "_payee", "payee_head": "_payee_head"}).withColumn("_block_payee", dashed_payee_name(F.col("description"))).join(lookups.beside(on_file), "_block_payee", "left")
         x = stage_rules(x.withColumnsRenamed({"_block_payee": "payee", "_block_head": "payee_head"}).withColumns(flags), stage_table).drop(*flags, "payee", "payee_head").withColumnsRenamed({"_payee": "payee", "_payee_head": "payee_head"})
 
     d, bare = F.col("description"), no_spaces(F.upper(F.col("description")))
@@ -209,10 +210,12 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
         (role.isNotNull(), by_role),
         (F.col(engine).isin(internal_heads or []) if engine else F.lit(False), _fields(F.col(engine) if engine else None, unit, "Internal", "Internal transfer", "Low", "R12")),
     ]
-    decided = _fields(None, UNKNOWN, UNKNOWN, UNKNOWN, "Low", "R13")
-    for condition, value in reversed(ladder):
-        decided = F.when(condition, value).otherwise(decided)
-    x = x.withColumn("_r", decided)
+    # One CASE of many branches: one within the other would be a single method too large to be compiled.
+    (condition, value), *others = ladder
+    decided = F.when(condition, value)
+    for condition, value in others:
+        decided = decided.when(condition, value)
+    x = x.withColumn("_r", decided.otherwise(_fields(None, UNKNOWN, UNKNOWN, UNKNOWN, "Low", "R13")))
     dual = F.when(F.col("_r.classified_by") == "R6a", F.lit(True)).when(F.col("_r.classified_by") == "R6", F.size(F.coalesce("payee_more", F.array().cast("array<string>"))) > 0).when(F.col("_r.classified_by") == "R5", F.size(F.coalesce("conflict_heads", F.array().cast("array<string>"))) > 0).otherwise(F.lit(False))
     return x.select(*base.columns, *(F.col(f"_r.{f}").alias(f) for f in FIELDS), dual.alias("dual_head"), (F.col("_r.classified_by") == "R0").alias("manual_override"), "payee")
 
@@ -225,6 +228,7 @@ def party_heads(rows: DataFrame, party: str, parties: DataFrame, head_rules: Dat
     names = parties.filter((F.col("confidence") == "high") & (F.col("type") != "Unknown")).select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_n"), "type")
     heads = head_rules.filter(~F.coalesce("fallback", F.lit(False))).select(F.explode("party_types").alias("type"), "head", "priority")
     by_name = names.select(F.upper(F.trim("_n")).alias("_n"), "type").join(heads, "type").groupBy("_n").agg(F.array_sort(F.collect_set(F.struct("priority", "head"))).alias("_h")).select("_n", F.col("_h.head").alias("party_heads"))
+    by_name = lookups.beside(by_name)
     return rows.join(by_name, F.upper(F.trim(rows[party])) == by_name["_n"], "left").drop("_n")
 
 
@@ -252,7 +256,7 @@ def internal_heads(head_rules: DataFrame, types: tuple[str, ...]) -> list[str]:
 
 def engine_head(rows: DataFrame, parties: DataFrame, head_rules: DataFrame, party: str = "parsed_party", pool: int = 2) -> DataFrame:
     """Adds engine_head: the party's only head (whatever the direction); else words; else patterns; else, of a pool of at most two, the first that fits the direction; else the fallback."""
-    x = party_heads(rows, party, parties, head_rules)
+    x = party_heads(lookups.spread(rows), party, parties, head_rules)
     x = head_by_words(head_by_words(x, head_rules, False), head_rules, True)
     way = head_rules.filter(F.col("direction").isNotNull() & (F.col("direction") != "both")).agg(F.map_from_entries(F.collect_list(F.struct("head", "direction"))))
     x = x.withColumns({"_fallback": head_rules.filter("fallback").agg(F.min("head")).scalar(), "_way": way.scalar()})
@@ -341,7 +345,7 @@ def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
 def unresolved(rows: DataFrame, accounts: DataFrame, again: tuple[str, ...] = ()) -> DataFrame:
     """Rows that want another pass: a description, and any field still "?", a head of those asked for again, or a unit that is neither "?", nor the office's, nor the account's own."""
     own = accounts.select("account_number", F.col("business_unit").alias("_own_unit"))
-    x = rows.join(own, "account_number", "left")
+    x = rows.join(lookups.beside(own), "account_number", "left")
     wrong = F.col("_own_unit").isNotNull() & ~F.coalesce(F.col("business_unit").isin(UNKNOWN, OFFICE[0]) | (F.col("business_unit") == F.col("_own_unit")), F.lit(False))
     open_ = F.lit(False)
     for c in ("head", "business_unit", "type", "tcp_head"):

@@ -122,4 +122,5 @@ def first_word(rows: DataFrame, text: Column, dim: DataFrame, word: str, order:
     kept = [c for c in rows.columns if c not in names.values()]
     found = first_rank(rows, text, asked, "_first", way, shard_words)
     told = ranked.select("_rank", *(F.col(c).alias(f"_o_{c}") for c in names))
+    told = F.broadcast(told) if len(few) <= shard_words else told
     return found.join(told, found["_first"] == told["_rank"], "left").select(*(found[c] for c in kept), *(F.col(f"_o_{c}").alias(n) for c, n in names.items()))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, names
 from ..operators import geometry, ingest, lookups, rules
 from ..operators import parse as parsing
+from ..sources.tables import settled
 from .ledger import TX, query, small, transactions
 from .more import OVERRIDE_SCHEMA
 
@@ -146,6 +147,7 @@ def resolved_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with unknown heads, a head asked for again and wrong units: what the rules would change today."""
     x = _ladder(spark, sf_dir)
     now = x.select("row_pos", "account_number", "description", rules.final_head(F.col("head"), F.col("engine_head")).alias("head"), "business_unit", "type", "tcp_head")
+    now = settled(now)  # read twice
     third = F.col("row_pos") % 3
     old = now.withColumns({"head": F.when(third == 0, "?").when(third == 1, F.col("head")).otherwise("DPL"), "business_unit": F.when(F.col("row_pos") % 5 == 0, "Elsewhere").otherwise(F.col("business_unit"))})
     accounts = small(spark, _LADDER_ACCOUNTS, "account_number string, business_unit string, account_stage string, account_order int").select("account_number", "business_unit")
