@@ -1,6 +1,6 @@
 """A mailbox as a stream: messages that have landed in a folder, their text and attachments as rows.
 
-A message is a file of raw mail. Its folder is listed at the start of each batch, and the
+A message is a file of raw mail. Its folder is listed when the names of the last listing are used up, and the
 names not listed before are written to a log, batch by batch; an offset is the length of
 that log. So a batch that is run anew has the same messages, whatever has landed since,
 and a message that lands with an older name or time is not passed over. The reader holds the
@@ -17,6 +17,7 @@ from email import policy
 from email.message import EmailMessage
 from email.parser import BytesParser
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,7 @@ class _Reader(DataSourceStreamReader):
         self.most = int(options.get("maxmessages", 10_000))
         self.names: list[str] = []
         self.kept = 0  # files of the log that have been read
+        self.waiting: list[str] = []  # listed, for later batches
 
     def _open(self) -> None:
         """Reads what the log has that this reader has not seen."""
@@ -81,9 +83,12 @@ class _Reader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         self._open()
-        files, root = fs.FileSystem.from_uri(self.path)
-        listed = {i.base_name for i in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.type == fs.FileType.File and not i.base_name.startswith(("_", "."))}
-        new = sorted(listed - set(self.names))[: self.most]
+        if not self.waiting:
+            # Not in each batch: a large backlog would be listed as often as it has batches.
+            files, root = fs.FileSystem.from_uri(self.path)
+            listed = {i.base_name for i in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.type == fs.FileType.File and not i.base_name.startswith(("_", "."))}
+            self.waiting = sorted(listed - set(self.names))
+        new, self.waiting = self.waiting[: self.most], self.waiting[self.most :]
         if new:
             state, below = fs.FileSystem.from_uri(self.state)
             path = f"{below}/seen/{self.kept:09d}.json"
@@ -127,6 +132,24 @@ def _put(files: fs.FileSystem, path: str, content: bytes) -> None:
     files.move(path + ".new", path)
 
 
+def land(mails: DataFrame, path: str) -> int:
+    """Writes mails (name, mail) as files into a mailbox's folder, in many tasks; gives their number. A task that is run anew writes the same files anew."""
+    files, root = fs.FileSystem.from_uri(_uri(path))
+    files.create_dir(root, recursive=True)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(_uri(path))
+        for batch in batches:
+            for name, mail in zip(batch["name"], batch["mail"], strict=True):
+                with files.open_output_stream(f"{root}/.{name}") as f:  # a name that a reader passes over
+                    f.write(mail.encode())
+                files.move(f"{root}/.{name}", f"{root}/{name}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    dealt = mails.select("name", "mail").repartition(4 * mails.sparkSession.sparkContext.defaultParallelism, "name")
+    return dealt.mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 class MailboxSource(DataSource):
     """Options: path, statePath (the log, on shared storage), attachments (ending of their names), maxMessages (new ones a batch)."""
 
