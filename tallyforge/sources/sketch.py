@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import keep_first, not_loaded
-from .tables import settled
 
 #: 2^20 words hold four million keys of a part at some half a percent of false hits.
 WORD_BITS, KEY_BITS = 20, 4
@@ -97,13 +96,22 @@ class SketchedLedger:
         hit = marks(self.typed(rows), self.key, self.word_bits).join(held, "word").filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
         return {r.part for r in hit.select("part").distinct().collect()} | (parts - known)
 
+    def held(self, rows: DataFrame, part: str) -> DataFrame:
+        """rows worked out once, in columns and compressed: a checkpoint of them is several times as large."""
+        path = f"{self.root}/incoming/part={part}"
+        self.typed(rows).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
     def add_new(self, rows: DataFrame, part: str, order: list[str]) -> int:
         """Puts the rows of keys that no other part holds, of repeated keys the first by order, as this part; gives the number of parts that were read.
 
         The rows are those of the plain anti join with the whole ledger. A part of the same
         name does not count as loaded, so a batch that is run anew gives the same part.
         """
-        rows = settled(self.typed(rows))
+        if not self.parts() - {part}:
+            self.put(keep_first(self.typed(rows), self.key, order), part)
+            return 0
+        rows = self.held(rows, part)
         read = self.may_hold(rows, but=part)
         self.put(keep_first(not_loaded(rows, self.read(read), self.key), self.key, order), part)
         return len(read)
