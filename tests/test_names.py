@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -84,3 +86,46 @@ def test_one_to_one_with_a_large_component(spark):
     key = lambda n: "".join(c for c in n.upper() if c.isalnum())
     edges = [(p, q, 1.0 if p == q else SequenceMatcher(None, p, q).ratio()) for p in left if p for q in right if q and key(p) and key(q) and (p == q or master.similar_keys(min(key(p), key(q)), max(key(p), key(q)), False))]
     assert len(got) > 40 and set(got) == _greedy(edges) and len(got) == len(set(got))
+
+
+def _walked(left, right):
+    """One walk over all pairs in order."""
+    from tallyforge.functions.text import CORPORATE_FORMS
+
+    def keys(name):
+        up, token = name.upper(), name.upper()
+        for pattern, put in CORPORATE_FORMS.items():
+            token = re.sub(pattern, put, token)
+        return {re.sub("[^A-Z0-9]", "", x) for x in (up, token)}
+
+    alike = lambda a, b: any(master.similar_keys(min(p, q), max(p, q), False) for p in keys(a) for q in keys(b))
+    edges = sorted((-SequenceMatcher(None, a, b).ratio(), a, b) for a in left for b in right if alike(a, b))
+    out, gone = [], set()
+    for _, a, b in edges:
+        if (0, a) not in gone and (1, b) not in gone:
+            out.append((a, b))
+            gone |= {(0, a), (1, b)}
+    return sorted(out)
+
+
+def test_nearly_equal_names_first_give_one_walk_over_all_pairs(spark):
+    rng = random.Random(11)
+    left = sorted({" ".join(("HARBOUR", "".join(rng.choices("AB4", k=rng.randint(4, 9))), rng.choice(("COPPER", "MEADOW")), "TRADING")) for _ in range(120)})
+    right = set(rng.sample(left, 15))
+    for name in rng.sample(left, 80):
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(name))
+            name = name[:at] + rng.choice(("", "A", "4", name[at] * 2)) + name[at + 1 :]
+        right.add(name)
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = [tuple(x) for x in master.fuzzy_one_to_one(frame(left), frame(sorted(right))).collect()]
+    assert sorted(got) == _walked(left, sorted(right)) and len(got) > 60
+
+
+def test_names_meet_without_a_broadcast_and_only_across_sides(spark):
+    names = [(f"RIVER {i:06d} COPPER TRADING", 1) for i in range(200)]
+    frame = spark.createDataFrame(names, "k string, side int")
+    met = master.met_keys(frame)
+    # What is exploded is many times as large as Spark takes it for: by a broadcast all of it would pass the driver.
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 0 and master.met_keys(frame.select("k")).count() > 200
