@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ..functions.amounts import AMOUNT
 from ..functions.dates import DATE_PATTERNS, date_in
 from ..functions.text import letters_only
-from ..schemas import WORDS
 
 LINE_TOLERANCE, HEADER_GAP, EPSILON, SECTION_GAP = 3.0, 25.0, 2.0, 50.0
 TEXT_FIELDS, AMOUNT_FIELDS = ("txn_date", "value_date", "description", "reference"), ("debits", "credits", "balance")
@@ -47,26 +46,35 @@ class Profile:
         return {k: v for k, v in {**HEADER_TOKENS, **self.tokens}.items() if v not in self.excluded}
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words sorted by page, height and left edge; the fold's state is one line, so pages stream through."""
-    page, anchor, line = None, 0.0, 0
-    for batch in batches:
-        numbers, tops = [], []
-        for doc, number, top in zip(batch["doc_id"], batch["page"], batch["top"], strict=True):
-            if (doc, number) != page:
-                page, anchor, line = (doc, number), top, 0
-            elif abs(top - anchor) > LINE_TOLERANCE:
-                anchor, line = top, line + 1
-            numbers.append(line)
-            tops.append(anchor)
-        yield batch.assign(line_no=numbers, line_top=tops)
+def _line_ends(tops) -> tuple[list[int], list[float], list[int], list[int]]:
+    """Of a page's heights in order: each word's line and that line's height; each line's first place, from 1, and its number of words."""
+    numbers, heights, starts, sizes = [], [], [], []
+    anchor = None
+    for at, top in enumerate(tops, 1):
+        if anchor is None or abs(top - anchor) > LINE_TOLERANCE:
+            anchor = top
+            starts.append(at)
+            sizes.append(0)
+        sizes[-1] += 1
+        numbers.append(len(starts) - 1)
+        heights.append(anchor)
+    return numbers, heights, starts, sizes
 
 
 def clustered(words: DataFrame) -> DataFrame:
-    """Adds line_no and line_top: a word joins the line whose first word is within the tolerance."""
-    columns = [c.split()[0] for c in WORDS.split(", ")]
-    ordered = words.select(*columns).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "top", "x0", "word_no")
-    return ordered.mapInPandas(_lines, f"{WORDS}, line_no int, line_top double")
+    """(doc_id, page, words, lines): one row a page. A word joins the line whose first word is within the tolerance; words stand by line, then from the left, and lines tell where each begins and how many words it has.
+
+    A page's words are shuffled once; of them only the heights go to Python.
+    """
+
+    @F.pandas_udf("line_no array<int>, line_top array<double>, starts array<int>, sizes array<int>")
+    def numbered(tops: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_line_ends(t.tolist()) for t in tops], columns=["line_no", "line_top", "starts", "sizes"])
+
+    pages = words.filter("doc_id is not null and page is not null").repartition("doc_id", "page").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("top", "x0", "word_no", "text", "x1", "bottom"))).alias("w"))
+    x = pages.withColumn("l", numbered(F.transform("w", lambda w: w["top"])))
+    placed = F.transform("w", lambda w, i: F.struct(F.get("l.line_no", i).alias("line_no"), *(w[c].alias(c) for c in ("x0", "word_no", "text")), F.get("l.line_top", i).alias("line_top"), w["x1"].alias("x1"), w["bottom"].alias("bottom")))
+    return x.select("doc_id", "page", F.sort_array(placed).alias("words"), F.zip_with("l.starts", "l.sizes", lambda a, b: F.struct(a.alias("start"), b.alias("n"))).alias("lines"))
 
 
 def _norm(text: str) -> str:
@@ -111,28 +119,35 @@ def _header(words: list[dict], profile: Profile, vocabulary: dict[str, str]) ->
     return []
 
 
-def page_words(lines: DataFrame, profile: Profile | None = None) -> DataFrame:
-    """(doc_id, page, words): one row a page; words are those of pages that have a description cell, null for others."""
+def page_words(pages: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """(doc_id, page, words) of clustered pages: words are those of lines with a description cell and of the lines beside them, null for pages that have none."""
     p = profile or Profile()
     named = [t for t, f in p.vocabulary().items() if f == "description"]
-    word = F.struct("line_no", "line_top", "word_no", "text", "x0", "x1", "bottom")
     # By its length first, so that few words are stripped to their letters.
-    cell = (F.length("text") >= min(map(len, named), default=0)) & letters_only(F.col("text")).isin(named)
-    x = lines.groupBy("doc_id", "page").agg(F.max(F.coalesce(cell, F.lit(False))).alias("_named"), F.collect_list(word).alias("words"))
-    return x.select("doc_id", "page", F.when(F.col("_named"), F.col("words")).alias("words"))
+    cell = lambda w: (F.length(w["text"]) >= min(map(len, named), default=0)) & letters_only(w["text"]).isin(named)
+    x = pages.select("doc_id", "page", "words", F.array_distinct(F.transform(F.filter("words", cell), lambda w: w["line_no"])).alias("_at"))
+    beside = F.filter("words", lambda w: F.exists("_at", lambda n: F.abs(n - w["line_no"]) <= 1))
+    return x.select("doc_id", "page", F.when(F.size("_at") > 0, beside).alias("words"))
 
 
-def headers(pages: DataFrame, profile: Profile | None = None) -> DataFrame:
-    """(doc_id, page, field, anchor, header_bottom, header_line) of page_words: only pages that have a description cell are looked at one by one, many in a batch."""
+def _headers(pages: DataFrame, profile: Profile | None) -> DataFrame:
+    """headers, and one row without a field for each page that has none."""
     p = profile or Profile()
     vocabulary = p.vocabulary()
+    none = [(None, None, None, None)]
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, page, *h) for doc, page, words in zip(batch["doc_id"], batch["page"], batch["words"], strict=True) for h in _header(list(words), p, vocabulary)]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "field", "anchor", "header_bottom", "header_line"])
+            rows = [(doc, page, *h) for doc, page, words in zip(batch["doc_id"], batch["page"], batch["words"], strict=True) for h in (words is not None and _header(list(words), p, vocabulary)) or none]
+            out = pd.DataFrame(rows, columns=["doc_id", "page", "field", "anchor", "header_bottom", "header_line"])
+            yield out.astype({"anchor": "float64", "header_bottom": "float64", "header_line": "Int32"})
+
+    return pages.mapInPandas(found, "doc_id string, page int, field string, anchor double, header_bottom double, header_line int")
+
 
-    return pages.filter("words is not null").mapInPandas(found, "doc_id string, page int, field string, anchor double, header_bottom double, header_line int")
+def headers(pages: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """(doc_id, page, field, anchor, header_bottom, header_line) of page_words: only pages that have a description cell are looked at one by one, many in a batch."""
+    return _headers(pages, profile).filter("field is not null")
 
 
 def ranges(anchors: DataFrame) -> DataFrame:
@@ -142,30 +157,39 @@ def ranges(anchors: DataFrame) -> DataFrame:
     return anchors.select("doc_id", "page", "field", "header_line", middle(F.lag("anchor").over(w), F.col("anchor")).alias("start"), middle(F.col("anchor"), F.lead("anchor").over(w)).alias("end"), F.row_number().over(w).alias("range_no"))
 
 
-def carried(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, page, ranges, header_line) for every page: its own ranges in order, else those of the last page before that has a header; header_line is -1 where they are not its own."""
-    own = found.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("range_no", "field", "start", "end"))).alias("ranges"), F.max("header_line").alias("header_line"))
+def carried(found: DataFrame) -> DataFrame:
+    """(doc_id, page, ranges, header_line) for every page of found, which has a row without a field for pages without a header: its own ranges in order, else those of the last page before that has a header; header_line is -1 where they are not its own."""
+    one = F.when(F.col("field").isNotNull(), F.struct("range_no", "field", "start", "end", F.col("field").isin(*AMOUNT_FIELDS).alias("is_amount")))
+    own = found.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(one)).alias("ranges"), F.max("header_line").alias("header_line"))
     w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    x = pages.select("doc_id", "page").join(own, ["doc_id", "page"], "left")
-    return x.select("doc_id", "page", F.last("ranges", ignorenulls=True).over(w).alias("ranges"), F.coalesce("header_line", F.lit(-1)).alias("header_line")).filter("ranges is not null")
+    last = F.last(F.when(F.size("ranges") > 0, F.col("ranges")), ignorenulls=True).over(w)
+    return own.select("doc_id", "page", last.alias("ranges"), F.coalesce("header_line", F.lit(-1)).alias("header_line")).filter("ranges is not null")
 
 
-def bucketed(lines: DataFrame, column_ranges: DataFrame) -> DataFrame:
+def bucketed(pages: DataFrame, column_ranges: DataFrame) -> DataFrame:
     """One row a line below the header, a column a field: text words by their left edge, amounts by their right one; the first range wins.
 
     Text in an amount column is dropped, and text without a digit in the reference
-    column goes to the description (is_rescued). A page's ranges are one array, which each of its words searches for itself.
+    column goes to the description (is_rescued). Pages meet their ranges as whole rows, and what is
+    exploded are lines, so words are neither shuffled nor grouped again.
     """
-    edge = lambda r: F.when(r["field"].isin(*AMOUNT_FIELDS), F.col("x1")).otherwise(F.col("x0"))
-    inside = lambda r: (r["start"].isNull() | (r["start"] <= edge(r))) & (r["end"].isNull() | (edge(r) < r["end"]))
-    placed = lines.join(column_ranges, ["doc_id", "page"]).filter(F.col("line_no") > F.col("header_line"))
-    first = placed.withColumn("f", F.try_element_at(F.filter("ranges", inside), F.lit(1))["field"]).filter("f is not null")
-    first = first.filter(~(F.col("f").isin(*AMOUNT_FIELDS) & ~F.col("text").rlike(AMOUNT)))
-    rescued = (F.col("f") == "reference") & ~F.col("text").rlike(r"\d")
-    first = first.withColumn("rescued", rescued).withColumn("f", F.when(rescued, F.lit("description")).otherwise(F.col("f")))
-    of_line = first.groupBy("doc_id", "page", "line_no", "line_top").agg(F.array_sort(F.collect_list(F.struct("x0", "word_no", "text", "f"))).alias("w"), F.max("rescued").alias("is_rescued"))
+    edge = lambda w, r: F.when(r["is_amount"], w["x1"]).otherwise(w["x0"])
+    inside = lambda w: lambda r: (r["start"].isNull() | (r["start"] <= edge(w, r))) & (r["end"].isNull() | (edge(w, r) < r["end"]))
+    range_of = lambda w: F.get(F.filter("ranges", inside(w)), F.lit(0))
+    kept = lambda w: w["r"].isNotNull() & (~w["r"]["is_amount"] | w["text"].rlike(AMOUNT))
+    rescued = lambda w: (w["r"]["field"] == "reference") & ~w["text"].rlike(r"\d")
+
+    def line(s):
+        words = F.filter(F.transform(F.slice("words", s["start"], s["n"]), lambda w: F.struct(w["text"].alias("text"), range_of(w).alias("r"))), kept)
+        first = F.element_at("words", s["start"])
+        return F.struct(first["line_no"].alias("line_no"), first["line_top"].alias("line_top"), F.transform(words, lambda w: F.struct(w["text"].alias("text"), F.when(rescued(w), "description").otherwise(w["r"]["field"]).alias("f"), rescued(w).alias("rescued"))).alias("w"))
+
+    below = F.when(F.col("header_line") + 1 < F.size("lines"), F.slice("lines", F.col("header_line") + 2, F.size("lines"))).otherwise(F.slice("lines", 1, 0))
+    # Dealt as pages are, or Spark would move pages to where a document's ranges are.
+    placed = pages.join(column_ranges.repartition("doc_id", "page").hint("shuffle_hash"), ["doc_id", "page"])
+    of_line = placed.select("doc_id", "page", F.explode(F.filter(F.transform(below, line), lambda x: F.size(x["w"]) > 0)).alias("l")).select("doc_id", "page", "l.line_no", "l.line_top", "l.w")
     words = lambda name: F.transform(F.filter("w", lambda s: s["f"] == name), lambda s: s["text"])
-    return of_line.select("doc_id", "page", "line_no", "line_top", *(F.array_join(words(c), "" if c == "reference" else " ").alias(c) for c in (*TEXT_FIELDS, *AMOUNT_FIELDS)), "is_rescued", F.concat_ws(" ", F.transform("w", lambda s: s["text"])).alias("line_text"))
+    return of_line.select("doc_id", "page", "line_no", "line_top", *(F.array_join(words(c), "" if c == "reference" else " ").alias(c) for c in (*TEXT_FIELDS, *AMOUNT_FIELDS)), F.exists("w", lambda s: s["rescued"]).alias("is_rescued"), F.concat_ws(" ", F.transform("w", lambda s: s["text"])).alias("line_text"))
 
 
 def _has_any(c, words) -> object:
@@ -191,16 +215,16 @@ def records(rows: DataFrame, profile: Profile | None = None) -> DataFrame:
     x = x.withColumn("n", F.sum(F.col("start").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_up", up).withColumn("_down", down).withColumn("_before", before).withColumn("_after", after)
     below = ~F.col("start") & F.col("_down").isNotNull() & (F.col("_up").isNull() | (F.col("_after") < F.col("_before") - EPSILON))
     x = x.withColumn("record", F.when(below, F.col("n") + 1).otherwise(F.col("n"))).filter("record > 0")
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "description", "is_rescued")))
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "description", "is_rescued")))
     text = F.aggregate(parts, F.struct(F.lit("").alias("t"), F.lit(False).alias("r")), lambda s, q: F.struct(F.when(q["description"] == "", s["t"]).when((s["t"] == "") | s["r"], F.concat(s["t"], q["description"])).otherwise(F.concat_ws(" ", s["t"], q["description"])).alias("t"), q["is_rescued"].alias("r")), lambda s: s["t"])
     one = lambda c: F.coalesce(F.max(F.when(F.col("start"), F.col(c))), F.lit("")).alias(c)
-    out = x.groupBy("doc_id", "page", "record").agg(F.coalesce(date_in(F.max(F.when(F.col("start"), F.col("txn_date")))), F.lit("")).alias("txn_date"), one("value_date"), text.alias("description"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "reference"))), lambda s: s["reference"]), "").alias("reference"), one("credits"), one("debits"), one("balance"))
+    out = x.groupBy("doc_id", "page", "record").agg(F.coalesce(date_in(F.max(F.when(F.col("start"), F.col("txn_date")))), F.lit("")).alias("txn_date"), one("value_date"), text.alias("description"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "reference"))), lambda s: s["reference"]), "").alias("reference"), one("credits"), one("debits"), one("balance"))
     w = Window.partitionBy("doc_id").orderBy("page", "record")
     return out.select(F.col("doc_id").alias("source"), (F.row_number().over(w) - 1).cast("long").alias("row_pos"), "txn_date", "value_date", "description", "reference", "credits", "debits", "balance")
 
 
 def statement_rows(words: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Words to raw statement rows."""
-    lines = clustered(words)
-    found = ranges(headers(page_words(lines, profile), profile))
-    return records(bucketed(lines, carried(words.select("doc_id", "page").distinct(), found)), profile)
+    pages = clustered(words)
+    found = ranges(_headers(page_words(pages, profile), profile))
+    return records(bucketed(pages, carried(found)), profile)

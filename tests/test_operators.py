@@ -426,3 +426,25 @@ def test_counterparty_among_many_accounts(spark, monkeypatch):
     large = spark.range(60_000).select(F.concat(F.lit("ACC-"), "id").alias("account_number"), F.lit("U").alias("business_unit"), F.lit("S").alias("account_stage"), F.lit(99).alias("account_order"))
     got = lookups.counterparty(spark.createDataFrame([("ACC-5", "paid ACC-59999 today")], "account_number string, description string"), large).first()
     assert got["other_account"] == "ACC-59"  # the first of equal order, past its own
+
+
+def test_lines_of_pages_as_whole_rows(spark):
+    """Words join lines as a fold over the sorted words has it, stand by line from the left, and only heights go to Python."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"d{d}", p, i, f"w{i}", float(rng.randint(0, 90)), 95.0, rng.choice((1.0, 2.5, 4.0, 5.5, 9.0, 12.5, 40.0)), 50.0) for d in range(3) for p in range(4) for i in range(rng.randint(1, 25))]
+    got = geometry.clustered(spark.createDataFrame(rows, schemas.WORDS))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "InPandas" not in plan
+    pages = {(r["doc_id"], r["page"]): r for r in got.collect()}
+    assert len(pages) == 12
+    for key, page in pages.items():
+        wanted, anchor, line = [], None, -1
+        for r in sorted((r for r in rows if r[:2] == key), key=lambda r: (r[6], r[4], r[2])):
+            if anchor is None or r[6] - anchor > geometry.LINE_TOLERANCE:
+                anchor, line = r[6], line + 1
+            wanted.append((line, r[4], r[2], r[3], anchor))
+        wanted.sort()
+        assert [tuple(w)[:5] for w in page["words"]] == wanted
+        assert [[w["line_no"] for w in page["words"][s["start"] - 1 : s["start"] - 1 + s["n"]]] for s in page["lines"]] == [[k] * sum(w[0] == k for w in wanted) for k in range(line + 1)]
