@@ -44,15 +44,27 @@ def bag_difference(auto: DataFrame, main: DataFrame, key: list[str]) -> DataFram
 _MATCHED = "account_number string, auto_pos long, main_pos long, status string, reason string"
 
 
+def bag_marked(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """rows of both ledgers (is_main) with is_first: an automated row is matched by count if it is, a row of the main ledger is left over if it is.
+
+    Both sides go through one shuffle by the key and one sort: with the automated rows before the others, the first n of a bag,
+    n being its rows in the main ledger, are the matched automated ones and then, if there are fewer of those, what is left over.
+    """
+    w = Window.partitionBy(*key).orderBy("is_main", *order)
+    n_main = F.sum(F.col("is_main").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select("*", F.row_number().over(w).alias("_rn"), n_main.alias("_n")).select(*rows.columns, (F.col("_rn") <= F.col("_n")).alias("is_first"))
+
+
 def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (account, debits, credits, days), the main ledger's before the automated ones: within a group each automated row in order claims at most one leftover row.
 
     Leftover rows wait in queues by day and by (text, day), in their order; claimed ones leave a queue when they come to its
     front, so a fee that recurs thousands of times costs each row a few looks.
     """
-    group = None
-    by_day: dict[object, deque[int]] = {}
-    by_text: dict[tuple[str, object], deque[int]] = {}
+    group = ["debits", "credits", "days", "account_number"]
+    before = None
+    by_day: dict[int, deque[int]] = {}
+    by_text: dict[tuple[str, int], deque[int]] = {}
     taken: set[int] = set()
 
     def front(queue: deque[int] | None) -> int | None:
@@ -61,70 +73,88 @@ def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return queue[0] if queue else None
 
     for batch in batches:
-        out = []
-        for side, account, pos, day, debit, credit, days, text in zip(*(batch[c] for c in ("side", "account_number", "row_pos", "txn_date", "debits", "credits", "days", "description_key")), strict=True):
-            if (account, debit, credit, days) != group:
-                group, by_day, by_text, taken = (account, debit, credit, days), {}, {}, set()
-            number = None if day is None or pd.isna(day) else pd.Timestamp(day).toordinal()
+        if not len(batch):
+            continue
+        # Where a group begins is found for the whole batch; a null is like another null.
+        begins = pd.Series(False, index=batch.index)
+        for c in group:
+            begins |= ~((batch[c] == batch[c].shift()) | (batch[c].isna() & batch[c].shift().isna()))
+        first = tuple(None if pd.isna(v) else v for v in batch[group].iloc[0])
+        begins.iloc[0] = first != before
+        before = tuple(None if pd.isna(v) else v for v in batch[group].iloc[-1])
+        accounts, positions, claims, reasons = [], [], [], []
+        for new, side, account, pos, day, days, text in zip(begins.tolist(), *(batch[c].tolist() for c in ("side", "account_number", "row_pos", "day", "days", "description_key")), strict=True):
+            if new:
+                by_day, by_text, taken = {}, {}, set()
             if side == 0:
-                by_day.setdefault(number, deque()).append(pos)
-                by_text.setdefault((text, number), deque()).append(pos)
+                by_day.setdefault(day, deque()).append(pos)
+                by_text.setdefault((text, day), deque()).append(pos)
                 continue
-            claim, reason = front(by_day.get(number)), "same date and amount, different description"
-            if claim is None and number is not None:
+            claim, reason = front(by_day.get(day)), "same date and amount, different description"
+            # Rows without a date are the range -1.
+            if claim is None and days >= 0:
                 reason = "same amount and description, different date"
-                for apart in range(NEAR_DAYS + 1):
-                    claim = min((p for d in {number - apart, number + apart} if (p := front(by_text.get((text, d)))) is not None), default=None)
+                for apart in range(1, NEAR_DAYS + 1):
+                    claim, other = front(by_text.get((text, day - apart))), front(by_text.get((text, day + apart)))
+                    if claim is None or (other is not None and other < claim):
+                        claim = other
                     if claim is not None:
                         break
             if claim is not None:
                 taken.add(claim)
-            out.append((account, pos, claim, "new" if claim is None else "review", None if claim is None else reason))
-        yield pd.DataFrame(out, columns=["account_number", "auto_pos", "main_pos", "status", "reason"]).astype({"main_pos": "Int64"})
+            accounts.append(account)
+            positions.append(pos)
+            claims.append(claim)
+            reasons.append(None if claim is None else reason)
+        if positions:
+            claimed = pd.array(claims, dtype="Int64")
+            status = pd.Series("new", index=range(len(claims))).where(claimed.isna(), "review")
+            yield pd.DataFrame({"account_number": pd.Series(accounts, dtype=object), "auto_pos": positions, "main_pos": claimed, "status": status, "reason": pd.Series(reasons, dtype=object)})
 
 
-def day_ranges(rows: DataFrame, key: list[str], day: str = "txn_date", apart: int = NEAR_DAYS) -> DataFrame:
+def day_ranges(rows: DataFrame, key: list[str], day: str = "txn_date", apart: int = NEAR_DAYS, side: str | None = None) -> DataFrame:
     """rows with days, the number of the range of days that they lie in: ranges of a key are further apart than a claim reaches, so each can be settled by itself.
 
     What is scanned is the distinct days of a key, not its rows. Rows without a date are a range of their own, -1. Keys may be null.
+    With side, a boolean column, rows get two_sided as well: whether the range has rows of both sides.
     """
-    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
-    x = rows.withColumn("_d", number)
+    x = rows.withColumn("_d", F.datediff(F.col(day), F.lit("1970-01-01").cast("date")))
+    sides = F.lit(None).cast("boolean") if side is None else F.col(side)
     w = Window.partitionBy(*key).orderBy("_d")
-    distinct = x.filter("_d is not null").select(*key, "_d").distinct().withColumn("_gap", F.coalesce((F.col("_d") - F.lag("_d").over(w) > apart).cast("int"), F.lit(0)))
-    known = distinct.select(*(F.col(k).alias(f"_d_{k}") for k in key), F.col("_d").alias("_at"), F.sum("_gap").over(w).cast("long").alias("days"))
-    on = F.col("_d") == F.col("_at")
-    for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"_d_{k}"))
-    return x.join(known, on, "left").select(*rows.columns, F.coalesce("days", F.lit(-1).cast("long")).alias("days"))
+    distinct = x.groupBy(*key, "_d").agg(F.min(sides).alias("_low"), F.max(sides).alias("_high")).withColumn("_gap", F.coalesce((F.col("_d") - F.lag("_d").over(w) > apart).cast("int"), F.lit(0)))
+    known = distinct.select(*key, "_d", "_low", "_high", F.when(F.col("_d").isNull(), -1).otherwise(F.sum("_gap").over(w)).cast("long").alias("days"))
+    if side is not None:
+        r = Window.partitionBy(*key, "days")
+        known = known.withColumn("two_sided", F.min("_low").over(r) != F.max("_high").over(r))
+    added = known.columns[len(key) + 3 :]
+    on = F.lit(True)
+    for k in (*key, "_d"):
+        on = on & x[k].eqNullSafe(F.col(f"_d_{k}"))
+    return x.join(known.select(*(F.col(k).alias(f"_d_{k}") for k in (*key, "_d")), *added), on).select(*rows.columns, *added)
 
 
 def three_way(auto: DataFrame, main: DataFrame) -> DataFrame:
     """present, review or new for each automated row: bags first, then claims within (account, debits, credits) and a range of days, outside which no claim can reach.
 
     A fee that recurs for years is cut where no row lies within the reach of a claim, so its ranges go to many tasks.
+    The ledgers are read once, and all of their rows are shuffled once; what follows is of the rows that no bag matched.
     Both sides: account_number, row_pos, txn_date, debits, credits, description.
     """
-    key = ["account_number", "txn_date", "debits", "credits", "description_key"]
-    a, m = with_fingerprint(auto), with_fingerprint(main)
-    present, open_rows, left = bag_matched(a, m, key, ["row_pos"])
-    columns = ["account_number", "row_pos", "txn_date", "debits", "credits", "description_key"]
-    both = open_rows.select(*columns, F.lit("auto").alias("side")).unionByName(left.select(*columns, F.lit("main").alias("side")))
-    both = settled(day_ranges(both, ["account_number", "debits", "credits"]))
+    key = ["debits", "credits", "txn_date", "account_number", "description_key"]
+    sided = lambda df, is_main: with_fingerprint(df).select(*key, "row_pos", F.lit(is_main).alias("is_main"))
+    marked = bag_marked(sided(auto, False).unionByName(sided(main, True)), key, ["row_pos"])
+    marked = settled(marked.filter("is_first or not is_main"))
+    settled_as = lambda df, status: df.select("account_number", F.col("row_pos").alias("auto_pos"), F.lit(None).cast("long").alias("main_pos"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("reason"))
+    present = settled_as(marked.filter("is_first and not is_main"), "present")
+    ranged = day_ranges(marked.filter("is_first = is_main"), ["debits", "credits", "account_number"], side="is_main")
     # A range without rows of the main ledger needs no matching and stays in the JVM.
-    group = ("account_number", "debits", "credits", "days")
-    sides = both.groupBy(*group).agg(F.max(F.col("side") == "main").alias("_m"))
-    sides = sides.select(*(F.col(k).alias(f"_s_{k}") for k in group), "_m")
-    on = F.lit(True)
-    for k in group:
-        on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    tagged = both.join(sides, on).select(*columns, "days", "side", "_m")
+    plain = settled_as(ranged.filter("not two_sided and not is_main"), "new")
     # A range streams through its task in order; nothing of it is held but what may still be claimed.
-    sided = tagged.filter("_m").select((F.col("side") == "auto").cast("int").alias("side"), "account_number", "row_pos", "txn_date", *(F.col(c).cast("string").alias(c) for c in ("debits", "credits")), "days", "description_key")
-    matched = sided.repartition(*group).sortWithinPartitions(*group, "side", "row_pos").mapInPandas(_claims, _MATCHED)
-    plain = tagged.filter("not _m").filter("side = 'auto'").select("account_number", F.col("row_pos").alias("auto_pos"), F.lit(None).cast("long").alias("main_pos"), F.lit("new").alias("status"), F.lit(None).cast("string").alias("reason"))
-    done = present.select("account_number", F.col("row_pos").alias("auto_pos"), F.lit(None).cast("long").alias("main_pos"), F.lit("present").alias("status"), F.lit(None).cast("string").alias("reason"))
-    return done.unionByName(matched).unionByName(plain)
+    group = ("debits", "credits", "days", "account_number")
+    day = F.coalesce(F.datediff(F.col("txn_date"), F.lit("1970-01-01").cast("date")), F.lit(0)).alias("day")
+    asked = ranged.filter("two_sided").select((~F.col("is_main")).cast("int").alias("side"), "account_number", "row_pos", day, *(F.col(c).cast("string").alias(c) for c in ("debits", "credits")), "days", "description_key")
+    matched = asked.repartition(*group).sortWithinPartitions(*group, "side", "row_pos").mapInPandas(_claims, _MATCHED)
+    return present.unionByName(matched).unionByName(plain)
 
 
 def nearest_by_date(left: DataFrame, right: DataFrame, key: list[str], day: str, ident: str, days: int = NEAR_DAYS) -> DataFrame:

@@ -391,6 +391,55 @@ def test_claims_of_a_fee_that_recurs_for_years(spark):
     assert {x["auto_pos"]: (x["status"], x["main_pos"]) for x in reconcile.three_way(a, m).collect()} == want and len(taken) > 100
 
 
+def stages(spark):
+    """Number and shuffled records of the stages that ran."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, j = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    ran = store.stageList(j.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(j.double, 0), j.java.util.ArrayList())
+    return {x.stageId(): x.shuffleWriteRecords() for x in (ran.apply(i) for i in range(ran.size()))}
+
+
+def test_rows_matched_by_count_are_shuffled_once(spark):
+    """Both ledgers go through one shuffle, whatever is made of them; only rows that no bag matched are shuffled again."""
+    rows = [(f"2026-04-{i % 28 + 1:02d}", f"{i}.00", "fee") for i in range(400)]
+    a, m = ledger(spark, rows), ledger(spark, rows)
+    last = max(stages(spark), default=-1)
+    assert {(x["auto_pos"], x["status"]) for x in reconcile.three_way(a, m).collect()} == {(i, "present") for i in range(400)}
+    assert sum(n for i, n in stages(spark).items() if i > last) == 800
+
+
+def test_claims_go_on_over_batches(spark):
+    """Groups that lie in several batches, null accounts and amounts, and ranges with rows of one side only."""
+    import random
+
+    r = random.Random(5)
+    shape = "account_number string, row_pos long, txn_date date, debits decimal(18,2), credits decimal(18,2), description string"
+    day = lambda: r.choice([None, *(dt.date(2026, 4, 1) + dt.timedelta(days=n) for n in (0, 1, 2, 3, 12, 13, 40))])
+    some = lambda n, last: [(r.choice(["A", None]), i, day(), r.choice([None, Decimal("5.00")]), Decimal("0.00"), r.choice(["fee", "rent"])) for i in range(n)] + [last]
+    auto, main = some(200, ("A", 900, dt.date(2027, 1, 1), Decimal("5.00"), Decimal("0.00"), "fee")), some(180, ("A", 901, dt.date(2028, 1, 1), Decimal("5.00"), Decimal("0.00"), "fee"))
+    # Bags by count, then each open row looks through all that is left, in order.
+    bag = lambda x: (x[0], x[2], x[3], x[5])
+    count = lambda rows, x: sum(bag(y) == bag(x) for y in rows)
+    left = [y for i, y in enumerate(main) if count(main[: i + 1], y) <= count(main, y) - count(auto, y)]
+    want, taken = {}, set()
+    for i, x in enumerate(auto):
+        if count(auto[: i + 1], x) <= count(main, x):
+            want[x[0], x[1]] = ("present", None)
+            continue
+        free = [y for y in left if (y[0], y[3]) == (x[0], x[3]) and y[1] not in taken]
+        near = [(abs((y[2] - x[2]).days), y[1]) for y in free if x[2] and y[2] and y[5] == x[5] and abs((y[2] - x[2]).days) <= 3]
+        pick = min((y[1] for y in free if y[2] == x[2]), default=None)
+        pick = min(near)[1] if pick is None and near else pick
+        want[x[0], x[1]] = ("new" if pick is None else "review", pick)
+        taken |= set() if pick is None else {pick}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {(x["account_number"], x["auto_pos"]): (x["status"], x["main_pos"]) for x in reconcile.three_way(spark.createDataFrame(auto, shape), spark.createDataFrame(main, shape)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(taken) > 20
+
+
 def test_copies_of_a_text_meet_as_one_class(spark):
     """Ids are those of all pairs, ties by id over classes too, and no text is weighed once a copy."""
     texts = {i: ("steel rods order", "steel rods paid", "Steel rods order", "salary april", None)[i % 5] for i in range(400)}
