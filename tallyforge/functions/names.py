@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,13 @@ def _role(c: Column) -> Column:
     return reduce(lambda out, kv: F.when(c == kv[0], F.lit(kv[1])).otherwise(out), reversed(ROLES.items()), F.lit(None).cast("string"))
 
 
+def _bare_holds(description: Column, words: Sequence[str]) -> Column:
+    """Whether any of the words stands in the text in lower case without spaces; a word that begins with another adds nothing."""
+    bare = F.replace(F.lower(description), F.lit(" "), F.lit(""))
+    least = [w for w in words if not any(w != o and w.startswith(o) for o in words)]
+    return reduce(lambda hit, w: hit | bare.contains(w), least[1:], bare.contains(least[0]))
+
+
 def role_in(description: Column, professionals: list[str] | None = None, contractors: list[str] | None = None) -> Column:
     """The role that the first telling segment names: as a whole, without spaces, by its last word or by a prefix; then names known for a role."""
 
@@ -34,7 +42,8 @@ def role_in(description: Column, professionals: list[str] | None = None, contrac
         return F.coalesce(_role(s), _role(bare), tail, prefix)
 
     found = F.filter(F.transform(segments(description), of), lambda r: r.isNotNull())
-    out = [F.try_element_at(found, F.lit(1))]
+    # Texts without any of the words are not taken apart.
+    out = [F.when(_bare_holds(description, (*ROLES, *ROLE_PREFIXES)), F.try_element_at(found, F.lit(1)))]
     squeezed = F.replace(F.upper(description), F.lit(" "), F.lit(""))
     for names, head in ((professionals, "Professional"), (contractors, "Contractor")):
         out += [F.when(squeezed.contains(n.replace(" ", "").upper()), F.lit(head)) for n in names or []]
@@ -43,7 +52,7 @@ def role_in(description: Column, professionals: list[str] | None = None, contrac
 
 def mentions_segment(description: Column, word: str) -> Column:
     """Whether a segment is the word, with or without spaces, or ends in it."""
-    return F.exists(segments(description), lambda s: (F.replace(F.lower(F.trim(s)), F.lit(" "), F.lit("")) == word) | F.lower(F.trim(s)).rlike(rf"\s{word}$"))
+    return _bare_holds(description, (word,)) & F.exists(segments(description), lambda s: (F.replace(F.lower(F.trim(s)), F.lit(" "), F.lit("")) == word) | F.lower(F.trim(s)).rlike(rf"\s{word}$"))
 
 
 def _named(name: Column, ok: Column) -> Column:

@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import no_spaces
+from .pieces import end_hash, ends_within
 
 MAX_DIMENSION_ROWS = 50_000
 #: Up to so many accounts each row searches them all.
 FEW_ACCOUNTS = 64
-#: The sketch of account numbers: 2^19 words of 64 bits, some bits of one word a number.
-SKETCH_BITS, NUMBER_BITS = 19, 3
 
 
 def as_array(dim: DataFrame, order: list[str], most: int = MAX_DIMENSION_ROWS) -> Column:
@@ -94,6 +93,10 @@ def contains_lookup(rows: DataFrame, text: Column, dim: DataFrame, word: str, or
     return first_word(rows, text, dim, word, [order], outputs)
 
 
+def are_few(accounts: DataFrame) -> bool:
+    return accounts.limit(FEW_ACCOUNTS + 1).count() <= FEW_ACCOUNTS
+
+
 def counterparty(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """Another account whose number stands in the description (without spaces; long numbers also without their first 3 digits); the first by account order.
 
@@ -102,7 +105,7 @@ def counterparty(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     other = accounts.select("account_order", F.col("account_number").alias("number"), F.when(F.length("account_number") > 12, F.substr("account_number", F.lit(4))).otherwise(F.col("account_number")).alias("least"), "business_unit", "account_stage")
     outputs = {"number": "other_account", "business_unit": "other_unit", "account_stage": "other_stage"}
     values = {"own": F.coalesce(F.col("account_number"), F.lit("")), "text": F.coalesce(no_spaces(F.col("description")), F.lit(""))}
-    if accounts.limit(FEW_ACCOUNTS + 1).count() > FEW_ACCOUNTS:
+    if not are_few(accounts):
         return _among_many(rows, other, values, outputs)
 
     def holds(x: Column, r: Column) -> Column:
@@ -115,33 +118,16 @@ def counterparty(rows: DataFrame, accounts: DataFrame) -> DataFrame:
 def _among_many(rows: DataFrame, other: DataFrame, values: dict[str, Column], outputs: dict[str, str]) -> DataFrame:
     """counterparty among any number of accounts.
 
-    A number's last letters, as many as the greatest power of two that it is long, meet the pieces of that length of the texts by
-    equality; those pieces alone that a sketch of all such ends may hold. Of the numbers with one end that texts are searched
-    for, the first two in order are kept, as a row passes over its own.
+    A number's last bytes, as many as the greatest power of two that it is long, meet the pieces of that length of the texts by
+    their hashes; those pieces alone that a sketch of all such ends may hold, which Arrow batches are searched for. Of the numbers with one end that texts are searched for, the first two in order are kept, as a row passes over its own.
     """
     entry = F.struct("account_order", "number", *(c for c in outputs if c != "number"))
     known = other.filter("number is not null").groupBy("least", "number").agg(F.min(entry).alias("e"))
     ends = known.filter("least <> ''").groupBy("least").agg(F.slice(F.array_sort(F.collect_list("e")), F.lit(1), F.lit(2)).alias("first"))
-    size = F.pow(F.lit(2), F.floor(F.log2(F.length("least").cast("double")))).cast("int")
-    ends = ends.withColumn("size", size).withColumn("end", F.expr("right(least, size)"))
-    sizes = [r["size"] for r in ends.select("size").distinct().collect()]  # powers of two
-    word = lambda h: F.shiftrightunsigned(h, 64 - SKETCH_BITS)
-
-    def mask(h: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(NUMBER_BITS):
-            out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
-        return out
-
-    held = ends.select(F.xxhash64("end").alias("h")).groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(mask(F.col("h"))).alias("bits"))
-    held = rows.sparkSession.range(1 << SKETCH_BITS).join(held, F.col("id") == F.col("word"), "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+    pieces = ends_within(other.filter("number is not null and least <> ''").select("least"))
     x = rows.withColumns({"_own": values["own"], "_text": values["text"]})
-    may_end = lambda g: F.element_at("_sketch", (word(F.xxhash64(g)) + 1).cast("int")).bitwiseAND(mask(F.xxhash64(g))) == mask(F.xxhash64(g))
-    starts = lambda n: F.when(F.length("_text") >= n, F.sequence(F.lit(1), F.length("_text") - (n - 1))).otherwise(F.array().cast("array<int>"))
-    of_size = lambda n: F.filter(F.transform(starts(n), lambda i: F.substr("_text", i, F.lit(n))), may_end)
-    pieces = [of_size(n) for n in sizes] or [F.array().cast("array<string>")]
-    asked = x.withColumn("_sketch", held.scalar()).select("_own", "_text", F.explode(F.array_distinct(F.concat(*pieces))).alias("end")).distinct()
-    met = asked.join(ends, "end").filter(F.col("_text").contains(F.col("least")))
+    asked = x.select("_own", "_text", F.explode(pieces(F.col("_text"))).alias("_end")).distinct()
+    met = asked.join(ends.withColumn("_end", end_hash("least")), "_end").filter(F.col("_text").contains(F.col("least")))
     taken = F.when(F.col("first")[0]["number"] != F.col("_own"), F.col("first")[0]).otherwise(F.try_element_at("first", F.lit(2)))
     best = met.groupBy("_own", "_text").agg(F.min(taken).alias("_found"))
     # A number without a letter stands in every text.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +45,26 @@ MIN_STRIPPED = 5
 
 def contains_any(text: Column, words: Iterable[str], least: int = MIN_STRIPPED) -> Column:
     """Any word within the upper-cased text; words of at least so many characters also with all spaces taken out."""
-    up, bare, hit = F.upper(text), no_spaces(F.upper(text)), F.lit(False)
+    return holds_any(F.upper(text), no_spaces(F.upper(text)), words, least)
+
+
+def holds_any(up: Column, bare: Column, words: Iterable[str], least: int = MIN_STRIPPED) -> Column:
+    """contains_any of a text that is given in upper case, and so without spaces: what holds a word holds it without its spaces too."""
+    hit = F.lit(False)
     for w in words:
-        hit = hit | up.contains(w)
-        if len(w.replace(" ", "")) >= least:
-            hit = hit | bare.contains(w.replace(" ", ""))
+        stripped = w.replace(" ", "")
+        hit = hit | (bare.contains(stripped) if len(stripped) >= least else up.contains(w))
     return hit
 
 
-def bounded_any(text: Column, words: Iterable[str]) -> Column:
+def bounded_any(text: Column, words: list[str]) -> Column:
     """Any word with no letter on either side."""
-    return F.upper(text).rlike("|".join(f"(?<![A-Z]){w}(?![A-Z])" for w in words))
+    return holds_bounded(F.upper(text), words)
+
+
+def holds_bounded(up: Column, words: list[str]) -> Column:
+    # A pattern looks at each letter; most texts hold none of the words.
+    return reduce(lambda hit, w: hit | up.contains(w), words, F.lit(False)) & up.rlike("|".join(f"(?<![A-Z]){w}(?![A-Z])" for w in words))
 
 
 def starts_any(text: Column, prefixes: Iterable[str]) -> Column:
@@ -128,10 +138,11 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
     own = accounts.select("account_number", F.col("business_unit").alias("own_unit"), F.col("account_stage").alias("own_stage"))
     outputs = {"head": "o_head", "business_unit": "o_unit", "type": "o_type", "tcp_head": "o_tcp"}
     base = rows.drop("head", "business_unit", "type", "tcp_head", "confidence", "classified_by", "dual_head", "manual_override", "payee")
-    base = base if engine else lookups.spread(base)
-    x = base.join(lookups.beside(own), "account_number", "left").withColumn("description", F.coalesce("description", F.lit("")))
+    # Among many accounts the rows are dealt out by the join with their counterparties.
+    base = lookups.spread(base) if lookups.are_few(accounts) and not engine else base
+    x = lookups.counterparty(base.withColumn("description", F.coalesce("description", F.lit(""))), accounts)
+    x = x.join(lookups.beside(own), "account_number", "left")
     x = lookups.first_override(x, lookups.active_overrides(overrides), outputs)
-    x = lookups.counterparty(x, accounts)
     x = with_payees(x, payees)
     if stage_table is None:
         x = x.withColumns({c: F.lit(None).cast("string") for c in ("s_head", "s_unit", "s_type", "s_tcp", "s_confidence", "s_rule")})
@@ -142,7 +153,8 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
         x = x.withColumnsRenamed({"payee": "_payee", "payee_head": "_payee_head"}).withColumn("_block_payee", dashed_payee_name(F.col("description"))).join(lookups.beside(on_file), "_block_payee", "left")
         x = stage_rules(x.withColumnsRenamed({"_block_payee": "payee", "_block_head": "payee_head"}).withColumns(flags), stage_table).drop(*flags, "payee", "payee_head").withColumnsRenamed({"_payee": "payee", "_payee_head": "payee_head"})
 
-    d, bare = F.col("description"), no_spaces(F.upper(F.col("description")))
+    x = x.withColumn("_up", F.upper("description")).withColumn("_bare", no_spaces(F.col("_up")))
+    d, up, bare = F.col("description"), F.col("_up"), F.col("_bare")
     credit = F.col("credits") > 0
     # Flags first, the ladder over them afterwards.
     x = x.withColumns({
@@ -150,24 +162,24 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
         "_kind": F.coalesce(*(F.when(F.col("own_stage") == s, F.lit(v[0])) for s, v in STAGE_DEFAULTS.items()), F.lit(UNKNOWN)),
         "_tcp": F.coalesce(*(F.when(F.col("own_stage") == s, F.lit(v[1])) for s, v in STAGE_DEFAULTS.items()), F.lit(UNKNOWN)),
         "_credit": credit,
-        "_own": names_own_company(d, b.own_names),
-        "_bank": (bare.rlike(b.bank_ifsc) if b.bank_ifsc else F.lit(False)) | names_own_company(d, b.bank_names),
-        "_cheque": contains_any(bare, CHEQUES, 99),
-        "_incoming": starts_any(d, INCOMING),
+        "_own": holds_any(up, bare, map(str.upper, b.own_names), 0),
+        "_bank": (bare.rlike(b.bank_ifsc) if b.bank_ifsc else F.lit(False)) | holds_any(up, bare, map(str.upper, b.bank_names), 0),
+        "_cheque": holds_any(bare, bare, CHEQUES),
+        "_incoming": reduce(lambda hit, p: hit | up.startswith(p), INCOMING, F.lit(False)),
         "_imprest": mentions_segment(d, "imprest"),
         "_salary": mentions_segment(d, "salary"),
         "_role": role_in(d, b.professionals, b.contractors),
         "_site": ends_any(F.col("account_number"), b.site_accounts),
     }).withColumns({
-        "_pf": contains_any(d, PF_ESI) | bounded_any(d, PF_ESI_WORDS),
-        "_tds": contains_any(d, TAX_AT_SOURCE) | bounded_any(d, TAX_AT_SOURCE_WORDS),
-        "_marketing": contains_any(d, MARKETING),
-        "_charge": (F.upper(F.trim(d)) == "GST") | contains_any(d, BANK_CHARGES),
-        "_tax": contains_any(d, TAX),
-        "_power": contains_any(d, ELECTRICITY),
+        "_pf": holds_any(up, bare, PF_ESI) | holds_bounded(up, PF_ESI_WORDS),
+        "_tds": holds_any(up, bare, TAX_AT_SOURCE) | holds_bounded(up, TAX_AT_SOURCE_WORDS),
+        "_marketing": holds_any(up, bare, MARKETING),
+        "_charge": (F.trim(up) == "GST") | holds_any(up, bare, BANK_CHARGES),
+        "_tax": holds_any(up, bare, TAX),
+        "_power": holds_any(up, bare, ELECTRICITY),
         "_always": ends_any(F.col("account_number"), b.always_collection),
         "_to_free": ends_any(F.col("account_number"), b.master_to_free),
-        "_matched": F.filter(F.coalesce("conflict_heads", F.array().cast("array<string>")), lambda h: F.coalesce(*(F.when(h == k, F.upper(d).contains(w.upper())) for k, w in b.keywords.items()), F.lit(False))),
+        "_matched": F.filter(F.coalesce("conflict_heads", F.array().cast("array<string>")), lambda h: F.coalesce(*(F.when(h == k, up.contains(w.upper())) for k, w in b.keywords.items()), F.lit(False))),
     })
 
     unit, stage, kind, tcp = F.col("_unit"), F.col("own_stage"), F.col("_kind"), F.col("_tcp")
@@ -185,7 +197,7 @@ def classify(rows: DataFrame, accounts: DataFrame, overrides: DataFrame, payees:
     salary = F.when(F.col("_site"), _fields("Salary Site", unit, kind, tcp, "Low", "R7")).otherwise(office("Salary HO", "R7"))
     label = F.when((F.col("other_unit") == F.col("own_unit")) & F.col("own_stage").isNotNull() & F.col("other_stage").isNotNull(), F.coalesce(lookups.pair_label(F.col("own_stage"), F.col("other_stage")), F.lit("Internal"))).otherwise(F.lit("Internal"))
     other_unit = F.when(F.col("other_unit").isNotNull() & (F.col("other_unit") != unit), F.col("other_unit")).otherwise(unit)
-    linked = F.coalesce(*(F.when(F.upper(d).contains(k.upper()), F.lit(v)) for k, v in b.linked_codes.items()), F.lit("Internal"))
+    linked = F.coalesce(*(F.when(up.contains(k.upper()), F.lit(v)) for k, v in b.linked_codes.items()), F.lit("Internal"))
     collection = lambda by: _fields(COLLECTION[0], unit, COLLECTION[1], COLLECTION[2], "High", by)
 
     ladder = [

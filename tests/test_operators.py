@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
-from tallyforge.operators import balance, geometry, ingest, lookups, master, reconcile, rules, similar
+from tallyforge.functions import names, text
+from tallyforge.operators import balance, geometry, ingest, lookups, master, pieces, reconcile, rules, similar
 from tallyforge.sources import tables
 from tallyforge.sources.statements import first_success, required
 from tallyforge.streaming import landing
@@ -497,3 +498,46 @@ def test_lines_of_pages_as_whole_rows(spark):
         wanted.sort()
         assert [tuple(w)[:5] for w in page["words"]] == wanted
         assert [[w["line_no"] for w in page["words"][s["start"] - 1 : s["start"] - 1 + s["n"]]] for s in page["lines"]] == [[k] * sum(w[0] == k for w in wanted) for k in range(line + 1)]
+
+
+def test_ends_within_texts(spark):
+    """Pieces that may be ends of words lose none, take hardly any other, and the sketch is not carried by the rows."""
+    import random
+
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("ab1é-€") for _ in range(n))
+    words = [made(rng.randint(1, 40)) for _ in range(150)]
+    texts = ["", "a", *(made(rng.randint(0, 9)) + w + made(rng.randint(0, 9)) for w in words), *(made(30) for _ in range(150))]
+    shown = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    ends = {r["word"]: r["e"] for r in known.withColumn("e", pieces.end_hash("word")).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["text"]: set(r["found"]) for r in shown.withColumn("found", pieces.ends_within(known)(F.col("text"))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tail = lambda w: w.encode()[-(1 << (len(w.encode()).bit_length() - 1)) :]
+    assert len(set(ends.values())) == len({tail(w) for w in words})
+    for t in texts:
+        assert got[t] >= {ends[w] for w in words if tail(w) in t.encode()}
+    assert sum(len(found - set(ends.values())) for found in got.values()) < 0.1 * sum(len(t.encode()) for t in texts)
+    assert spark.createDataFrame([("",)], "word string").select(pieces.end_hash("word")).first()[0] is None
+    accounts = spark.range(100).select(F.concat(F.lit("ACC-"), "id").alias("account_number"), F.lit("U").alias("business_unit"), F.lit("S").alias("account_stage"), F.col("id").cast("int").alias("account_order"))
+    plan = lookups.counterparty(spark.createDataFrame([("ACC-5", "to ACC-7")], "account_number string, description string"), accounts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "_sketch" not in plan
+
+
+def test_words_without_spaces_hold_what_words_hold(spark):
+    """The shortened conditions are those of plain Python: a word itself, or without spaces from five letters on; segments and roles by their own text."""
+    texts = ["SAFE BOX", "SAF EBOX", "SB OX", "A SBOX-1", "P OS GST", "posgst", "LF CHG", "L FCHG", "-PF-", "EP F", "a/Prof", "x-pro f-y", "pay/site vendor", "im prest-x", "an imprest", "imprests", "a-b/SALARY", "cancellation of-x", "Cont ractor/1", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    got = frame.select("t", rules.contains_any(t, rules.BANK_CHARGES).alias("c"), names.role_in(t).alias("role"), names.mentions_segment(t, "imprest").alias("imprest"), text.segments(t).alias("s")).collect()
+    for r in got[:-1]:
+        up, low = r["t"].upper(), r["t"].lower()
+        parts = [p.strip() for p in re.split("[-/]", low)]
+        assert r["s"] == re.split("[-/]", r["t"])
+        assert r["c"] == any(w in up or (len(w.replace(" ", "")) >= 5 and w.replace(" ", "") in up.replace(" ", "")) for w in rules.BANK_CHARGES), r["t"]
+        assert r["imprest"] == any(p.replace(" ", "") == "imprest" or p.endswith(" imprest") for p in parts), r["t"]
+    assert [r["role"] for r in got] == [None] * 10 + ["Professional", "Professional", "Vendor", "Imprest", "Imprest", None, None, "Cancellation", "Contractor", None]
+    assert got[-1]["c"] is None and got[-1]["imprest"] is None
